@@ -118,7 +118,7 @@ class Model:
         return self.scores(_from_strings(strings), self.table())
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = 20_000, features: int = 2048, swap_weight: float = 5.0, l2: float = 2e-4) -> Model:
+def train(docs: DataFrame, labels: DataFrame, rows: int = 20_000, features: int = 512, swap_weight: float = 5.0, l2: float = 3e-5) -> Model:
     """docs(doc_id, text), labels(doc_id, toxic) -> Model. rows bounds the labelled rows of the fit, features the chosen features,
     swap_weight is the strength of the counterfactual penalty. Without labels every text scores the same."""
     sample = labelled_sample(labels, "toxic", rows)
