@@ -10,7 +10,7 @@ den * |A & B| >= num * |A | B|. With sizes n and m that means an overlap of at l
 
 List entries that nobody shares are dropped first. Pairs within a list then must pass size, position and odd-sketch bounds
 (the Hamming distance of two odd sketches never exceeds the sets' symmetric difference), and are made only at their first
-common shingle. What is left is compared exactly on whole sets.
+common shingle. What passes a longer sketch too is compared exactly on whole sets.
 The order of shingles is a matter of speed only: any order finds every link, so the list of common shingles may be bounded.
 """
 
@@ -27,8 +27,8 @@ from .common import arrow_map, shuffle_partitions, stage, string_column
 from .graph import connected_components
 from .textnum import LOWER, U, mix, runs, windows
 
-SKETCH = 512
-HEAD = 16
+SKETCH, LONG_SKETCH = 512, 4096
+HEAD = 8
 
 
 def overlap_needed(n, m, num: int, den: int):
@@ -96,8 +96,7 @@ def _signatures(k):
             n.append(len(s))
             d1.append(np.add.reduce(mix(s ^ U(0x1F83D9ABFB41BD6B))).astype(np.int64) if len(s) else 0)
             d2.append(np.add.reduce(mix(s ^ U(0x5BE0CD19137E2179))).astype(np.int64) if len(s) else 0)
-            odd = np.bincount((mix(s ^ U(0x3C6EF372FE94F82B)) % U(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
-            sketches.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+            sketches.append(_odd(s, SKETCH))
         yield pa.RecordBatch.from_arrays(
             [ids, pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))],
             ["doc_id", "n", "d1", "d2", "sketch"],
@@ -107,10 +106,10 @@ def _signatures(k):
 
 
 def _first_shingles(k, num, den):
-    """Twice the listed shingles of each set and 16 more, in the order of their hashes, for counting."""
+    """Half as many again as the listed shingles of each set and 8 more, in the order of their hashes, for counting."""
 
     def f(batch):
-        got = [s[: 2 * listed(len(s), num, den) + 16] for _, s in _sets(batch, k) if len(s)]
+        got = [s[: 3 * listed(len(s), num, den) // 2 + 8] for _, s in _sets(batch, k) if len(s)]
         if got:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got).view(np.int64))], ["token"])
 
@@ -171,9 +170,41 @@ def _entries(k, num, den, boundary, tokens, counts):
 
 
 def _whole_sets(k):
+    """Whole sets: 48 bits of each shingle, and an odd sketch long enough to tell near pairs from links."""
+
+    def f(batch):
+        sets, sketches = [], []
+        for _, s in _sets(batch, k):
+            sets.append(np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, 2:].T).tobytes())
+            sketches.append(_odd(s, LONG_SKETCH))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sketches, pa.list_(pa.int64())), pa.array(sets, pa.binary())], ["doc_id", "sketch", "shingles"])
+
+    return f
+
+
+def _odd(s: np.ndarray, bits: int) -> np.ndarray:
+    """Odd sketch: the parity of the number of shingles in each of bits slots."""
+    odd = np.bincount((mix(s ^ U(0x3C6EF372FE94F82B)) % U(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _exact(num, den):
+    """Pairs whose whole sets link."""
+
+    def unpack(raw: bytes) -> np.ndarray:
+        out = np.zeros((len(raw) // 6, 8), np.uint8)
+        out[:, 2:] = np.frombuffer(raw, np.uint8).reshape(6, -1).T
+        return out.view(np.uint64).ravel()
+
     def f(batch):
-        sets = [s.view(np.int64) for _, s in _sets(batch, k)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+        a, b, left, right = (batch.column(i) for i in range(4))
+        links = []
+        for x, y in zip(left, right, strict=True):
+            x, y = unpack(x.as_py()), unpack(y.as_py())
+            o = len(np.intersect1d(x, y, assume_unique=True))
+            links.append(den * o >= num * (len(x) + len(y) - o))
+        hit = np.flatnonzero(links)
+        yield pa.RecordBatch.from_arrays([a.take(pa.array(hit)), b.take(pa.array(hit))], ["a", "b"])
 
     return f
 
@@ -203,7 +234,7 @@ def jaccard_links(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, co
     boundary = choose_boundary(small, float(met), num, den)
 
     parts = shuffle_partitions(spark)
-    entries = arrow_map(known, _entries(k, num, den, boundary, tokens, counts), "key long, doc_id long, n long, pos long").repartition(parts, "key")
+    entries = arrow_map(known, _entries(k, num, den, boundary, tokens, counts), "key long, doc_id long, n long, pos long").where("key IS NOT NULL").repartition(parts, "key")
     shared = entries.groupBy("key").agg(F.count("*").alias("c"), F.min("doc_id").alias("x"), F.min("n").alias("y"), F.min("pos").alias("z")).where("c > 1 OR x + y + z IS NULL").select("key")
     entries = entries.join(shared, "key")
     lead = sigs.join(classes.withColumnRenamed("cls", "doc_id").select("doc_id", "n", "d1", "d2"), ["doc_id", "n", "d1", "d2"]).groupBy("doc_id", "n").agg(F.min_by("sketch", "d1").alias("sketch"))
@@ -230,10 +261,14 @@ def jaccard_links(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, co
     ids = pairs.select(F.explode(F.array("doc_id_a", "doc_id_b")).alias("doc_id")).distinct()
     if pairs.count() * 2 <= broadcast_rows:
         ids = F.broadcast(ids)
-    sets = stage(arrow_map(docs.join(ids, "doc_id"), _whole_sets(k), "doc_id long, shingles array<long>").distinct(), "sets")
-    left, right = (sets.select(F.col("doc_id").alias(f"doc_id_{x}"), F.col("shingles").alias(f"set_{x}")) for x in "ab")
-    both = pairs.join(left, "doc_id_a").join(right, "doc_id_b").withColumn("o", F.size(F.array_intersect("set_a", "set_b")))
-    links = both.where(F.expr(f"{den} * o >= {num} * (size(set_a) + size(set_b) - o)")).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
+    sets = stage(arrow_map(docs.join(ids, "doc_id"), _whole_sets(k), "doc_id long, sketch array<long>, shingles binary"), "sets")
+    for x in "ab":
+        pairs = pairs.join(sets.select(F.col("doc_id").alias(f"doc_id_{x}"), F.col("sketch").alias(f"sketch_{x}"), (F.octet_length("shingles") / 6).cast("long").alias(f"n_{x}")), f"doc_id_{x}")
+    apart = "aggregate(zip_with(sketch_a, sketch_b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+    pairs = pairs.where(F.expr(f"{apart} <= n_a + n_b - 2 * {need}")).select("doc_id_a", "doc_id_b").distinct()
+    for x in "ab":
+        pairs = pairs.join(sets.select(F.col("doc_id").alias(f"doc_id_{x}"), F.col("shingles").alias(f"set_{x}")), f"doc_id_{x}")
+    links = arrow_map(pairs.select("doc_id_a", "doc_id_b", "set_a", "set_b"), _exact(num, den), "a long, b long").distinct()
     members = sigs.select("doc_id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"]).select("doc_id", "n", "cls", "cls_rows")
     return members, stage(links, "links")
 
