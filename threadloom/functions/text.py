@@ -155,5 +155,9 @@ def chunk_words(text: Column, size: int = 300, overlap: int = 50) -> Column:
 def stop_word_language(text: Column, profiles: dict[str, list[str]]) -> Column:
     """Language with the most stop words in the text, ties by name; null if it has none."""
     t = words(F.lower(text))
-    best = F.array_max(F.array(*(F.struct(F.size(F.filter(t, lambda w, s=s: w.isin(s))).alias("n"), F.lit(lang).alias("lang")) for lang, s in sorted(profiles.items()))))
+
+    def hits(stop: list[str]) -> Column:
+        return F.size(F.filter(t, lambda w: w.isin(stop)))
+
+    best = F.array_max(F.array(*(F.struct(hits(stop).alias("n"), F.lit(lang).alias("lang")) for lang, stop in sorted(profiles.items()))))
     return F.when(best["n"] > 0, best["lang"])

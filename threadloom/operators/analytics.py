@@ -99,4 +99,4 @@ def blend_mean_extreme(df: DataFrame, group: str, score: str, path: str) -> Data
 
 def length_weighted_mean(df: DataFrame, group: str, score: str, size: str) -> DataFrame:
     s = df.groupBy(group).agg((F.sum(F.col(score) * F.col(size)) / F.nullif(F.sum(size), F.lit(0))).alias("v"))
-    return s.select(group, F.round("v", 6).alias("mean"), F.when(F.col("v") > 0.2, "positive").when(F.col("v") < -0.2, "negative").otherwise("neutral").alias("label"))
+    return s.select(group, (F.round("v", 6) + 0.0).alias("mean"), F.when(F.col("v") > 0.2, "positive").when(F.col("v") < -0.2, "negative").otherwise("neutral").alias("label"))

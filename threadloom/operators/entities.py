@@ -11,7 +11,12 @@ def gazetteer(df: DataFrame, id_: str, text: str, phrases: DataFrame, longest: i
     overlaps."""
     toks = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("[a-z0-9][a-z0-9+#.-]*"), F.lit(0))
     t = df.select(id_, toks.alias("t")).where(F.size("t") > 0)
-    grams = t.select(id_, F.explode(F.flatten(F.array(*(F.transform(F.sequence(F.lit(1), F.size("t")), lambda i, n=n: F.struct(i.alias("start"), F.lit(n).alias("n_tokens"), F.array_join(F.slice("t", i, n), " ").alias("phrase"), (i + n - 1 <= F.size("t")).alias("whole"))) for n in range(1, longest + 1))))).alias("g")).select(id_, "g.*").where("whole")
+
+    def grams_of(n: int) -> Column:
+        one = lambda i: F.struct(i.alias("start"), F.lit(n).alias("n_tokens"), F.array_join(F.slice("t", i, n), " ").alias("phrase"))
+        return F.when(F.size("t") >= n, F.transform(F.sequence(F.lit(1), F.size("t") - n + 1), one)).otherwise(F.array())
+
+    grams = t.select(id_, F.explode(F.flatten(F.array(*(grams_of(n) for n in range(1, longest + 1))))).alias("g")).select(id_, "g.*")
     hits = grams.join(F.broadcast(phrases), "phrase")
     spans = hits.groupBy(id_).agg(F.array_sort(F.collect_list(F.struct((-F.col("n_tokens")).alias("k"), "start", "n_tokens", "phrase", "label"))).alias("s"))
     empty = F.slice("s", 1, 0)
