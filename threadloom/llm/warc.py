@@ -129,7 +129,8 @@ def train_dictionary(pages: DataFrame, samples: int = 256) -> bytes:
     """A zstd dictionary from a bounded sample: the pages of least md5(page_id). Empty where the sample is too small to train on."""
     import zstandard
 
-    rows = pages.select(F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit(""))).alias("m"), F.substring(F.coalesce("html", F.lit("")), 1, 20_000).alias("h")).orderBy("m", "h").limit(samples).collect()
+    ids = pages.select("page_id").where("page_id IS NOT NULL").orderBy(F.md5(F.col("page_id").cast("string")), "page_id").limit(samples)
+    rows = pages.join(F.broadcast(ids.distinct()), "page_id").select(F.substring(F.coalesce("html", F.lit("")), 1, 20_000).alias("h")).limit(samples).collect()
     texts = [r["h"].encode() for r in rows if r["h"]]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, texts).as_bytes() if len(texts) >= 8 else b""
@@ -150,8 +151,8 @@ def plan_records(pages: DataFrame) -> DataFrame:
     return pages.join(revisits, ["page_id", "hex"], "left").select("page_id", "url", "payload", F.unhex("hex").alias("digest"), "refers_to")
 
 
-def write_archives(pages: DataFrame, path: str, archives: int | None = None) -> DataFrame:
-    """Write the pages as archives below path -> archive, n_records: one row per archive."""
+def write_archives(pages: DataFrame, path: str) -> DataFrame:
+    """Write the pages as archives below path, one for each partition -> archive, n_records: one row per archive."""
     spark = pages.sparkSession
     dictionary = spark.sparkContext.broadcast(train_dictionary(pages))
 
@@ -180,7 +181,7 @@ def write_archives(pages: DataFrame, path: str, archives: int | None = None) ->
 
     plan = plan_records(pages)
     as_text = plan.withColumn("page_id", F.col("page_id").cast("string")).withColumn("refers_to", F.col("refers_to").cast("string"))
-    return stage(as_text.repartition(archives or shuffle_partitions(spark)).mapInPandas(write, "archive string, n_records long"), "archives")
+    return stage(as_text.mapInPandas(write, "archive string, n_records long"), "archives")
 
 
 def read_archives(spark: SparkSession, archives: DataFrame) -> DataFrame:
@@ -206,8 +207,7 @@ def read_archives(spark: SparkSession, archives: DataFrame) -> DataFrame:
                 if rows:
                     yield _frame(rows)
 
-    parts = shuffle_partitions(spark)
-    return archives.select("archive").distinct().repartition(parts, "archive").mapInPandas(read, RECORDS)
+    return archives.select("archive").repartition(shuffle_partitions(spark)).mapInPandas(read, RECORDS)
 
 
 def _frame(rows: list[dict]) -> pd.DataFrame:
