@@ -24,7 +24,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges(u, v), integer ids, self-loops and repeats allowed -> (node, component), component the least id reachable.
     Only nodes with an edge to another node are returned. Each round is staged; its work is a few shuffles of the edges."""
-    now = stage(edges.select("u", "v").where("u <> v").distinct(), "edges")
+    now = stage(_small_star(edges.select("u", "v").where("u <> v").distinct()), "edges")
     seen = None
     while True:
         now = stage(_small_star(_large_star(now)), "edges")

@@ -28,7 +28,7 @@ from .graph import connected_components
 from .textnum import LOWER, U, mix, runs, windows
 
 SKETCH, LONG_SKETCH = 512, 4096
-HEAD = 8
+HEAD = 16
 
 
 def overlap_needed(n, m, num: int, den: int):
@@ -256,16 +256,19 @@ def jaccard_links(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, co
              AND least(pos_a, pos_b) + least(n_a - pos_a, n_b - pos_b) >= {need} END)
         AND {apart} <= n_a + n_b - 2 * {need}
         AND (pos_a < 0 OR coalesce(try_element_at(array_intersect(head_a, head_b), 1), key_a) = key_a)"""
-    pairs = stage(a.join(b, F.expr(on)).select("doc_id_a", "doc_id_b").distinct(), "pairs")
+    pairs = stage(a.join(b, F.expr(on)).select("doc_id_a", "doc_id_b", "n_a", "n_b").distinct(), "pairs")
 
     ids = pairs.select(F.explode(F.array("doc_id_a", "doc_id_b")).alias("doc_id")).distinct()
     if pairs.count() * 2 <= broadcast_rows:
         ids = F.broadcast(ids)
     sets = stage(arrow_map(docs.join(ids, "doc_id"), _whole_sets(k), "doc_id long, sketch array<long>, shingles binary"), "sets")
+    # The entries' sketch tells small sets apart well; pairs with a larger set pass the long one first.
+    large = pairs.where(F.greatest("n_a", "n_b") > SKETCH // 2)
     for x in "ab":
-        pairs = pairs.join(sets.select(F.col("doc_id").alias(f"doc_id_{x}"), F.col("sketch").alias(f"sketch_{x}"), (F.octet_length("shingles") / 6).cast("long").alias(f"n_{x}")), f"doc_id_{x}")
+        large = large.join(sets.select(F.col("doc_id").alias(f"doc_id_{x}"), F.col("sketch").alias(f"sketch_{x}")), f"doc_id_{x}")
     apart = "aggregate(zip_with(sketch_a, sketch_b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
-    pairs = pairs.where(F.expr(f"{apart} <= n_a + n_b - 2 * {need}")).select("doc_id_a", "doc_id_b").distinct()
+    large = large.where(F.expr(f"{apart} <= n_a + n_b - 2 * {need}"))
+    pairs = pairs.where(F.greatest("n_a", "n_b") <= SKETCH // 2).select("doc_id_a", "doc_id_b").unionByName(large.select("doc_id_a", "doc_id_b").distinct())
     for x in "ab":
         pairs = pairs.join(sets.select(F.col("doc_id").alias(f"doc_id_{x}"), F.col("shingles").alias(f"set_{x}")), f"doc_id_{x}")
     links = arrow_map(pairs.select("doc_id_a", "doc_id_b", "set_a", "set_b"), _exact(num, den), "a long, b long").distinct()
@@ -280,9 +283,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     row links with. Empty and null texts have no shingles, their own id as component and no links. An empty table gives none."""
     members, links = jaccard_links(docs, k, num, den)
     comps = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "cls")
-    rows = members.where("n > 0").select("cls", "cls_rows").distinct()
     ends = links.select(F.col("a").alias("cls"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("cls"), F.col("a").alias("other")))
-    far = ends.join(rows.select(F.col("cls").alias("other"), "cls_rows"), "other").groupBy("cls").agg(F.sum("cls_rows").alias("far"))
+    # A link counts once, and once more for every further row of the class at its other end.
+    copied = members.where("n > 0 AND cls_rows > 1").select(F.col("cls").alias("other"), (F.col("cls_rows") - 1).alias("more")).distinct()
+    far = ends.select("cls", F.lit(1).cast("long").alias("more")).unionByName(ends.join(copied, "other").select("cls", "more")).groupBy("cls").agg(F.sum("more").alias("far"))
     known = comps.join(far, "cls", "left")
     return members.join(known, "cls", "left").select(
         "doc_id",
