@@ -21,7 +21,7 @@ from .common import arrow_map, shuffle_partitions, string_column
 
 MODEL = "piece_bpe_32k.model"
 PART_CHARS = 200_000
-CACHE_UNITS = 300_000
+CACHE_UNITS = 150_000
 _CUT = re.compile(r"(?<=[^ ▁]) (?!\Z)")
 
 
@@ -96,7 +96,7 @@ def encode_column(docs: DataFrame, model: str | None = None, text: str = "text")
             at = 0
             while at < len(column):
                 to, size = at, 0
-                while to < len(column) and (to == at or size < 1 << 21):
+                while to < len(column) and (to == at or size < 1 << 19):
                     size += len(column[to].as_py() or "")
                     to += 1
                 values = column.slice(at, to - at).to_pylist()

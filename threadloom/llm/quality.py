@@ -20,6 +20,8 @@ WORD_SLOTS, GRAM_SLOTS = 1024, 3072
 SLOTS = WORD_SLOTS + GRAM_SLOTS
 LEAST_WORDS = 50
 KEEP = 0.5
+#: Texts whose features are held at once.
+RUN_TEXTS = 200
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 
@@ -88,7 +90,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 6000, l2: float = 1e-4
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
 
     def f(batch):
-        x = np.concatenate([features(t).astype(np.float16) for _, t in runs(string_column(batch, "text"))] or [np.zeros((0, SLOTS), np.float16)])
+        x = np.concatenate([features(t).astype(np.float16) for _, t in runs(string_column(batch, "text"), rows=RUN_TEXTS)] or [np.zeros((0, SLOTS), np.float16)])
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(batch.schema.get_field_index("y")), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "y", "x"])
 
     got = arrow_map(texts, f, "doc_id long, y int, x binary").toArrow().sort_by("doc_id")
@@ -114,7 +116,7 @@ def judge(docs: DataFrame, model: Model, keep: float = KEEP) -> DataFrame:
     docs = docs.drop(*new)
 
     def f(batch):
-        for first, texts in runs(string_column(batch, "text")):
+        for first, texts in runs(string_column(batch, "text"), rows=RUN_TEXTS):
             c = counts(texts)
             failed = (c["n_words"] < LEAST_WORDS) | (100 * c["n_repeat_words"] > 50 * c["n_words"])
             p = shared.value.probabilities(features(texts)).astype(float)

@@ -89,8 +89,9 @@ class Texts:
         return np.searchsorted(owner, np.arange(self.n + 1))
 
 
-def runs(column: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, Texts]]:
-    """Texts of a large_string column without nulls, cut at text borders into runs of about limit bytes: (first row, texts)."""
+def runs(column: pa.Array, limit: int = 1 << 20, rows: int = 1 << 30) -> Iterator[tuple[int, Texts]]:
+    """Texts of a large_string column without nulls, cut at text borders into runs of about limit bytes and at most rows texts:
+    (first row, texts)."""
     if not len(column):
         return
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
@@ -98,7 +99,7 @@ def runs(column: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, Texts]]:
     at = 0
     while at < len(column):
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
-        to = min(to, len(column))
+        to = min(to, at + rows, len(column))
         yield at, Texts(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
         at = to
 
