@@ -23,7 +23,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that of the least doc_id: five-word shingles, Jaccard of 0.8 or more."""
-    rows = ngram_join.jaccard_components(docs, k=5, num=80, den=100)
+    rows = ngram_join.jaccard_groups(docs, k=5, num=80, den=100)
     first = rows.where("component_id = doc_id").select("doc_id").distinct()
     return docs.join(first, "doc_id", "left_semi").select(*docs.columns)
 

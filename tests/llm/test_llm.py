@@ -55,13 +55,27 @@ def brute_links(rows, k, num, den):
 def test_jaccard(spark, k, num):
     rows = corpus()
     got = ngram_join.jaccard_components(spark.createDataFrame(rows, DOCS), k, num, 100)
-    assert {r[0]: (r[1], r[2], r[3]) for r in got.collect()} == brute_links(rows, k, num, 100)
+    want = brute_links(rows, k, num, 100)
+    assert {r[0]: (r[1], r[2], r[3]) for r in got.collect()} == want
+    groups = ngram_join.jaccard_groups(spark.createDataFrame(rows, DOCS), k, num, 100)
+    assert {r[0]: (r[1], r[2]) for r in groups.collect()} == {i: w[:2] for i, w in want.items()}
+
+
+def test_groups_of_chained_near_copies(spark):
+    """Neighbours in a chain link, its ends do not; ids are mixed, so a list's least document is seldom a neighbour."""
+    r = random.Random(8)
+    words = [f"v{i}" for i in range(260)]
+    rows = [(i, " ".join(words[at * 5 : at * 5 + 100]), "s", 0, "k") for i, at in enumerate(r.sample(range(30), 30))]
+    rows += [(100 + i, " ".join(words[100:180] + [f"own{i}"]), "s", 0, "k") for i in range(40)]
+    got = ngram_join.jaccard_groups(spark.createDataFrame(rows, DOCS))
+    want = brute_links(rows, 5, 80, 100)
+    assert {x[0]: (x[1], x[2]) for x in got.collect()} == {i: w[:2] for i, w in want.items()}
 
 
 def test_empty_tables(spark):
     none = spark.createDataFrame([], DOCS)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    for df in (ngram_join.jaccard_components(none), mixing.mix_totals(none), line_dedup.dedupe_lines(none), pieces.encode_documents(none), quality.quality_rules(none, labels), spot_signatures.fingerprints(none), toxicity.score(none, toxicity.train(none, labels))):
+    for df in (ngram_join.jaccard_components(none), ngram_join.jaccard_groups(none), mixing.mix_totals(none), line_dedup.dedupe_lines(none), pieces.encode_documents(none), quality.quality_rules(none, labels), spot_signatures.fingerprints(none), toxicity.score(none, toxicity.train(none, labels))):
         assert df.count() == 0
 
 

@@ -209,14 +209,38 @@ def _exact(num, den):
     return f
 
 
-def jaccard_links(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, common: int = 500_000, broadcast_rows: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+def _linked(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int, broadcast_rows: int) -> DataFrame:
+    """Those of the staged pairs (doc_id_a, doc_id_b, n_a, n_b) whose whole sets link: a, b."""
+    ids = pairs.select(F.explode(F.array("doc_id_a", "doc_id_b")).alias("doc_id")).distinct()
+    if pairs.count() * 2 <= broadcast_rows:
+        ids = F.broadcast(ids)
+    sets = stage(arrow_map(docs.join(ids, "doc_id"), _whole_sets(k), "doc_id long, sketch array<long>, shingles binary"), "sets")
+    # The entries' sketch tells small sets apart well; pairs with a larger set pass the long one first.
+    large = pairs.where(F.greatest("n_a", "n_b") > SKETCH // 2)
+    for x in "ab":
+        large = large.join(sets.select(F.col("doc_id").alias(f"doc_id_{x}"), F.col("sketch").alias(f"sketch_{x}")), f"doc_id_{x}")
+    apart = "aggregate(zip_with(sketch_a, sketch_b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+    large = large.where(F.expr(f"{apart} <= n_a + n_b - 2 * {_need(num, den)}"))
+    pairs = pairs.where(F.greatest("n_a", "n_b") <= SKETCH // 2).select("doc_id_a", "doc_id_b").unionByName(large.select("doc_id_a", "doc_id_b").distinct())
+    for x in "ab":
+        pairs = pairs.join(sets.select(F.col("doc_id").alias(f"doc_id_{x}"), F.col("shingles").alias(f"set_{x}")), f"doc_id_{x}")
+    return stage(arrow_map(pairs.select("doc_id_a", "doc_id_b", "set_a", "set_b"), _exact(num, den), "a long, b long").distinct(), "links")
+
+
+def _need(num: int, den: int) -> str:
+    return f"int(ceil({num} * (n_a + n_b) / {num + den}D - 1e-9))"
+
+
+def jaccard_links(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, common: int = 500_000, broadcast_rows: int = 1_000_000, connect_only: bool = False) -> tuple[DataFrame, DataFrame]:
     """docs(doc_id long, text string) -> (signatures per row, links between classes).
 
     signatures: doc_id, n (set size), cls (least doc_id with the same set), cls_rows (rows of the class). A text without words,
     or null, has n = 0 and no links. links: a < b, class ids; every linked pair of classes once.
     Repeated rows are copies; where one doc_id has different texts, they count as one document that links if any of them does (of two
     such texts with equally many shingles, one counts); rows without a doc_id link with nothing.
-    common bounds the list of shingles that are put last; broadcast_rows the ids sent to all tasks (beyond it a shuffle join)."""
+    common bounds the list of shingles that are put last; broadcast_rows the ids sent to all tasks (beyond it a shuffle join).
+    connect_only: links enough to connect all that links connect. First every entry meets its list's least document only; then
+    all pairs are made whose documents these links have not connected yet."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     sigs = stage(arrow_map(docs, _signatures(k), "doc_id long, n long, d1 long, d2 long, sketch array<long>"), "signatures")
@@ -248,32 +272,45 @@ def jaccard_links(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, co
         .select("key", "doc_id", "n", "pos", "sketch", "head")
     )
     entries = stage(entries, "entries")
-    a, b = (entries.select(*(F.col(c).alias(f"{c}_{x}") for c in ("key", "doc_id", "n", "pos", "sketch", "head"))) for x in "ab")
-    need = f"int(ceil({num} * (n_a + n_b) / {num + den}D - 1e-9))"
     apart = " + ".join(f"bit_count(sketch_a[{i}] ^ sketch_b[{i}])" for i in range(SKETCH // 64))
-    on = f"""key_a = key_b AND doc_id_a < doc_id_b AND n_a * {den} >= n_b * {num} AND n_b * {den} >= n_a * {num}
+    near = f"""key_a = key_b AND doc_id_a < doc_id_b AND n_a * {den} >= n_b * {num} AND n_b * {den} >= n_a * {num}
         AND (CASE WHEN pos_a < 0 THEN pos_b < 0 ELSE pos_b >= 0 AND greatest(n_a, n_b) > {boundary}
-             AND least(pos_a, pos_b) + least(n_a - pos_a, n_b - pos_b) >= {need} END)
-        AND {apart} <= n_a + n_b - 2 * {need}
-        AND (pos_a < 0 OR coalesce(try_element_at(array_intersect(head_a, head_b), 1), key_a) = key_a)"""
-    pairs = stage(a.join(b, F.expr(on)).select("doc_id_a", "doc_id_b", "n_a", "n_b").distinct(), "pairs")
-
-    ids = pairs.select(F.explode(F.array("doc_id_a", "doc_id_b")).alias("doc_id")).distinct()
-    if pairs.count() * 2 <= broadcast_rows:
-        ids = F.broadcast(ids)
-    sets = stage(arrow_map(docs.join(ids, "doc_id"), _whole_sets(k), "doc_id long, sketch array<long>, shingles binary"), "sets")
-    # The entries' sketch tells small sets apart well; pairs with a larger set pass the long one first.
-    large = pairs.where(F.greatest("n_a", "n_b") > SKETCH // 2)
-    for x in "ab":
-        large = large.join(sets.select(F.col("doc_id").alias(f"doc_id_{x}"), F.col("sketch").alias(f"sketch_{x}")), f"doc_id_{x}")
-    apart = "aggregate(zip_with(sketch_a, sketch_b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
-    large = large.where(F.expr(f"{apart} <= n_a + n_b - 2 * {need}"))
-    pairs = pairs.where(F.greatest("n_a", "n_b") <= SKETCH // 2).select("doc_id_a", "doc_id_b").unionByName(large.select("doc_id_a", "doc_id_b").distinct())
-    for x in "ab":
-        pairs = pairs.join(sets.select(F.col("doc_id").alias(f"doc_id_{x}"), F.col("shingles").alias(f"set_{x}")), f"doc_id_{x}")
-    links = arrow_map(pairs.select("doc_id_a", "doc_id_b", "set_a", "set_b"), _exact(num, den), "a long, b long").distinct()
+             AND least(pos_a, pos_b) + least(n_a - pos_a, n_b - pos_b) >= {_need(num, den)} END)
+        AND {apart} <= n_a + n_b - 2 * {_need(num, den)}"""
+    first = "(pos_a < 0 OR coalesce(try_element_at(array_intersect(head_a, head_b), 1), key_a) = key_a)"
+    columns, both = ["key", "doc_id", "n", "pos", "sketch"], ["key", "doc_id", "n", "pos", "sketch", "head"]
+
+    def side(df, names, x):
+        return df.select(*(F.col(c).alias(f"{c}_{x}") for c in names))
+
+    def pairs_of(a, b, on):
+        return stage(a.join(b, F.expr(on)).select("doc_id_a", "doc_id_b", "n_a", "n_b").distinct(), "pairs")
+
+    if connect_only:
+        least = entries.groupBy("key").agg(F.min_by(F.struct("doc_id", "n", "pos", "sketch"), F.struct("doc_id", "pos", "n")).alias("e")).select("key", "e.*")
+        links = _linked(docs, pairs_of(side(least, columns, "a"), side(entries, columns, "b"), near), k, num, den, broadcast_rows)
+        known_ = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "doc_id")
+        entries = entries.join(known_, "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id"))
+        pairs = pairs_of(side(entries, ["part", *both], "a"), side(entries, ["part", *both], "b"), f"part_a <> part_b AND {near} AND {first}")
+        links = links.unionByName(_linked(docs, pairs, k, num, den, broadcast_rows))
+    else:
+        links = _linked(docs, pairs_of(side(entries, both, "a"), side(entries, both, "b"), f"{near} AND {first}"), k, num, den, broadcast_rows)
     members = sigs.select("doc_id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"]).select("doc_id", "n", "cls", "cls_rows")
-    return members, stage(links, "links")
+    return members, links
+
+
+def _components(links: DataFrame) -> DataFrame:
+    return connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "cls")
+
+
+def _component_id():
+    return F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "cls")).alias("component_id")
+
+
+def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """jaccard_components without n_links: the same components from fewer links, as large groups of near copies need not list all."""
+    members, links = jaccard_links(docs, k, num, den, connect_only=True)
+    return members.join(_components(links), "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), _component_id())
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -282,7 +319,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     component_id is the least doc_id reachable by links, the document's own id included; n_links counts the other rows that the
     row links with. Empty and null texts have no shingles, their own id as component and no links. An empty table gives none."""
     members, links = jaccard_links(docs, k, num, den)
-    comps = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "cls")
+    comps = _components(links)
     ends = links.select(F.col("a").alias("cls"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("cls"), F.col("a").alias("other")))
     # A link counts once, and once more for every further row of the class at its other end.
     copied = members.where("n > 0 AND cls_rows > 1").select(F.col("cls").alias("other"), (F.col("cls_rows") - 1).alias("more")).distinct()
@@ -291,6 +328,6 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     return members.join(known, "cls", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
-        F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "cls")).alias("component_id"),
+        _component_id(),
         F.when(F.col("n") == 0, F.lit(0)).otherwise(F.coalesce("far", F.lit(0)) + F.col("cls_rows") - 1).cast("long").alias("n_links"),
     )
