@@ -83,6 +83,27 @@ class Model:
         return sigmoid(self.slope * (x @ self.weights + self.bias) + self.offset)
 
 
+def _matrix(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Features and labels of the sample by doc_id, every fifth row moved behind the others for calibration, and the number of
+    rows before those. One copy of the features is held, and the sample's own memory is given back."""
+    got = sample.toArrow()
+    order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
+    back = np.arange(len(order)) % 5 == 4
+    order = np.concatenate([order[~back], order[back]])
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    y = got.column("y").to_numpy().astype(float)[order]
+    x, done = np.empty((len(order), SLOTS), np.float32), 0
+    for batch in got.to_batches():
+        column = batch.column(2)
+        raw = np.frombuffer(column.buffers()[2] or b"", np.float16).reshape(-1, SLOTS)[column.offset : column.offset + len(column)]
+        x[place[done : done + len(column)]] = raw
+        done += len(column)
+    del got
+    pa.default_memory_pool().release_unused()
+    return x, y, int((~back).sum())
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = 6000, l2: float = 1e-4) -> Model:
     """docs(doc_id, text), labels(doc_id, quality) -> Model of the probability that quality is 1. rows bounds the labelled rows of
     the fit. Without labels, or with one label only, every text has the same probability, 0.5 or that label's."""
@@ -93,15 +114,12 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 6000, l2: float = 1e-4
         x = np.concatenate([features(t).astype(np.float16) for _, t in runs(string_column(batch, "text"), rows=RUN_TEXTS)] or [np.zeros((0, SLOTS), np.float16)])
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(batch.schema.get_field_index("y")), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "y", "x"])
 
-    got = arrow_map(texts, f, "doc_id long, y int, x binary").toArrow().sort_by("doc_id")
-    y = got.column("y").to_numpy().astype(float)
-    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float16).reshape(len(y), SLOTS).astype(np.float32)
+    x, y, fitted = _matrix(arrow_map(texts, f, "doc_id long, y int, x binary"))
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(SLOTS, np.float32), 0.0, 1.0, float(np.clip((y.mean() - 0.5) * 10, -5, 5)) if len(y) else 0.0)
-    back = np.arange(len(y)) % 5 == 4
-    a, t = x[~back], y[~back]
-    w, b = fit(lambda w: a @ w.astype(np.float32), lambda r: r.astype(np.float32) @ a, t, SLOTS, l2, steps=200, rate=0.2)
-    slope, offset = platt(x[back] @ w + b, y[back])
+    a = x[:fitted]
+    w, b = fit(lambda w: a @ w.astype(np.float32), lambda r: r.astype(np.float32) @ a, y[:fitted], SLOTS, l2, steps=200, rate=0.2)
+    slope, offset = platt(x[fitted:] @ w.astype(np.float32) + b, y[fitted:])
     return Model(w.astype(np.float32), b, slope, offset)
 
 
