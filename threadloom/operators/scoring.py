@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicons
-from ..functions.text import tokens, word_count
+from ..functions.text import normalize_text, tokens, word_count
 
 
 def opinion_score(text: Column, patterns: list[str] = lexicons.OPINION_PATTERNS) -> Column:
@@ -105,6 +105,25 @@ def has_sarcasm(aspects: Column) -> Column:
     return (F.size(F.filter(aspects, lambda a: a["sarcastic"] & (a["confidence"] >= 0.85))) >= 2) | F.exists(aspects, lambda a: a["sarcastic"] & (a["confidence"] >= 0.95))
 
 
+# Cue words of subjectivity.
+FIRST_PERSON = "i me my mine we us our ours myself".split()
+HEDGES = "maybe perhaps probably possibly seems might guess".split()
+INTENSIFIERS = "very really extremely totally absolutely quite".split()
+
+
+def annotate(df: DataFrame, id_: str, text: str, lexicon: DataFrame, negations: list[str], strong: list[str] = (), weak: list[str] = ()) -> DataFrame:
+    """Normalised text, valence, subjectivity, polarity and route of every row by the lexicon rules; texts in the middle band and
+    long ones are marked for the caller's model (score_with_model). lexicon(word, polarity) is a bounded table."""
+    d = df.select(id_, normalize_text(F.col(text)).alias("normalized"))
+    t = tokens(F.col("normalized"))
+    flag = lambda ws: F.arrays_overlap(t, F.array(*map(F.lit, ws)))
+    count = lambda ws: F.size(F.filter(t, lambda w: w.isin(list(ws)))) if ws else F.lit(0)
+    d = d.join(valence(d, id_, "normalized", lexicon, negations), id_).join(lookup_mean(d, id_, "normalized", lexicon), id_)
+    score = lexicon_subjectivity(F.col("valence"), flag(FIRST_PERSON), F.exists(t, lambda w: w.endswith("ly")), flag(HEDGES), flag(INTENSIFIERS), count(strong), count(weak), F.contains(F.col("normalized"), F.lit("!")))
+    d = d.withColumn("subjectivity_score", score)
+    return d.select(id_, "normalized", "valence", "subjectivity_score", subjectivity_band(F.col("subjectivity_score")).alias("subjectivity"), fuse_polarity(F.col("valence"), F.col("polarity")).alias("polarity_score"), polarity_label(fuse_polarity(F.col("valence"), F.col("polarity"))).alias("polarity"), route_by_length(word_count(F.col("normalized"))).alias("route"))
+
+
 def score_with_model(df: DataFrame, text: str, make_model: Callable[[], Callable], default: float = 0.0, cap: int = 1500, name: str = "model_score") -> DataFrame:
     """Scores distinct inputs in Arrow batches and joins them back. make_model() gives list[str] -> list[float] once per task; a
     batch in which it raises gets the default."""

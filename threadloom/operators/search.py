@@ -37,6 +37,15 @@ def bm25(docs: DataFrame, terms: DataFrame, id_: str = "doc_id", text: str = "te
     return hits.where("wanted").join(F.broadcast(idf), "term").join(F.broadcast(terms), "term").groupBy("query_id", id_).agg(F.sum(part).alias("score"))
 
 
+def multi_field(docs: DataFrame, terms: DataFrame, boosts: dict[str, float], id_: str = "doc_id") -> DataFrame:
+    """Per query and document the best of the fields' BM25 scores, each times its boost."""
+    parts = [bm25(docs.select(id_, field), terms, id_, field).select("query_id", id_, (boost * F.col("score")).alias("score")) for field, boost in boosts.items()]
+    both = parts[0]
+    for more in parts[1:]:
+        both = both.unionByName(more)
+    return both.groupBy("query_id", id_).agg(F.max("score").alias("score"))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

@@ -5,16 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again."""
-    spark = df.sparkSession
+def staged_path(spark: SparkSession) -> str:
+    """A path of its own in the shared folder; a new local folder where spark.checkpoint.dir is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/staged-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/staged-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it again."""
+    path = staged_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
