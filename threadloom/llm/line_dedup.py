@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import stage, unused
 
 WINDOW = 3
 
@@ -39,19 +39,18 @@ def dedupe_lines(docs: DataFrame) -> DataFrame:
     Lines are what \n separates, compared exactly; a window of blank lines only is no window, and texts of fewer than three lines
     have none. A null text stays null and has 0 lines; a text that loses all its lines becomes empty. Rows sharing a doc_id come
     in the order in which they are stored; null doc_ids come first. Columns of the same names as the new ones are replaced."""
-    docs = docs.drop("n_lines", "n_removed", "row_", "gone").withColumn("row_", F.monotonically_increasing_id())
-    gone = repeated_lines(docs.select("row_", "doc_id", "text"))
-    lines = F.split("text", "\n", -1)
-    out = docs.join(gone, "row_", "left").withColumn("lines_", lines).drop("row_")
-    flags = F.expr("map_from_entries(transform(gone, i -> struct(i, true)))")
-    out = out.withColumn("flags_", flags)
-    kept = F.expr("array_join(filter(lines_, (x, i) -> NOT map_contains_key(flags_, i)), '\n')")
+    docs = docs.drop("n_lines", "n_removed")
+    row, gone, lines, flags = unused(docs, "row_", "gone", "lines_", "flags_")
+    docs = docs.withColumn(row, F.monotonically_increasing_id())
+    repeated = repeated_lines(docs.select(F.col(row).alias("row_"), "doc_id", "text"))
+    out = docs.join(repeated.withColumnsRenamed({"row_": row, "gone": gone}), row, "left").withColumn(lines, F.split("text", "\n", -1)).drop(row)
+    out = out.withColumn(flags, F.expr(f"map_from_entries(transform({gone}, i -> struct(i, true)))"))
+    kept = F.expr(f"array_join(filter({lines}, (x, i) -> NOT map_contains_key({flags}, i)), '\n')")
     return (
-        out.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept))
-        .withColumn("n_lines", F.coalesce(F.size("lines_"), F.lit(0)).cast("long"))
-        .withColumn("n_lines", F.when(F.col("lines_").isNull(), F.lit(0)).otherwise(F.col("n_lines")).cast("long"))
-        .withColumn("n_removed", F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")).cast("long"))
-        .drop("gone", "lines_", "flags_")
+        out.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept))
+        .withColumn("n_lines", F.when(F.col(lines).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long"))
+        .withColumn("n_removed", F.when(F.col(gone).isNull(), F.lit(0)).otherwise(F.size(gone)).cast("long"))
+        .drop(gone, lines, flags)
     )
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chat import vocabulary_path
-from .common import arrow_map, shuffle_partitions, string_column
+from .common import arrow_map, shuffle_partitions, string_column, unused
 
 MODEL = "piece_bpe_32k.model"
 PART_CHARS = 200_000
@@ -121,11 +121,11 @@ def encode_documents(docs: DataFrame, model: str | None = None, giant: int = PAR
     null text has null ids, 0 tokens and a null round_trip. Columns of the new names are replaced. A text in which the space
     mark U+2581 stands decodes to a space there; round_trip is then false."""
     docs = docs.drop("n_chars", "n_tokens", "ids", "round_trip")
-    rest = [c for c in docs.columns if c != "text"]
+    rest, (row,) = [c for c in docs.columns if c != "text"], unused(docs, "row_")
     last = [F.length("text").cast("long").alias("n_chars"), F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids", "round_trip"]
     last[1] = F.when(F.col("ids").isNull(), F.lit(0)).otherwise(F.size("ids")).cast("long").alias("n_tokens")
     short = encode_column(docs.where(F.coalesce(F.length("text") <= giant, F.lit(True))), model).select(*rest, *last)
-    long = docs.withColumn("row_", F.monotonically_increasing_id()).where(F.length("text") > giant)
+    long = docs.withColumn(row, F.monotonically_increasing_id()).where(F.length("text") > giant)
 
     def cut(batch):
         texts = string_column(batch, "text")
@@ -135,7 +135,7 @@ def encode_documents(docs: DataFrame, model: str | None = None, giant: int = PAR
                 some = made[first : first + 16]
                 yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[row].as_py()] * len(some), pa.int64()), pa.array(range(first, first + len(some)), pa.int32()), pa.array(some, pa.string())], ["row_", "part", "text"])
 
-    dealt = arrow_map(long.select("row_", "text"), cut, "row_ long, part int, text string").repartition(shuffle_partitions(docs.sparkSession), "row_", "part")
+    dealt = arrow_map(long.select(F.col(row).alias("row_"), "text"), cut, "row_ long, part int, text string").repartition(shuffle_partitions(docs.sparkSession), "row_", "part")
     coded = encode_column(dealt, model).groupBy("row_").agg(F.array_sort(F.collect_list(F.struct("part", "ids"))).alias("p"), F.min("round_trip").alias("round_trip"))
-    whole = coded.select("row_", F.flatten(F.col("p.ids")).alias("ids"), "round_trip")
-    return short.unionByName(long.join(whole, "row_").select(*rest, *last))
+    whole = coded.select(F.col("row_").alias(row), F.flatten(F.col("p.ids")).alias("ids"), "round_trip")
+    return short.unionByName(long.join(whole, row).select(*rest, *last))
