@@ -86,3 +86,14 @@ def test_agrees_with_sql(spark, name):
     assert columns == sorted(b.columns)
     as_rows = lambda df: sorted(repr(tuple(map(rounded, r))) for r in df[columns].astype(object).itertuples(index=False))
     assert as_rows(a) == as_rows(b)
+
+
+def test_every_benchmark_text_is_a_query(spark):
+    """sf0.1 has 200 benchmark rows, the smaller tables only 40."""
+    sf = SF.replace("0.001", "0.1")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    a, b = plans.queries()["top_score_per_query"](spark, sf).toPandas(), con.sql(plans.oracle_sql()["top_score_per_query"]).df()
+    as_rows = lambda df: sorted((r.query_id, round(r.top_score, 5), r.hits) for r in df.itertuples())
+    assert len(a) == 200 and as_rows(a) == as_rows(b)
