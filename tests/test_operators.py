@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadloom.functions import dates, text, urls
-from threadloom.operators import dedupe, evaluation, joins, threads
+from threadloom.operators import dedupe, evaluation, joins, search, threads
 from threadloom.plans import queries as plans
 from threadloom.sources.staging import staged
 
@@ -97,3 +97,25 @@ def test_every_benchmark_text_is_a_query(spark):
     a, b = plans.queries()["top_score_per_query"](spark, sf).toPandas(), con.sql(plans.oracle_sql()["top_score_per_query"]).df()
     as_rows = lambda df: sorted((r.query_id, round(r.top_score, 5), r.hits) for r in df.itertuples())
     assert len(a) == 200 and as_rows(a) == as_rows(b)
+
+
+@pytest.mark.parametrize("name", ["semantic_topk_all", "hybrid_topk_all"])
+def test_every_hundredth_vector_is_a_query(spark, name):
+    sf = SF.replace("0.001", "0.1")
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    a, b = plans.queries()[name](spark, sf).toPandas(), con.sql(plans.oracle_sql()[name]).df()
+    assert sorted(set(a.query_id)) == list(range(0, 2000, 100)) and list(a.columns) == list(b.columns)
+    as_rows = lambda df: sorted((r[1], r[4], r[2], round(r[3], 5)) for r in df.itertuples())
+    assert as_rows(a) == as_rows(b)
+
+
+def test_nearest_in_small_blocks(spark):
+    """Equal scores go by id across blocks; null and zero vectors have no score and are last."""
+    rows = [(i, [1.0, float(i % 4)]) for i in range(40)] + [(40, None), (41, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    q = df.where("vec_id % 10 = 0").selectExpr("vec_id query_id", "embedding qvec")
+    got = lambda **a: sorted(map(tuple, search.nearest(df, q, 12, **a).select("query_id", "rank", "vec_id", "score").collect()), key=str)
+    want = search.top_k(search.semantic(df, q), "vec_id", 12).select("query_id", "rank", "vec_id", "score")
+    assert got(rows=5, query_rows=2) == got() == sorted(map(tuple, want.collect()), key=str)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..sources.staging import staged
 
 K1, B = 1.2, 0.75
 
@@ -72,6 +76,63 @@ def top_k(scores: DataFrame, id_: str, k: int, digits: int = 6) -> DataFrame:
     return scores.withColumn("rank", place).where(F.col("rank") <= k)
 
 
+def _packed(rows: int):
+    """(id, vector, plus) -> blocks of up to so many rows by id: ids, plus, dim, data (doubles; NaN for a null vector)."""
+
+    def f(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                x = batch.slice(at, rows)
+                x = x.take(pc.sort_indices(x.column(0), null_placement="at_start"))
+                vectors = [None if v is None else np.array(v, np.float64) for v in x.column(1).to_pylist()]
+                dim = max((len(v) for v in vectors if v is not None), default=0)
+                data = np.stack([np.full(dim, np.nan) if v is None else v for v in vectors]).tobytes()
+                one = [pa.array([x.column(i).to_pylist()], t) for i, t in ((0, pa.list_(pa.int64())), (2, pa.list_(pa.float64())))]
+                yield pa.RecordBatch.from_arrays([*one, pa.array([dim], pa.int32()), pa.array([data], pa.binary())], ["ids", "plus", "dim", "data"])
+
+    return f
+
+
+def _block_best(k: int, alpha: float, digits: int, id_: str):
+    """Pairs of blocks -> the k best rows of the vectors' block for each query of the other."""
+
+    def matrix(r, ids, dim, data):
+        return np.frombuffer(r[data], np.float64).reshape(len(r[ids]), r[dim])
+
+    def f(batches):
+        for batch in batches:
+            for r in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
+                x, q, n = matrix(r, "ids", "dim", "data"), matrix(r, "q_ids", "q_dim", "q_data"), len(r["ids"])
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    cos = q @ x.T / np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(x, axis=1)) if x.shape[1] == q.shape[1] else np.full((len(q), n), np.nan)
+                    steps = np.floor((alpha * (cos + 1) + np.array(r["plus"])) * 10**digits + 0.5)
+                # Unique keys: equal scores go by id, and rows without a score are last.
+                key = np.where(np.isfinite(steps), steps, -(2.0**40)).astype(np.int64) * n + np.arange(n - 1, -1, -1)
+                best = np.argpartition(key, max(n - k, 0), axis=1)[:, max(n - k, 0) :]
+                scores = np.take_along_axis(steps, best, 1).ravel() / 10**digits
+                ids = pa.array(r["ids"], pa.int64()).take(pa.array(best.ravel()))
+                queries = pa.array(np.repeat(np.array(r["q_ids"], np.int64), best.shape[1]))
+                yield pa.RecordBatch.from_arrays([queries, ids, pa.array(scores, from_pandas=True)], ["query_id", id_, "score"])
+
+    return f
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_: str = "vec_id", vector: str = "embedding", plus: Column | None = None, alpha: float = 1.0, digits: int = 6, rows: int = 4096, query_rows: int = 512) -> DataFrame:
+    """top_k of alpha (cosine + 1) + plus over all vectors, for a query set that grows with the table: queries(query_id, qvec).
+
+    Both sides are packed into blocks; of each pair of blocks only the k best rows of each query go on. A row without a cosine has
+    a null score and comes last. Vectors and queries have one length."""
+    x = vectors.select(id_, vector, (F.lit(0.0) if plus is None else plus).cast("double").alias("plus"))
+    packed = "ids array<long>, plus array<double>, dim int, data binary"
+    x = staged(x)
+    x = x.coalesce(max(1, -(-x.count() // rows)))  # no small blocks: each gives k rows per query
+    left = staged(x.mapInArrow(_packed(rows), packed))
+    right = queries.where("query_id IS NOT NULL").select("query_id", "qvec", F.lit(0.0).alias("plus")).mapInArrow(_packed(query_rows), packed)
+    right = staged(right.select(F.col("ids").alias("q_ids"), F.col("dim").alias("q_dim"), F.col("data").alias("q_data")))
+    best = left.crossJoin(right).mapInArrow(_block_best(k, alpha, digits, id_), f"query_id long, {id_} long, score double")
+    return top_k(best, id_, k, digits)
+
+
 def result_view(df: DataFrame, text: str = "text", preview: int = 600) -> DataFrame:
     cut = F.length(text) > preview
     return df.withColumns({"preview": F.when(cut, F.concat(F.substring(text, 1, preview), F.lit("..."))).otherwise(F.col(text)), "full_length": F.length(text), "truncated": cut}).drop(text)

@@ -33,6 +33,10 @@ def _queries(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
+def _vector_queries(vectors):
+    return vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+
+
 def _one(spark, q=QUERY):
     return search.query_terms(spark.createDataFrame([(0, q)], "query_id long, query string"))
 
@@ -78,6 +82,22 @@ def semantic_topk(spark, sf_dir):
     return search.top_k(search.semantic(vectors, q), "vec_id", 10).select("query_id", "vec_id", "score", "rank")
 
 
+@query("WITH qv AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0), v AS (SELECT query_id, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]) + 1, 6) AS score FROM embeddings, qv) SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM v QUALIFY rank <= 10")
+def semantic_topk_all(spark, sf_dir):
+    """Nearest vectors of every query, the rows whose vec_id is divisible by 100."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return search.nearest(vectors, _vector_queries(vectors), 10).select("query_id", "vec_id", "score", "rank")
+
+
+@query(f"WITH q AS (SELECT unnest(['the', 'of', 'thntre']) AS term), {BM25}, s AS (SELECT doc_id, {SCORE} AS k FROM h JOIN f USING (term), z GROUP BY doc_id), qv AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0), v AS (SELECT query_id, vec_id AS doc_id, list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]) + 1 AS c FROM embeddings, qv) SELECT query_id, doc_id, round(0.5 * c + 0.5 * k, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(0.5 * c + 0.5 * k, 6) DESC, doc_id) AS rank FROM s JOIN v USING (doc_id) QUALIFY rank <= 20")
+def hybrid_topk_all(spark, sf_dir):
+    """Keyword matches of one text ranked by both scores, for each of these query vectors."""
+    vectors = table(spark, sf_dir, "embeddings")
+    k = search.bm25(table(spark, sf_dir, "documents"), _one(spark)).select("doc_id", F.col("score").alias("k"))
+    found = vectors.withColumnRenamed("vec_id", "doc_id").join(k, "doc_id")
+    return search.nearest(found, _vector_queries(vectors), 20, "doc_id", plus=0.5 * F.col("k"), alpha=0.5).select("query_id", "doc_id", "score", "rank")
+
+
 @query("WITH qv AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 3) SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]), 6) AS relevance FROM embeddings, qv")
 def relevance_to_target(spark, sf_dir):
     """Cosine of every vector to a target."""
