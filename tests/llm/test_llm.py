@@ -114,6 +114,25 @@ def test_html():
     assert html_text.main_text(None) == html_text.main_text("<nav>x</nav>") == ""
 
 
+LEAD, BODY = "A paragraph, with commas, of one section. " * 9, "Short text of a smaller section, with a comma."
+
+
+@pytest.mark.parametrize("outer", ["article", "main", "div"])
+@pytest.mark.parametrize("inner", ["section", "div", "blockquote", "ul", "table"])
+def test_html_keeps_all_sections(outer, inner):
+    """One section outscores all others together; lists, tables, short paragraphs and small headings stay too."""
+    wrap = {"ul": "<li>{}</li>", "table": "<tr><td>{}</td></tr>"}.get(inner, "<p>{}</p>")
+    long = "".join(wrap.format(LEAD) for _ in range(9))
+    page = f"<nav><a href=x>menu</a></nav><{outer}><h1>T</h1><{inner}>{long}</{inner}><h4>small</h4><p>Few words.</p><{inner}>{wrap.format(BODY)}</{inner}></{outer}>"
+    assert html_text.main_text(page).split("\n") == ["T", *[LEAD.strip()] * 9, "small", "Few words.", BODY]
+
+
+def test_html_leaves_out_mostly_links():
+    links = "".join(f"<li><a href=x>another page {i}</a></li>" for i in range(5))
+    page = f"<body><div><div><p>{LEAD}</p><p>{LEAD}</p></div><ul>{links}</ul><p>End.</p></div></body>"
+    assert html_text.main_text(page).split("\n") == [LEAD.strip()] * 2 + ["End."]
+
+
 def test_pieces_equal_the_library(spark):
     import sentencepiece
 

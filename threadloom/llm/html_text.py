@@ -2,8 +2,9 @@
 
 The page is read into a tree of elements; menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
 comments are left out. Every paragraph scores by its length and commas and passes its points to its parent, and half of them to
-the grandparent; a container's score is discounted by the share of its text that lies in links. The best container's blocks
-are the text, with those of its siblings that score well enough themselves.
+the grandparent; a container's score is discounted by the share of its text that lies in links. From the best container the text
+goes up to the article or main element around it, or else to the highest element of mostly unlinked text: all blocks of the article
+count, and those beside it in branches that are not mostly links, whatever their size.
 """
 
 from __future__ import annotations
@@ -185,6 +186,9 @@ def main_text(page: str | None) -> str:
     for owner, text, linked in found:
         points = 1 + text.count(",") + text.count("，") + min(len(text) / 100, 3.0)
         holder = owner if owner.tag in CONTAINERS or owner.parent is None else owner.parent
+        if holder is not owner:
+            owner.text += len(text)
+            owner.linked += linked
         above, share = holder, 1.0
         while above is not None:
             nodes[id(above)] = above
@@ -198,23 +202,25 @@ def main_text(page: str | None) -> str:
     best = max(nodes.values(), key=lambda x: (score(x), -places[id(x)]))
     while best.tag not in CONTAINERS and best.parent is not None:
         best = best.parent
-    kept = {id(best)}
-    if best.parent is not None:
-        least = max(10.0, 0.2 * score(best))
-        for x in best.parent.children:
-            if isinstance(x, Node) and not x.junk and score(x) >= least:
-                kept.add(id(x))
-        for owner, text, linked in found:
-            if owner.parent is best.parent and owner.tag == "p" and len(text) > 80 and linked < 0.25 * len(text):
-                kept.add(id(owner))
-            if owner.parent is best.parent and owner.tag in ("h1", "h2"):
-                kept.add(id(owner))
-
-    def inside(x: Node) -> bool:
+    path = [best]
+    while path[-1].parent is not None:
+        path.append(path[-1].parent)
+    # The article: all of the outermost article element, or of the best container where there is none.
+    whole = max((i for i, x in enumerate(path) if x.tag == "article"), default=0)
+    named = max((i for i, x in enumerate(path) if x.tag in ("article", "main") and (i == whole or 2 * x.linked < x.text)), default=None)
+    top = named if named is not None else max((i for i, x in enumerate(path) if 2 * x.linked < x.text), default=0)
+    top = min(max(top, whole) + 1, len(path) - 1)
+    wholly, along = path[whole], {id(x) for x in path[whole + 1 : top + 1]}
+
+    def inside(owner: Node) -> bool:
+        """In the article, or beside it in a branch that is not mostly links."""
+        x = branch = owner
         while x is not None:
-            if id(x) in kept:
+            if x is wholly:
                 return True
-            x = x.parent
+            if id(x) in along:
+                return x is owner or 2 * branch.linked < branch.text
+            x, branch = x.parent, x
         return False
 
     return "\n".join(text for owner, text, _ in found if inside(owner))
