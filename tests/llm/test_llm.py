@@ -127,6 +127,20 @@ def test_html_keeps_all_sections(outer, inner):
     assert html_text.main_text(page).split("\n") == ["T", *[LEAD.strip()] * 9, "small", "Few words.", BODY]
 
 
+@pytest.mark.parametrize("wrapper", ['class="content has-sidebar"', 'class="no-comments"', 'class="with-header"', 'id="search-methods"', 'class="sidebar"', 'role="search"'])
+@pytest.mark.parametrize("outer", ["article", "main", "div"])
+def test_html_keeps_wrappers(wrapper, outer):
+    """A junk word within another class leaves nothing out, and no class leaves out the article or most of the text."""
+    page = f'<div class="site-header">head</div><section {wrapper}><{outer}><p>{LEAD}</p><p>{BODY}</p></{outer}></section><div class="ad-banner">buy</div>'
+    assert html_text.main_text(page) == f"{LEAD.strip()}\n{BODY}"
+
+
+def test_html_second_pass_and_comments():
+    assert html_text.main_text('<div class="banner">Only text.</div>') == "Only text."
+    comments = "".join(f'<article class="comment"><p>{LEAD}</p></article>' for _ in range(5))
+    assert html_text.main_text(f'<article><p>{BODY}</p></article><section id="comments">{comments}</section>') == BODY
+
+
 def test_html_leaves_out_mostly_links():
     links = "".join(f"<li><a href=x>another page {i}</a></li>" for i in range(5))
     page = f"<body><div><div><p>{LEAD}</p><p>{LEAD}</p></div><ul>{links}</ul><p>End.</p></div></body>"

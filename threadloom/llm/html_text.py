@@ -43,40 +43,94 @@ JUNK = frozenset(
     "signup login share sharing social related recommended comment comments disqus reply replies respond widget toolbar pagination pager "
     "skip contentinfo complementary search".split()
 )
+#: Beside such a word in one class, id or role, these change nothing ("site-header"); with any other word it is no mark ("has-sidebar").
+PLAIN = frozenset(
+    "site page main top bottom left right global primary secondary box bar block section list wrapper wrap container inner outer area "
+    "unit slot links buttons item items form holder row col column panel text".split()
+)
+OTHERS = frozenset("comment comments disqus reply replies respond related recommended".split())
 ALLOWED = frozenset("article body main html".split())
+HARD, SOFT, OTHER = 3, 2, 1  # left out in any case; by class, id or role; by one that marks other texts (readers', related ones)
 
 
 class Node:
     __slots__ = ("tag", "parent", "children", "junk", "points", "text", "linked")
 
-    def __init__(self, tag: str, parent, junk: bool):
+    def __init__(self, tag: str, parent, junk: int):
         self.tag, self.parent, self.children, self.junk = tag, parent, [], junk
         self.points, self.text, self.linked = 0.0, 0, 0
 
 
-def is_junk(tag: str, attributes: str) -> bool:
+def marked(value: str) -> int:
+    """SOFT or OTHER if a class, id or role consists of words in JUNK, and at most words in PLAIN beside them; else 0."""
+    kind = 0
+    for name in value.split():
+        words = WORDS.findall(name)
+        found = [w for w in words if w in JUNK]
+        if found and all(w in JUNK or w in PLAIN for w in words):
+            kind = max(kind, SOFT if OTHERS.isdisjoint(found) else OTHER)
+    return kind
+
+
+def is_junk(tag: str, attributes: str) -> int:
     if tag in DROPPED:
-        return True
+        return HARD
     if not attributes or attributes.isspace():
-        return False
+        return 0
+    kind = 0
     for m in ATTRIBUTE.finditer(attributes):
         name = m[1].lower()
         if name == "hidden":
-            return True
+            return HARD
         value = (m[2] or m[3] or m[4] or "").lower()
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
+            return HARD
         if name == "aria-hidden" and value == "true":
-            return True
-        if name in ("class", "id", "role") and tag not in ALLOWED and not JUNK.isdisjoint(WORDS.findall(value)):
-            return True
-    return False
+            return HARD
+        if name in ("class", "id", "role") and tag not in ALLOWED:
+            kind = max(kind, marked(value))
+    return kind
+
+
+def rescue(root: Node) -> None:
+    """Elements left out by class, id or role stay if they hold a main element, most of the page's paragraph text, or an article.
+    Where an article or main element stands outside all of them, they do not stay for an article alone, nor readers' comments and
+    related texts for their length."""
+    while True:
+        outer, total, outside = [], 0, False
+        held: dict[int, list] = {}  # of the outermost such elements: paragraph text, main, article
+        stack = [(root, None, False, False)]
+        while stack:
+            node, soft, in_p, in_article = stack.pop()
+            if soft is None and node.junk:
+                soft = node
+                outer.append(node)
+                held[id(node)] = [0, False, False]
+            if soft is not None:
+                held[id(soft)][1] |= node.tag == "main"
+                held[id(soft)][2] |= node.tag == "article"
+            in_p, in_article = in_p or node.tag == "p", in_article or node.tag in ("article", "main")
+            for x in node.children:
+                if not isinstance(x, str):
+                    if x.junk != HARD:
+                        stack.append((x, soft, in_p, in_article))
+                elif in_p and not x.isspace():
+                    total += len(x)
+                    if soft is not None:
+                        held[id(soft)][0] += len(x)
+                    elif in_article:
+                        outside = True
+        saved = [x for x in outer for size, main, article in (held[id(x)],) if main or (article and not outside) or (2 * size > total and not (outside and x.junk == OTHER))]
+        if not saved:
+            return
+        for x in saved:
+            x.junk = 0
 
 
 def parse(page: str) -> Node:
     """The page as a tree. Text stands in children as str, its character references still coded; <br> is a space."""
-    root = Node("html", None, False)
-    at, i = root, 0
+    root = Node("html", None, 0)
+    at, i, soft = root, 0, False
     while i < len(page):
         m = TAG.search(page, i)
         if m is None:
@@ -106,10 +160,23 @@ def parse(page: str) -> Node:
             continue
         if tag in BLOCKS:
             at = _end_open(at, tag)
-        node = Node(tag, at, at.junk or is_junk(tag, m[3]))
+        node = Node(tag, at, is_junk(tag, m[3]))
+        soft = soft or node.junk in (SOFT, OTHER)
         at.children.append(node)
         if tag not in VOID and not (m[3].rstrip().endswith("/") and tag not in BLOCKS and tag not in INLINE):
             at = node
+    if soft:
+        rescue(root)
+    return root
+
+
+def _without_soft(root: Node) -> Node:
+    """The tree with what class, id or role had left out, but for other texts."""
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        node.junk = 0 if node.junk == SOFT else node.junk
+        stack.extend(x for x in node.children if isinstance(x, Node))
     return root
 
 
@@ -179,7 +246,8 @@ def main_text(page: str | None) -> str:
     """Main text of a page: its blocks joined by newlines, empty if there is none."""
     if not page:
         return ""
-    found = blocks(parse(page))
+    root = parse(page)
+    found = blocks(root) or blocks(_without_soft(root))
     if not found:
         return ""
     nodes: dict[int, Node] = {}
