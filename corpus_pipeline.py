@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import line_dedup, mixing, ngram_join, pieces, quality
-from threadloom.llm.common import stage
+from threadloom.llm.common import stage, unused
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,17 +21,31 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a number each, staged, so that every read finds the same numbers; and that column's name."""
+    (row,) = unused(docs, "row_")
+    return stage(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
+
+
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the least doc_id: five-word shingles, Jaccard of 0.8 or more."""
-    rows = ngram_join.jaccard_groups(docs, k=5, num=80, den=100)
-    first = rows.where("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+    """One row of each group of near duplicates, that of the least doc_id: five-word shingles, Jaccard of 0.8 or more.
+
+    Every row counts as a document of its own: of repeated rows one stays, as do rows of one doc_id whose texts are no near copies.
+    Rows without a doc_id are grouped by their texts like others and come after all ids in their group."""
+    rows, row = _numbered(docs)
+    groups = ngram_join.jaccard_groups(rows.select(F.col(row).alias("doc_id"), "text"), k=5, num=80, den=100)
+    groups = groups.select(F.col("doc_id").alias(row), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", F.col(row).alias("first_"))
+    first = rows.select("doc_id", row).join(groups, row).groupBy("component_id").agg(F.min(order).alias("least")).select(F.col("least.first_").alias(row))
+    return rows.join(first, row, "left_semi").select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, whole; one that it takes in both rounds is there twice."""
-    taken = mixing.fair_mix(docs).select("doc_id", "round").distinct()
-    return docs.join(taken, "doc_id").select(*docs.columns)
+    """Rows that the mix takes, whole; one that it takes in both rounds is there twice. Rows are told apart by number: one without a
+    doc_id, or with that of another row, is there as often as it is taken itself."""
+    rows, row = _numbered(docs)
+    taken = mixing.fair_mix(rows, row=row).select(F.col("row_").alias(row), "round").distinct()
+    return rows.join(taken.select(row), row).select(*docs.columns)
 
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +61,7 @@ STAGES = [
     ("SentencePiece", sentencepiece_stage),
 ]
 
-#: The classifier and the vocabulary can't be expressed in SQL; tests compare the stages with brute-force versions.
+#: The classifier and the vocabulary can't be expressed in SQL; tests/llm/test_pipeline.py compares run() with brute force.
 ORACLE_SQL = None
 
 

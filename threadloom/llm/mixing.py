@@ -70,20 +70,21 @@ def shuffled_starts(items: DataFrame, per_range: int = 2000) -> DataFrame:
     )
 
 
-def fair_mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (3, 1, 2), share: tuple[int, int] = (150, 100)) -> DataFrame:
+def fair_mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (3, 1, 2), share: tuple[int, int] = (150, 100), row: str | None = None) -> DataFrame:
     """docs(doc_id, text, source) -> one row per document and round that the mix serves.
 
     Columns: row_, doc_id, source, size, source_size, target, round (0, 1), virtual_finish (0 to 1), taken (words served, all of
     them but for the document that a source is serving at the end), position (words of the mix before it). Documents of 0
-    words are not served. Null texts have 0 words; a null source is a source; null doc_ids sort as ''; an empty table gives none."""
-    items, targets = mix_plan(docs, seed, weights, share)
+    words are not served. Null texts have 0 words; a null source is a source; null doc_ids sort as ''; an empty table gives none.
+    row names a column of unique longs that row_ is taken from; without it rows are numbered as they are read."""
+    items, targets = mix_plan(docs, seed, weights, share, row)
     return served(items.join(F.broadcast(targets.withColumnRenamed("source", "source_")), F.col("source").eqNullSafe(F.col("source_"))).drop("source_"))
 
 
-def mix_plan(docs: DataFrame, seed: str, weights, share) -> tuple[DataFrame, DataFrame]:
+def mix_plan(docs: DataFrame, seed: str, weights, share, row: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Sized and ordered documents (row_, doc_id, source, size, start), and targets by source."""
     items = docs.select(
-        F.monotonically_increasing_id().alias("row_"), "doc_id", "source", word_count(F.col("text")).alias("size"),
+        (F.monotonically_increasing_id() if row is None else F.col(row)).alias("row_"), "doc_id", "source", word_count(F.col("text")).alias("size"),
         F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("shuffle"),
     )
     items = stage(items, "sizes")
