@@ -1,4 +1,4 @@
-"""Staged tables in the shared folder named by spark.checkpoint.dir."""
+"""Staged tables in the shared folder named by spark.checkpoint.dir: written once, read by every later step."""
 
 from __future__ import annotations
 
@@ -8,17 +8,36 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def staged_path(spark: SparkSession) -> str:
-    """A path of its own in the shared folder; a new local folder where spark.checkpoint.dir is unset (tests)."""
+def shared_dir(spark: SparkSession) -> str:
+    """Folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session (tests) gets a new local
+    folder; on a cluster that is an error, as executors could not see it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder.rstrip('/')}/staged-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again."""
-    path = staged_path(df.sparkSession)
+def _own(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/staged-{spark.sparkContext.applicationId}"
+
+
+def staged_path(spark: SparkSession, name: str = "table") -> str:
+    """A path of its own among this application's staged tables."""
+    return f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write df as Parquet in the shared folder and read it again: cuts lineage and survives lost executors."""
+    path = staged_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_staged(spark: SparkSession) -> None:
+    """Delete all tables that this application has staged; call it when their results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
