@@ -1,35 +1,14 @@
-"""Shared helpers: the shared folder, staged tables, Arrow plumbing."""
+"""Shared helpers: staged tables, names, Arrow plumbing."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.staging import staged as stage
+from ..sources.staging import staged_path as shared_path
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset (tests)."""
-    set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
-    if set_by_cluster:
-        return set_by_cluster.rstrip("/")
-    own = "file://" + tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["arrow_map", "shared_path", "shuffle_partitions", "stage", "string_column", "unused"]
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:

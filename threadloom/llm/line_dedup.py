@@ -36,12 +36,14 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 def dedupe_lines(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, ...) -> all columns with the text without repeated lines, and n_lines, n_removed.
 
+    The rows are numbered and staged first, so that both of their uses find the same numbers however docs came about.
+
     Lines are what \n separates, compared exactly; a window of blank lines only is no window, and texts of fewer than three lines
     have none. A null text stays null and has 0 lines; a text that loses all its lines becomes empty. Rows sharing a doc_id come
-    in the order in which they are stored; null doc_ids come first. Columns of the same names as the new ones are replaced."""
+    in the order in which they were read; null doc_ids come first, and repeated rows lose all repeated windows but the first row's. Columns of the same names as the new ones are replaced."""
     docs = docs.drop("n_lines", "n_removed")
     row, gone, lines, flags = unused(docs, "row_", "gone", "lines_", "flags_")
-    docs = docs.withColumn(row, F.monotonically_increasing_id())
+    docs = stage(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
     repeated = repeated_lines(docs.select(F.col(row).alias("row_"), "doc_id", "text"))
     out = docs.join(repeated.withColumnsRenamed({"row_": row, "gone": gone}), row, "left").withColumn(lines, F.split("text", "\n", -1)).drop(row)
     out = out.withColumn(flags, F.expr(f"map_from_entries(transform({gone}, i -> struct(i, true)))"))
