@@ -1,10 +1,11 @@
 """SentencePiece encoding and decoding, documents in parallel and giant documents in parts.
 
-The model at hand is a BPE model: its merges follow rank, not the largest sum of scores, so a max-plus scan over piece scores does
-not give its ids (README has figures). What a scan needs is a boundary state between parts, and for this model the state
-is trivial at some places: no piece holds the space mark after another character, so before a space that follows a non-space
-the segmentation is cut in any case. Texts are cut there into units, every distinct unit is encoded once per task, and
-parts of a giant document are encoded, decoded and checked apart, then put together by their numbers.
+Giant documents of a unigram model go through the max-plus scan of unigram.py. The model at hand is a BPE model: its merges follow
+rank, not the largest sum of scores, so a scan over piece scores does not give its ids (README has figures). What a scan needs is a
+boundary state between parts, and for this model the state is trivial at some places: no piece holds the space mark after another
+character, so before a space that follows a non-space the segmentation is cut in any case. Texts are cut there into units, every
+distinct unit is encoded once per task, and parts of a giant document are encoded, decoded and checked apart, then put
+together by their numbers.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chat import vocabulary_path
-from .common import arrow_map, shuffle_partitions, string_column, unused
+from .common import arrow_map, shuffle_partitions, stage, string_column, unused
+from .unigram import encode_giants, is_unigram
 
 MODEL = "piece_bpe_32k.model"
 PART_CHARS = 200_000
@@ -48,9 +50,9 @@ class Encoder:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        spread = [p for p in map(self.model.id_to_piece, range(self.model.get_piece_size())) if "▁" in p.lstrip("▁")]
-        if spread:
-            raise ValueError(f"pieces go on beyond a space: {spread[:3]}")
+        spread = any("▁" in p.lstrip("▁") for p in map(self.model.id_to_piece, range(self.model.get_piece_size())))
+        #: Units are the library's way of cutting only for BPE whose pieces end before a space; other models encode whole texts.
+        self.units = units if not spread and not is_unigram(path) else (lambda text: [text] if text else [])
         self.forget()
 
     def forget(self) -> None:
@@ -60,7 +62,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the offsets of each text's."""
-        split = [units(t) for t in texts]
+        split = [self.units(t) for t in texts]
         if len(self.place) > CACHE_UNITS:
             self.forget()
         known = len(self.place)
@@ -84,8 +86,8 @@ class Encoder:
         return self.model.decode(ids) if ids else []
 
 
-def encode_column(docs: DataFrame, model: str | None = None, text: str = "text") -> DataFrame:
-    """Adds ids array<int> and round_trip (decoding the ids gives the text) to docs. A null text has null ids."""
+def encode_column(docs: DataFrame, model: str | None = None, text: str = "text", decode: bool = True) -> DataFrame:
+    """Adds ids array<int> and round_trip (decoding the ids gives the text; null without decode) to docs. A null text has null ids."""
     path = model or vocabulary_path(MODEL)
     docs = docs.drop("ids", "round_trip")
 
@@ -101,10 +103,10 @@ def encode_column(docs: DataFrame, model: str | None = None, text: str = "text")
                     to += 1
                 values = column.slice(at, to - at).to_pylist()
                 flat, ends = coder.encode([v or "" for v in values])
-                back = coder.decode([flat[a:b].tolist() for a, b in zip(ends, ends[1:])])
+                back = coder.decode([flat[a:b].tolist() for a, b in zip(ends, ends[1:])]) if decode else values
                 mask = pa.array([v is None for v in values])
                 ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat), mask=mask)
-                same = pa.array([None if v is None else v == b for v, b in zip(values, back, strict=True)])
+                same = pa.array([v == b if decode and v is not None else None for v, b in zip(values, back, strict=True)], pa.bool_())
                 part = batch.slice(at, to - at)
                 yield pa.RecordBatch.from_arrays([*part.columns, ids, same], [*part.schema.names, "ids", "round_trip"])
                 at = to
@@ -114,28 +116,38 @@ def encode_column(docs: DataFrame, model: str | None = None, text: str = "text")
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("ids", ArrayType(IntegerType())), StructField("round_trip", BooleanType())]))
 
 
-def encode_documents(docs: DataFrame, model: str | None = None, giant: int = PART_CHARS) -> DataFrame:
+def encode_documents(docs: DataFrame, model: str | None = None, giant: int = PART_CHARS, decode: bool = True) -> DataFrame:
     """docs(doc_id, text, ...) -> all columns but text, with n_chars, n_tokens, ids and round_trip.
 
-    Texts of up to giant characters are encoded where they are; longer ones are dealt out in parts. An empty text has no ids; a
-    null text has null ids, 0 tokens and a null round_trip. Columns of the new names are replaced. A text in which the space
-    mark U+2581 stands decodes to a space there; round_trip is then false."""
+    Texts of up to giant characters are encoded where they are; longer ones are numbered, staged and dealt out in parts. An empty
+    text has no ids; a null text has null ids, 0 tokens and a null round_trip. Repeated rows are encoded one by one. Columns of the
+    new names are replaced. A text in which the space mark U+2581 stands decodes to a space there; round_trip is then false.
+    decode: whether to decode again, for round_trip."""
+    path = model or vocabulary_path(MODEL)
     docs = docs.drop("n_chars", "n_tokens", "ids", "round_trip")
     rest, (row,) = [c for c in docs.columns if c != "text"], unused(docs, "row_")
-    last = [F.length("text").cast("long").alias("n_chars"), F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids", "round_trip"]
-    last[1] = F.when(F.col("ids").isNull(), F.lit(0)).otherwise(F.size("ids")).cast("long").alias("n_tokens")
-    short = encode_column(docs.where(F.coalesce(F.length("text") <= giant, F.lit(True))), model).select(*rest, *last)
-    long = docs.withColumn(row, F.monotonically_increasing_id()).where(F.length("text") > giant)
+    n_tokens = F.when(F.col("ids").isNull(), F.lit(0)).otherwise(F.size("ids")).cast("long")
+    last = [F.length("text").cast("long").alias("n_chars"), n_tokens.alias("n_tokens"), "ids", "round_trip"]
+    short = encode_column(docs.where(F.coalesce(F.length("text") <= giant, F.lit(True))), path, decode=decode).select(*rest, *last)
+    long = stage(docs.where(F.length("text") > giant).withColumn(row, F.monotonically_increasing_id()), "giants")
+    texts = long.select(F.col(row).alias("row_"), "text")
+    if is_unigram(path):
+        whole = encode_giants(texts, path, giant)
+    else:
+        coded = encode_column(_dealt(texts, giant), path, decode=decode).groupBy("row_").agg(F.array_sort(F.collect_list(F.struct("part", "ids"))).alias("p"), F.min("round_trip").alias("round_trip"))
+        whole = coded.select("row_", F.flatten(F.col("p.ids")).alias("ids"), "round_trip")
+    return short.unionByName(long.join(whole.withColumnRenamed("row_", row), row).select(*rest, *last))
+
+
+def _dealt(texts: DataFrame, limit: int) -> DataFrame:
+    """texts(row_, text) -> row_, part, text: the parts of each text, dealt out by number."""
 
     def cut(batch):
-        texts = string_column(batch, "text")
+        column = string_column(batch, "text")
         for row in range(batch.num_rows):
-            made = parts(texts[row].as_py())
+            made = parts(column[row].as_py(), limit)
             for first in range(0, len(made), 16):
                 some = made[first : first + 16]
                 yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[row].as_py()] * len(some), pa.int64()), pa.array(range(first, first + len(some)), pa.int32()), pa.array(some, pa.string())], ["row_", "part", "text"])
 
-    dealt = arrow_map(long.select(F.col(row).alias("row_"), "text"), cut, "row_ long, part int, text string").repartition(shuffle_partitions(docs.sparkSession), "row_", "part")
-    coded = encode_column(dealt, model).groupBy("row_").agg(F.array_sort(F.collect_list(F.struct("part", "ids"))).alias("p"), F.min("round_trip").alias("round_trip"))
-    whole = coded.select(F.col("row_").alias(row), F.flatten(F.col("p.ids")).alias("ids"), "round_trip")
-    return short.unionByName(long.join(whole, row).select(*rest, *last))
+    return arrow_map(texts, cut, "row_ long, part int, text string").repartition(shuffle_partitions(texts.sparkSession), "row_", "part")
