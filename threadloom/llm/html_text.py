@@ -17,15 +17,18 @@ from pyspark.sql import DataFrame
 
 from .common import arrow_map, string_column
 
-TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)|<[!?][^>]*(?:>|$)", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
+# A quote belongs to an attribute's value only right after "="; one that is never closed is a character like others.
+TAG = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>\x00]*)((?:(?>=\s*\"[^\"]*\"|=\s*'[^']*'|[^>=]+|=))*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S
+)
+ATTRIBUTE = re.compile(r"([^\s=/>][^\s=/>]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
 SPACE = re.compile(r"\s+")
 WORDS = re.compile(r"[a-z]+")
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math select xmp noembed noframes".split())
-DROPPED = frozenset("script style textarea title noscript iframe template svg math select xmp noembed noframes head nav header footer aside form button menu dialog canvas object audio video figcaption-none".split())
+RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
+DROPPED = RAW | frozenset("template svg math select head nav header footer aside form button menu dialog canvas object audio video".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
@@ -34,6 +37,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ENDED_BY_BLOCK = frozenset(["p"])
 SAME_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CONTAINERS = frozenset("ul ol dl table tbody thead tfoot div article section body main blockquote td".split())
+CELLS = frozenset("table td th".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 
 # Words in class, id and role that mark what is not the article.
@@ -54,6 +58,8 @@ HARD, SOFT, OTHER = 3, 2, 1  # left out in any case; by class, id or role; by on
 
 
 class Node:
+    """An element. points, text and linked are sums for scoring: points, characters, and characters in links."""
+
     __slots__ = ("tag", "parent", "children", "junk", "points", "text", "linked")
 
     def __init__(self, tag: str, parent, junk: int):
@@ -95,76 +101,116 @@ def is_junk(tag: str, attributes: str) -> int:
 def rescue(root: Node) -> None:
     """Elements left out by class, id or role stay if they hold a main element, most of the page's paragraph text, or an article.
     Where an article or main element stands outside all of them, they do not stay for an article alone, nor readers' comments and
-    related texts for their length."""
-    while True:
-        outer, total, outside = [], 0, False
-        held: dict[int, list] = {}  # of the outermost such elements: paragraph text, main, article
-        stack = [(root, None, False, False)]
+    related texts for their length. What is within an element that stays is judged in turn."""
+    size, holds = {}, {}  # by element: paragraph characters within, and which of main, article it is or holds
+    order, stack = [], [(root, False, False)]
+    while stack:
+        node, in_p, in_article = stack.pop()
+        in_p, in_article = in_p or node.tag == "p", in_article or node.tag in ("article", "main")
+        order.append((node, in_p, in_article))
+        size[id(node)] = sum(len(x) for x in node.children if in_p and isinstance(x, str) and not x.isspace())
+        holds[id(node)] = {node.tag} & {"main", "article"}
+        stack.extend((x, in_p, in_article) for x in node.children if not isinstance(x, str) and x.junk != HARD)
+    own = {id(node): (size[id(node)], in_article) for node, _, in_article in order}
+    for node, _, _ in reversed(order[1:]):
+        size[id(node.parent)] += size[id(node)]
+        holds[id(node.parent)] = holds[id(node.parent)] | holds[id(node)]
+    total, outside, found = size[id(root)], False, [root]
+    while found:
+        # Read what is in no such element any more, up to the outermost ones within it.
+        outer, stack = [], found
         while stack:
-            node, soft, in_p, in_article = stack.pop()
-            if soft is None and node.junk:
-                soft = node
-                outer.append(node)
-                held[id(node)] = [0, False, False]
-            if soft is not None:
-                held[id(soft)][1] |= node.tag == "main"
-                held[id(soft)][2] |= node.tag == "article"
-            in_p, in_article = in_p or node.tag == "p", in_article or node.tag in ("article", "main")
+            node = stack.pop()
+            chars, in_article = own[id(node)]
+            outside = outside or (chars > 0 and in_article)
             for x in node.children:
-                if not isinstance(x, str):
-                    if x.junk != HARD:
-                        stack.append((x, soft, in_p, in_article))
-                elif in_p and not x.isspace():
-                    total += len(x)
-                    if soft is not None:
-                        held[id(soft)][0] += len(x)
-                    elif in_article:
-                        outside = True
-        saved = [x for x in outer for size, main, article in (held[id(x)],) if main or (article and not outside) or (2 * size > total and not (outside and x.junk == OTHER))]
-        if not saved:
-            return
-        for x in saved:
+                if not isinstance(x, str) and x.junk != HARD:
+                    (outer if x.junk else stack).append(x)
+        main = lambda x: "main" in holds[id(x)]
+        most = lambda x: 2 * size[id(x)] > total and not (outside and x.junk == OTHER)
+        found = [x for x in outer if main(x) or ("article" in holds[id(x)] and not outside) or most(x)]
+        for x in found:
             x.junk = 0
 
 
+class _Open:
+    """Elements that are open, outermost first, and for every name where they stand."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places, self.blocks, self.solid, self.cells = [root], {}, [0], [0], []
+
+    @property
+    def last(self) -> Node:
+        return self.nodes[-1]
+
+    def push(self, node: Node) -> None:
+        at = len(self.nodes)
+        self.nodes.append(node)
+        self.places.setdefault(node.tag, []).append(at)
+        if node.tag in BLOCKS:
+            self.blocks.append(at)
+        if node.tag not in INLINE:
+            self.solid.append(at)
+        if node.tag in CELLS:
+            self.cells.append(at)
+
+    def cut(self, at: int) -> None:
+        """End the element at a place, and all within it."""
+        while len(self.nodes) > at:
+            self.places[self.nodes.pop().tag].pop()
+        for places in (self.blocks, self.solid, self.cells):
+            while places and places[-1] >= at:
+                places.pop()
+
+    def close(self, tag: str) -> None:
+        """An end tag ends the last such element; an inline one not beyond a block, p, li and div not beyond a table or cell."""
+        at = (self.places.get(tag) or [0])[-1]
+        if not at or (tag in INLINE and self.blocks[-1] > at) or (tag in ("p", "li", "div") and self.cells and self.cells[-1] > at):
+            return
+        self.cut(at)
+
+    def begin(self, tag: str) -> None:
+        """A block begins: an open paragraph ends, as do items of the same list or row, and headings where a heading begins."""
+        ends = SAME_ENDS.get(tag, ())
+        while (at := self.solid[-1]) and ((x := self.nodes[at].tag) in ENDED_BY_BLOCK or x in ends or (tag in HEADINGS and x in HEADINGS)):
+            self.cut(at)
+
+
 def parse(page: str) -> Node:
     """The page as a tree. Text stands in children as str, its character references still coded; <br> is a space."""
     root = Node("html", None, 0)
-    at, i, soft = root, 0, False
+    open_, i, soft = _Open(root), 0, False
     while i < len(page):
         m = TAG.search(page, i)
         if m is None:
-            at.children.append(page[i:])
+            open_.last.children.append(page[i:])
             break
         if m.start() > i:
-            at.children.append(page[i : m.start()])
+            open_.last.children.append(page[i : m.start()])
         i = m.end()
         if m[2] is None:
             continue
         tag, closing = m[2].lower(), m[1] == "/"
-        if closing:
-            if tag == "br":
-                at.children.append(" ")
-            at = _close(at, tag)
+        if tag == "br":
+            open_.last.children.append(" ")
+        if tag in ("br", "wbr", "html"):
             continue
-        if tag in ("br", "wbr"):
-            if tag == "br":
-                at.children.append(" ")
-            continue
-        if tag == "html":
+        if closing:
+            open_.close(tag)
             continue
+        empty = m[3].rstrip().endswith("/")
         if tag in RAW:
-            if not m[3].rstrip().endswith("/") or tag in ("script", "style", "textarea", "title"):
+            if not empty or tag in ("script", "style", "textarea", "title"):
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, i)
                 i = end.end() if end else len(page)
             continue
         if tag in BLOCKS:
-            at = _end_open(at, tag)
-        node = Node(tag, at, is_junk(tag, m[3]))
+            open_.begin(tag)
+        node = Node(tag, open_.last, is_junk(tag, m[3]))
         soft = soft or node.junk in (SOFT, OTHER)
-        at.children.append(node)
-        if tag not in VOID and not (m[3].rstrip().endswith("/") and tag not in BLOCKS and tag not in INLINE):
-            at = node
+        open_.last.children.append(node)
+        if tag not in VOID and not (empty and tag not in BLOCKS and tag not in INLINE):
+            open_.push(node)
     if soft:
         rescue(root)
     return root
@@ -180,30 +226,6 @@ def _without_soft(root: Node) -> Node:
     return root
 
 
-def _end_open(at: Node, tag: str) -> Node:
-    """The node in which a new block opens: an open paragraph ends, as do items of the same list or row."""
-    ends = SAME_ENDS.get(tag, ())
-    x = at
-    while x.parent is not None and (x.tag in INLINE or x.tag in ENDED_BY_BLOCK or x.tag in ends or (tag in HEADINGS and x.tag in HEADINGS)):
-        if x.tag not in INLINE:
-            at = x.parent
-        x = x.parent
-    return at
-
-
-def _close(at: Node, tag: str) -> Node:
-    x = at
-    while x.parent is not None:
-        if x.tag == tag:
-            return x.parent
-        if x.tag in BLOCKS and tag in INLINE:
-            return at
-        if x.tag in ("table", "td", "th") and tag in ("p", "li", "div") and x.tag != tag:
-            return at
-        x = x.parent
-    return at
-
-
 def blocks(root: Node) -> list[tuple[Node, str, int]]:
     """Blocks of text outside junk, in page order: (element, text, characters in links)."""
     out, buffer = [], []
@@ -242,32 +264,44 @@ def blocks(root: Node) -> list[tuple[Node, str, int]]:
     return out
 
 
+def points_of(text: str) -> float:
+    """Points of a block: its commas, and its length up to a bound."""
+    return 1 + text.count(",") + text.count("，") + min(len(text) / 100, 3.0)
+
+
+def sums(root: Node, found: list[tuple[Node, str, int]]) -> list[Node]:
+    """Fill in points, text and linked of all elements, from the leaves up; returns the elements, parents first. A block gives its
+    points to the container around it and half of them to that one's parent, its characters to all elements that hold it."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        node.points, node.text, node.linked = 0.0, 0, 0
+        order.append(node)
+        stack.extend(x for x in reversed(node.children) if isinstance(x, Node))
+    for owner, text, linked in found:
+        owner.text += len(text)
+        owner.linked += linked
+        holder = owner if owner.tag in CONTAINERS or owner.parent is None else owner.parent
+        points = points_of(text)
+        holder.points += points
+        if holder.parent is not None:
+            holder.parent.points += points / 2
+    for node in reversed(order[1:]):
+        node.parent.text += node.text
+        node.parent.linked += node.linked
+    return order
+
+
 def main_text(page: str | None) -> str:
-    """Main text of a page: its blocks joined by newlines, empty if there is none."""
+    """Main text of a page: its blocks joined by newlines, empty if there is none. Time grows with the page's length alone."""
     if not page:
         return ""
     root = parse(page)
     found = blocks(root) or blocks(_without_soft(root))
     if not found:
         return ""
-    nodes: dict[int, Node] = {}
-    for owner, text, linked in found:
-        points = 1 + text.count(",") + text.count("，") + min(len(text) / 100, 3.0)
-        holder = owner if owner.tag in CONTAINERS or owner.parent is None else owner.parent
-        if holder is not owner:
-            owner.text += len(text)
-            owner.linked += linked
-        above, share = holder, 1.0
-        while above is not None:
-            nodes[id(above)] = above
-            above.text += len(text)
-            above.linked += linked
-            above.points += points * share
-            share = {1.0: 0.5}.get(share, 0.0)
-            above = above.parent
-    score = lambda x: x.points * (1 - x.linked / x.text) if x.text else 0.0
-    places = {key: place for place, key in enumerate(nodes)}
-    best = max(nodes.values(), key=lambda x: (score(x), -places[id(x)]))
+    order = sums(root, found)
+    best = max(order, key=lambda x: x.points * (1 - x.linked / x.text) if x.text else 0.0)
     while best.tag not in CONTAINERS and best.parent is not None:
         best = best.parent
     path = [best]
@@ -279,19 +313,18 @@ def main_text(page: str | None) -> str:
     top = named if named is not None else max((i for i, x in enumerate(path) if 2 * x.linked < x.text), default=0)
     top = min(max(top, whole) + 1, len(path) - 1)
     wholly, along = path[whole], {id(x) for x in path[whole + 1 : top + 1]}
-
-    def inside(owner: Node) -> bool:
-        """In the article, or beside it in a branch that is not mostly links."""
-        x = branch = owner
-        while x is not None:
-            if x is wholly:
-                return True
-            if id(x) in along:
-                return x is owner or 2 * branch.linked < branch.text
-            x, branch = x.parent, x
-        return False
-
-    return "\n".join(text for owner, text, _ in found if inside(owner))
+    # From the top down: in the article, or beside it in a branch that is not mostly links.
+    inside: dict[int, bool] = {}
+    for x in order:
+        if x is wholly or id(x) in along:
+            inside[id(x)] = True
+        elif x.parent is None:
+            inside[id(x)] = False
+        elif id(x.parent) in along:
+            inside[id(x)] = 2 * x.linked < x.text
+        else:
+            inside[id(x)] = inside[id(x.parent)]
+    return "\n".join(text for owner, text, _ in found if inside[id(owner)])
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
