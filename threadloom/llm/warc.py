@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -22,9 +23,14 @@ from .common import shared_path, shuffle_partitions, stage
 SKIPPABLE = 0x184D2A5D
 DICTIONARY_BYTES = 32 * 1024
 LEAST_REVISIT = 1000
-REQUIRED = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
+ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"
+# Headers that every record has, versions, and digests that can be checked.
+REQUIRED = ("warc-type", "warc-record-id", "warc-date", "content-length")
+VERSIONS = (b"WARC/1.1", b"WARC/1.0", b"WARC/0.18")
+DIGESTS = ("sha1", "sha256", "sha512", "md5")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORDS = "record_id string, record_type string, page_id long, url string, payload_digest string, payload_bytes long, refers_to_id string, payload binary, archive string"
+OWN_ID = re.compile(r"<urn:page:(\d+|-\d+)>")
+RECORDS = "record_id string, record_type string, page_id long, url string, payload_digest string, payload_bytes long, refers_to_id string, payload binary, archive string, place long"
 
 
 def record_id(page_id) -> str:
@@ -51,43 +57,88 @@ def build_record(page_id, url, payload: bytes, digest: bytes, refers_to) -> byte
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def parse_headers(lines: list[str]) -> dict[str, str]:
+    """Header lines as names in lower case -> values. White space around values does not count; a line that begins with white space
+    goes on with the one before. ValueError for lines without a name, and for repeated names other than WARC-Concurrent-To."""
+    headers: dict[str, str] = {}
+    last = None
+    for line in lines:
+        if line[:1] in (" ", "\t") and last:
+            headers[last] += " " + line.strip()
+            continue
+        name, sep, value = line.partition(":")
+        last = name.strip().lower()
+        if not sep or not last or " " in last:
+            raise ValueError(f"bad header line {line[:80]!r}")
+        if last in headers and last != "warc-concurrent-to":
+            raise ValueError(f"header {name} given twice")
+        headers[last] = value.strip()
+    return headers
+
+
+def digest_of(stated: str | None) -> tuple[str, bytes] | None:
+    """Algorithm and bytes of a digest header in base 32 or hex; None if there is none, or of an algorithm that is not known."""
+    kind, sep, value = (stated or "").partition(":")
+    kind = kind.strip().lower().replace("-", "")
+    if not sep or kind not in DIGESTS:
+        return None
+    size, value = hashlib.new(kind).digest_size, value.strip()
+    try:
+        raw = bytes.fromhex(value) if len(value) == 2 * size else base64.b32decode(value.upper() + "=" * (-len(value) % 8))
+    except ValueError as e:
+        raise ValueError(f"digest {stated!r} cannot be read") from e
+    if len(raw) != size:
+        raise ValueError(f"digest {stated!r} has the wrong length")
+    return kind, raw
+
+
 def parse_record(raw: bytes) -> dict:
-    """Headers and payload of one record. ValueError if a header is missing or malformed, or a length or digest is wrong."""
+    """One record of any type, WARC/1.0 or 1.1 -> record_id, record_type, page_id (of ids that this module gives, else null), url,
+    payload_digest (hex SHA-1), payload_bytes, refers_to_id, payload.
+
+    The payload is what follows the HTTP header in records of that content type, else the whole block. A revisit has none: digest
+    and length are the stated ones, null where they are not. ValueError if a required header is missing or a line malformed, the
+    block is not as long as Content-Length says, the payload not as long as HTTP says (unless it was encoded for transfer or cut
+    off), or a digest of a known algorithm is not that of the bytes."""
     cut = raw.find(b"\r\n\r\n")
-    if cut < 0 or not raw.startswith(b"WARC/1.1\r\n"):
-        raise ValueError("no WARC/1.1 header")
-    headers = {}
-    for line in raw[10:cut].decode("utf-8").split("\r\n"):
-        name, sep, value = line.partition(": ")
-        if not sep or name in headers:
-            raise ValueError(f"bad header line {line[:80]!r}")
-        headers[name] = value
-    if missing := [x for x in REQUIRED if x not in headers]:
+    head = raw[: max(cut, 0)].decode("utf-8").split("\r\n")
+    if cut < 0 or head[0].encode() not in VERSIONS:
+        raise ValueError("no WARC header")
+    headers = parse_headers(head[1:])
+    if missing := [x for x in REQUIRED if not headers.get(x)]:
         raise ValueError(f"headers missing: {', '.join(missing)}")
-    if not headers["Content-Length"].isdigit():
+    if not headers["content-length"].isdigit():
         raise ValueError("Content-Length is no number")
     block = raw[cut + 4 : -4]
-    if raw[-4:] != b"\r\n\r\n" or len(block) != int(headers["Content-Length"]):
-        raise ValueError(f"block of {len(block)} bytes, Content-Length {headers['Content-Length']}")
-    http, sep, payload = block.partition(b"\r\n\r\n")
-    if not sep:
-        raise ValueError("no HTTP header in the block")
-    digest = base64.b32decode(headers.get("WARC-Payload-Digest", "").removeprefix("sha1:"))
-    kind = headers["WARC-Type"]
-    if kind not in ("response", "revisit"):
-        raise ValueError(f"record type {kind}")
-    stated = next((int(x[15:]) for x in http.decode("latin-1").split("\r\n") if x.lower().startswith("content-length:")), -1)
-    if kind == "response" and (stated != len(payload) or hashlib.sha1(payload).digest() != digest):
-        raise ValueError("payload differs from its length or digest")
-    if kind == "revisit" and (payload or "WARC-Refers-To" not in headers):
-        raise ValueError("revisit record with a payload or without WARC-Refers-To")
-    url = headers.get("WARC-Target-URI")
-    number = headers["WARC-Record-ID"].removeprefix("<urn:page:").removesuffix(">")
+    if raw[-4:] != b"\r\n\r\n" or len(block) != int(headers["content-length"]):
+        raise ValueError(f"block of {len(block)} bytes, Content-Length {headers['content-length']}")
+    kind, payload, stated = headers["warc-type"].lower(), block, None
+    if headers.get("content-type", "").lower().startswith("application/http"):
+        http, sep, payload = block.partition(b"\r\n\r\n")
+        if not sep:
+            raise ValueError("no HTTP header in the block")
+        fields = {n.strip().lower(): v.strip() for n, _, v in (x.partition(":") for x in http.decode("latin-1").split("\r\n")[1:])}
+        stated = int(fields["content-length"]) if fields.get("content-length", "").isdigit() else None
+        loose = "transfer-encoding" in fields or "warc-truncated" in headers
+        if kind != "revisit" and stated not in (None, len(payload)) and not loose:
+            raise ValueError(f"payload of {len(payload)} bytes, HTTP says {stated}")
+    digest = digest_of(headers.get("warc-payload-digest"))
+    block_digest = digest_of(headers.get("warc-block-digest"))
+    for known, of in ((block_digest, block), (digest if kind != "revisit" else None, payload)):
+        if known and hashlib.new(known[0], of).digest() != known[1]:
+            raise ValueError("bytes differ from their digest")
+    if kind == "revisit" and payload and stated is not None:
+        raise ValueError("revisit record with a payload")
+    if kind == "revisit":
+        shown, size = (digest[1].hex() if digest and digest[0] == "sha1" else None), stated
+    else:
+        shown, size = hashlib.sha1(payload).hexdigest(), len(payload)
+    url, number = headers.get("warc-target-uri"), OWN_ID.fullmatch(headers["warc-record-id"])
+    own = headers["warc-record-id"].startswith("<urn:page:")
     return {
-        "record_id": headers["WARC-Record-ID"], "record_type": kind, "page_id": None if number == "null" else int(number),
-        "url": url if url is None else url.replace("%0D", "\r").replace("%0A", "\n").replace("%25", "%"),
-        "payload_digest": digest.hex(), "payload_bytes": stated, "refers_to_id": headers.get("WARC-Refers-To"),
-        "payload": payload if kind == "response" else None,
+        "record_id": headers["warc-record-id"], "record_type": kind, "page_id": int(number[1]) if number else None,
+        "url": url.replace("%0D", "\r").replace("%0A", "\n").replace("%25", "%") if url is not None and own else url,
+        "payload_digest": shown, "payload_bytes": size, "refers_to_id": headers.get("warc-refers-to"), "payload": None if kind == "revisit" else payload,
     }
 
 
@@ -95,34 +146,51 @@ def leading_frame(dictionary: bytes) -> bytes:
     return struct.pack("<II", SKIPPABLE, len(dictionary)) + dictionary
 
 
-def read_archive(stream, chunk: int = 1 << 20) -> Iterator[bytes]:
-    """Raw records of an archive: the dictionary from the leading skippable frame, then one record per zstd frame.
-    ValueError if the leading frame is missing, or the archive ends within a frame."""
+def load_dictionary(raw: bytes) -> bytes:
+    """The dictionary in a leading frame: as it is, or itself compressed."""
+    import zstandard
+
+    if not raw.startswith(ZSTD_MAGIC):
+        return raw
+    try:
+        return zstandard.ZstdDecompressor().decompressobj().decompress(raw)
+    except zstandard.ZstdError as e:
+        raise ValueError(f"bad dictionary: {e}") from e
+
+
+def read_archive(stream, chunk: int = 1 << 20) -> Iterator[tuple[int, bytes]]:
+    """Place (offset of the frame) and raw bytes of an archive's records: the dictionary from the leading skippable frame, if the
+    archive begins with one, then one record per zstd frame; other skippable frames are passed over.
+    ValueError with the place if a frame is bad, or the archive ends within one."""
     import zstandard
 
-    head = stream.read(8)
-    if len(head) < 8 or struct.unpack("<II", head)[0] != SKIPPABLE:
-        raise ValueError("no dictionary frame at the start")
-    wanted = struct.unpack("<II", head)[1]
-    dictionary = stream.read(wanted)
-    if len(dictionary) != wanted:
-        raise ValueError("dictionary cut off")
+    head, place, dictionary = stream.read(8), 0, b""
+    if len(head) == 8 and struct.unpack("<II", head)[0] == SKIPPABLE:
+        wanted = struct.unpack("<II", head)[1]
+        frame = stream.read(wanted)
+        if len(frame) != wanted:
+            raise ValueError("at 0: dictionary cut off")
+        dictionary, place, head = load_dictionary(frame), 8 + wanted, b""
     reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary)) if dictionary else zstandard.ZstdDecompressor()
-    rest, frame, parts = b"", reader.decompressobj(), []
+    rest, frame, parts, length = head, reader.decompressobj(), [], 0
     while True:
         data = rest or stream.read(chunk)
         rest = b""
         if not data:
-            if parts:
-                raise ValueError("archive ends within a record")
+            if length:
+                raise ValueError(f"at {place}: archive ends within a record")
             return
         try:
             parts.append(frame.decompress(data))
         except zstandard.ZstdError as e:
-            raise ValueError(f"bad frame: {e}") from e
+            raise ValueError(f"at {place}: bad frame: {e}") from e
+        length += len(data)
         if frame.eof:
-            yield b"".join(parts)
-            rest, frame, parts = frame.unused_data, reader.decompressobj(), []
+            rest = frame.unused_data
+            if raw := b"".join(parts):
+                yield place, raw
+            place += length - len(rest)
+            frame, parts, length = reader.decompressobj(), [], 0
 
 
 def train_dictionary(pages: DataFrame, samples: int = 256) -> bytes:
@@ -185,7 +253,8 @@ def write_archives(pages: DataFrame, path: str) -> DataFrame:
 
 
 def read_archives(spark: SparkSession, archives: DataFrame) -> DataFrame:
-    """archives(archive) -> the records of all archives, checked. A wrong record fails the query with the archive's name."""
+    """archives(archive) -> the records of all archives, checked, of any type. A wrong record fails the query with the archive's name
+    and the record's place in it."""
 
     def read(batches):
         import pyarrow.fs as fs
@@ -196,8 +265,11 @@ def read_archives(spark: SparkSession, archives: DataFrame) -> DataFrame:
                 rows, size = [], 0
                 with store.open_input_stream(at, compression=None) as stream:
                     try:
-                        for raw in read_archive(stream):
-                            rows.append(parse_record(raw) | {"archive": name})
+                        for place, raw in read_archive(stream):
+                            try:
+                                rows.append(parse_record(raw) | {"archive": name, "place": place})
+                            except ValueError as e:
+                                raise ValueError(f"at {place}: {e}") from e
                             size += len(raw)
                             if size > 4 << 20:
                                 yield _frame(rows)
@@ -212,14 +284,15 @@ def read_archives(spark: SparkSession, archives: DataFrame) -> DataFrame:
 
 def _frame(rows: list[dict]) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=[x.split()[0] for x in RECORDS.split(", ")])
-    return out.astype({"page_id": "Int64", "payload_bytes": "Int64"})
+    return out.astype({"page_id": "Int64", "payload_bytes": "Int64", "place": "Int64"})
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """Write the pages as archives, read these back -> page_id, payload_bytes, payload_digest, record_type, refers_to (page_id).
 
     A revisit's length and digest are those of the response that it refers to, found among the records read; its own headers
-    must agree with them, else refers_to is null."""
+    must agree with them, else refers_to is null. One row per row of pages, repeated rows and rows without a page_id included (these
+    are responses of their own); other columns are left out."""
     spark = pages.sparkSession
     archives = write_archives(pages, shared_path(spark, "warc"))
     records = stage(read_archives(spark, archives).drop("payload", "url"), "records")
