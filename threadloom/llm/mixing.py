@@ -1,12 +1,13 @@
 """Mixing sources to target weights by weighted fair queueing, in DataFrame operations only.
 
 Every source's documents are shuffled (order of md5 of seed and doc_id) and may be taken twice, one whole round after the other.
-A served document's virtual finish time is the source's cumulative words divided by its target; documents are put in the
-global order of that time, and the mix ends where the cumulative words reach the total budget. As the targets add up to the
-budget, that is virtual time 1: of the document that a source is serving then, only the words up to the target count.
+A document's virtual finish time is the source's cumulative words at its end, divided by the source's target. A document that its
+source is serving at virtual time 1 has a part that ends then and a part that ends later. All parts of both rounds are put in the
+global order of virtual finish, and the mix is cut where the cumulative words of that order reach the total budget, the whole
+words of all targets. So every source has come to its target there, to less than a word.
 
-No source is gathered in one task: running sums are taken within short ranges of the shuffle order, whose totals are summed
-per source first.
+No source is gathered in one task: running sums are taken within short ranges of the order, over ranges within blocks of
+ranges, and over blocks, all of which grow in number with the rows.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from .common import stage
 
 WORDS = r"[^\x20\x09-\x0D]+"
 ROUNDS = 2
+PER_RANGE = 2000
 
 
 def word_count(text):
@@ -52,19 +54,30 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
     return by.select("source", "source_size", "weight", target.alias("target"))
 
 
-def shuffled_starts(items: DataFrame, per_range: int = 2000) -> DataFrame:
+def carried(rows: DataFrame, group: list[str], at: str, block, amount: str) -> DataFrame:
+    """Sums of amount over all ranges before each range: group, at, base. Ranges (column at) are summed up within their block (an
+    expression of at that does not fall as at rises), and blocks one level higher, so that no task reads all ranges of a group."""
+    before = lambda keys, order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*group, at).agg(F.sum(amount).alias("s")).withColumn("block_", block)
+    inner = sums.withColumn("low", F.coalesce(F.sum("s").over(before([*group, "block_"], at)), F.lit(0)))
+    outer = sums.groupBy(*group, "block_").agg(F.sum("s").alias("s"))
+    outer = outer.select(*(F.col(c).alias(f"{c}_o") for c in (*group, "block_")), F.coalesce(F.sum("s").over(before(group, "block_")), F.lit(0)).alias("high"))
+    on = F.col("block_") == F.col("block__o")
+    for c in group:
+        on = on & F.col(c).eqNullSafe(F.col(f"{c}_o"))
+    return inner.join(outer, on).select(*group, at, (F.col("low") + F.col("high")).alias("base"))
+
+
+def shuffled_starts(items: DataFrame, per_range: int = PER_RANGE) -> DataFrame:
     """items(source, doc_id, size, ...) -> with start: words of the source's documents before it in the shuffle order.
     Rows that tie in md5 and doc_id (repeated rows) come in order of size, then of the row's number."""
-    rows = items.count()
-    digits = max(1, ceil(log(max(rows / per_range, 1), 16)))
+    digits = max(1, ceil(log(max(items.count() / per_range, 1), 16)))
     items = items.withColumn("range_", F.substring("shuffle", 1, digits))
-    sums = items.groupBy("source", "range_").agg(F.sum("size").alias("s"))
-    ahead = Window.partitionBy("source").orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("source").alias("source_"), F.col("range_").alias("at_"), F.coalesce(F.sum("s").over(ahead), F.lit(0)).alias("base"))
+    bases = carried(items, ["source"], "range_", F.substring("range_", 1, digits // 2), "size")
     within = Window.partitionBy("source", "range_").orderBy("shuffle", "doc_id", "size", "row_").rowsBetween(Window.unboundedPreceding, -1)
     return (
         items.withColumn("own", F.coalesce(F.sum("size").over(within), F.lit(0)))
-        .join(sums, F.col("source").eqNullSafe(F.col("source_")) & (F.col("range_") == F.col("at_")))
+        .join(bases.select(F.col("source").alias("source_"), F.col("range_").alias("at_"), "base"), F.col("source").eqNullSafe(F.col("source_")) & (F.col("range_") == F.col("at_")))
         .withColumn("start", F.col("base") + F.col("own"))
         .drop("own", "base", "source_", "at_", "range_")
     )
@@ -76,9 +89,11 @@ def fair_mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (3,
     Columns: row_, doc_id, source, size, source_size, target, round (0, 1), virtual_finish (0 to 1), taken (words served, all of
     them but for the document that a source is serving at the end), position (words of the mix before it). Documents of 0
     words are not served. Null texts have 0 words; a null source is a source; null doc_ids sort as ''; an empty table gives none.
-    row names a column of unique longs that row_ is taken from; without it rows are numbered as they are read."""
+    Documents that tie in the shuffle (repeated rows) come by size and number; those that finish at one time by source, round and
+    place in it. Other columns of docs are left out, whatever their names. row names a column of unique longs that row_ is taken
+    from; without it rows are numbered as they are read, and staged."""
     items, targets = mix_plan(docs, seed, weights, share, row)
-    return served(items.join(F.broadcast(targets.withColumnRenamed("source", "source_")), F.col("source").eqNullSafe(F.col("source_"))).drop("source_"))
+    return served(items, targets)
 
 
 def mix_plan(docs: DataFrame, seed: str, weights, share, row: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -91,27 +106,37 @@ def mix_plan(docs: DataFrame, seed: str, weights, share, row: str | None = None)
     return stage(shuffled_starts(items), "starts"), stage(source_targets(items, weights, share), "targets")
 
 
-def served(items: DataFrame, ranges: int = 1024) -> DataFrame:
-    """Both rounds of the documents, in the global order of virtual finish time, cut off at the budget."""
-    rounds = items.withColumn("round", F.explode(F.array(*map(F.lit, range(ROUNDS)))))
+def with_targets(items: DataFrame, targets: DataFrame) -> DataFrame:
+    """Targets by source; the staged table's size decides whether it is sent to all tasks."""
+    return items.join(targets.withColumnRenamed("source", "source_"), F.col("source").eqNullSafe(F.col("source_"))).drop("source_")
+
+
+def served(items: DataFrame, targets: DataFrame, per_range: int = PER_RANGE) -> DataFrame:
+    """Both rounds of the documents in parts, in the global order of virtual finish time, cut off at the budget."""
+    budget = targets.agg(F.sum(F.floor("target"))).first()[0] or 0
+    ranges = max(16, ROUNDS * items.count() // per_range)
+    rows = with_targets(items.where("size > 0"), targets)
+    rounds = rows.withColumn("round", F.explode(F.array(*map(F.lit, range(ROUNDS)))))
     began = F.col("start") + F.col("round") * F.col("source_size")
-    rounds = rounds.withColumn("taken", F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target") - began)).cast("long")).where("taken > 0")
-    rounds = rounds.withColumn("virtual_finish", F.least(F.lit(1.0), (began + F.col("size")) / F.col("target")))
-    rounds = rounds.withColumn("span", F.floor(F.col("virtual_finish") * ranges))
-    spans = rounds.groupBy("span").agg(F.sum("taken").alias("s"))
-    spans = spans.select(F.col("span").alias("span_"), F.coalesce(F.sum("s").over(Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    first = F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target") - began)).cast("long")
+    finish = (began + F.col("size")) / F.col("target")
+    parts = F.array(F.struct(first.alias("words"), F.least(F.lit(1.0), finish).alias("virtual_finish")), F.struct((F.col("size") - first).alias("words"), finish.alias("virtual_finish")))
+    rounds = rounds.select("*", F.inline(parts)).where("words > 0")
+    # A source of one long document may finish late: everything beyond time 2 is one range, as the budget ends near time 1.
+    rounds = rounds.withColumn("span", F.floor(F.least(F.col("virtual_finish"), F.lit(2.0)) * ranges))
+    bases = carried(rounds, [], "span", F.floor(F.col("span") / F.lit(max(4, int(ranges**0.5)))), "words")
     within = Window.partitionBy("span").orderBy("virtual_finish", F.col("source").isNull(), "source", "round", "start", "row_").rowsBetween(Window.unboundedPreceding, -1)
-    rounds = rounds.withColumn("own", F.coalesce(F.sum("taken").over(within), F.lit(0))).join(F.broadcast(spans), F.col("span") == F.col("span_"))
-    return rounds.select("row_", "doc_id", "source", "size", "source_size", "target", "round", "virtual_finish", "taken", (F.col("base") + F.col("own")).alias("position"))
+    rounds = rounds.withColumn("own", F.coalesce(F.sum("words").over(within), F.lit(0))).join(bases, "span")
+    rounds = rounds.withColumn("position", F.col("base") + F.col("own")).withColumn("taken", F.least(F.col("words"), F.lit(budget) - F.col("position")).cast("long"))
+    return rounds.where("taken > 0").select("row_", "doc_id", "source", "size", "source_size", "target", "round", "virtual_finish", "taken", "position")
 
 
 def mix_totals(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (3, 1, 2), share: tuple[int, int] = (150, 100)) -> DataFrame:
     """Per document: doc_id, size, source_size, target (of its source), taken (words that the mix takes, both rounds together),
-    first_position (words of the mix before its first round, null if it is not served)."""
+    first_position (words of the mix before its first round, null if it is not served). Every row is a document, repeated ones too."""
     items, targets = mix_plan(docs, seed, weights, share)
-    items = items.join(F.broadcast(targets.withColumnRenamed("source", "source_")), F.col("source").eqNullSafe(F.col("source_"))).drop("source_")
-    took = served(items).groupBy("row_").agg(F.sum("taken").alias("taken"), F.min("position").alias("first_position"))
-    return items.join(took, "row_", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_position")
+    took = served(items, targets).groupBy("row_").agg(F.sum("taken").alias("taken"), F.min("position").alias("first_position"))
+    return with_targets(items, targets).join(took, "row_", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_position")
 
 
 SQL = r"""
