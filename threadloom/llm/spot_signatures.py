@@ -26,28 +26,31 @@ ANCHORS = (
 CHAIN = 2
 
 
+def _bound(value: Column, f) -> Column:
+    """f(value), with value evaluated once for all its uses in f."""
+    return F.transform(F.array(value), f)[0]
+
+
 def signatures(text: Column) -> Column:
     """Sorted distinct 64-bit signatures of a text column. A text with words but without a whole chain has one signature, of all
     its words; a text without words or null has none."""
     words = F.split(F.btrim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")), " ")
-    return _of_words(words)
+    return _bound(words, _of_words)
 
 
 def _of_words(words: Column) -> Column:
     anchor = lambda w: w.isin(ANCHORS)
-    content = F.filter(words, lambda w: ~anchor(w))
-    spots = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda s: anchor(s["w"]))
-    # Before the j-th anchor, at word i, stand i - j content words.
-    whole = lambda c, s: F.filter(F.transform(s, lambda x, j: F.struct(x["w"].alias("w"), (x["i"] - j).alias("at"))), lambda x: x["at"] + CHAIN <= F.size(c))
-    # One-element arrays bind the content words, so that they are not filtered anew for each anchor.
-    made = F.transform(
-        F.array(F.struct(content.alias("c"), spots.alias("s"), words.alias("w"))),
-        lambda r: F.transform(whole(r["c"], r["s"]), lambda x: F.xxhash64(x["w"], *(F.get(r["c"], x["at"] + d) for d in range(CHAIN)))),
-    )[0]
-    return F.transform(
-        F.array(F.struct(F.sort_array(F.array_distinct(made)).alias("m"), F.array_join(words, " ").alias("t"))),
-        lambda r: F.when(F.size(r["m"]) > 0, r["m"]).when(r["t"] != "", F.array(F.xxhash64(r["t"]))).otherwise(F.expr("array()").cast("array<bigint>")),
-    )[0]
+    spots = F.filter(F.transform(words, lambda w, i: F.when(anchor(w), i)), lambda i: i.isNotNull())
+
+    def made(r: Column) -> Column:
+        # Before the j-th anchor, at word i, stand i - j content words.
+        whole = F.filter(F.transform(r["s"], lambda i, j: F.struct(i.alias("i"), (i - j).alias("at"))), lambda x: x["at"] + CHAIN <= F.size(r["c"]))
+        return F.transform(whole, lambda x: F.xxhash64(F.get(words, x["i"]), *(F.get(r["c"], x["at"] + d) for d in range(CHAIN))))
+
+    found = _bound(F.struct(F.filter(words, lambda w: ~anchor(w)).alias("c"), spots.alias("s")), made)
+    none = F.expr("array()").cast("array<bigint>")
+    whole_text = F.when(F.array_join(words, " ") != "", F.array(F.xxhash64(F.array_join(words, " ")))).otherwise(none)
+    return _bound(found, lambda m: F.when(F.size(m) > 0, F.sort_array(F.array_distinct(m))).otherwise(whole_text))
 
 
 def as_text(sigs: Column) -> Column:
@@ -92,27 +95,29 @@ def near_duplicates(prints: DataFrame, num: int = 80, den: int = 100) -> DataFra
     return member.select("doc_id", F.coalesce("component", "cls", "doc_id").alias("group_id"))
 
 
-def _bounds(docs: DataFrame, per_range: int) -> list:
-    """Ids that cut the table into ranges of about per_range rows."""
+def _bounds(docs: DataFrame, per_range: int, most: int = 65_536) -> list:
+    """Ids that cut the table into even ranges: a range for each per_range rows, but most ranges at most (so 512 KB of bounds), which
+    beyond that grow with the table. Cut by about 32 ids a range, picked by their hash; where they fall is a matter of speed only."""
     rows = docs.count()
-    n = max(1, rows // per_range)
-    if n == 1:
-        return []
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n)).first()[0]
-    return sorted(set(cuts or []))
+    n = max(1, min(most, rows // per_range))
+    ids = docs.select("doc_id").where(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(max(1, rows // (32 * n)))) == 0))
+    ids = ids.agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))
+    every = F.expr(f"CASE WHEN size(ids) > 0 AND {n} > 1 THEN array_distinct(transform(sequence(1, {n} - 1), i -> ids[int(bigint(i) * size(ids) div {n})])) ELSE slice(ids, 1, 0) END")
+    return ids.select(every).first()[0]
 
 
 def _range_of(bounds: list) -> Column:
-    """Number of bounds at or below doc_id, by halving."""
-    steps = max(1, len(bounds).bit_length())
-    bounds_ = F.array(*map(F.lit, bounds))
+    """Number of bounds at or below doc_id, by halving. The bounds are one constant of the plan."""
+    if not bounds:
+        return F.lit(0)
+    constant = F.from_json(F.lit(str(bounds)), "array<bigint>")
 
     def step(at: Column, width: Column) -> Column:
         to = at + width
-        return F.when((to <= len(bounds)) & (F.element_at(bounds_, F.least(to, F.lit(len(bounds)))) <= F.col("doc_id")), to).otherwise(at)
+        return F.when((to <= len(bounds)) & (F.element_at(constant, F.least(to, F.lit(len(bounds)))) <= F.col("doc_id")), to).otherwise(at)
 
-    widths = F.array(*(F.lit(1 << s) for s in reversed(range(steps))))
-    return F.coalesce(F.aggregate(widths, F.lit(0), step), F.lit(0)) if bounds else F.lit(0)
+    widths = F.array(*(F.lit(1 << s) for s in reversed(range(len(bounds).bit_length()))))
+    return F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.aggregate(widths, F.lit(0), step))
 
 
 def fingerprints(docs: DataFrame, per_range: int = 1500) -> DataFrame:
@@ -124,7 +129,7 @@ def fingerprints(docs: DataFrame, per_range: int = 1500) -> DataFrame:
     doc_ids come first. A table of one row has itself as the next; an empty table gives none.
 
     The table is cut into ranges of doc_id, and the first row of each range also goes to the range before it, so that every row
-    finds the next one in its own task and texts are moved once."""
+    finds the next one in its own task and texts are moved once. Other columns are left out, whatever their names."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     at = docs.withColumn("range_", _range_of(_bounds(docs, per_range)))
     firsts = at.groupBy("range_").agg(F.min(F.struct(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("k"), "doc_id", "text")).alias("f"))
@@ -133,7 +138,7 @@ def fingerprints(docs: DataFrame, per_range: int = 1500) -> DataFrame:
     last = firsts.agg(F.max("range_")).first()[0] or 0
     guests = firsts.join(ranges, "range_").select("doc_id", "text", F.when(F.col("to") < 0, F.lit(last)).otherwise(F.col("to")).alias("range_"), F.lit(True).alias("guest"))
     rows = at.withColumn("guest", F.lit(False)).select("doc_id", "text", "range_", "guest").unionByName(guests)
-    rows = rows.withColumn("sigs", signatures(F.col("text")))
+    rows = rows.repartition("range_").withColumn("sigs", signatures(F.col("text")))
     order = Window.partitionBy("range_").orderBy("guest", "doc_id", "text")
     rows = rows.withColumns({"next_text": F.lead("text").over(order), "next_sigs": F.lead("sigs").over(order)}).where("NOT guest")
     edited = F.concat(F.expr("substring(text, 1, length(text) - int(floor(length(text) / 2)))"), F.expr("substring(next_text, 1, int(floor(length(text) / 2)))"))
