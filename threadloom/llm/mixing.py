@@ -121,8 +121,9 @@ def served(items: DataFrame, targets: DataFrame, per_range: int = PER_RANGE) ->
     finish = (began + F.col("size")) / F.col("target")
     parts = F.array(F.struct(first.alias("words"), F.least(F.lit(1.0), finish).alias("virtual_finish")), F.struct((F.col("size") - first).alias("words"), finish.alias("virtual_finish")))
     rounds = rounds.select("*", F.inline(parts)).where("words > 0")
-    # A source of one long document may finish late: everything beyond time 2 is one range, as the budget ends near time 1.
-    rounds = rounds.withColumn("span", F.floor(F.least(F.col("virtual_finish"), F.lit(2.0)) * ranges))
+    # Times up to 1 are dealt evenly to ranges, later ones by 2 - 1 / time, as documents may finish at any time after it.
+    late = F.col("virtual_finish") > 1
+    rounds = rounds.withColumn("span", F.floor(F.when(late, 2 - 1 / F.col("virtual_finish")).otherwise(F.col("virtual_finish")) * ranges))
     bases = carried(rounds, [], "span", F.floor(F.col("span") / F.lit(max(4, int(ranges**0.5)))), "words")
     within = Window.partitionBy("span").orderBy("virtual_finish", F.col("source").isNull(), "source", "round", "start", "row_").rowsBetween(Window.unboundedPreceding, -1)
     rounds = rounds.withColumn("own", F.coalesce(F.sum("words").over(within), F.lit(0))).join(bases, "span")
