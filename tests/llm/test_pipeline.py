@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 
 import sentencepiece
@@ -47,7 +48,13 @@ def one_per_group(rows):
     return [x for n, x in enumerate(rows) if group[n][1] == n]
 
 
+def first_words(text, n):
+    """The text up to its n-th word."""
+    return "".join(re.findall(r"[\x20\x09-\x0d]*[^\x20\x09-\x0d]+", text)[:n])
+
+
 def mixed(rows):
+    """The mix, its last document of each source cut at the source's whole target."""
     by = defaultdict(list)
     for i, text, source in rows:
         by[source].append((hashlib.md5(f"mix{'' if i is None else i}".encode()).hexdigest(), len(text.split()), (i, text, source)))
@@ -64,7 +71,8 @@ def mixed(rows):
         began = 0
         for _, words, row in sorted(by[s], key=lambda x: x[:2]) * 2:
             if began < int(target[s]) and words:
-                out.append(row)
+                i, text, source = row
+                out.append((i, text if words <= int(target[s]) - began else first_words(text, int(target[s]) - began), source))
             began += words
     return out
 
@@ -83,3 +91,28 @@ def test_run(spark, tmp_path):
     want = Counter((i, source, len(text), tuple(model.encode(text))) for i, text, source in mixed(alone))
     got = Counter((r["doc_id"], r["source"], r["n_chars"], tuple(r["ids"])) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
     assert got == want and any(i is None for i, *_ in got)
+
+
+CLASH = ["kept", "n_words", "n_lines", "row_", "gone", "component_id", "taken", "size", "round", "start", "kept_column_0"]
+
+
+def test_every_stage_on_odd_rows(spark, tmp_path):
+    """Columns that clash pass through; nulls, blanks, repeated rows and empty tables do no harm."""
+    spark.createDataFrame([(i, 1, 0) for i in range(10)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = documents() + [(None, None, None, None, None), (70, " \n\n ", None, "s1", 4)]
+    schema = SCHEMA + "".join(f", {c} string" for c in CLASH)
+    docs = spark.createDataFrame([(*r, *["own"] * len(CLASH)) for r in rows], schema)
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        assert f(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+        got = f(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns, name
+        some = got.collect()
+        assert some and all(r[c] == "own" for r in some for c in CLASH), name
+        assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in some), name
+    mixed_words = sum(len(r["text"].split()) for r in corpus_pipeline.mixing_stage(spark, docs, "").collect())
+    assert abs(mixed_words - 1.5 * sum(len((r[1] or "").split()) for r in rows)) <= 4
+    last = corpus_pipeline.sentencepiece_stage(spark, docs, "")
+    assert last.count() == len(rows) and corpus_pipeline.sentencepiece_stage(spark, docs.limit(0), "").count() == 0
+    docs = docs.repartition(8)
+    once = lambda: sorted(map(str, corpus_pipeline.line_dedup_stage(spark, docs, "").select("doc_id", "n_chars").collect()))
+    assert once() == once()
