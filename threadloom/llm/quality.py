@@ -1,6 +1,6 @@
 """Quality rules: fixed rules first, then a calibrated logistic regression over hashed words and character n-grams.
 
-Counts of hashed words and of one to three bytes are taken over the whole text, damped by a logarithm and scaled to unit length.
+Counts of hashed words and of one to three characters are taken over the whole text, damped by a logarithm and scaled to unit length.
 The regression is fitted on a bounded sample of labelled rows, of which a fifth is held back to calibrate its probabilities
 (Platt). Texts are scored in Arrow batches against a fixed threshold.
 """
@@ -20,6 +20,8 @@ WORD_SLOTS, GRAM_SLOTS = 1024, 3072
 SLOTS = WORD_SLOTS + GRAM_SLOTS
 LEAST_WORDS = 50
 KEEP = 0.5
+#: Odd factors that tell the characters of an n-gram apart by place.
+STEP = mix(np.arange(201, 204, dtype=U)) | U(1)
 #: Texts whose features are held at once.
 RUN_TEXTS = 200
 SYMBOLS = np.zeros(256, bool)
@@ -30,15 +32,18 @@ def features(texts: Texts) -> np.ndarray:
     """One row of SLOTS values per text."""
     starts, ends, owner = texts.words()
     slots = [(owner, (texts.hashes(starts, ends) % U(WORD_SLOTS)).astype(np.int64))]
-    of = np.repeat(np.arange(texts.n), np.diff(texts.offsets))
-    code = np.zeros(len(texts.data), U)
+    # Characters: runs of bytes that begin with one that is no continuation byte.
+    first = np.flatnonzero((texts.data & 0xC0) != 0x80)
+    of = np.searchsorted(texts.offsets, first, side="right") - 1
+    code = texts.hashes(first, np.append(first[1:], len(texts.data)))
     for k in (1, 2, 3):
-        if len(texts.data) < k:
+        if len(first) < k:
             break
-        code = code[: len(texts.data) - k + 1] * U(256) + texts.data[k - 1 :]
-        whole = of[: len(code)] == of[k - 1 :]
-        slot = (mix(code[whole] + U(k << 32)) % U(GRAM_SLOTS)).astype(np.int64) + WORD_SLOTS
-        slots.append((of[: len(code)][whole], slot))
+        total = np.full(len(first) - k + 1, k, U)
+        for j in range(k):
+            total += code[j : len(code) - k + 1 + j] * STEP[j]
+        whole = of[: len(total)] == of[k - 1 :]
+        slots.append((of[: len(total)][whole], (mix(total[whole]) % U(GRAM_SLOTS)).astype(np.int64) + WORD_SLOTS))
     out = np.zeros((texts.n, SLOTS), np.float32)
     for text, slot in slots:
         out += np.bincount(text * SLOTS + slot, minlength=texts.n * SLOTS).reshape(texts.n, SLOTS).astype(np.float32)
@@ -106,7 +111,9 @@ def _matrix(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = 6000, l2: float = 1e-4) -> Model:
     """docs(doc_id, text), labels(doc_id, quality) -> Model of the probability that quality is 1. rows bounds the labelled rows of
-    the fit. Without labels, or with one label only, every text has the same probability, 0.5 or that label's."""
+    the fit: the ids of least md5. Without labels, or with one label only, every text has the same probability, 0.5 or that
+    label's. Of a doc_id with several labels the larger counts; one with several rows counts once for each. Rows without a
+    doc_id or label are not used. Texts of any length count whole."""
     sample = labelled_sample(labels, "quality", rows)
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
 
@@ -150,7 +157,8 @@ def judge(docs: DataFrame, model: Model, keep: float = KEEP) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Train on the labelled rows of docs and judge all rows."""
+    """Train on the labelled rows of docs and judge all rows: one row per row, so repeated rows and rows of equal texts have equal
+    verdicts. See train and judge for nulls and clashing columns; an empty table gives an empty one."""
     return judge(docs, train(docs, labels))
 
 
