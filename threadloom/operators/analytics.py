@@ -27,6 +27,18 @@ def top_counts(df: DataFrame, column: str, k: int, name: str = "n") -> DataFrame
     return df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias(name)).orderBy(F.desc(name), column).limit(k)
 
 
+def top_values(df: DataFrame, fields: dict[str, Column], k: int) -> DataFrame:
+    """facet, value, n, place: the k commonest values of each array column, ties by value. One scan; the values of a row are counted
+    before the shuffle."""
+
+    def named(name: str, values: Column) -> Column:
+        return F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.struct(F.lit(name).alias("facet"), v.alias("value")))
+
+    pairs = F.flatten(F.array(*(named(name, values) for name, values in fields.items())))
+    got = df.select(F.inline(pairs)).groupBy("facet", "value").agg(F.count("*").alias("n"))
+    return got.withColumn("place", F.row_number().over(Window.partitionBy("facet").orderBy(F.desc("n"), "value"))).where(F.col("place") <= k)
+
+
 def timeline(df: DataFrame, when: Column) -> DataFrame:
     return df.select(when.alias("bucket")).where("bucket IS NOT NULL").groupBy("bucket").agg(F.count("*").alias("n"))
 

@@ -1,7 +1,16 @@
-"""Ranked retrieval: BM25 over postings, cosine over vectors, both together; batches of queries share one scan."""
+"""Ranked retrieval: BM25 over postings, cosine over vectors, both together; batches of queries share one scan.
+
+An index is a folder of tables that a query reads by lookup: postings and terms in buckets of terms, documents in order of their id,
+and one row of corpus statistics. bm25 does without: it reads the corpus once for all queries of a batch."""
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -41,6 +50,138 @@ def bm25(docs: DataFrame, terms: DataFrame, id_: str = "doc_id", text: str = "te
     return hits.where("wanted").join(F.broadcast(idf), "term").join(F.broadcast(terms), "term").groupBy("query_id", id_).agg(F.sum(part).alias("score"))
 
 
+@dataclass(frozen=True)
+class Index:
+    """Tables of a stored index. postings(bucket, term, id, tf, dl, kept columns), terms(bucket, term, df, cf), docs(id, text, dl,
+    kept columns), stats(n_docs, avgdl)."""
+
+    postings: DataFrame
+    terms: DataFrame
+    docs: DataFrame
+    stats: DataFrame
+    id_: str
+    buckets: int
+
+
+def _bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def build_index(docs: DataFrame, path: str, id_: str = "doc_id", text: str = "text", keep: Iterable[str] = (), buckets: int = 64, spread: int = 4) -> Index:
+    """Write an index of docs below path; keep names columns that searches may filter by, stored with every posting.
+
+    A bucket of terms is a folder of spread files in order of term, so a lookup reads the row groups of its terms only, and no
+    frequent term is written by one task."""
+    keep = list(keep)
+    rows = docs.select(F.col(id_), F.col(text).alias("text"), *keep).withColumn("dl", F.size(tokens(F.col("text"))))
+    rows.repartitionByRange(F.col(id_)).sortWithinPartitions(id_).write.parquet(f"{path}/docs")
+    index = open_index(docs.sparkSession, path, id_, buckets, ("docs",))
+    each = index["docs"].select(id_, "dl", *keep, F.explode(tokens(F.col("text"))).alias("term"))
+    posts = each.groupBy(id_, "term").agg(F.count("*").alias("tf"), *(F.first(c).alias(c) for c in ("dl", *keep))).withColumn("bucket", _bucket(F.col("term"), buckets))
+    posts.repartition("bucket", F.pmod(F.xxhash64(id_), F.lit(spread))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+    posts = open_index(docs.sparkSession, path, id_, buckets, ("postings",))["postings"]
+    posts.groupBy("bucket", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).repartition("bucket").sortWithinPartitions("term").write.partitionBy("bucket").parquet(f"{path}/terms")
+    index["docs"].agg(F.count("*").cast("double").alias("n_docs"), F.avg("dl").alias("avgdl")).coalesce(1).write.parquet(f"{path}/stats")
+    return Index(**open_index(docs.sparkSession, path, id_, buckets), id_=id_, buckets=buckets)
+
+
+def open_index(spark, path: str, id_: str = "doc_id", buckets: int = 64, tables: tuple[str, ...] = ("postings", "terms", "docs", "stats")) -> dict[str, DataFrame]:
+    """The tables of an index that build_index wrote."""
+    return {t: spark.read.parquet(f"{path}/{t}") for t in tables}
+
+
+def indexed_scores(index: Index, terms: DataFrame, where: Column | None = None) -> DataFrame:
+    """BM25 from the index: terms(query_id, term) -> query_id, id, score. where filters by kept columns what is scored, not the
+    corpus statistics. Only the terms' buckets are read."""
+    wanted = terms.withColumn("bucket", _bucket(F.col("term"), index.buckets))
+    known = index.terms.join(wanted, ["bucket", "term"]).join(index.stats)
+    idf = known.select("query_id", "bucket", "term", "avgdl", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    hits = index.postings if where is None else index.postings.where(where)
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return hits.join(idf, ["bucket", "term"]).groupBy("query_id", index.id_).agg(F.sum(part).alias("score"))
+
+
+def lookup(index: Index, text: str, where: Column | None = None) -> DataFrame:
+    """One query's scores: id, score. Its terms are constants of the plan, so only their folders and row groups are read; a text
+    without terms matches all documents, with score 1."""
+    names = sorted(set(re_words(text)))
+    if not names:
+        docs = index.docs if where is None else index.docs.where(where)
+        return docs.select(index.id_, F.lit(1.0).alias("score"))
+    at = [r[0] for r in index.stats.sparkSession.createDataFrame([(n,) for n in names], "term string").select(_bucket(F.col("term"), index.buckets)).collect()]
+    ours = F.col("bucket").isin(at) & F.col("term").isin(names)
+    idf = index.terms.where(ours).join(index.stats).select("term", "avgdl", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    hits = index.postings.where(ours if where is None else ours & where)
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return hits.join(idf, "term").groupBy(index.id_).agg(F.sum(part).alias("score"))
+
+
+def page(scores: DataFrame, id_: str, k: int, digits: int = 6) -> DataFrame:
+    """The k best of each query with rank, and total_hits, its number of matches."""
+    total = scores.groupBy("query_id").agg(F.count("*").alias("total_hits"))
+    return top_k(scores, id_, k, digits).join(total, "query_id")
+
+
+def get_docs(index: Index, ids: list) -> DataFrame:
+    """Documents by id, a bounded list; none for ids that are not there. The filter reaches the scan, whose files are in order."""
+    return index.docs.where(F.col(index.id_).isin(ids))
+
+
+def fetch(index: Index, best: DataFrame) -> DataFrame:
+    """The documents of a page of results (bounded by its k), by their ids, with the page's columns."""
+    rows = best.collect()
+    return get_docs(index, [r[index.id_] for r in rows]).join(best.sparkSession.createDataFrame(rows, best.schema), index.id_)
+
+
+def experiment(methods: dict[str, DataFrame], id_: str, k: int = 20) -> tuple[DataFrame, DataFrame]:
+    """Scores (query_id, id, score) of several methods -> (query_id, method, hits, top_score), and the k best of each query and
+    method with rank."""
+    each = [s.select(F.struct(F.col("query_id"), F.lit(m).alias("method")).alias("query_id"), id_, "score") for m, s in methods.items()]
+    rows = each[0]
+    for more in each[1:]:
+        rows = rows.unionByName(more)
+    names = [F.col("query_id.query_id").alias("query_id"), F.col("query_id.method").alias("method")]
+    sums = rows.groupBy("query_id").agg(F.count("*").alias("hits"), F.max(F.round("score", 6)).alias("top_score"))
+    best = top_k(rows, id_, k)
+    return sums.select(*names, "hits", "top_score"), best.select(*names, id_, "score", "rank")
+
+
+def embed(df: DataFrame, id_: str, text: str, encoder: Callable[[list[str]], np.ndarray] | None = None, batch: int = 64, name: str = "embedding") -> DataFrame:
+    """id and unit vector of every text, in batches: encoder(list of texts) -> matrix, made once per batch call; null texts count
+    as empty, and a zero vector stays zero. Default: hashing_encoder."""
+    encode = encoder or hashing_encoder
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, batch):
+                some = b.slice(at, batch)
+                x = np.asarray(encode([t or "" for t in some.column(1).to_pylist()]), np.float64).reshape(some.num_rows, -1)
+                norm = np.linalg.norm(x, axis=1, keepdims=True)
+                x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(list(x), pa.list_(pa.float64()))], [id_, name])
+
+    kind = df.schema[id_].dataType.simpleString()
+    return df.select(id_, text).mapInArrow(run, f"{id_} {kind}, {name} array<double>")
+
+
+def re_words(text: str) -> list[str]:
+    """Lower-case runs of ASCII letters and digits, as tokens gives them."""
+    return re.findall("[a-z0-9]+", text.lower())
+
+
+@lru_cache(1 << 16)
+def _slot(word: str) -> int:
+    return int(hashlib.md5(word.encode()).hexdigest()[:4], 16)
+
+
+def hashing_encoder(texts: list[str], dims: int = 64) -> np.ndarray:
+    """Counts of words by slot: the first four hexadecimal digits of the word's md5, modulo dims."""
+    out = np.zeros((len(texts), dims))
+    for row, text in enumerate(texts):
+        np.add.at(out[row], [_slot(w) % dims for w in re_words(text)], 1)
+    return out
+
+
 def multi_field(docs: DataFrame, terms: DataFrame, boosts: dict[str, float], id_: str = "doc_id") -> DataFrame:
     """Per query and document the best of the fields' BM25 scores, each times its boost."""
     parts = [bm25(docs.select(id_, field), terms, id_, field).select("query_id", id_, (boost * F.col("score")).alias("score")) for field, boost in boosts.items()]
@@ -63,6 +204,12 @@ def semantic(vectors: DataFrame, queries: DataFrame, id_: str = "vec_id", vector
     return vectors.select(id_, vector).crossJoin(F.broadcast(queries)).select("query_id", id_, (cosine(F.col(vector), F.col("qvec")) + 1).alias("score"))
 
 
+def cosines(vectors: DataFrame, queries: DataFrame, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """semantic for a query set of any size: the engine decides by size whether it is sent to all tasks."""
+    both = vectors.select(id_, vector).crossJoin(queries)
+    return both.select("query_id", id_, (cosine(F.col(vector), F.col("qvec")) + 1).alias("score"))
+
+
 def hybrid(keyword: DataFrame, semantic_: DataFrame, id_: str, alpha: float = 0.5) -> DataFrame:
     """Documents that match by keyword: alpha (cosine + 1) + (1 - alpha) BM25."""
     both = keyword.withColumnRenamed("score", "k").join(semantic_.withColumnRenamed("score", "s"), ["query_id", id_])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import word_count
 
 def flatten_threads(threads: DataFrame, min_chars: int = 11) -> DataFrame:
     """One row per post and comment with enough text; comments take title and post id from the post, the source if they lack one."""
@@ -48,9 +49,32 @@ def siblings(docs: DataFrame, key: str = "post_id", id_: str = "doc_id") -> Data
     return docs.select(key, id_).join(other, key).where(F.col(id_) != F.col("sibling_id"))
 
 
-def parent_context(comments: DataFrame, posts: DataFrame, n: int = 200) -> DataFrame:
-    """comments(post_id, text) with context: the first n characters of the post's text, ' | ', the comment's."""
-    p = posts.select(F.col("post_id"), F.substring("text", 1, n).alias("context_"))
+def thread_view(docs: DataFrame, id_: str, current, key: str = "post_id", kind: str = "doc_type", score: str = "score", size: int = 20) -> DataFrame:
+    """The thread of one document: its documents by kind, then score from the highest, then id, with place, total and is_current;
+    size rows at most. None for an unknown document or one without a thread."""
+    own = docs.where((F.col(id_) == current) & F.col(key).isNotNull()).select(F.col(key).alias("key_")).limit(1)
+    found = docs.join(own, F.col(key) == F.col("key_"), "left_semi")
+    order = Window.partitionBy(key).orderBy(kind, F.desc(score), id_)
+    view = found.withColumn("place", F.row_number().over(order)).withColumn("total", F.count("*").over(Window.partitionBy(key)))
+    return view.where(F.col("place") <= size).withColumn("is_current", F.col(id_) == current)
+
+
+def thread_views(docs: DataFrame, id_: str, key: str = "post_id", kind: str = "doc_type", score: str = "score") -> DataFrame:
+    """The same order for every thread at once: place and total of each document within its thread; the flag of a current document
+    is a comparison of ids. One row per document, not one per pair."""
+    order = Window.partitionBy(key).orderBy(kind, F.desc(score), id_)
+    return docs.where(F.col(key).isNotNull()).withColumn("place", F.row_number().over(order)).withColumn("total", F.count("*").over(Window.partitionBy(key)))
+
+
+def parent_context(comments: DataFrame, posts: DataFrame, n: int = 200, short: int | None = None) -> DataFrame:
+    """comments(post_id, text) with context: the first n characters of the post's text, ' | ', the comment's. With short: those of the
+    post's title, and only for comments of up to short words; others stay as they are."""
+    lead = F.substring("text" if short is None else "title", 1, n)
+    p = posts.select(F.col("post_id"), lead.alias("context_"))
+    if short is not None:
+        comments = comments.join(p, "post_id", "left")
+        few = (word_count(F.col("text")) <= short) & (F.coalesce("context_", F.lit("")) != "")
+        return comments.withColumn("context", F.when(few, F.concat_ws(" | ", "context_", "text")).otherwise(F.col("text"))).drop("context_")
     return comments.join(p, "post_id", "left").withColumn("context", F.concat_ws(" | ", "context_", "text")).drop("context_")
 
 
@@ -59,6 +83,15 @@ def interleave(df: DataFrame, group: str, order: list[str]) -> DataFrame:
     return df.withColumn("turn", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
 
 
+def effective_score(rows: DataFrame, key: str, parent: str, score: str, name: str = "effective") -> DataFrame:
+    """A post's own score, and a comment's or its parent's if that is lower: at any threshold a comment is kept only with its post. A
+    comment whose post is not there never is (null)."""
+    posts = rows.where(F.col(parent).isNull()).select(F.col(key).alias("up_"), F.col(score).alias("up_score_"))
+    both = rows.join(posts, F.col(parent) == F.col("up_"), "left")
+    own = F.when(F.col(parent).isNull(), F.col(score)).otherwise(F.when(F.col("up_").isNotNull(), F.least(score, "up_score_")))
+    return both.withColumn(name, own).drop("up_", "up_score_")
+
+
 def threshold_sweep(df: DataFrame, score: str, size: str, lo: int = 10, hi: int = 40, step: int = 2, min_rows: int = 40_000, min_words: int = 100_000) -> DataFrame:
     """The highest threshold (percent, hi down to lo) whose rows with score at or above it are enough in number and words.
     One pass: rows are counted by the highest threshold that they reach, and the counts summed from the top."""

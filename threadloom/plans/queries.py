@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicons, text, urls
 from ..functions.dates import year_month
 from ..operators import analytics, dedupe, entities, evaluation, filters, joins, sampling, scoring, search, threads
-from . import record_queries  # noqa: F401  registers its queries
+from . import record_queries, search_queries  # noqa: F401  register their queries
 from .registry import DOCS, QUERIES, TOKENS, WORDS, query, search_docs, table
 
 TERMS = ["the", "of", "thntre", "heon", "der", "que"]
@@ -37,30 +37,27 @@ def _vector_queries(vectors):
     return vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
 
 
-def _one(spark, q=QUERY):
-    return search.query_terms(spark.createDataFrame([(0, q)], "query_id long, query string"))
-
-
 @query(f"WITH q AS (SELECT unnest(['the', 'of', 'thntre']) AS term), {BM25}, {DOCS}, s AS (SELECT doc_id, round({SCORE}, 6) AS score FROM h JOIN f USING (term), z GROUP BY doc_id), k AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 20) SELECT doc_id, score, rank, label, length(text) AS full_length, CASE WHEN length(text) > 600 THEN left(text, 600) || '...' ELSE text END AS preview, length(text) > 600 AS truncated FROM k JOIN docs USING (doc_id)")
 def bm25_topk(spark, sf_dir):
-    """The 20 best documents for a query."""
-    docs = search_docs(spark, sf_dir)
-    best = search.top_k(search.bm25(docs, _one(spark)), "doc_id", 20)
-    return search.result_view(docs.join(F.broadcast(best), "doc_id")).select("doc_id", "score", "rank", "label", "full_length", "preview", "truncated")
+    """The 20 best documents for a query, from the stored index."""
+    index = search_queries.stored_index(spark, sf_dir)
+    best = search.top_k(search.lookup(index, QUERY).withColumn("query_id", F.lit(0)), "doc_id", 20)
+    return search.result_view(search.fetch(index, best)).select("doc_id", "score", "rank", "label", "full_length", "preview", "truncated")
 
 
 @query(f"WITH q AS (SELECT unnest(['the', 'of', 'thntre']) AS term), {BM25}, s AS (SELECT doc_id, round({SCORE}, 6) AS score FROM h JOIN f USING (term), z WHERE source = 'src3' AND lang = 'en' GROUP BY doc_id) SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 20")
 def bm25_filtered(spark, sf_dir):
-    """Search within a source; filters do not score."""
-    docs = table(spark, sf_dir, "documents")
-    return search.top_k(search.bm25(docs, _one(spark), candidates=(F.col("source") == "src3") & (F.col("lang") == "en")), "doc_id", 20).select("doc_id", "score", "rank")
+    """Search within a source, from the stored index; filters do not score."""
+    index = search_queries.stored_index(spark, sf_dir)
+    scores = search.lookup(index, QUERY, (F.col("source") == "src3") & (F.col("lang") == "en"))
+    return search.top_k(scores.withColumn("query_id", F.lit(0)), "doc_id", 20).select("doc_id", "score", "rank")
 
 
 @query(f"WITH q AS (SELECT item_id AS query_id, unnest(list_distinct({TOKENS})) AS term FROM benchmark), {BM25}, s AS (SELECT query_id, doc_id, round({SCORE}, 6) AS score FROM h JOIN f USING (term) JOIN q USING (term), z GROUP BY ALL) SELECT query_id, max(score) AS top_score, count(*) AS hits FROM s GROUP BY query_id")
 def top_score_per_query(spark, sf_dir):
-    """I8, F10, keyword method: every benchmark text as a query, over one scan; best score and hits of each."""
-    terms = search.query_terms(_queries(spark, sf_dir))
-    s = search.bm25(table(spark, sf_dir, "documents"), terms)
+    """every benchmark text as a query by keyword, from the stored index; best score and hits of each. (experiment_matrix has
+    all methods of I8.)"""
+    s = search.indexed_scores(search_queries.stored_index(spark, sf_dir), search.query_terms(_queries(spark, sf_dir)))
     return s.groupBy("query_id").agg(F.max(F.round("score", 6)).alias("top_score"), F.count("*").alias("hits"))
 
 
@@ -69,8 +66,9 @@ def hybrid_topk(spark, sf_dir):
     """Keyword matches ranked by both scores."""
     vectors = table(spark, sf_dir, "embeddings")
     q = vectors.where("vec_id = 7").select(F.lit(0).cast("long").alias("query_id"), F.col("embedding").alias("qvec"))
-    k = search.bm25(table(spark, sf_dir, "documents"), _one(spark))
-    s = search.semantic(vectors, q).withColumnRenamed("vec_id", "doc_id")
+    k = search.lookup(search_queries.stored_index(spark, sf_dir), QUERY).withColumn("query_id", F.lit(0).cast("long"))
+    found = vectors.join(k.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+    s = search.semantic(found, q).withColumnRenamed("vec_id", "doc_id")
     return search.top_k(search.hybrid(k, s, "doc_id"), "doc_id", 20).select("doc_id", "score", "rank")
 
 
@@ -93,7 +91,7 @@ def semantic_topk_all(spark, sf_dir):
 def hybrid_topk_all(spark, sf_dir):
     """Keyword matches of one text ranked by both scores, for each of these query vectors."""
     vectors = table(spark, sf_dir, "embeddings")
-    k = search.bm25(table(spark, sf_dir, "documents"), _one(spark)).select("doc_id", F.col("score").alias("k"))
+    k = search.lookup(search_queries.stored_index(spark, sf_dir), QUERY).select("doc_id", F.col("score").alias("k"))
     found = vectors.withColumnRenamed("vec_id", "doc_id").join(k, "doc_id")
     return search.nearest(found, _vector_queries(vectors), 20, "doc_id", plus=0.5 * F.col("k"), alpha=0.5).select("query_id", "doc_id", "score", "rank")
 
@@ -165,7 +163,7 @@ def tool_comparison(spark, sf_dir):
 
 @query(f"WITH t AS (SELECT unnest({TOKENS}) AS term FROM documents), k AS (SELECT term, count(*) AS n FROM t GROUP BY term ORDER BY n DESC, term LIMIT 60) SELECT term, n, round(CASE WHEN max(n) OVER () > min(n) OVER () THEN 10.0::DOUBLE + 40.0::DOUBLE * (n - min(n) OVER ()) / (max(n) OVER () - min(n) OVER ()) ELSE 50.0 END, 6) AS weight FROM k")
 def term_cloud(spark, sf_dir):
-    """Most common terms with weights."""
+    """Most common terms with weights."""
     t = table(spark, sf_dir, "documents").select(F.explode(text.tokens(F.col("text"))).alias("term"))
     return analytics.term_cloud(t, "term", 60)
 
@@ -179,7 +177,7 @@ def vocabulary_size(spark, sf_dir):
 
 @query(f"WITH {DOCS} SELECT count(*) AS total, count(*) FILTER (lang = 'en') AS english, count(DISTINCT source) AS sources, round(avg(length(text)), 6) AS avg_chars, min(doc_id) AS first_id, max(doc_id) AS last_id, count(*) FILTER (label = 'positive') AS positive FROM docs")
 def corpus_stats(spark, sf_dir):
-    """One-row summary."""
+    """One-row summary."""
     d = search_docs(spark, sf_dir)
     return d.agg(F.count("*").alias("total"), F.count_if(F.col("lang") == "en").alias("english"), F.count_distinct("source").alias("sources"), F.round(F.avg(F.length("text")), 6).alias("avg_chars"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.count_if(F.col("label") == "positive").alias("positive"))
 
@@ -262,7 +260,7 @@ def _pairs(spark, sf_dir):
 
 @query(f"WITH {PRED} SELECT doc_id, y_true, y_pred, lang FROM p")
 def align_labels(spark, sf_dir):
-    """True and predicted labels by id."""
+    """True and predicted labels by id."""
     return _pairs(spark, sf_dir)
 
 
@@ -353,7 +351,7 @@ def is_member(spark, sf_dir):
 
 @query("SELECT coalesce(l.doc_id, u.doc_id) AS doc_id, coalesce(u.quality, l.quality) AS quality, l.toxic FROM labels l FULL JOIN (SELECT doc_id, 1 - doc_id % 2 AS quality FROM documents WHERE doc_id % 10 = 0) u USING (doc_id)")
 def apply_labels(spark, sf_dir):
-    """Updates of known keys, and new ones."""
+    """Updates of known keys, and new ones."""
     updates = table(spark, sf_dir, "documents").where("doc_id % 10 = 0").select("doc_id", (1 - F.col("doc_id") % 2).alias("quality"))
     return joins.upsert(table(spark, sf_dir, "labels"), updates, "doc_id")
 
@@ -441,7 +439,7 @@ def _thread(spark, sf_dir):
 
 @query(f"WITH {THREAD} SELECT a.post_id, a.doc_id, b.doc_id AS sibling_id FROM t a JOIN t b ON a.post_id = b.post_id AND a.doc_id <> b.doc_id")
 def siblings(spark, sf_dir):
-    """Other documents of the same thread."""
+    """Other documents of the same thread, as pairs (thread_of_doc and sorted_threads give threads in order)."""
     return threads.siblings(_thread(spark, sf_dir))
 
 
@@ -657,7 +655,7 @@ def lexicon_mean(spark, sf_dir):
 
 @query(None)
 def normalize_text(spark, sf_dir):
-    """All normalisation stages, and sentences."""
+    """The normalisation stages in order, and sentences."""
     d = table(spark, sf_dir, "documents").select("doc_id", text.normalize_text(F.col("text"), {"imo": "in my opinion", "btw": "by the way"}, {":)": "smile"}).alias("normalized"))
     return d.withColumn("sentences", text.split_sentences(F.col("normalized")))
 

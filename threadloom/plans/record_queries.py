@@ -88,7 +88,7 @@ def search_results(spark, sf_dir):
 
 @query("SELECT doc_id, source, coalesce(lang, 'unknown') AS lang FROM documents WHERE source = 'src3'")
 def search_table(spark, sf_dir):
-    """The search store, read with its folder pruned."""
+    """The search store, read with its folder pruned."""
     path = staged_path(spark)
     records.save_search_table(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), path)
     return spark.read.schema("doc_id long, lang string, source string").parquet(path).where("source = 'src3'").select("doc_id", "source", F.coalesce("lang", F.lit("unknown")).alias("lang"))
@@ -146,7 +146,7 @@ LEXICON = [("the", 0.5), ("of", -0.25), ("der", 1.0), ("heon", -2.0)]
 
 @query(None)
 def annotate(spark, sf_dir):
-    """Normalised text, subjectivity, polarity and route of every document, as one plan."""
+    """Normalised text, subjectivity, polarity and route of every document, as one plan."""
     lexicon = spark.createDataFrame(LEXICON, "word string, polarity double")
     return scoring.annotate(table(spark, sf_dir, "documents"), "doc_id", "text", lexicon, ["not", "nicht"])
 
