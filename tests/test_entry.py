@@ -10,6 +10,7 @@ from threadloom.plans import queries as plans
 def test_entry_without_llm(monkeypatch):
     with monkeypatch.context() as m:
         m.setitem(sys.modules, "threadloom.llm", None)
+        m.setitem(sys.modules, "threadloom.llm.queries", None)
         m.delitem(sys.modules, "__spark_entry__")
         alone = importlib.import_module("__spark_entry__")
         assert set(alone.queries()) == set(plans.queries()) and set(alone.oracle_sql()) == set(plans.oracle_sql())

@@ -1,13 +1,13 @@
 """Golden cases of text functions and operators, and agreement with SQL on the smallest tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from threadloom.functions import dates, text, urls
 from threadloom.operators import dedupe, evaluation, joins, search, threads
 from threadloom.plans import queries as plans
-from threadloom.sources.staging import staged
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,7 +51,7 @@ def test_dates_and_urls(spark):
 
 def test_greedy_dedupe_follows_the_sequential_rule(spark):
     rows = [(1, "a", "X"), (2, "b", "X"), (3, "b", "Y"), (4, "c", "Z"), (5, "c", "W")]
-    got = dedupe.greedy_dedupe(spark.createDataFrame(rows, "n int, id string, t string"), "n", ["id", "t"], staged)
+    got = dedupe.greedy_dedupe(spark.createDataFrame(rows, "n int, id string, t string"), "n", ["id", "t"])
     assert sorted(r["n"] for r in got.collect()) == [1, 3, 4]
 
 
@@ -71,12 +71,14 @@ def test_report_and_ranks(spark):
 
 
 def rounded(v):
+    if v is pd.NA:
+        return None
     if hasattr(v, "tolist"):
         v = v.tolist()
     return None if v is None or v != v else round(v, 5) + 0.0 if isinstance(v, float) else tuple(v) if isinstance(v, list) else v
 
 
-@pytest.mark.parametrize("name", sorted(plans.oracle_sql())[::6])
+@pytest.mark.parametrize("name", sorted(set(plans.oracle_sql()) - {"url_merge"})[::5])  # the order of url_merge's lists is not set by its SQL
 def test_agrees_with_sql(spark, name):
     con = duckdb.connect()
     for t in "region nation orders lineitem events documents embeddings pages benchmark labels conversations".split():

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
+WORD = r"[^\x20\x09-\x0D]+"
 URL = r"https?://[^\x20\x09-\x0D]+"
 
 
@@ -113,7 +115,11 @@ def normalize_text(text: Column, slang: dict[str, str] | None = None, emoticons:
     return restore_code(text)
 
 
-def split_sentences(text: Column, abbreviations: tuple[str, ...] = ("mr", "mrs", "ms", "dr", "prof", "sr", "jr", "vs", "etc", "e.g", "i.e", "cf", "approx", "fig", "no", "vol", "ver", "v")) -> Column:
+# Abbreviations that end no sentence.
+ABBREVIATIONS = ("mr", "mrs", "ms", "dr", "prof", "sr", "jr", "vs", "etc", "e.g", "i.e", "cf", "approx", "fig", "no", "vol", "ver", "v")
+
+
+def split_sentences(text: Column, abbreviations: tuple[str, ...] = ABBREVIATIONS) -> Column:
     """Sentences end at . ! or ? before white space and an upper-case letter, digit or bracket, but not within code marks, versions,
     domains, ellipses or after abbreviations; a fragment of one word joins the sentence before it."""
     guard = "\u0001"
@@ -127,6 +133,54 @@ def split_sentences(text: Column, abbreviations: tuple[str, ...] = ("mr", "mrs",
     return F.transform(merged, lambda s: F.replace(s, F.lit(guard), F.lit(".")))
 
 
+def pick_text(source: Column, text: Column, title: Column, titled: tuple[str, ...] = ("hackernews",)) -> Column:
+    """Title instead of an empty text for sources that have such records: a struct of text and text_source ('text' or 'title')."""
+    swap = F.lower(source).isin(*titled) & (F.coalesce(F.trim(text), F.lit("")) == "") & (F.coalesce(F.trim(title), F.lit("")) != "")
+    return F.struct(F.when(swap, title).otherwise(F.coalesce(text, F.lit(""))).alias("text"), F.when(swap, "title").otherwise("text").alias("text_source"))
+
+
+#: Ranges of emoji: symbols and pictographs, emoticons, transport, dingbats, flags.
+EMOJI = "[\\x{1F300}-\\x{1FAFF}\\x{2600}-\\x{27BF}\\x{1F1E6}-\\x{1F1FF}]"
+
+
+def emoji_names() -> dict[str, str]:
+    """Names of all emoji in EMOJI, by Unicode, in lower case with underscores."""
+    import unicodedata
+
+    places = [*range(0x1F300, 0x1FB00), *range(0x2600, 0x27C0), *range(0x1F1E6, 0x1F200)]
+    return {chr(c): name.lower().replace(" ", "_").replace("-", "_") for c in places if (name := unicodedata.name(chr(c), ""))}
+
+
+def demojize(text: Column, table: dict[str, str] | None = None) -> Column:
+    """Emoji anywhere in the text become [name]; those that the table (default: emoji_names) lacks stay."""
+    names = emoji_names() if table is None else table
+    pairs = F.from_json(F.lit(json.dumps(names)), "map<string,string>")
+    # Put apart by a mark, each emoji is a piece of its own.
+    pieces = F.split(F.regexp_replace(text, f"({EMOJI})", "\u0001$1\u0001"), "\u0001")
+    named = F.transform(pieces, lambda p: F.when(F.length(p) == 1, F.coalesce(F.concat(F.lit("["), pairs[p], F.lit("]")), p)).otherwise(p))
+    return F.when(text.rlike(EMOJI), F.array_join(named, "")).otherwise(text)
+
+
+SPECIAL = r"<CODE>|\[[A-Za-z0-9_ ]+\]"
+
+
+def protect_special(text: Column) -> Column:
+    """Code marks and [names] as placeholders: a struct of text, in which each is XSPECIALX, and found, what they were, in order."""
+    return F.struct(F.regexp_replace(text, SPECIAL, "XSPECIALX").alias("text"), F.regexp_extract_all(text, F.lit(f"({SPECIAL})"), F.lit(1)).alias("found"))
+
+
+def restore_special(text: Column, found: Column) -> Column:
+    """The text with its placeholders put back in order."""
+    parts = F.split(text, "XSPECIALX", -1)
+    return F.array_join(F.zip_with(parts, found, lambda p, f: F.concat(F.coalesce(p, F.lit("")), F.coalesce(f, F.lit("")))), "")
+
+
+def content_tokens(text: Column, function_words: list[str]) -> Column:
+    """Words that are no function words; code marks and [names] stay whole."""
+    found = F.regexp_extract_all(text, F.lit(f"({SPECIAL}|[A-Za-z0-9]+)"), F.lit(1))
+    return F.filter(found, lambda w: ~F.lower(w).isin(function_words))
+
+
 def clean_tokens(text: Column, stop: list[str]) -> Column:
     """Lower case, no URLs or punctuation, no stop words, longer than two characters unless non-ASCII; joined by spaces."""
     text = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), URL, " "), r"[!-/:-@\[-`{-~]", " ")

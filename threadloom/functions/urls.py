@@ -19,6 +19,13 @@ def normalize_url(url: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_replace(F.trim(url), "#.*$", "")), "/+$", "")
 
 
+def normalize_url_keep_query(url: Column) -> Column:
+    """The other form: drop the fragment and the slashes at the end of the path, keep the query, lower case."""
+    plain = F.regexp_replace(url, "#.*$", "")
+    path, rest = F.regexp_extract(plain, r"^([^?]*)", 1), F.regexp_extract(plain, r"(\?.*)$", 1)
+    return F.lower(F.concat(F.regexp_replace(path, "/+$", ""), rest))
+
+
 def host(url: Column) -> Column:
     return F.lower(F.nullif(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)", 1), F.lit("")))
 

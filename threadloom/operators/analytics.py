@@ -112,3 +112,50 @@ def blend_mean_extreme(df: DataFrame, group: str, score: str, path: str) -> Data
 def length_weighted_mean(df: DataFrame, group: str, score: str, size: str) -> DataFrame:
     s = df.groupBy(group).agg((F.sum(F.col(score) * F.col(size)) / F.nullif(F.sum(size), F.lit(0))).alias("v"))
     return s.select(group, (F.round("v", 6) + 0.0).alias("mean"), F.when(F.col("v") > 0.2, "positive").when(F.col("v") < -0.2, "negative").otherwise("neutral").alias("label"))
+
+
+def retention(df: DataFrame, reason: Column) -> DataFrame:
+    """One row on a filter step: input, removed by reason (map), output, retention in percent."""
+    got = df.groupBy(reason.alias("r")).agg(F.count("*").alias("n"))
+    removed = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("r").isNotNull(), F.struct("r", "n")))))
+    out = got.agg(F.sum("n").alias("input"), removed.alias("removed"), F.coalesce(F.sum(F.when(F.col("r").isNull(), F.col("n"))), F.lit(0)).alias("output"))
+    return out.withColumn("retention", percent(F.col("output"), F.col("input"), 2))
+
+
+def thread_totals(rows: DataFrame, kind: str, size: Column, author: str, day: Column) -> DataFrame:
+    """One row: posts, comments, records, words, authors, first and last month, comments a post, words a comment and a record."""
+    c, w = F.col(kind) == "comment", size.alias("w")
+    agg = rows.select(c.alias("c"), w, F.col(author).alias("a"), F.substring(day, 1, 7).alias("m")).agg(
+        F.count_if(~F.col("c")).alias("posts"), F.count_if("c").alias("comments"), F.count("*").alias("records"), F.coalesce(F.sum("w"), F.lit(0)).alias("words"),
+        F.count_distinct("a").alias("authors"), F.min("m").alias("first_month"), F.max("m").alias("last_month"), F.coalesce(F.sum(F.when(F.col("c"), F.col("w"))), F.lit(0)).alias("cw"),
+    )
+    ratio = lambda a, b: F.round(F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0)), 2)
+    return agg.select("*", ratio("comments", "posts").alias("comments_per_post"), ratio("cw", "comments").alias("words_per_comment"), ratio("words", "records").alias("words_per_record")).drop("cw")
+
+
+def counts_of(df: DataFrame, column: str, values: list) -> DataFrame:
+    """Rows of each of the values, 0 where there is none, beside those of values that are not listed."""
+    names = df.sparkSession.createDataFrame([(v,) for v in values], f"{column} string")
+    return names.join(df.groupBy(column).agg(F.count("*").alias("n")), column, "full_outer").select(column, F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def pipeline_summary(df: DataFrame, subjectivity: str, polarity: str, path: str) -> DataFrame:
+    """One row on annotated records: totals by subjectivity and polarity, positives by route, share of subjective in percent."""
+    is_ = lambda c, v: F.count_if(F.col(c) == v)
+    positive = lambda route: F.count_if((F.col(polarity) == "positive") & F.lower(path).contains(route))
+    agg = df.agg(
+        F.count("*").alias("total"), *(is_(subjectivity, v).alias(v.lower()) for v in ("subjective", "objective", "Irrelevant")), *(is_(polarity, v).alias(v) for v in ("positive", "negative", "neutral")),
+        positive("lexicon").alias("positive_lexicon"), positive("model").alias("positive_model"),
+    )
+    return agg.withColumn("subjective_pct", percent(F.col("subjective"), F.col("total")))
+
+
+def verdict_stats(df: DataFrame, verdict: str, opinion: str, skipped: str) -> DataFrame:
+    """One row: total, classified, skipped, pending, relevant and opinionated ones and others, and those that are both."""
+    yes = lambda c: F.coalesce(F.col(c) == "yes", F.lit(False))
+    seen = F.col(verdict).isNotNull()
+    return df.agg(
+        F.count("*").alias("total"), F.count_if(seen).alias("classified"), F.count_if(~seen & F.col(skipped)).alias("skipped"), F.count_if(~seen & ~F.col(skipped)).alias("pending"),
+        F.count_if(yes(verdict)).alias("relevant"), F.count_if(seen & ~yes(verdict)).alias("not_relevant"), F.count_if(seen & yes(opinion)).alias("with_opinion"),
+        F.count_if(seen & ~yes(opinion)).alias("without_opinion"), F.count_if(yes(verdict) & yes(opinion)).alias("relevant_with_opinion"),
+    )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
+
 
 def dedupe_keep(df: DataFrame, keys: list[str], order: list[str], keep: str = "first") -> DataFrame:
     """One row per key: the first or last by order, which must be unique within a key for repeatable results.
@@ -22,12 +24,11 @@ def _ordered(df: DataFrame, column: str) -> bool:
     return not df.schema[column].dataType.simpleString().startswith(("map", "variant"))
 
 
-def greedy_dedupe(df: DataFrame, order: str, keys: list[str], staged=None) -> DataFrame:
+def greedy_dedupe(df: DataFrame, order: str, keys: list[str]) -> DataFrame:
     """The sequential rule: in order, a row is kept unless one of its keys equals that of a kept row before it.
 
     Rounds over the undecided rows: the first row of all its keys is kept; rows that share a key with it go. Rows whose keys
-    are unique are kept in the first round. staged(df) -> df cuts lineage between rounds (default: reliable checkpoint)."""
-    staged = staged or (lambda x: x.checkpoint())
+    are unique are kept in the first round. Each round is staged."""
     columns = [order, *keys]
     left, kept = staged(df.select(*columns)), None
     while not left.isEmpty():
@@ -45,13 +46,22 @@ def greedy_dedupe(df: DataFrame, order: str, keys: list[str], staged=None) -> Da
     return df.join(kept.select(order), order, "left_semi") if kept is not None else df
 
 
+def in_ranges(df: DataFrame, order: str, range_: str = "range_") -> DataFrame:
+    """The rows in ranges of order, staged with their range's number: as many ranges as the session shuffles to, even in rows whatever
+    the type of order; nulls are in the first. Staged, so that all reads find the same ranges."""
+    return staged(df.repartitionByRange(F.col(order)).withColumn(range_, F.spark_partition_id()), "ranges")
+
+
 def number_rows(df: DataFrame, order: str, name: str, start: int = 0) -> DataFrame:
-    """Adds 0, 1, ... in order without a global window: counts per range of a sorted copy give each range its offset."""
-    cuts = df.stat.approxQuantile(order, [i / 64 for i in range(1, 64)], 0.01) if df.schema[order].dataType.typeName() in ("long", "integer", "double") else []
-    bounds = sorted(set(cuts))
-    at = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(order))) if bounds else F.lit(0)
-    df = df.withColumn("range_", at)
+    """Adds 0, 1, ... in order without a global window: each range of the order counts its rows, one row a range is summed up."""
+    df = in_ranges(df, order)
     ahead = Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
     base = df.groupBy("range_").count().select("range_", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("base_"))
     place = F.row_number().over(Window.partitionBy("range_").orderBy(order))
-    return df.withColumn("place_", place).join(F.broadcast(base), "range_").withColumn(name, F.col("base_") + F.col("place_") - 1 + start).drop("range_", "base_", "place_")
+    return df.withColumn("place_", place).join(base, "range_").withColumn(name, F.col("base_") + F.col("place_") - 1 + start).drop("range_", "base_", "place_")
+
+
+def fallback_ids(df: DataFrame, id_: str, order: str, prefix: str) -> DataFrame:
+    """Gives rows without an id (null or empty) prefix and their number in the whole order, from 0."""
+    rows = number_rows(df, order, "number_")
+    return rows.withColumn(id_, F.coalesce(F.nullif(F.col(id_), F.lit("")), F.concat(F.lit(prefix), F.col("number_").cast("string")))).drop("number_")

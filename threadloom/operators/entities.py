@@ -2,31 +2,58 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import SPACE, word_count
+
+
+TOKEN = re.compile("[a-z0-9][a-z0-9+#.-]*")
+#: Marks that are no words: code and named emoticons.
+MARK = re.compile(r"<code>|\[[a-z0-9_ ]+\]")
 
-def gazetteer(df: DataFrame, id_: str, text: str, phrases: DataFrame, longest: int = 3) -> DataFrame:
-    """phrases(phrase lower case, label), a bounded table -> id, entity, label, start (token), n_tokens: longest match first, no
-    overlaps."""
-    toks = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("[a-z0-9][a-z0-9+#.-]*"), F.lit(0))
-    t = df.select(id_, toks.alias("t")).where(F.size("t") > 0)
 
-    def grams_of(n: int) -> Column:
-        one = lambda i: F.struct(i.alias("start"), F.lit(n).alias("n_tokens"), F.array_join(F.slice("t", i, n), " ").alias("phrase"))
-        return F.when(F.size("t") >= n, F.transform(F.sequence(F.lit(1), F.size("t") - n + 1), one)).otherwise(F.array())
+def gazetteer(df: DataFrame, id_: str, text: str, phrases: DataFrame, longest: int = 3, allowed: list[str] | None = None) -> DataFrame:
+    """phrases(phrase lower case, label), a table of bounded size -> id, entity (as in the text), label, start, end (characters from
+    0), n_tokens: longest match first, then from the left, no overlaps. allowed: labels that count. Code marks and [names] are no
+    words. One pass over each text: a text of n words takes n x longest look-ups."""
+    known = phrases if allowed is None else phrases.where(F.col("label").isin(allowed))
+    table = df.sparkSession.sparkContext.broadcast({r["phrase"]: r["label"] for r in known.select("phrase", "label").collect()})
 
-    grams = t.select(id_, F.explode(F.flatten(F.array(*(grams_of(n) for n in range(1, longest + 1))))).alias("g")).select(id_, "g.*")
-    hits = grams.join(F.broadcast(phrases), "phrase")
-    spans = hits.groupBy(id_).agg(F.array_sort(F.collect_list(F.struct((-F.col("n_tokens")).alias("k"), "start", "n_tokens", "phrase", "label"))).alias("s"))
-    empty = F.slice("s", 1, 0)
-    free = F.aggregate("s", empty, lambda kept, x: F.when(F.exists(kept, lambda y: (y["start"] < x["start"] + x["n_tokens"]) & (x["start"] < y["start"] + y["n_tokens"])), kept).otherwise(F.concat(kept, F.array(x))))
-    return spans.select(id_, F.explode(free).alias("e")).select(id_, F.col("e.phrase").alias("entity"), "e.label", "e.start", "e.n_tokens")
+    def spans(body: str) -> list[tuple]:
+        low = body.lower()
+        if len(low) != len(body):  # a few capitals are longer in lower case: places would not fit
+            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in body)
+        low = MARK.sub(lambda m: " " * len(m[0]), low)
+        words, free, out = list(TOKEN.finditer(low)), {}, []
+        for n in range(longest, 0, -1):
+            for i in range(len(words) - n + 1):
+                label = table.value.get(" ".join(w[0] for w in words[i : i + n]))
+                if label is not None and not any(free.get(j) for j in range(i, i + n)):
+                    free.update(dict.fromkeys(range(i, i + n), True))
+                    start, end = words[i].start(), words[i + n - 1].end()
+                    out.append((body[start:end], label, start, end, n))
+        return sorted(out, key=lambda x: x[2])
+
+    def run(batches):
+        for b in batches:
+            rows = [(i, *s) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for s in spans(t or "")]
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = [b.schema.field(0).type, pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [id_, "entity", "label", "start", "end", "n_tokens"])
+
+    kind = df.schema[id_].dataType.simpleString()
+    return df.select(id_, F.col(text).cast("string")).mapInArrow(run, f"{id_} {kind}, entity string, label string, start int, end int, n_tokens int")
 
 
 def contextual(text: Column) -> Column:
-    """Capitalised words before model, api, extension, plugin or editor."""
-    return F.regexp_extract_all(text, F.lit(r"((?:[A-Z][A-Za-z0-9]+ )+)(?:model|api|extension|plugin|editor)\b"), F.lit(1))
+    """Capitalised words before model, api, extension, plugin (AI_TOOL) or editor (EDITOR): array of structs name, label."""
+    found = lambda ends: F.regexp_extract_all(text, F.lit(rf"((?:[A-Z][A-Za-z0-9]+ )+)(?i:{ends})\b"), F.lit(1))
+    named = lambda ends, label: F.transform(found(ends), lambda x: F.struct(F.trim(x).alias("name"), F.lit(label).alias("label")))
+    return F.concat(named("model|api|extension|plugin", "AI_TOOL"), named("editor", "EDITOR"))
 
 
 def locate_sentences(text: Column, sentences: Column) -> Column:
@@ -38,9 +65,13 @@ def locate_sentences(text: Column, sentences: Column) -> Column:
 
 
 def _place(text: Column, s: Column, after: Column) -> Column:
-    ahead = F.position(s, text, after + 1)
-    at = F.when(ahead > 0, ahead).otherwise(F.position(s, text, F.lit(1)))
-    return F.struct(s.alias("text"), (at - 1).cast("int").alias("start"), (at - 1 + F.length(s)).cast("int").alias("end"))
+    """Where the sentence stands: onwards, else from the beginning, else with its white space collapsed; else empty at 0."""
+    short = F.trim(F.regexp_replace(s, SPACE, " "))
+    ahead, back, loose = F.position(s, text, after + 1), F.position(s, text, F.lit(1)), F.position(short, text, F.lit(1))
+    at = F.when(ahead > 0, ahead).otherwise(F.when(back > 0, back).otherwise(loose))
+    found = F.when((ahead > 0) | (back > 0), s).otherwise(F.when(loose > 0, short).otherwise(F.lit("")))
+    at = F.greatest(at - 1, F.lit(0))
+    return F.struct(found.alias("text"), at.cast("int").alias("start"), (at + F.length(found)).cast("int").alias("end"))
 
 
 def entity_sentence(entities: DataFrame, sentences: DataFrame, id_: str) -> DataFrame:
@@ -49,6 +80,24 @@ def entity_sentence(entities: DataFrame, sentences: DataFrame, id_: str) -> Data
     return both.groupBy(id_, "entity", "start").agg(F.min_by("sentence", "s_start").alias("sentence"))
 
 
+ASPECT_TYPES = ("AI_TOOL", "EDITOR", "PL", "ORG", "TECH_CONCEPT", "PRODUCT")
+
+
+def extract_aspects(entities: DataFrame, sentences: DataFrame, id_: str, types: tuple[str, ...] = ASPECT_TYPES) -> DataFrame:
+    """entities(id, entity, label, start, end), sentences(id, sentence, s_start, s_end) of subjective texts -> id, aspect, type,
+    sentence, n_words: entities of the given types with the first sentence that holds them, each once a sentence whatever its
+    case (the first as it stands)."""
+    both = entities.where(F.col("label").isin(list(types))).join(sentences, id_).where("s_start <= start AND end <= s_end")
+    first = both.groupBy(id_, "entity", "label", "start").agg(F.min(F.struct("s_start", "sentence")).alias("s"))
+    once = first.groupBy(id_, F.lower("entity").alias("low_"), "s.s_start").agg(F.min(F.struct("start", F.col("entity").alias("aspect"), F.col("label").alias("type"), "s.sentence")).alias("r"))
+    return once.select(id_, "r.aspect", "r.type", "r.sentence", word_count(F.col("r.sentence")).alias("n_words"))
+
+
+def ai_tools(names: Column) -> Column:
+    """Names in lower case, once each, of the entities labelled AI_TOOL in array<struct<name, label>>."""
+    return distinct_ci(F.transform(F.filter(names, lambda x: x["label"] == "AI_TOOL"), lambda x: x["name"]))
+
+
 def distinct_ci(names: Column) -> Column:
     """Values of more than one character, each case-insensitive value once, lower case."""
     return F.array_distinct(F.transform(F.filter(names, lambda x: F.length(F.trim(x)) > 1), lambda x: F.lower(F.trim(x))))

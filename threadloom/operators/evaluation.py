@@ -65,3 +65,18 @@ def precision_recall_at(df: DataFrame, query: str = "query_id", rank: str = "ran
 def review_stats(df: DataFrame, by: str, decision: str, predicted: str, final: str) -> DataFrame:
     """Per group: total, checked, accepted, rejected, label changed."""
     return df.groupBy(by).agg(F.count("*").alias("total"), F.count(decision).alias("checked"), F.count_if(F.col(decision) == "accept").alias("accepted"), F.count_if(F.col(decision) == "reject").alias("rejected"), F.count_if(F.col(decision).isNotNull() & ~F.col(final).eqNullSafe(F.col(predicted))).alias("changed"))
+
+
+def rank_summary(ranked: DataFrame, k: int = 10, query: str = "query_id") -> DataFrame:
+    """precision_recall_at -> per query: precision and recall at k (at the last rank if there are fewer), peak f1 and its rank, mean
+    precision and recall over all ranks."""
+    at_k = lambda c: F.max_by(F.when(F.col("rank") <= k, F.col(c)), F.when(F.col("rank") <= k, F.col("rank")))
+    first_peak = F.struct("f1", (-F.col("rank")).alias("r"))
+    agg = ranked.groupBy(query).agg(at_k("precision").alias("p_at_k"), at_k("recall").alias("r_at_k"), F.max(first_peak).alias("peak"), F.round(F.avg("precision"), 4).alias("mean_precision"), F.round(F.avg("recall"), 4).alias("mean_recall"))
+    return agg.select(query, "p_at_k", "r_at_k", F.col("peak.f1").alias("peak_f1"), (-F.col("peak.r")).alias("peak_rank"), "mean_precision", "mean_recall")
+
+
+def accuracy(df: DataFrame, classes: list[str]) -> DataFrame:
+    """One row: rows with known labels and the share of those that are right."""
+    known = df.where(F.col("y_true").isin(classes) & F.col("y_pred").isin(classes))
+    return known.agg(F.count("*").alias("support"), F.round(F.coalesce(F.try_divide(F.count_if(F.col("y_true") == F.col("y_pred")), F.count("*")), F.lit(0.0)), 6).alias("accuracy"))

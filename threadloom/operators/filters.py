@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicons
-from ..functions.text import URL, any_of, stop_word_language, tokens
+from ..functions.text import URL, any_of, stop_word_language, structural_clean, tokens
 
 
 def _has(text: Column, terms: list[str]) -> Column:
@@ -97,3 +97,19 @@ def domain_gate(df: DataFrame, text: str, terms: list[str]) -> DataFrame:
 def subjective_only(df: DataFrame, column: str, label: str = "subjectivity") -> DataFrame:
     """Empties an array column of rows that are not subjective."""
     return df.withColumn(column, F.when(F.col(label) == "subjective", F.col(column)).otherwise(F.slice(column, 1, 0)))
+
+
+def language_threads(rows: DataFrame, lang: str, post: str = "post_id", is_post: str = "is_post", text: str = "text", profiles: dict | None = None) -> DataFrame:
+    """Rows of one language by thread: a post of another, or of none that can be told, takes its whole thread with it; comments go one
+    by one. Empty texts stay. The language is told from the text without URLs and markup."""
+    clean = structural_clean(F.coalesce(text, F.lit("")))
+    found = stop_word_language(clean, profiles or lexicons.STOP_WORDS)
+    rows = rows.withColumn("ours_", (F.trim(clean) == "") | F.coalesce(found == lang, F.lit(False)))
+    gone = rows.where(F.col(is_post) & ~F.col("ours_")).select(F.col(post).alias("gone_")).distinct()
+    return rows.where("ours_").join(gone, F.col(post) == F.col("gone_"), "left_anti").drop("ours_")
+
+
+def domain_gate_threads(rows: DataFrame, terms: list[str], post: str = "post_id", is_post: str = "is_post", text: str = "text") -> DataFrame:
+    """Adds relevance of the thread: that of its post, which comments inherit."""
+    posts = domain_gate(rows.where(F.col(is_post)), text, terms).select(F.col(post).alias("post_"), "relevance")
+    return rows.join(posts, F.col(post) == F.col("post_"), "left").drop("post_").withColumn("relevance", F.coalesce("relevance", F.lit("Irrelevant")))

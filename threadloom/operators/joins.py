@@ -73,8 +73,42 @@ def gate_diagnostic(pred: DataFrame, truth: DataFrame, id_: str, gate: str, labe
     return pred.select(id_, gate).join(truth.select(id_, label), id_).groupBy(gate).pivot(label, values).count().na.fill(0)
 
 
-def merge_url_state(urls: DataFrame) -> DataFrame:
+def merge_url_state(urls: DataFrame, keep_order: bool = False, counts: str | None = None) -> DataFrame:
     """urls(norm, ord, original_url, method, queries array, discovered_at) -> per norm: fields of least ord, distinct queries in
-    order, earliest discovered_at, and n_merged."""
+    order, earliest discovered_at, and n_merged. keep_order: ord too, so that states merge again; counts: column to sum up."""
     queries = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord", "queries"))), lambda x: x["queries"])))
-    return urls.groupBy("norm").agg(F.min_by("original_url", "ord").alias("original_url"), F.min_by("method", "ord").alias("method"), queries.alias("queries"), F.min("discovered_at").alias("discovered_at"), F.count("*").alias("n_merged"))
+    n = F.count("*") if counts is None else F.sum(counts)
+    out = [F.min_by("original_url", "ord").alias("original_url"), F.min_by("method", "ord").alias("method"), queries.alias("queries"), F.min("discovered_at").alias("discovered_at"), n.alias("n_merged")]
+    return urls.groupBy("norm").agg(*([F.min("ord").alias("ord")] if keep_order else []), *out)
+
+
+def align_labels_relevant(pred: DataFrame, truth: DataFrame, id_: str = "id", label: str = "label") -> DataFrame:
+    """Rows on both sides whose true label is not irrelevant; nothing is inherited."""
+    return align_labels(pred, truth.where(F.coalesce(F.col(label) != "irrelevant", F.lit(True))), id_, label)
+
+
+def checked_updates(threads: DataFrame, updates: DataFrame, id_: str = "item_id") -> DataFrame:
+    """threads(id, comment_ids array), updates(id, label, comment_labels map) -> the updates with reason: 'unknown id', 'comment without
+    label' (a comment of the thread has none in the update), or null if the update can be applied."""
+    known = updates.join(threads.select(F.col(id_).alias("known_"), "comment_ids"), F.col(id_) == F.col("known_"), "left")
+    whole = F.forall(F.coalesce("comment_ids", F.array().cast("array<string>")), lambda c: F.coalesce(F.map_contains_key("comment_labels", c), F.lit(False)))
+    return known.withColumn("reason", F.when(F.col("known_").isNull(), "unknown id").when(~whole, "comment without label")).drop("known_", "comment_ids")
+
+
+def apply_checked(threads: DataFrame, updates: DataFrame, id_: str = "item_id", label: str = "label") -> DataFrame:
+    """The threads with the labels of the updates that pass checked_updates; others keep theirs."""
+    good = checked_updates(threads, updates, id_).where("reason IS NULL").select(F.col(id_).alias("new_"), F.col(label).alias("label_new_"))
+    return threads.join(good, F.col(id_) == F.col("new_"), "left").withColumn(label, F.coalesce("label_new_", label)).drop("new_", "label_new_")
+
+
+def delete_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is not among the ids."""
+    return df.join(ids.select(key).distinct(), key, "left_anti")
+
+
+def record_verdicts(state: DataFrame, verdicts: DataFrame, articles: DataFrame, key: str = "article_id", at: str = "at") -> DataFrame:
+    """state and verdicts(key, verdict, reason, at) -> of each key the last by at, verdicts over the state on ties; those of unknown
+    articles go. A skip is a verdict 'skipped' with its reason; other verdicts have none. articles' columns are added."""
+    rows = state.withColumn("side_", F.lit(0)).unionByName(verdicts.withColumn("side_", F.lit(1)))
+    last = rows.groupBy(key).agg(F.max_by(F.struct("verdict", "reason", at), F.struct(at, "side_")).alias("v")).select(key, "v.*")
+    return last.withColumn("reason", F.when(F.col("verdict") == "skipped", F.coalesce("reason", F.lit("no reason")))).join(articles, key)

@@ -4,19 +4,23 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicons
-from ..functions.text import normalize_text, tokens, word_count
+from ..functions.text import ABBREVIATIONS, WORD, normalize_text, split_sentences, tokens, word_count
+from ..sources.staging import staged
+from . import entities
 
 
 def opinion_score(text: Column, patterns: list[str] = lexicons.OPINION_PATTERNS) -> Column:
     """Matches of the patterns per 100 words, at most 1; 0 without words."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    total = sum(F.regexp_count(low, F.lit(p)) for p in patterns)
-    n = word_count(text)
+    # The patterns are whole words and share none, so one pass for all of them counts the same matches.
+    total = F.regexp_count(low, F.lit("|".join(f"(?:{p})" for p in patterns)))
+    n = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0))
     return F.round(F.when(n > 0, F.least(total / n * 100 / 100, F.lit(1.0))).otherwise(0.0), 3)
 
 
@@ -48,8 +52,10 @@ def lookup_mean(df: DataFrame, id_: str, text: str, lexicon: DataFrame) -> DataF
     return df.select(id_).join(hits, id_, "left")
 
 
-def valence(df: DataFrame, id_: str, text: str, lexicon: DataFrame, negations: list[str], window: int = 3) -> DataFrame:
-    """Sum of token valences, turned by -0.74 if a negation stands among the window tokens before, as s / sqrt(s^2 + 15)."""
+def valence(df: DataFrame, id_: str, text: str, lexicon: DataFrame, negations: list[str], window: int = 3, neutral: tuple[str, ...] = ()) -> DataFrame:
+    """Sum of token valences, turned by -0.74 if a negation stands among the window tokens before, as s / sqrt(s^2 + 15). Words in
+    neutral (those of the domain) count 0 whatever the lexicon says."""
+    lexicon = lexicon.where(~F.col("word").isin(list(neutral))) if neutral else lexicon
     t = df.select(id_, tokens(F.col(text)).alias("t")).select(id_, "t", F.posexplode("t").alias("at", "word")).join(F.broadcast(lexicon), "word")
     before = F.slice(F.col("t"), F.greatest(F.col("at") - window + 1, F.lit(1)), F.least(F.col("at"), F.lit(window)))
     turned = F.when(F.arrays_overlap(before, F.array(*map(F.lit, negations))), -0.74 * F.col("polarity")).otherwise(F.col("polarity"))
@@ -57,10 +63,11 @@ def valence(df: DataFrame, id_: str, text: str, lexicon: DataFrame, negations: l
     return df.select(id_).join(s, id_, "left").select(id_, F.coalesce(F.col("s") / F.sqrt(F.col("s") * F.col("s") + 15), F.lit(0.0)).alias("valence"))
 
 
-def lexicon_subjectivity(valence_: Column, first_person: Column, adverb: Column, hedge: Column, intensifier: Column, strong: Column, weak: Column, exclaims: Column) -> Column:
-    """Clamped sum of cues; the flags are boolean, strong and weak counts."""
+def lexicon_subjectivity(valence_: Column, first_person: Column, adverb: Column, hedge: Column, intensifier: Column, strong: Column, weak: Column, exclaims: Column, tech: Column | None = None, emoticon: Column | None = None) -> Column:
+    """Clamped sum of cues; the flags are boolean, strong and weak counts. tech: an opinion on technology; emoticon: one in brackets."""
     flag = lambda c, w: F.when(c, F.lit(w)).otherwise(0.0)
     s = F.abs(valence_) + flag(first_person, 0.12) + flag(adverb, 0.08) + flag(hedge, 0.06) + flag(intensifier, 0.05) + F.least(0.08 * strong + 0.04 * weak, F.lit(0.15)) + flag(exclaims, 0.03)
+    s = s + (flag(tech, 0.10) if tech is not None else F.lit(0.0)) + (flag(emoticon, 0.04) if emoticon is not None else F.lit(0.0))
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), s))
 
 
@@ -72,12 +79,24 @@ def blend_model_score(lexicon: Column, model: Column) -> Column:
     return 0.4 * lexicon + 0.6 * model
 
 
+def model_subjectivity(blend: Column, model_label: Column, confidence: Column, personal: Column, stance: Column, least: float = 0.5, sure: float = 0.6) -> Column:
+    """Subjective from least on; a sentence that the model calls objective with less than sure confidence turns subjective if it is in
+    the first person and has stance words."""
+    flips = (model_label == "objective") & (confidence < sure) & personal & stance
+    return F.when(flips | (blend >= least), "subjective").otherwise("objective")
+
+
 def fuse_polarity(valence_: Column, polarity: Column) -> Column:
     """Score in 0..1 of valence and lexicon polarity, valence alone where the lexicon has no word."""
     v = (valence_ + 1) / 2
     return F.when(polarity.isNull(), v).otherwise(0.55 * v + 0.45 * (polarity + 1) / 2)
 
 
+def polarity_confidence(score: Column) -> Column:
+    """How far a score of 0 to 1 is from the middle, as 0 to 1."""
+    return 2 * F.abs(score - 0.5)
+
+
 def polarity_label(score: Column, hi: float = 0.65, lo: float = 0.35) -> Column:
     return F.when(score >= hi, "positive").when(score <= lo, "negative").otherwise("neutral")
 
@@ -100,6 +119,14 @@ def document_polarity(model_label: Column, aspect_mean: Column, least: float = 0
     return F.when(model_label != "neutral", model_label).when(aspect_mean >= least, "positive").when(aspect_mean <= -least, "negative").otherwise("neutral")
 
 
+def sarcasm(label: Column, confidence: Column, bypassed: Column) -> Column:
+    """P(sarcastic) whatever label the model gave: its confidence, or one less it; a row that the model did not see has 0 and is not
+    sarcastic. A struct of sarcastic and confidence."""
+    p = F.when(label == "sarcastic", confidence).otherwise(1 - confidence)
+    seen = ~F.coalesce(bypassed, F.lit(False)) & label.isNotNull()
+    return F.struct(F.when(seen, p > 0.5).otherwise(False).alias("sarcastic"), F.when(seen, p).otherwise(0.0).alias("confidence"))
+
+
 def has_sarcasm(aspects: Column) -> Column:
     """Two sarcastic aspects of confidence 0.85, or one of 0.95. aspects: array<struct<sarcastic, confidence>>."""
     return (F.size(F.filter(aspects, lambda a: a["sarcastic"] & (a["confidence"] >= 0.85))) >= 2) | F.exists(aspects, lambda a: a["sarcastic"] & (a["confidence"] >= 0.95))
@@ -124,6 +151,80 @@ def annotate(df: DataFrame, id_: str, text: str, lexicon: DataFrame, negations:
     return d.select(id_, "normalized", "valence", "subjectivity_score", subjectivity_band(F.col("subjectivity_score")).alias("subjectivity"), fuse_polarity(F.col("valence"), F.col("polarity")).alias("polarity_score"), polarity_label(fuse_polarity(F.col("valence"), F.col("polarity"))).alias("polarity"), route_by_length(word_count(F.col("normalized"))).alias("route"))
 
 
+@dataclass(frozen=True)
+class PipelineConfig:
+    """Switches and lists of annotate_corpus; every table is one of bounded size."""
+
+    slang: dict[str, str] = field(default_factory=dict)
+    emoticons: dict[str, str] = field(default_factory=dict)
+    keep: tuple[str, ...] = ()
+    abbreviations: tuple[str, ...] = ABBREVIATIONS
+    negations: tuple[str, ...] = ("not", "no", "never")
+    neutral: tuple[str, ...] = ()
+    tech_words: tuple[str, ...] = ("buggy", "slow", "fast", "useful", "useless", "intuitive")
+    strong: tuple[str, ...] = ()
+    weak: tuple[str, ...] = ()
+    lower: float = 0.20
+    upper: float = 0.75
+    aspects: bool = True
+    #: Column plug-ins by stage (after 'normalize', say): texts -> texts, run once per distinct text.
+    plugins: dict[str, Callable[[], Callable]] = field(default_factory=dict)
+
+
+def apply_distinct(df: DataFrame, column: str, make: Callable[[], Callable], only: Column | None = None) -> DataFrame:
+    """A caller's function over the distinct values of a text column, in batches, put back by value; rows outside only keep theirs.
+    make() gives list[str] -> list[str] once per task: spell correction, a tagger."""
+    import pandas as pd
+
+    def run(batches):
+        f = make()
+        for pdf in batches:
+            yield pd.DataFrame({"value_": pdf["value_"], "made_": list(f(pdf["value_"].tolist()))})
+
+    wanted = F.col(column).isNotNull() if only is None else F.col(column).isNotNull() & only
+    made = df.where(wanted).select(F.col(column).alias("value_")).distinct().mapInPandas(run, "value_ string, made_ string")
+    both = df.withColumn("asked_", F.when(wanted, F.col(column))).join(made, F.col("asked_") == F.col("value_"), "left")
+    return both.withColumn(column, F.when(F.col("asked_").isNotNull(), F.col("made_")).otherwise(F.col(column))).drop("asked_", "value_", "made_")
+
+
+def annotate_corpus(df: DataFrame, id_: str, text: str, lexicon: DataFrame, phrases: DataFrame, config: PipelineConfig | None = None) -> DataFrame:
+    """All stages as one plan: normalised text, sentences, entities, subjectivity of every sentence, its aspects, polarity by the
+    lexicon rules, and the document's: id, normalized, n_sentences, entities, aspects, subjectivity, polarity, route.
+
+    lexicon(word, polarity), phrases(phrase, label). A document is subjective if the blend of mean and maximum of its sentences is;
+    others have no aspects and are neutral. Sentences between the bounds count with their lexicon score, as no model is given."""
+    c = config or PipelineConfig()
+    docs = df.select(id_, normalize_text(F.col(text), c.slang, c.emoticons, c.keep).alias("normalized"))
+    if "normalize" in c.plugins:
+        docs = apply_distinct(docs, "normalized", c.plugins["normalize"])
+    docs = staged(docs.withColumn("sentences", split_sentences(F.col("normalized"), c.abbreviations)))
+    rows = docs.select(id_, F.explode(entities.locate_sentences(F.col("normalized"), F.col("sentences"))).alias("s")).select(id_, F.col("s.text").alias("sentence"), F.col("s.start").alias("s_start"), F.col("s.end").alias("s_end"))
+    rows = staged(rows.where("sentence <> ''").withColumn("key_", F.concat_ws("|", F.col(id_).cast("string"), F.col("s_start").cast("string"))))
+    t = tokens(F.col("sentence"))
+    flag = lambda ws: F.arrays_overlap(t, F.array(*map(F.lit, ws))) if ws else F.lit(False)
+    count = lambda ws: F.size(F.filter(t, lambda w: w.isin(list(ws)))) if ws else F.lit(0)
+    scored = rows.join(valence(rows, "key_", "sentence", lexicon, list(c.negations), neutral=c.neutral), "key_").join(lookup_mean(rows, "key_", "sentence", lexicon), "key_")
+    tech = flag(c.tech_words) & flag(FIRST_PERSON)
+    cues = lexicon_subjectivity(F.col("valence"), flag(FIRST_PERSON), F.exists(t, lambda w: w.endswith("ly")), flag(HEDGES), flag(INTENSIFIERS), count(c.strong), count(c.weak), F.contains(F.col("sentence"), F.lit("!")), tech, F.col("sentence").rlike(r"\[[a-z_ ]+\]"))
+    scored = scored.select(id_, "key_", cues.alias("score"), fuse_polarity(F.col("valence"), F.col("polarity")).alias("p"), word_count(F.col("sentence")).alias("n"))
+    blend = 0.4 * F.avg("score") + 0.6 * F.max("score")
+    by_doc = scored.groupBy(id_).agg(blend.alias("blend"), (F.sum(F.col("p") * F.col("n")) / F.nullif(F.sum("n"), F.lit(0))).alias("p"), F.sum("n").alias("n"))
+    found = entities.gazetteer(docs, id_, "normalized", phrases)
+    names = found.groupBy(id_).agg(F.array_sort(F.collect_set(F.lower("entity"))).alias("entities"))
+    out = docs.select(id_, "normalized", F.size("sentences").alias("n_sentences")).join(names, id_, "left").join(by_doc, id_, "left")
+    subjective = F.coalesce(F.col("blend") >= 0.42, F.lit(False))
+    if c.aspects:
+        aspects = entities.extract_aspects(found, rows, id_, tuple(r["label"] for r in phrases.select("label").distinct().collect()))
+        out = out.join(aspects.groupBy(id_).agg(F.array_sort(F.collect_set(F.lower("aspect"))).alias("aspects")), id_, "left")
+    else:
+        out = out.withColumn("aspects", F.lit(None).cast("array<string>"))
+    none = F.array().cast("array<string>")
+    return out.select(
+        id_, "normalized", "n_sentences", F.coalesce("entities", none).alias("entities"), F.when(subjective, F.coalesce("aspects", none)).otherwise(none).alias("aspects"),
+        F.when(subjective, "subjective").otherwise("objective").alias("subjectivity"), F.when(subjective, polarity_label(F.col("p"))).otherwise("neutral").alias("polarity"), route_by_length(F.coalesce("n", F.lit(0))).alias("route"),
+    )
+
+
 def score_with_model(df: DataFrame, text: str, make_model: Callable[[], Callable], default: float = 0.0, cap: int = 1500, name: str = "model_score") -> DataFrame:
     """Scores distinct inputs in Arrow batches and joins them back. make_model() gives list[str] -> list[float] once per task; a
     batch in which it raises gets the default."""

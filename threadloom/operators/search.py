@@ -67,27 +67,28 @@ def _bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def build_index(docs: DataFrame, path: str, id_: str = "doc_id", text: str = "text", keep: Iterable[str] = (), buckets: int = 64, spread: int = 4) -> Index:
+def build_index(docs: DataFrame, path: str, id_: str = "doc_id", text: str = "text", keep: Iterable[str] = (), buckets: int | None = None, spread: int = 4) -> Index:
     """Write an index of docs below path; keep names columns that searches may filter by, stored with every posting.
 
     A bucket of terms is a folder of spread files in order of term, so a lookup reads the row groups of its terms only, and no
-    frequent term is written by one task."""
-    keep = list(keep)
+    frequent term is written by one task. buckets: by default one for each 20,000 documents, 8 to 2,048."""
+    keep, buckets = list(keep), buckets or max(8, min(2048, docs.count() // 20_000))
     rows = docs.select(F.col(id_), F.col(text).alias("text"), *keep).withColumn("dl", F.size(tokens(F.col("text"))))
     rows.repartitionByRange(F.col(id_)).sortWithinPartitions(id_).write.parquet(f"{path}/docs")
-    index = open_index(docs.sparkSession, path, id_, buckets, ("docs",))
-    each = index["docs"].select(id_, "dl", *keep, F.explode(tokens(F.col("text"))).alias("term"))
+    spark, stored = docs.sparkSession, docs.sparkSession.read.parquet(f"{path}/docs")
+    each = stored.select(id_, "dl", *keep, F.explode(tokens(F.col("text"))).alias("term"))
     posts = each.groupBy(id_, "term").agg(F.count("*").alias("tf"), *(F.first(c).alias(c) for c in ("dl", *keep))).withColumn("bucket", _bucket(F.col("term"), buckets))
     posts.repartition("bucket", F.pmod(F.xxhash64(id_), F.lit(spread))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
-    posts = open_index(docs.sparkSession, path, id_, buckets, ("postings",))["postings"]
+    posts = spark.read.parquet(f"{path}/postings")
     posts.groupBy("bucket", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).repartition("bucket").sortWithinPartitions("term").write.partitionBy("bucket").parquet(f"{path}/terms")
-    index["docs"].agg(F.count("*").cast("double").alias("n_docs"), F.avg("dl").alias("avgdl")).coalesce(1).write.parquet(f"{path}/stats")
-    return Index(**open_index(docs.sparkSession, path, id_, buckets), id_=id_, buckets=buckets)
+    stored.agg(F.count("*").cast("double").alias("n_docs"), F.avg("dl").alias("avgdl")).withColumn("buckets", F.lit(buckets)).coalesce(1).write.parquet(f"{path}/stats")
+    return open_index(spark, path, id_)
 
 
-def open_index(spark, path: str, id_: str = "doc_id", buckets: int = 64, tables: tuple[str, ...] = ("postings", "terms", "docs", "stats")) -> dict[str, DataFrame]:
-    """The tables of an index that build_index wrote."""
-    return {t: spark.read.parquet(f"{path}/{t}") for t in tables}
+def open_index(spark, path: str, id_: str = "doc_id") -> Index:
+    """An index that build_index wrote."""
+    tables = {t: spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "docs", "stats")}
+    return Index(**tables, id_=id_, buckets=tables["stats"].first()["buckets"])
 
 
 def indexed_scores(index: Index, terms: DataFrame, where: Column | None = None) -> DataFrame:

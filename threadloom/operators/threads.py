@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import word_count
+from .dedupe import in_ranges
 
 def flatten_threads(threads: DataFrame, min_chars: int = 11) -> DataFrame:
     """One row per post and comment with enough text; comments take title and post id from the post, the source if they lack one."""
@@ -30,13 +31,12 @@ def forward_fill_parent(rows: DataFrame, order: str, is_post, value: str, name:
     if group:
         own = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
         return rows.withColumn(name, F.last(seen, ignorenulls=True).over(own))
-    bounds = sorted(set(rows.stat.approxQuantile(order, [i / 64 for i in range(1, 64)], 0.01)))
-    rows = rows.withColumn("range_", F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(order))) if bounds else F.lit(0))
+    rows = in_ranges(rows, order)
     last = rows.where(is_post).groupBy("range_").agg(F.max_by(value, order).alias("v"))
     spans = rows.select("range_").distinct().join(last, "range_", "left")
     spans = spans.select("range_", F.last("v", ignorenulls=True).over(Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)).alias("carried_"))
     own = Window.partitionBy("range_").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("own_", F.last(seen, ignorenulls=True).over(own)).join(F.broadcast(spans), "range_").withColumn(name, F.coalesce("own_", "carried_")).drop("own_", "carried_", "range_")
+    return rows.withColumn("own_", F.last(seen, ignorenulls=True).over(own)).join(spans, "range_").withColumn(name, F.coalesce("own_", "carried_")).drop("own_", "carried_", "range_")
 
 
 def cap_per_group(df: DataFrame, group: str, order: list[str], n: int) -> DataFrame:

@@ -151,6 +151,14 @@ def annotate(spark, sf_dir):
     return scoring.annotate(table(spark, sf_dir, "documents"), "doc_id", "text", lexicon, ["not", "nicht"])
 
 
+@query(None)
+def annotate_corpus(spark, sf_dir):
+    """All stages of annotation over every document, as one plan (tests compare it with a plain version)."""
+    lexicon = spark.createDataFrame(LEXICON, "word string, polarity double")
+    phrases = spark.createDataFrame([("the", "AI_TOOL"), ("in the", "ORG"), ("que", "AI_TOOL")], "phrase string, label string")
+    return scoring.annotate_corpus(table(spark, sf_dir, "documents"), "doc_id", "text", lexicon, phrases)
+
+
 # Streams
 
 def _events(spark, sf_dir):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -31,7 +33,7 @@ def stored_index(spark, sf_dir) -> search.Index:
         path = staged_path(spark, "index")
         search.build_index(search_view(spark, sf_dir), path, keep=KEEP)
         _BUILT[key] = path
-    return search.Index(**search.open_index(spark, path), id_="doc_id", buckets=64)
+    return search.open_index(spark, path)
 
 
 def _there(spark, path: str) -> bool:
@@ -99,8 +101,8 @@ def indexed_by_entity(spark, sf_dir):
 def entity_search(spark, sf_dir):
     """Without a text every document of the filter matches alike."""
     index = stored_index(spark, sf_dir)
-    docs = filters.entity_filter(index.docs, "tools", "HEON")
-    scores = search.lookup(search.Index(index.postings, index.terms, docs, index.stats, "doc_id", 64), "").withColumn("query_id", F.lit(0))
+    found = replace(index, docs=filters.entity_filter(index.docs, "tools", "HEON"))
+    scores = search.lookup(found, "").withColumn("query_id", F.lit(0))
     return search.page(scores, "doc_id", 20).drop("query_id")
 
 

@@ -98,6 +98,26 @@ def final_label(review: Column, llm: Column, bucket: Column) -> Column:
     return F.coalesce(F.lower(F.nullif(review, F.lit(""))), F.nullif(llm, F.lit("")), bucket)
 
 
+def labelled_item_to_thread(items: DataFrame) -> DataFrame:
+    """items(post struct<ID, Text>, review struct<final_label>, llm struct<label>, assigned_bucket, comments array<struct<comment_id,
+    Text, final_label, llm_label>>) -> ID, Text, label, Comments with label: the reviewer's, else the model's, else the bucket."""
+    comment = lambda c: F.struct(c["comment_id"].alias("comment_id"), c["Text"].alias("Text"), final_label(c["final_label"], c["llm_label"], F.col("assigned_bucket")).alias("label"))
+    return items.select(
+        F.col("post.ID").alias("ID"), F.col("post.Text").alias("Text"), final_label(F.col("review.final_label"), F.col("llm.label"), F.col("assigned_bucket")).alias("label"),
+        F.transform(F.coalesce("comments", F.expr("slice(comments, 1, 0)")), comment).alias("Comments"),
+    )
+
+
+def violations_summary(checked: DataFrame) -> DataFrame:
+    """Records by violation ('valid' for none), with the least id of each."""
+    return checked.groupBy(F.coalesce("violation", F.lit("valid")).alias("violation")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
+
+
+def coerce_fields(raw: DataFrame, mapping: dict[str, tuple[str, object]]) -> DataFrame:
+    """The fixed mapping of the search store: name -> (type, default); null, empty and unreadable values take the default."""
+    return raw.select(*(F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")).try_cast(kind), F.lit(default)).alias(c) for c, (kind, default) in mapping.items()))
+
+
 def validate_schema(raw: DataFrame, column: str, required: dict[str, str], nullable: tuple[str, ...] = ("Title",)) -> DataFrame:
     """Adds violation: the first key of required (name -> Spark type) that the JSON in column lacks or has of another type; null if valid."""
     v = F.try_parse_json(F.col(column))
@@ -126,6 +146,11 @@ def write_threads(threads: DataFrame, path: str) -> None:
     threads.write.mode("overwrite").json(path)
 
 
+def write_jsonl(df: DataFrame, path: str) -> None:
+    """A10: a record per line, null fields kept."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
 def write_tsv(df: DataFrame, path: str) -> None:
     """A13."""
     df.write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
@@ -151,6 +176,16 @@ def annotation_template(df: DataFrame, label_columns: list[str], text: str = "te
     return df.select("*", *(F.lit("").alias(c) for c in label_columns), F.length(text).alias("text_length"))
 
 
+def manifest(docs: DataFrame, tools: str, label: str, vectors: DataFrame, vector: str = "embedding", k: int = 5) -> DataFrame:
+    """One row on a data set: number of documents, length of vectors, column names, the k commonest tools, documents by label."""
+    top = docs.select(F.explode(tools).alias("t")).groupBy("t").count().orderBy(F.desc("count"), "t").limit(k)
+    names = top.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("n"), "t"))), lambda x: x["t"]).alias("top_tools"))
+    labels = docs.groupBy(label).count().agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(label).alias("l"), "count"))), lambda x: F.concat(x["l"], F.lit("="), x["count"].cast("string"))).alias("labels"))
+    size = vectors.agg(F.max(F.size(vector)).alias("dims"))
+    one = docs.agg(F.count("*").alias("documents")).select("documents", F.array(*map(F.lit, sorted(docs.columns))).alias("fields"))
+    return one.join(size).join(names).join(labels)
+
+
 def append_snapshot(old: DataFrame, new: DataFrame, key: str, newest: str) -> DataFrame:
     """Rows of both, of each key the newest; on ties the new snapshot's row."""
     both = old.withColumn("side_", F.lit(0)).unionByName(new.withColumn("side_", F.lit(1)))

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.joins import merge_url_state
+
 
 def read_stream(spark: SparkSession, path: str, schema, kind: str = "json") -> DataFrame:
     """M1: new files of a folder."""
@@ -32,6 +34,11 @@ def upsert_batches(stream: DataFrame, path: Callable[[int], str], merge: Callabl
     """M2: folds batches into a table by merge(state, batch). Batch b writes path(b) from the table before it, so a repeated
     batch writes the same rows again. Returns the last table, None if nothing has come."""
     spark, last = stream.sparkSession, []
+    seen = spark._jvm.org.apache.hadoop.fs.Path(checkpoint + "/commits")
+    files = seen.getFileSystem(spark._jsc.hadoopConfiguration())
+    # Batches of former runs: after a restart with nothing new, the last table is theirs.
+    if files.exists(seen):
+        last.extend(sorted(int(f.getPath().getName()) for f in files.listStatus(seen) if f.getPath().getName().isdigit())[-1:])
 
     def fold(batch: DataFrame, number: int) -> None:
         state = spark.read.parquet(path(number - 1)) if number else None
@@ -40,3 +47,14 @@ def upsert_batches(stream: DataFrame, path: Callable[[int], str], merge: Callabl
 
     stream.writeStream.outputMode(mode).foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(path(last[0])) if last else None
+
+
+def stream_url_state(stream: DataFrame, path: Callable[[int], str], checkpoint: str) -> DataFrame | None:
+    """M2: discovered URLs folded into their state: urls(norm, ord, original_url, method, queries, discovered_at); of each page the
+    fields of least ord, its queries and the first discovery, as merge_url_state has them for one table."""
+
+    def merge(state: DataFrame | None, batch: DataFrame) -> DataFrame:
+        one = merge_url_state(batch, keep_order=True)
+        return one if state is None else merge_url_state(state.unionByName(one), keep_order=True, counts="n_merged")
+
+    return upsert_batches(stream, path, merge, checkpoint)
