@@ -15,11 +15,23 @@ from ..sources.staging import staged
 from . import entities
 
 
+def _matches(low: Column, patterns: list[str]) -> Column:
+    """Matches of all patterns in a text of lower case. Patterns that are lists of whole words are looked up word by word, which is one
+    pass; a listed word with an apostrophe counts by its part that is listed, or else by itself."""
+    lists = [re.fullmatch(r"\\b\(([a-z'|]+)\)\\b", p) for p in patterns]
+    if not all(lists):
+        return sum(F.regexp_count(low, F.lit(p)) for p in patterns)
+    words = {w for m in lists for w in m[1].split("|")}
+    plain = {w for w in words if "'" not in w}
+    alone = [w for w in words - plain if plain.isdisjoint(w.split("'"))]
+    found = F.size(F.filter(F.regexp_extract_all(low, F.lit("[a-z0-9_]+"), F.lit(0)), lambda w: w.isin(sorted(plain))))
+    return found + sum(F.regexp_count(low, F.lit(rf"\b{w}\b")) for w in sorted(alone)) if alone else found
+
+
 def opinion_score(text: Column, patterns: list[str] = lexicons.OPINION_PATTERNS) -> Column:
     """Matches of the patterns per 100 words, at most 1; 0 without words."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    # The patterns are whole words and share none, so one pass for all of them counts the same matches.
-    total = F.regexp_count(low, F.lit("|".join(f"(?:{p})" for p in patterns)))
+    total = _matches(low, patterns)
     n = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0))
     return F.round(F.when(n > 0, F.least(total / n * 100 / 100, F.lit(1.0))).otherwise(0.0), 3)
 
