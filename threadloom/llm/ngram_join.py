@@ -1,6 +1,6 @@
 """N-gram Jaccard self-join: a size-aware heavy-light join over sets of word shingles.
 
-Sets are hashed once per text and staged, as 64-bit hashes in order. Texts with equal sets form one class, and only classes are joined. Two classes link when
+Sets are hashed once per text. Texts with equal sets form one class, and only classes are joined. Two classes link when
 den * |A & B| >= num * |A | B|. With sizes n and m that means an overlap of at least c(n, m) shingles, so
 
 - small sets (size up to a boundary) list all their subsets of the fixed sizes c(n, m): linked sets share one;
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, stage, string_column
+from .common import arrow_map, shuffle_partitions, stage, string_column
 from .graph import connected_components
 from .textnum import LOWER, U, mix, runs, windows
 
@@ -83,37 +83,33 @@ def shingle_sets(texts, k: int):
         yield np.unique(got[cuts[d] : cuts[d + 1]])
 
 
-def _hashed(k):
-    """Of every text: size of its set, two digests, a sketch, and the set itself."""
+def _sets(batch, k):
+    for first, texts in runs(string_column(batch, "text")):
+        for d, s in enumerate(shingle_sets(texts, k)):
+            yield first + d, s
 
+
+def _signatures(k):
     def f(batch):
-        for first, texts in runs(string_column(batch, "text")):
-            n, d1, d2, sketches, sets = [], [], [], [], []
-            for s in shingle_sets(texts, k):
-                n.append(len(s))
-                d1.append(np.add.reduce(mix(s ^ U(0x1F83D9ABFB41BD6B))).astype(np.int64) if len(s) else 0)
-                d2.append(np.add.reduce(mix(s ^ U(0x5BE0CD19137E2179))).astype(np.int64) if len(s) else 0)
-                sketches.append(_odd(s, SKETCH))
-                sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(first, texts.n), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sketches, pa.list_(pa.int64())), pa.array(sets, pa.binary())],
-                ["doc_id", "n", "d1", "d2", "sketch", "shingles"],
-            )
+        ids, n, d1, d2, sketches = batch.column(0), [], [], [], []
+        for _, s in _sets(batch, k):
+            n.append(len(s))
+            d1.append(np.add.reduce(mix(s ^ U(0x1F83D9ABFB41BD6B))).astype(np.int64) if len(s) else 0)
+            d2.append(np.add.reduce(mix(s ^ U(0x5BE0CD19137E2179))).astype(np.int64) if len(s) else 0)
+            sketches.append(_odd(s, SKETCH))
+        yield pa.RecordBatch.from_arrays(
+            [ids, pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))],
+            ["doc_id", "n", "d1", "d2", "sketch"],
+        )
 
     return f
 
 
-def _sets(batch):
-    """The staged sets of a batch."""
-    for raw in batch.column(batch.schema.get_field_index("shingles")):
-        yield np.frombuffer(raw.as_buffer(), U)
-
-
-def _first_shingles(num, den):
+def _first_shingles(k, num, den):
     """Half as many again as the listed shingles of each set and 8 more, in the order of their hashes, for counting."""
 
     def f(batch):
-        got = [s[: 3 * listed(len(s), num, den) // 2 + 8] for s in _sets(batch) if len(s)]
+        got = [s[: 3 * listed(len(s), num, den) // 2 + 8] for _, s in _sets(batch, k) if len(s)]
         if got:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got).view(np.int64))], ["token"])
 
@@ -135,7 +131,7 @@ def _subset_keys(s: np.ndarray, num, den) -> np.ndarray:
     return np.concatenate(keys) if keys else np.zeros(0, U)
 
 
-def _entries(num, den, boundary, tokens, counts):
+def _entries(k, num, den, boundary, tokens, counts):
     """List entries (key, doc_id, n, pos) of all sets; pos is -1 for subset keys."""
 
     def f(batch):
@@ -150,7 +146,7 @@ def _entries(num, den, boundary, tokens, counts):
 
         tok = tokens.value
         cnt = counts.value
-        for row, s in enumerate(_sets(batch)):
+        for row, s in _sets(batch, k):
             n = len(s)
             if not n:
                 continue
@@ -173,10 +169,18 @@ def _entries(num, den, boundary, tokens, counts):
     return f
 
 
-def _with_long_sketch(batch):
-    """The sets, and an odd sketch long enough to tell near pairs from links."""
-    sketches = [_odd(s, LONG_SKETCH) for s in _sets(batch)]
-    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sketches, pa.list_(pa.int64())), batch.column(1)], ["doc_id", "sketch", "shingles"])
+def _whole_sets(k):
+    """Whole sets, byte by byte of all shingles, as the leading bytes of sorted hashes compress; and an odd sketch long enough to tell
+    near pairs from links."""
+
+    def f(batch):
+        sets, sketches = [], []
+        for _, s in _sets(batch, k):
+            sets.append(np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8).T).tobytes())
+            sketches.append(_odd(s, LONG_SKETCH))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sketches, pa.list_(pa.int64())), pa.array(sets, pa.binary())], ["doc_id", "sketch", "shingles"])
+
+    return f
 
 
 def _odd(s: np.ndarray, bits: int) -> np.ndarray:
@@ -188,11 +192,14 @@ def _odd(s: np.ndarray, bits: int) -> np.ndarray:
 def _exact(num, den):
     """Pairs whose whole sets link."""
 
+    def unpack(raw: bytes) -> np.ndarray:
+        return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+
     def f(batch):
         a, b, left, right = (batch.column(i) for i in range(4))
         links = []
         for x, y in zip(left, right, strict=True):
-            x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
+            x, y = unpack(x.as_py()), unpack(y.as_py())
             o = len(np.intersect1d(x, y, assume_unique=True))
             links.append(den * o >= num * (len(x) + len(y) - o))
         hit = np.flatnonzero(links)
@@ -201,12 +208,12 @@ def _exact(num, den):
     return f
 
 
-def _linked(sets: DataFrame, pairs: DataFrame, num: int, den: int, broadcast_rows: int) -> DataFrame:
-    """Those of the staged pairs (doc_id_a, doc_id_b, n_a, n_b) whose whole sets link: a, b. sets: doc_id, shingles."""
+def _linked(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int, broadcast_rows: int) -> DataFrame:
+    """Those of the staged pairs (doc_id_a, doc_id_b, n_a, n_b) whose whole sets link: a, b."""
     ids = pairs.select(F.explode(F.array("doc_id_a", "doc_id_b")).alias("doc_id")).distinct()
     if pairs.count() * 2 <= broadcast_rows:
         ids = F.broadcast(ids)
-    sets = stage(arrow_map(sets.join(ids, "doc_id").select("doc_id", "shingles"), _with_long_sketch, "doc_id long, sketch array<long>, shingles binary"), "sketches")
+    sets = stage(arrow_map(docs.join(ids, "doc_id"), _whole_sets(k), "doc_id long, sketch array<long>, shingles binary"), "sets")
     # The entries' sketch tells small sets apart well; pairs with a larger set pass the long one first.
     large = pairs.where(F.greatest("n_a", "n_b") > SKETCH // 2)
     for x in "ab":
@@ -234,12 +241,12 @@ def jaccard_links(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, co
     connect_only: links enough to connect all that links connect. First every entry meets its list's least document only; then
     all pairs are made whose documents these links have not connected yet."""
     spark = docs.sparkSession
-    sets = stage(arrow_map(docs.select("doc_id", "text"), _hashed(k), "doc_id long, n long, d1 long, d2 long, sketch array<long>, shingles binary"), "sets")
-    sigs = sets.drop("shingles")
+    docs = docs.select("doc_id", "text")
+    sigs = stage(arrow_map(docs, _signatures(k), "doc_id long, n long, d1 long, d2 long, sketch array<long>"), "signatures")
     classes = sigs.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("cls"), F.count("*").alias("cls_rows"))
-    known = sets.where("doc_id IS NOT NULL AND n > 0").select("doc_id", "shingles")
+    known = docs.where("doc_id IS NOT NULL")
 
-    tally = arrow_map(known, _first_shingles(num, den), "token long").groupBy("token").count()
+    tally = arrow_map(known, _first_shingles(k, num, den), "token long").groupBy("token").count()
     tally = stage(tally.where("count > 1"), "shingles")
     often = tally.where("count >= 16").orderBy(F.desc("count"), "token").limit(common).toPandas()
     order = np.argsort(often["token"].to_numpy(np.int64).view(U))
@@ -249,8 +256,10 @@ def jaccard_links(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, co
     small = {r[0]: r[1] for r in sigs.where(F.col("n") <= 2 * largest_small(num, den)).groupBy("n").count().collect()}
     boundary = choose_boundary(small, float(met), num, den)
 
-    entries = stage(arrow_map(known, _entries(num, den, boundary, tokens, counts), "key long, doc_id long, n long, pos long"), "listed")
-    entries = entries.join(entries.groupBy("key").count().where("count > 1").select("key"), "key")
+    parts = shuffle_partitions(spark)
+    entries = arrow_map(known, _entries(k, num, den, boundary, tokens, counts), "key long, doc_id long, n long, pos long").where("key IS NOT NULL").repartition(parts, "key")
+    shared = entries.groupBy("key").agg(F.count("*").alias("c"), F.min("doc_id").alias("x"), F.min("n").alias("y"), F.min("pos").alias("z")).where("c > 1 OR x + y + z IS NULL").select("key")
+    entries = entries.join(shared, "key")
     lead = sigs.join(classes.withColumnRenamed("cls", "doc_id").select("doc_id", "n", "d1", "d2"), ["doc_id", "n", "d1", "d2"]).groupBy("doc_id", "n").agg(F.min_by("sketch", "d1").alias("sketch"))
     own = Window.partitionBy("doc_id", "n")
     listed_at = F.row_number().over(own.orderBy("pos", "key"))
@@ -278,13 +287,13 @@ def jaccard_links(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, co
 
     if connect_only:
         least = entries.groupBy("key").agg(F.min_by(F.struct("doc_id", "n", "pos", "sketch"), F.struct("doc_id", "pos", "n")).alias("e")).select("key", "e.*")
-        links = _linked(known, pairs_of(side(least, columns, "a"), side(entries, columns, "b"), near), num, den, broadcast_rows)
+        links = _linked(docs, pairs_of(side(least, columns, "a"), side(entries, columns, "b"), near), k, num, den, broadcast_rows)
         known_ = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "doc_id")
         entries = entries.join(known_, "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id"))
         pairs = pairs_of(side(entries, ["part", *both], "a"), side(entries, ["part", *both], "b"), f"part_a <> part_b AND {near} AND {first}")
-        links = links.unionByName(_linked(known, pairs, num, den, broadcast_rows))
+        links = links.unionByName(_linked(docs, pairs, k, num, den, broadcast_rows))
     else:
-        links = _linked(known, pairs_of(side(entries, both, "a"), side(entries, both, "b"), f"{near} AND {first}"), num, den, broadcast_rows)
+        links = _linked(docs, pairs_of(side(entries, both, "a"), side(entries, both, "b"), f"{near} AND {first}"), k, num, den, broadcast_rows)
     members = sigs.select("doc_id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"]).select("doc_id", "n", "cls", "cls_rows")
     return members, links
 
