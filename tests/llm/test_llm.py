@@ -72,6 +72,23 @@ def test_groups_of_chained_near_copies(spark):
     assert {x[0]: (x[1], x[2]) for x in got.collect()} == {i: w[:2] for i, w in want.items()}
 
 
+def test_groups_need_few_links(spark):
+    """A group of near copies of one text, whose pairs link only in part, is connected by far fewer links than it has."""
+    r = random.Random(3)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(120):
+        w = base.copy()
+        for _ in range(i % 4 + 1):
+            w[r.randrange(len(w))] = f"new{r.randrange(10**6)}"
+        rows.append((i, " ".join(w), "s", i, "k"))
+    want = brute_links(rows, 5, 80, 100)
+    docs = spark.createDataFrame(rows, DOCS)
+    assert {x[0]: (x[1], x[2]) for x in ngram_join.jaccard_groups(docs).collect()} == {i: w[:2] for i, w in want.items()}
+    _, links = ngram_join.jaccard_links(docs, connect_only=True)
+    assert 4 * links.count() < sum(w[2] for w in want.values()) / 2
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], DOCS)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -29,6 +29,7 @@ from .textnum import LOWER, U, mix, runs, windows
 
 SKETCH, LONG_SKETCH = 512, 4096
 HEAD = 16
+LEADS = 4
 
 
 def overlap_needed(n, m, num: int, den: int):
@@ -238,8 +239,9 @@ def jaccard_links(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, co
     Repeated rows are copies; where one doc_id has different texts, they count as one document that links if any of them does (of two
     such texts with equally many shingles, one counts); rows without a doc_id link with nothing.
     common bounds the list of shingles that are put last; broadcast_rows the ids sent to all tasks (beyond it a shuffle join).
-    connect_only: links enough to connect all that links connect. First every entry meets its list's least document only; then
-    all pairs are made whose documents these links have not connected yet."""
+    connect_only: links enough to connect all that links connect. First every entry meets its list's LEADS leading documents only,
+    the least by as many hashes, which are the same in all lists of a group; then all pairs are made whose documents these links
+    have not connected yet."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     sigs = stage(arrow_map(docs, _signatures(k), "doc_id long, n long, d1 long, d2 long, sketch array<long>"), "signatures")
@@ -272,7 +274,7 @@ def jaccard_links(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, co
     )
     entries = stage(entries, "entries")
     apart = " + ".join(f"bit_count(sketch_a[{i}] ^ sketch_b[{i}])" for i in range(SKETCH // 64))
-    near = f"""key_a = key_b AND doc_id_a < doc_id_b AND n_a * {den} >= n_b * {num} AND n_b * {den} >= n_a * {num}
+    near = f"""key_a = key_b AND n_a * {den} >= n_b * {num} AND n_b * {den} >= n_a * {num}
         AND (CASE WHEN pos_a < 0 THEN pos_b < 0 ELSE pos_b >= 0 AND greatest(n_a, n_b) > {boundary}
              AND least(pos_a, pos_b) + least(n_a - pos_a, n_b - pos_b) >= {_need(num, den)} END)
         AND {apart} <= n_a + n_b - 2 * {_need(num, den)}"""
@@ -283,17 +285,21 @@ def jaccard_links(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, co
         return df.select(*(F.col(c).alias(f"{c}_{x}") for c in names))
 
     def pairs_of(a, b, on):
-        return stage(a.join(b, F.expr(on)).select("doc_id_a", "doc_id_b", "n_a", "n_b").distinct(), "pairs")
+        ends = ("least({0}_a, {0}_b) {0}_a", "greatest({0}_a, {0}_b) {0}_b")
+        sizes = ("if(doc_id_a < doc_id_b, n_{0}, n_{1}) n_{0}".format(*x) for x in ("ab", "ba"))
+        return stage(a.join(b, F.expr(on)).selectExpr(*(e.format("doc_id") for e in ends), *sizes).distinct(), "pairs")
 
     if connect_only:
-        least = entries.groupBy("key").agg(F.min_by(F.struct("doc_id", "n", "pos", "sketch"), F.struct("doc_id", "pos", "n")).alias("e")).select("key", "e.*")
-        links = _linked(docs, pairs_of(side(least, columns, "a"), side(entries, columns, "b"), near), k, num, den, broadcast_rows)
+        entry = F.struct("doc_id", "n", "pos", "sketch")
+        least = [F.min_by(entry, F.struct(F.xxhash64("doc_id", F.lit(i)), "doc_id", "pos", "n")) for i in range(LEADS)]
+        leads = entries.groupBy("key").agg(F.array_distinct(F.array(*least)).alias("leads")).select("key", F.inline("leads"))
+        links = _linked(docs, pairs_of(side(leads, columns, "a"), side(entries, columns, "b"), f"{near} AND doc_id_a <> doc_id_b"), k, num, den, broadcast_rows)
         known_ = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "doc_id")
         entries = entries.join(known_, "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id"))
-        pairs = pairs_of(side(entries, ["part", *both], "a"), side(entries, ["part", *both], "b"), f"part_a <> part_b AND {near} AND {first}")
+        pairs = pairs_of(side(entries, ["part", *both], "a"), side(entries, ["part", *both], "b"), f"part_a <> part_b AND doc_id_a < doc_id_b AND {near} AND {first}")
         links = links.unionByName(_linked(docs, pairs, k, num, den, broadcast_rows))
     else:
-        links = _linked(docs, pairs_of(side(entries, both, "a"), side(entries, both, "b"), f"{near} AND {first}"), k, num, den, broadcast_rows)
+        links = _linked(docs, pairs_of(side(entries, both, "a"), side(entries, both, "b"), f"{near} AND doc_id_a < doc_id_b AND {first}"), k, num, den, broadcast_rows)
     members = sigs.select("doc_id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"]).select("doc_id", "n", "cls", "cls_rows")
     return members, links
 
