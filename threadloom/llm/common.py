@@ -8,7 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources.staging import staged as stage
 from ..sources.staging import staged_path as shared_path
 
-__all__ = ["arrow_map", "shared_path", "shuffle_partitions", "stage", "string_column", "unused"]
+__all__ = ["arrow_map", "shared_path", "shuffle_partitions", "stage", "string_column", "unstage", "unused"]
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Delete staged tables that no later step reads: all that was made of them is staged itself."""
+    for df in tables:
+        folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+        for folder in folders:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:

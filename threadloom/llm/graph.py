@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import stage, unstage
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -27,7 +27,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = stage(_small_star(edges.select("u", "v").where("u <> v").distinct()), "edges")
     seen = None
     while True:
-        now = stage(_small_star(_large_star(now)), "edges")
+        before, now = now, stage(_small_star(_large_star(now)), "edges")
+        unstage(before)
         mark = now.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)), F.coalesce(F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")), F.lit(0))).first()
         if mark == seen or mark[0] == 0:
             break

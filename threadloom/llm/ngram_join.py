@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, shuffle_partitions, stage, string_column
+from .common import arrow_map, shuffle_partitions, stage, string_column, unstage
 from .graph import connected_components
 from .textnum import LOWER, U, mix, runs, windows
 
 SKETCH, LONG_SKETCH = 512, 4096
 HEAD = 16
-LEADS = 4
+LEADS, LONG_LIST = 4, 32
 
 
 def overlap_needed(n, m, num: int, den: int):
@@ -221,10 +221,12 @@ def _linked(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int, broad
         large = large.join(sets.select(F.col("doc_id").alias(f"doc_id_{x}"), F.col("sketch").alias(f"sketch_{x}")), f"doc_id_{x}")
     apart = "aggregate(zip_with(sketch_a, sketch_b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
     large = large.where(F.expr(f"{apart} <= n_a + n_b - 2 * {_need(num, den)}"))
-    pairs = pairs.where(F.greatest("n_a", "n_b") <= SKETCH // 2).select("doc_id_a", "doc_id_b").unionByName(large.select("doc_id_a", "doc_id_b").distinct())
+    close = pairs.where(F.greatest("n_a", "n_b") <= SKETCH // 2).select("doc_id_a", "doc_id_b").unionByName(large.select("doc_id_a", "doc_id_b").distinct())
     for x in "ab":
-        pairs = pairs.join(sets.select(F.col("doc_id").alias(f"doc_id_{x}"), F.col("shingles").alias(f"set_{x}")), f"doc_id_{x}")
-    return stage(arrow_map(pairs.select("doc_id_a", "doc_id_b", "set_a", "set_b"), _exact(num, den), "a long, b long").distinct(), "links")
+        close = close.join(sets.select(F.col("doc_id").alias(f"doc_id_{x}"), F.col("shingles").alias(f"set_{x}")), f"doc_id_{x}")
+    links = stage(arrow_map(close.select("doc_id_a", "doc_id_b", "set_a", "set_b"), _exact(num, den), "a long, b long").distinct(), "links")
+    unstage(pairs, sets)
+    return links
 
 
 def _need(num: int, den: int) -> str:
@@ -239,9 +241,9 @@ def jaccard_links(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, co
     Repeated rows are copies; where one doc_id has different texts, they count as one document that links if any of them does (of two
     such texts with equally many shingles, one counts); rows without a doc_id link with nothing.
     common bounds the list of shingles that are put last; broadcast_rows the ids sent to all tasks (beyond it a shuffle join).
-    connect_only: links enough to connect all that links connect. First every entry meets its list's LEADS leading documents only,
-    the least by as many hashes, which are the same in all lists of a group; then all pairs are made whose documents these links
-    have not connected yet."""
+    connect_only: links enough to connect all that links connect. First every entry meets its list's leading document only, or LEADS
+    of them in lists of LONG_LIST entries or more: the least by as many hashes, which are the same in all lists of a group. Then
+    all pairs are made whose documents these links have not connected yet."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     sigs = stage(arrow_map(docs, _signatures(k), "doc_id long, n long, d1 long, d2 long, sketch array<long>"), "signatures")
@@ -258,10 +260,14 @@ def jaccard_links(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, co
     small = {r[0]: r[1] for r in sigs.where(F.col("n") <= 2 * largest_small(num, den)).groupBy("n").count().collect()}
     boundary = choose_boundary(small, float(met), num, den)
 
+    unstage(tally)
+
     parts = shuffle_partitions(spark)
     entries = arrow_map(known, _entries(k, num, den, boundary, tokens, counts), "key long, doc_id long, n long, pos long").where("key IS NOT NULL").repartition(parts, "key")
-    shared = entries.groupBy("key").agg(F.count("*").alias("c"), F.min("doc_id").alias("x"), F.min("n").alias("y"), F.min("pos").alias("z")).where("c > 1 OR x + y + z IS NULL").select("key")
-    entries = entries.join(shared, "key")
+    shared = entries.groupBy("key").agg(F.count("*").alias("c"), F.min("doc_id").alias("x"), F.min("n").alias("y"), F.min("pos").alias("z")).where("c > 1 OR x + y + z IS NULL")
+    # Under a name of its own, so that both sides of the join are one plan and its exchange is made once.
+    shared = shared.select(F.col("key").alias("shared_key"), (F.col("c") >= LONG_LIST).alias("long"))
+    entries = entries.join(shared, F.col("key") == F.col("shared_key"))
     lead = sigs.join(classes.withColumnRenamed("cls", "doc_id").select("doc_id", "n", "d1", "d2"), ["doc_id", "n", "d1", "d2"]).groupBy("doc_id", "n").agg(F.min_by("sketch", "d1").alias("sketch"))
     own = Window.partitionBy("doc_id", "n")
     listed_at = F.row_number().over(own.orderBy("pos", "key"))
@@ -270,9 +276,9 @@ def jaccard_links(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, co
         .withColumn("place", F.when(F.col("pos") >= 0, listed_at))
         .withColumn("first_", F.min("place").over(own))
         .withColumn("head", F.collect_list(F.when(F.col("place") < F.col("first_") + HEAD, F.col("key"))).over(own.orderBy("pos", "key").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-        .select("key", "doc_id", "n", "pos", "sketch", "head")
+        .select("key", "doc_id", "n", "pos", "long", "sketch", "head")
     )
-    entries = stage(entries, "entries")
+    entries = staged = stage(entries, "entries")
     apart = " + ".join(f"bit_count(sketch_a[{i}] ^ sketch_b[{i}])" for i in range(SKETCH // 64))
     near = f"""key_a = key_b AND n_a * {den} >= n_b * {num} AND n_b * {den} >= n_a * {num}
         AND (CASE WHEN pos_a < 0 THEN pos_b < 0 ELSE pos_b >= 0 AND greatest(n_a, n_b) > {boundary}
@@ -291,8 +297,9 @@ def jaccard_links(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, co
 
     if connect_only:
         entry = F.struct("doc_id", "n", "pos", "sketch")
-        least = [F.min_by(entry, F.struct(F.xxhash64("doc_id", F.lit(i)), "doc_id", "pos", "n")) for i in range(LEADS)]
-        leads = entries.groupBy("key").agg(F.array_distinct(F.array(*least)).alias("leads")).select("key", F.inline("leads"))
+        order = [F.struct(F.xxhash64("doc_id", F.lit(i)), "doc_id", "pos", "n") for i in range(LEADS)]
+        least = [F.min_by(entry, order[0]), *(F.min_by(F.when(F.col("long"), entry), F.when(F.col("long"), o)) for o in order[1:])]
+        leads = entries.groupBy("key").agg(F.array_distinct(F.array_compact(F.array(*least))).alias("leads")).select("key", F.inline("leads"))
         links = _linked(docs, pairs_of(side(leads, columns, "a"), side(entries, columns, "b"), f"{near} AND doc_id_a <> doc_id_b"), k, num, den, broadcast_rows)
         known_ = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "doc_id")
         entries = entries.join(known_, "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id"))
@@ -300,6 +307,7 @@ def jaccard_links(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, co
         links = links.unionByName(_linked(docs, pairs, k, num, den, broadcast_rows))
     else:
         links = _linked(docs, pairs_of(side(entries, both, "a"), side(entries, both, "b"), f"{near} AND doc_id_a < doc_id_b AND {first}"), k, num, den, broadcast_rows)
+    unstage(staged)
     members = sigs.select("doc_id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"]).select("doc_id", "n", "cls", "cls_rows")
     return members, links
 
