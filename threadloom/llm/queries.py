@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, chat, html_text, line_dedup, mixing, ngram_join, pieces, quality, spot_signatures, toxicity, warc
+from . import centroids, chat, html_text, importance, line_dedup, mixing, ngram_join, pieces, quality, spot_signatures, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,11 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn by their likeness to the benchmark's texts."""
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline over documents."""
     import corpus_pipeline
@@ -82,7 +87,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_toxicity, op2_ngram_jaccard_join, op3_warc, op4_mixing, op5_line_dedup, op6_html_extraction, op7_sentencepiece, op8_quality_rules, op9_chat_formatting, op10_fingerprints, op11_centroids, pipeline)
+    own = (op1_toxicity, op2_ngram_jaccard_join, op3_warc, op4_mixing, op5_line_dedup, op6_html_extraction, op7_sentencepiece, op8_quality_rules, op9_chat_formatting, op10_fingerprints, op11_centroids, op12_importance, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -108,4 +113,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_line_dedup": line_dedup.SQL,
         "op9_chat_formatting": chat.SQL,
         "op11_centroids": centroids.SQL,
+        "op12_importance": importance.SQL,
     }
