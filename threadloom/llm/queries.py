@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, chat, html_text, importance, line_dedup, mixing, ngram_join, pieces, quality, spot_signatures, toxicity, warc
+from . import centroids, chat, html_text, importance, line_dedup, mixing, ngram_join, pieces, quality, spot_signatures, token_counts, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,11 @@ def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline over documents."""
     import corpus_pipeline
@@ -87,7 +92,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_toxicity, op2_ngram_jaccard_join, op3_warc, op4_mixing, op5_line_dedup, op6_html_extraction, op7_sentencepiece, op8_quality_rules, op9_chat_formatting, op10_fingerprints, op11_centroids, op12_importance, pipeline)
+    own = (op1_toxicity, op2_ngram_jaccard_join, op3_warc, op4_mixing, op5_line_dedup, op6_html_extraction, op7_sentencepiece, op8_quality_rules, op9_chat_formatting, op10_fingerprints, op11_centroids, op12_importance, op13_token_counts, pipeline)
     return {f.__name__: f for f in own}
 
 
