@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from threadloom.functions import text
-from threadloom.operators import dedupe, entities, sampling, scoring, search
+from threadloom.operators import annotation, dedupe, entities, models, sampling, scoring, search
 from threadloom.sources import staging
 from threadloom.sources.staging import staged_path
 from threadloom.streaming import ingest
@@ -54,13 +54,13 @@ def test_annotate_corpus(spark):
     lexicon = spark.createDataFrame([("love", 3.0), ("good", 2.0), ("bad", -3.0)], "word string, polarity double")
     phrases = spark.createDataFrame([("claude", "AI_TOOL"), ("vs code", "EDITOR"), ("file", "TECH_CONCEPT")], "phrase string, label string")
     df = spark.createDataFrame(rows, "id int, text string")
-    got = {r["id"]: r for r in scoring.annotate_corpus(df, "id", "text", lexicon, phrases).collect()}
+    got = {r["id"]: r for r in annotation.annotate_corpus(df, "id", "text", lexicon, phrases).collect()}
     assert (got[1]["subjectivity"], got[1]["polarity"], got[1]["aspects"], got[1]["n_sentences"]) == ("subjective", "positive", ["claude"], 2)
     assert (got[2]["subjectivity"], got[2]["polarity"], got[2]["aspects"], got[2]["entities"]) == ("objective", "neutral", [], ["file"])
     assert (got[3]["subjectivity"], got[3]["normalized"], got[3]["entities"]) == ("objective", "", [])
     assert (got[4]["polarity"], got[4]["aspects"]) == ("negative", ["vs code"])
-    upper = scoring.PipelineConfig(aspects=False, plugins={"normalize": lambda: lambda texts: [t.replace("Claude", "Gemini") for t in texts]})
-    got = {r["id"]: r for r in scoring.annotate_corpus(df, "id", "text", lexicon, phrases, upper).collect()}
+    upper = annotation.PipelineConfig(aspects=False, plugins={"normalize": lambda: lambda texts: [t.replace("Claude", "Gemini") for t in texts]})
+    got = {r["id"]: r for r in annotation.annotate_corpus(df, "id", "text", lexicon, phrases, upper).collect()}
     assert got[1]["entities"] == [] and got[1]["aspects"] == [] and "Gemini" in got[1]["normalized"]
 
 
@@ -70,7 +70,7 @@ def test_annotated_polarity_on_a_whole_table(spark):
     words = {"the": 0.5, "of": -0.25, "heon": -2.0}
     lexicon = spark.createDataFrame(list(words.items()), "word string, polarity double")
     phrases = spark.createDataFrame([("the", "AI_TOOL")], "phrase string, label string")
-    got = {r["doc_id"]: r for r in scoring.annotate_corpus(docs, "doc_id", "text", lexicon, phrases).collect()}
+    got = {r["doc_id"]: r for r in annotation.annotate_corpus(docs, "doc_id", "text", lexicon, phrases).collect()}
     cut = {r["doc_id"]: r["s"] for r in docs.select("doc_id", text.split_sentences(text.normalize_text(F.col("text"))).alias("s")).collect()}
     for i, sentences in cut.items():
         scores, parts = [], []
@@ -80,7 +80,7 @@ def test_annotated_polarity_on_a_whole_table(spark):
             v = v / np.sqrt(v * v + 15)
             hits = [words[w] for w in t if w in words]
             flags = 0.12 * bool(set(t) & set(scoring.FIRST_PERSON)) + 0.08 * any(w.endswith("ly") for w in t) + 0.06 * bool(set(t) & set(scoring.HEDGES)) + 0.05 * bool(set(t) & set(scoring.INTENSIFIERS)) + 0.03 * ("!" in s)
-            tech = 0.10 * bool(set(t) & set(scoring.PipelineConfig().tech_words) and set(t) & set(scoring.FIRST_PERSON)) + 0.04 * bool(re.search(r"\[[a-z_ ]+\]", s))
+            tech = 0.10 * bool(set(t) & set(annotation.PipelineConfig().tech_words) and set(t) & set(scoring.FIRST_PERSON)) + 0.04 * bool(re.search(r"\[[a-z_ ]+\]", s))
             scores.append(min(1, abs(v) + flags) + tech)
             parts.append(((v + 1) / 2 if not hits else 0.55 * (v + 1) / 2 + 0.45 * (np.mean(hits) + 1) / 2, len(s.split())))
         blend = 0.4 * np.mean(scores) + 0.6 * max(scores) if scores else 0
@@ -136,7 +136,7 @@ def test_numbers_in_an_order_of_strings(spark):
 
 def test_plug_in_runs_once_a_value(spark):
     df = spark.createDataFrame([(1, "a", True), (2, "a", False), (3, None, True), (4, "b", True)], "id int, t string, ask boolean")
-    got = scoring.apply_distinct(df, "t", lambda: lambda texts: [f"{t}{len(texts)}" for t in texts], F.col("ask"))
+    got = annotation.apply_distinct(df, "t", lambda: lambda texts: [f"{t}{len(texts)}" for t in texts], F.col("ask"))
     assert {r["id"]: r["t"][0] if r["t"] else None for r in got.collect()} == {1: "a", 2: "a", 3: None, 4: "b"}
     assert {r["id"]: r["t"] for r in got.collect()}[2] == "a"
 

@@ -2,7 +2,7 @@
 
 import json
 
-from threadloom.operators import pages, scoring
+from threadloom.operators import annotation, pages
 from threadloom.sources import records
 from threadloom.streaming import ingest
 
@@ -57,6 +57,6 @@ def test_stream_resumes(spark, tmp_path):
 def test_annotate(spark):
     lexicon = spark.createDataFrame([("good", 2.0), ("bad", -2.0)], "word string, polarity double")
     rows = [(1, "I really think this is very good!"), (2, "not good"), (3, None)]
-    got = {r.id: r for r in scoring.annotate(spark.createDataFrame(rows, "id int, text string"), "id", "text", lexicon, ["not"]).collect()}
+    got = {r.id: r for r in annotation.annotate(spark.createDataFrame(rows, "id int, text string"), "id", "text", lexicon, ["not"]).collect()}
     assert got[1].polarity == "positive" and got[1].subjectivity_score > got[2].subjectivity_score > got[3].subjectivity_score == 0.0
     assert got[2].valence < 0 and got[3].subjectivity == "objective" and {r.route for r in got.values()} == {"lexicon"}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE, word_count
@@ -57,7 +57,8 @@ def contextual(text: Column) -> Column:
 
 
 def locate_sentences(text: Column, sentences: Column) -> Column:
-    """Start and end (0-based) of each sentence, searched onwards from the last."""
+    """Start and end (0-based) of each sentence, searched onwards from the last. For a few sentences from elsewhere: the array is copied
+    at each step. Sentences of text.sentence_rows and pieces of text.piece_rows come with their places."""
     return F.aggregate(
         sentences, F.array().cast("array<struct<text:string,start:int,end:int>>"),
         lambda done, s: F.concat(done, F.array(_place(text, s, F.coalesce(F.try_element_at(done, F.lit(-1))["end"], F.lit(0))))),
@@ -74,23 +75,54 @@ def _place(text: Column, s: Column, after: Column) -> Column:
     return F.struct(found.alias("text"), at.cast("int").alias("start"), (at + F.length(found)).cast("int").alias("end"))
 
 
+#: Characters of a document whose ends are swept in one window.
+BLOCK = 1 << 16
+
+
+def holding_sentence(entities: DataFrame, sentences: DataFrame, id_: str, block: int = BLOCK) -> DataFrame:
+    """entities(id, start, end, ...), sentences(id, sentence, s_start, s_end) -> the entities that a sentence holds, each with the first
+    one (least s_start, then s_end): columns sentence, s_start, s_end.
+
+    A sweep from the end of the text: of all sentences that end at an entity's end or later the one that begins first is its
+    sentence if it begins at the entity's start or before; if it does not, none does. So sentence and entity ends are put in
+    one order and the first sentence so far is carried along, within blocks of places, and over blocks by their minima. Work
+    and rows follow the number of entities and sentences, whatever their nesting. Null ids match nothing."""
+    rest = [c for c in entities.columns if c != id_]
+    kind = dict(sentences.dtypes)
+    struct = f"struct<s_start:{kind['s_start']},s_end:{kind['s_end']},sentence:{kind['sentence']}>"
+    ends = sentences.where(F.col(id_).isNotNull()).select(id_, F.col("s_end").cast("long").alias("at_"), F.struct("s_start", "s_end", "sentence").cast(struct).alias("s_"), F.lit(None).cast(entities.select(F.struct(*rest)).schema[0].dataType).alias("e_"))
+    events = ends.unionByName(entities.where(F.col(id_).isNotNull()).select(id_, F.col("end").cast("long").alias("at_"), F.lit(None).cast(struct).alias("s_"), F.struct(*rest).alias("e_")))
+    events = events.withColumn("block_", F.floor(F.col("at_") / block))
+    sweep = Window.partitionBy(id_, "block_").orderBy(F.col("at_").desc(), F.col("e_").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = events.withColumn("own_", F.min("s_").over(sweep)).where(F.col("e_").isNotNull()).select(id_, "block_", "e_", "own_")
+    later = Window.partitionBy(id_).orderBy(F.col("block_").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = events.groupBy(id_, "block_").agg(F.min("s_").alias("m_")).select(id_, "block_", F.min("m_").over(later).alias("later_"))
+    first = swept.join(blocks, [id_, "block_"]).select(id_, "e_.*", F.least("own_", "later_").alias("s_"))
+    return first.where("s_.s_start <= start").select(id_, *rest, "s_.sentence", "s_.s_start", "s_.s_end")
+
+
 def entity_sentence(entities: DataFrame, sentences: DataFrame, id_: str) -> DataFrame:
     """entities(id, entity, start, end), sentences(id, sentence, s_start, s_end) -> the first sentence that holds each entity."""
-    both = entities.join(sentences, id_).where("s_start <= start AND end <= s_end")
+    both = holding_sentence(entities.select(id_, "entity", "start", "end"), sentences, id_)
     return both.groupBy(id_, "entity", "start").agg(F.min_by("sentence", "s_start").alias("sentence"))
 
 
 ASPECT_TYPES = ("AI_TOOL", "EDITOR", "PL", "ORG", "TECH_CONCEPT", "PRODUCT")
 
 
+def placed_aspects(entities: DataFrame, sentences: DataFrame, id_: str, types: tuple[str, ...] | None = ASPECT_TYPES) -> DataFrame:
+    """extract_aspects with the place of the sentence: id, s_start, aspect, type, sentence, n_words. types None: all of them."""
+    wanted = F.lit(True) if types is None else F.col("label").isin(list(types))
+    first = holding_sentence(entities.where(wanted).select(id_, "entity", "label", "start", "end"), sentences, id_)
+    once = first.groupBy(id_, F.lower("entity").alias("low_"), "s_start").agg(F.min(F.struct("start", F.col("entity").alias("aspect"), F.col("label").alias("type"), "sentence")).alias("r"))
+    return once.select(id_, "s_start", "r.aspect", "r.type", "r.sentence", word_count(F.col("r.sentence")).alias("n_words"))
+
+
 def extract_aspects(entities: DataFrame, sentences: DataFrame, id_: str, types: tuple[str, ...] = ASPECT_TYPES) -> DataFrame:
     """entities(id, entity, label, start, end), sentences(id, sentence, s_start, s_end) of subjective texts -> id, aspect, type,
     sentence, n_words: entities of the given types with the first sentence that holds them, each once a sentence whatever its
     case (the first as it stands)."""
-    both = entities.where(F.col("label").isin(list(types))).join(sentences, id_).where("s_start <= start AND end <= s_end")
-    first = both.groupBy(id_, "entity", "label", "start").agg(F.min(F.struct("s_start", "sentence")).alias("s"))
-    once = first.groupBy(id_, F.lower("entity").alias("low_"), "s.s_start").agg(F.min(F.struct("start", F.col("entity").alias("aspect"), F.col("label").alias("type"), "s.sentence")).alias("r"))
-    return once.select(id_, "r.aspect", "r.type", "r.sentence", word_count(F.col("r.sentence")).alias("n_words"))
+    return placed_aspects(entities, sentences, id_, types).drop("s_start")
 
 
 def ai_tools(names: Column) -> Column:

@@ -1,18 +1,14 @@
-"""Lexicon scores and the rules that fuse them; models are callables that the caller supplies."""
+"""Lexicon scores and the rules that fuse them with those of models."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
-from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicons
-from ..functions.text import ABBREVIATIONS, WORD, normalize_text, split_sentences, tokens, word_count
-from ..sources.staging import staged
-from . import entities
+from ..functions.text import WORD, tokens
 
 
 def _matches(low: Column, patterns: list[str]) -> Column:
@@ -59,8 +55,8 @@ def opinion_level(score: Column) -> Column:
 
 
 def lookup_mean(df: DataFrame, id_: str, text: str, lexicon: DataFrame) -> DataFrame:
-    """Mean polarity of the tokens found in lexicon(word, polarity); null if none. The lexicon is a bounded table."""
-    hits = df.select(id_, F.explode(tokens(F.col(text))).alias("word")).join(F.broadcast(lexicon), "word").groupBy(id_).agg(F.avg("polarity").alias("polarity"))
+    """Mean polarity of the tokens found in lexicon(word, polarity); null if none."""
+    hits = df.select(id_, F.explode(tokens(F.col(text))).alias("word")).join(lexicon, "word").groupBy(id_).agg(F.avg("polarity").alias("polarity"))
     return df.select(id_).join(hits, id_, "left")
 
 
@@ -68,9 +64,14 @@ def valence(df: DataFrame, id_: str, text: str, lexicon: DataFrame, negations: l
     """Sum of token valences, turned by -0.74 if a negation stands among the window tokens before, as s / sqrt(s^2 + 15). Words in
     neutral (those of the domain) count 0 whatever the lexicon says."""
     lexicon = lexicon.where(~F.col("word").isin(list(neutral))) if neutral else lexicon
-    t = df.select(id_, tokens(F.col(text)).alias("t")).select(id_, "t", F.posexplode("t").alias("at", "word")).join(F.broadcast(lexicon), "word")
-    before = F.slice(F.col("t"), F.greatest(F.col("at") - window + 1, F.lit(1)), F.least(F.col("at"), F.lit(window)))
-    turned = F.when(F.arrays_overlap(before, F.array(*map(F.lit, negations))), -0.74 * F.col("polarity")).otherwise(F.col("polarity"))
+    negation = F.array(*map(F.lit, negations))
+
+    def placed(w: Column, at: Column) -> Column:
+        before = F.slice(F.col("t"), F.greatest(at - window + 1, F.lit(1)), F.least(at, F.lit(window)))
+        return F.struct(w.alias("word"), F.arrays_overlap(before, negation).alias("negated"))
+
+    t = df.select(id_, tokens(F.col(text)).alias("t")).select(id_, F.inline(F.transform("t", placed))).join(lexicon, "word")
+    turned = F.when(F.col("negated"), -0.74 * F.col("polarity")).otherwise(F.col("polarity"))
     s = t.groupBy(id_).agg(F.sum(turned).alias("s"))
     return df.select(id_).join(s, id_, "left").select(id_, F.coalesce(F.col("s") / F.sqrt(F.col("s") * F.col("s") + 15), F.lit(0.0)).alias("valence"))
 
@@ -148,109 +149,3 @@ def has_sarcasm(aspects: Column) -> Column:
 FIRST_PERSON = "i me my mine we us our ours myself".split()
 HEDGES = "maybe perhaps probably possibly seems might guess".split()
 INTENSIFIERS = "very really extremely totally absolutely quite".split()
-
-
-def annotate(df: DataFrame, id_: str, text: str, lexicon: DataFrame, negations: list[str], strong: list[str] = (), weak: list[str] = ()) -> DataFrame:
-    """Normalised text, valence, subjectivity, polarity and route of every row by the lexicon rules; texts in the middle band and
-    long ones are marked for the caller's model (score_with_model). lexicon(word, polarity) is a bounded table."""
-    d = df.select(id_, normalize_text(F.col(text)).alias("normalized"))
-    t = tokens(F.col("normalized"))
-    flag = lambda ws: F.arrays_overlap(t, F.array(*map(F.lit, ws)))
-    count = lambda ws: F.size(F.filter(t, lambda w: w.isin(list(ws)))) if ws else F.lit(0)
-    d = d.join(valence(d, id_, "normalized", lexicon, negations), id_).join(lookup_mean(d, id_, "normalized", lexicon), id_)
-    score = lexicon_subjectivity(F.col("valence"), flag(FIRST_PERSON), F.exists(t, lambda w: w.endswith("ly")), flag(HEDGES), flag(INTENSIFIERS), count(strong), count(weak), F.contains(F.col("normalized"), F.lit("!")))
-    d = d.withColumn("subjectivity_score", score)
-    return d.select(id_, "normalized", "valence", "subjectivity_score", subjectivity_band(F.col("subjectivity_score")).alias("subjectivity"), fuse_polarity(F.col("valence"), F.col("polarity")).alias("polarity_score"), polarity_label(fuse_polarity(F.col("valence"), F.col("polarity"))).alias("polarity"), route_by_length(word_count(F.col("normalized"))).alias("route"))
-
-
-@dataclass(frozen=True)
-class PipelineConfig:
-    """Switches and lists of annotate_corpus; every table is one of bounded size."""
-
-    slang: dict[str, str] = field(default_factory=dict)
-    emoticons: dict[str, str] = field(default_factory=dict)
-    keep: tuple[str, ...] = ()
-    abbreviations: tuple[str, ...] = ABBREVIATIONS
-    negations: tuple[str, ...] = ("not", "no", "never")
-    neutral: tuple[str, ...] = ()
-    tech_words: tuple[str, ...] = ("buggy", "slow", "fast", "useful", "useless", "intuitive")
-    strong: tuple[str, ...] = ()
-    weak: tuple[str, ...] = ()
-    lower: float = 0.20
-    upper: float = 0.75
-    aspects: bool = True
-    #: Column plug-ins by stage (after 'normalize', say): texts -> texts, run once per distinct text.
-    plugins: dict[str, Callable[[], Callable]] = field(default_factory=dict)
-
-
-def apply_distinct(df: DataFrame, column: str, make: Callable[[], Callable], only: Column | None = None) -> DataFrame:
-    """A caller's function over the distinct values of a text column, in batches, put back by value; rows outside only keep theirs.
-    make() gives list[str] -> list[str] once per task: spell correction, a tagger."""
-    import pandas as pd
-
-    def run(batches):
-        f = make()
-        for pdf in batches:
-            yield pd.DataFrame({"value_": pdf["value_"], "made_": list(f(pdf["value_"].tolist()))})
-
-    wanted = F.col(column).isNotNull() if only is None else F.col(column).isNotNull() & only
-    made = df.where(wanted).select(F.col(column).alias("value_")).distinct().mapInPandas(run, "value_ string, made_ string")
-    both = df.withColumn("asked_", F.when(wanted, F.col(column))).join(made, F.col("asked_") == F.col("value_"), "left")
-    return both.withColumn(column, F.when(F.col("asked_").isNotNull(), F.col("made_")).otherwise(F.col(column))).drop("asked_", "value_", "made_")
-
-
-def annotate_corpus(df: DataFrame, id_: str, text: str, lexicon: DataFrame, phrases: DataFrame, config: PipelineConfig | None = None) -> DataFrame:
-    """All stages as one plan: normalised text, sentences, entities, subjectivity of every sentence, its aspects, polarity by the
-    lexicon rules, and the document's: id, normalized, n_sentences, entities, aspects, subjectivity, polarity, route.
-
-    lexicon(word, polarity), phrases(phrase, label). A document is subjective if the blend of mean and maximum of its sentences is;
-    others have no aspects and are neutral. Sentences between the bounds count with their lexicon score, as no model is given."""
-    c = config or PipelineConfig()
-    docs = df.select(id_, normalize_text(F.col(text), c.slang, c.emoticons, c.keep).alias("normalized"))
-    if "normalize" in c.plugins:
-        docs = apply_distinct(docs, "normalized", c.plugins["normalize"])
-    docs = staged(docs.withColumn("sentences", split_sentences(F.col("normalized"), c.abbreviations)))
-    rows = docs.select(id_, F.explode(entities.locate_sentences(F.col("normalized"), F.col("sentences"))).alias("s")).select(id_, F.col("s.text").alias("sentence"), F.col("s.start").alias("s_start"), F.col("s.end").alias("s_end"))
-    rows = staged(rows.where("sentence <> ''").withColumn("key_", F.concat_ws("|", F.col(id_).cast("string"), F.col("s_start").cast("string"))))
-    t = tokens(F.col("sentence"))
-    flag = lambda ws: F.arrays_overlap(t, F.array(*map(F.lit, ws))) if ws else F.lit(False)
-    count = lambda ws: F.size(F.filter(t, lambda w: w.isin(list(ws)))) if ws else F.lit(0)
-    scored = rows.join(valence(rows, "key_", "sentence", lexicon, list(c.negations), neutral=c.neutral), "key_").join(lookup_mean(rows, "key_", "sentence", lexicon), "key_")
-    tech = flag(c.tech_words) & flag(FIRST_PERSON)
-    cues = lexicon_subjectivity(F.col("valence"), flag(FIRST_PERSON), F.exists(t, lambda w: w.endswith("ly")), flag(HEDGES), flag(INTENSIFIERS), count(c.strong), count(c.weak), F.contains(F.col("sentence"), F.lit("!")), tech, F.col("sentence").rlike(r"\[[a-z_ ]+\]"))
-    scored = scored.select(id_, "key_", cues.alias("score"), fuse_polarity(F.col("valence"), F.col("polarity")).alias("p"), word_count(F.col("sentence")).alias("n"))
-    blend = 0.4 * F.avg("score") + 0.6 * F.max("score")
-    by_doc = scored.groupBy(id_).agg(blend.alias("blend"), (F.sum(F.col("p") * F.col("n")) / F.nullif(F.sum("n"), F.lit(0))).alias("p"), F.sum("n").alias("n"))
-    found = entities.gazetteer(docs, id_, "normalized", phrases)
-    names = found.groupBy(id_).agg(F.array_sort(F.collect_set(F.lower("entity"))).alias("entities"))
-    out = docs.select(id_, "normalized", F.size("sentences").alias("n_sentences")).join(names, id_, "left").join(by_doc, id_, "left")
-    subjective = F.coalesce(F.col("blend") >= 0.42, F.lit(False))
-    if c.aspects:
-        aspects = entities.extract_aspects(found, rows, id_, tuple(r["label"] for r in phrases.select("label").distinct().collect()))
-        out = out.join(aspects.groupBy(id_).agg(F.array_sort(F.collect_set(F.lower("aspect"))).alias("aspects")), id_, "left")
-    else:
-        out = out.withColumn("aspects", F.lit(None).cast("array<string>"))
-    none = F.array().cast("array<string>")
-    return out.select(
-        id_, "normalized", "n_sentences", F.coalesce("entities", none).alias("entities"), F.when(subjective, F.coalesce("aspects", none)).otherwise(none).alias("aspects"),
-        F.when(subjective, "subjective").otherwise("objective").alias("subjectivity"), F.when(subjective, polarity_label(F.col("p"))).otherwise("neutral").alias("polarity"), route_by_length(F.coalesce("n", F.lit(0))).alias("route"),
-    )
-
-
-def score_with_model(df: DataFrame, text: str, make_model: Callable[[], Callable], default: float = 0.0, cap: int = 1500, name: str = "model_score") -> DataFrame:
-    """Scores distinct inputs in Arrow batches and joins them back. make_model() gives list[str] -> list[float] once per task; a
-    batch in which it raises gets the default."""
-    import pandas as pd
-
-    def run(batches):
-        model = make_model()
-        for pdf in batches:
-            try:
-                scores = list(model(pdf["input_"].tolist()))
-            except Exception:  # noqa: BLE001  the caller's model
-                scores = [default] * len(pdf)
-            yield pd.DataFrame({"input_": pdf["input_"], name: scores})
-
-    df = df.withColumn("input_", F.substring(F.coalesce(text, F.lit("")), 1, cap))
-    scored = df.select("input_").distinct().mapInPandas(run, f"input_ string, {name} double")
-    return df.join(scored, "input_").drop("input_")

@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, lexicons, text, urls
-from ..operators import analytics, dedupe, entities, evaluation, filters, joins, sampling, scoring, threads
+from ..operators import analytics, dedupe, entities, evaluation, filters, joins, models, sampling, scoring, threads
 from ..sources import records
-from ..sources.staging import staged_path
+from ..sources.staging import staged, staged_path
 from ..streaming import ingest
 from .registry import DOCS, WORDS, query, search_docs, table
 
@@ -476,9 +476,9 @@ LINES = "l AS (SELECT doc_id, generate_subscripts(x, 1) AS i, unnest(x) AS line
 @query(f"WITH {LINES} SELECT doc_id, line AS sentence, s AS s_start, (s + length(line))::INT AS s_end FROM p WHERE line <> ''")
 def sentence_places(spark, sf_dir):
     """Where each sentence (here: each line) stands in its text."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
-    found = d.select("doc_id", F.explode(entities.locate_sentences(F.col("t"), F.filter(F.split("t", "\n"), lambda x: x != ""))).alias("s"))
-    return found.select("doc_id", F.col("s.text").alias("sentence"), F.col("s.start").alias("s_start"), F.col("s.end").alias("s_end"))
+    d = staged(table(spark, sf_dir, "documents").select("doc_id", "text", F.monotonically_increasing_id().alias("row_")), "numbered")
+    rows = text.piece_rows(d, "row_", F.col("text"), "\n").where("piece <> ''")
+    return rows.join(d.select("row_", "doc_id"), "row_").select("doc_id", F.col("piece").alias("sentence"), F.col("start").alias("s_start"), F.col("end").alias("s_end"))
 
 
 @query(f"WITH {LINES}, e AS (SELECT doc_id, line, s, unnest([split_part(line, ' ', 1), split_part(line, ' ', 1), 'ORG-' || i::VARCHAR]) AS entity, unnest(['AI_TOOL', 'AI_TOOL', 'PERSON']) AS label FROM p WHERE line <> '' AND split_part(line, ' ', 1) <> '') SELECT doc_id, entity AS aspect, label AS type, line AS sentence, len({WORDS.replace('text', 'line')})::INT AS n_words FROM (SELECT DISTINCT * FROM e WHERE label = 'AI_TOOL')")
@@ -553,7 +553,7 @@ def sarcasm(spark, sf_dir):
 def scored_by_model(spark, sf_dir):
     """A caller's model over distinct inputs, in batches; here one that gives the length of what it sees."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return scoring.score_with_model(d, "text", lambda: lambda texts: [float(len(t)) for t in texts], cap=600).select("doc_id", "model_score")
+    return models.score_with_model(d, "text", lambda: lambda texts: [float(len(t)) for t in texts], cap=600).select("doc_id", "model_score")
 
 
 VALENCE = [("the", 0.5), ("of", -0.25), ("der", 1.0), ("heon", -2.0)]

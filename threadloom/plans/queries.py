@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicons, text, urls
 from ..functions.dates import year_month
 from ..operators import analytics, dedupe, entities, evaluation, filters, joins, sampling, scoring, search, threads
-from . import label_queries, record_queries, search_queries  # noqa: F401  register their queries
+from . import label_queries, model_queries, record_queries, search_queries  # noqa: F401  register their queries
 from .registry import DOCS, QUERIES, TOKENS, WORDS, query, search_docs, table
 
 TERMS = ["the", "of", "thntre", "heon", "der", "que"]

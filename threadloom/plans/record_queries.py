@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import pages, scoring, search
+from ..operators import annotation, pages, scoring, search
 from ..sources import records
 from ..sources.staging import staged_path
 from ..streaming import ingest
@@ -148,7 +148,7 @@ LEXICON = [("the", 0.5), ("of", -0.25), ("der", 1.0), ("heon", -2.0)]
 def annotate(spark, sf_dir):
     """Normalised text, subjectivity, polarity and route of every document, as one plan."""
     lexicon = spark.createDataFrame(LEXICON, "word string, polarity double")
-    return scoring.annotate(table(spark, sf_dir, "documents"), "doc_id", "text", lexicon, ["not", "nicht"])
+    return annotation.annotate(table(spark, sf_dir, "documents"), "doc_id", "text", lexicon, ["not", "nicht"])
 
 
 @query(None)
@@ -156,7 +156,7 @@ def annotate_corpus(spark, sf_dir):
     """All stages of annotation over every document, as one plan (tests compare it with a plain version)."""
     lexicon = spark.createDataFrame(LEXICON, "word string, polarity double")
     phrases = spark.createDataFrame([("the", "AI_TOOL"), ("in the", "ORG"), ("que", "AI_TOOL")], "phrase string, label string")
-    return scoring.annotate_corpus(table(spark, sf_dir, "documents"), "doc_id", "text", lexicon, phrases)
+    return annotation.annotate_corpus(table(spark, sf_dir, "documents"), "doc_id", "text", lexicon, phrases)
 
 
 # Streams
