@@ -52,20 +52,50 @@ def strip_markdown(text: Column) -> Column:
 
 
 def unescape(text: Column) -> Column:
-    """The named character references of HTML's reserved characters, the ampersand last."""
+    """The named character references of HTML's reserved characters, the ampersand last. unescape_all knows all references."""
     for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         text = F.replace(text, F.lit(name), F.lit(char))
     return text
 
 
+def _named_references() -> str:
+    """HTML's named character references with their semicolon, as JSON."""
+    from html.entities import html5
+
+    return json.dumps({name: char for name, char in html5.items() if name.endswith(";")})
+
+
+def unescape_all(text: Column) -> Column:
+    """All character references, once: the named ones of HTML (with semicolon), decimal and hexadecimal ones. Numbers 128 to 159 are
+    read as Windows-1252, as browsers do; zero, surrogates and numbers beyond Unicode give U+FFFD, other control characters nothing.
+    Names that HTML does not have stay."""
+    mark = "\u0001"
+    refs = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;)"
+    names = F.from_json(F.lit(_named_references()), "map<string,string>")
+    old = F.from_json(F.lit(json.dumps({str(n): bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160)})), "map<string,string>")
+
+    def char(p: Column) -> Column:
+        digits = F.regexp_extract(p, r"^&#[xX]?0*([0-9a-fA-F]*)", 1)
+        n = F.when(F.length(digits) > 7, F.lit(0)).when(p.rlike("^&#[xX]"), F.conv(digits, 16, 10).cast("int")).otherwise(F.conv(digits, 10, 10).cast("int"))
+        n = F.coalesce(n, F.lit(0))
+        none = (n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF)
+        control = n.between(1, 8) | (n == 11) | n.between(14, 31) | n.between(127, 159) | n.between(0xFDD0, 0xFDEF) | (n.bitwiseAND(0xFFFE) == 0xFFFE)
+        plain = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+        return F.when(none, F.lit("�")).when(n.between(128, 159), old[n.cast("string")]).when(control, F.lit("")).otherwise(plain)
+
+    pieces = F.split(F.regexp_replace(F.translate(text, mark, " "), f"({refs})", f"{mark}$1{mark}"), mark)
+    made = F.transform(pieces, lambda p: F.when(p.rlike("^&#"), F.when(p.rlike(f"^(?:{refs})$"), char(p)).otherwise(p)).when(p.rlike("^&[A-Za-z][A-Za-z0-9]*;$"), F.coalesce(names[F.substring(p, 2, 100)], p)).otherwise(p))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(made, "")).otherwise(text)
+
+
 def clean_html_text(text: Column) -> Column:
     """Unescape, strip tags, mark URLs, collapse white space."""
     return collapse(F.regexp_replace(F.regexp_replace(unescape(text), r"<[^>]+>", " "), URL, "[URL]"))
 
 
 def structural_clean(text: Column) -> Column:
-    """Drop URLs, unescape, strip tags, keep paragraph breaks."""
-    text = F.regexp_replace(unescape(F.regexp_replace(text, URL, " ")), r"<[^>]+>", " ")
+    """Drop URLs, decode character references, strip tags, keep paragraph breaks."""
+    text = F.regexp_replace(unescape_all(F.regexp_replace(text, URL, " ")), r"<[^>]+>", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -130,6 +131,25 @@ def extract_articles(spark, sf_dir):
     return pages.extract_articles(table(spark, sf_dir, "pages"))
 
 
+ESCAPED = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("é", "&eacute;"), ("i", "&#105;"), ("n", "&#x6E;"))
+FRAMES = ("<p>{}", "<ul><li>{}", "<p>{}</p>", "{}</li></ul>", "<table><tr><td>{}", "<p>{}</p>", "{}</td></tr></table>")
+
+
+@query(r"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(regexp_replace(replace(x, chr(160), ' '), '[\x20\x09-\x0D]+', ' ', 'g'), ' ')), lambda x: x <> '') AS x FROM documents),
+t AS (SELECT doc_id, x, coalesce(array_to_string(x, chr(10)), '') AS first FROM l)
+SELECT doc_id, CASE WHEN length(first) >= 50 THEN first ELSE coalesce(array_to_string(x, ' '), '') END AS text, CASE WHEN length(first) >= 50 THEN 'blocks' ELSE 'stripped' END AS method FROM t""")
+def nested_articles(spark, sf_dir):
+    """Every document put into a page, its lines in paragraphs, list items and cells that hold paragraphs between two lines of their
+    own, in character references; extracted again."""
+    line = lambda x: reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), ESCAPED, x)
+    frames = [f.split("{}") for f in FRAMES]
+    put = lambda x, i: reduce(lambda other, k: F.when(i % len(frames) == k, F.concat(F.lit(frames[k][0]), line(x), F.lit(frames[k][1]))).otherwise(other), range(len(frames)), line(x))
+    body = F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), put), "\n")
+    page = F.concat(F.lit("<html><head><title>t</title><script>var x = '<p>no</p>';</script></head><body><nav><p>menu</p></nav>"), body, F.lit("</body></html>"))
+    made = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), page.alias("html"))
+    return pages.extract_articles(made).select(F.col("page_id").alias("doc_id"), "text", "method")
+
+
 STOP = ["the", "a", "and"]
 
 
