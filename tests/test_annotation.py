@@ -150,7 +150,7 @@ def test_emoji(spark):
 def test_folded_state_survives_a_restart(spark, tmp_path):
     def run():
         rows = ingest.read_stream(spark, f"{tmp_path}/in", "norm string, ord long, q string").select("norm", "ord", F.col("norm").alias("original_url"), F.lit("web").alias("method"), F.array("q").alias("queries"), F.lit("2024-01-01").alias("discovered_at"))
-        state = ingest.stream_url_state(rows, lambda b: f"{tmp_path}/state{b}", f"{tmp_path}/mark")
+        state = ingest.stream_url_state(rows, f"{tmp_path}/state", f"{tmp_path}/mark")
         return {r["norm"]: (r["n_merged"], r["ord"], list(r["queries"])) for r in state.collect()}
 
     for batch in ([("u", 2, "x"), ("v", 3, "y")], [("u", 1, "z"), ("u", 5, "x")]):

@@ -644,6 +644,5 @@ def stream_url_state(spark, sf_dir):
     from .record_queries import _events
 
     rows = _events(spark, sf_dir).select(F.concat("event_type", (F.col("user_id") % 50).cast("string")).alias("norm"), F.col("event_id").alias("ord"), F.col("user_id").cast("string").alias("original_url"), F.lit("web").alias("method"), F.array(F.concat(F.lit("q"), (F.col("event_id") % 4).cast("string"))).alias("queries"), F.date_format("ts", "yyyy-MM-dd").alias("discovered_at"))
-    base = staged_path(spark)
-    state = ingest.stream_url_state(rows, lambda b: f"{base}/{b}", staged_path(spark))
+    state = ingest.stream_url_state(rows, staged_path(spark), staged_path(spark), buckets=16)
     return state.select("norm", "ord", "original_url", F.col("n_merged").cast("long").alias("n_merged"), "discovered_at", F.size("queries").alias("n_queries"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -190,7 +189,7 @@ def _events(spark, sf_dir):
 def stream_new_rows(spark, sf_dir):
     """M1, M3: rows of a stream, each id once, appended exactly once."""
     path = staged_path(spark)
-    rows = ingest.new_rows(_events(spark, sf_dir), "event_id", "ts", "60 days").select("event_id", "event_type")
+    rows = ingest.new_rows(_events(spark, sf_dir), "event_id").select("event_id", "event_type")
     ingest.append(rows, path, staged_path(spark))
     return spark.read.schema(rows.schema).parquet(path)
 
@@ -203,9 +202,7 @@ def stream_timeline(spark, sf_dir):
     def merge(state, batch):
         return batch if state is None else state.join(batch, ["day", "event_type"], "left_anti").unionByName(batch)
 
-    run = uuid.uuid4().hex
-    base = staged_path(spark)
-    return ingest.upsert_batches(counts, lambda b: f"{base}/{run}-{b}", merge, staged_path(spark), "update")
+    return ingest.upsert_batches(counts, staged_path(spark), ["day", "event_type"], merge, staged_path(spark), "update", buckets=16)
 
 
 @query("SELECT event_id, list_filter([CASE WHEN contains(lower(event_type), 'click') THEN 'c' END], lambda x: x IS NOT NULL) AS tags FROM events")
