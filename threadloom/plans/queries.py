@@ -33,10 +33,6 @@ def _queries(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-def _vector_queries(vectors):
-    return vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
-
-
 @query(f"WITH q AS (SELECT unnest(['the', 'of', 'thntre']) AS term), {BM25}, {DOCS}, s AS (SELECT doc_id, round({SCORE}, 6) AS score FROM h JOIN f USING (term), z GROUP BY doc_id), k AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 20) SELECT doc_id, score, rank, label, length(text) AS full_length, CASE WHEN length(text) > 600 THEN left(text, 600) || '...' ELSE text END AS preview, length(text) > 600 AS truncated FROM k JOIN docs USING (doc_id)")
 def bm25_topk(spark, sf_dir):
     """The 20 best documents for a query, from the stored index."""
@@ -61,30 +57,20 @@ def top_score_per_query(spark, sf_dir):
     return s.groupBy("query_id").agg(F.max(F.round("score", 6)).alias("top_score"), F.count("*").alias("hits"))
 
 
-@query(f"WITH q AS (SELECT unnest(['the', 'of', 'thntre']) AS term), {BM25}, s AS (SELECT doc_id, {SCORE} AS k FROM h JOIN f USING (term), z GROUP BY doc_id), qv AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 7), v AS (SELECT vec_id AS doc_id, list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]) + 1 AS c FROM embeddings, qv) SELECT doc_id, round(0.5 * c + 0.5 * k, 6) AS score, row_number() OVER (ORDER BY round(0.5 * c + 0.5 * k, 6) DESC, doc_id) AS rank FROM s JOIN v USING (doc_id) QUALIFY rank <= 20")
+@query(f"WITH q AS (SELECT unnest(['the', 'of', 'thntre']) AS term), {BM25}, s AS (SELECT doc_id, {SCORE} AS k FROM h JOIN f USING (term), z WHERE strftime(DATE '2024-01-01' + (doc_id % 400)::INT, '%Y-%m-%d') BETWEEN '2024-03-01' AND '2024-08-31' GROUP BY doc_id), qv AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0), v AS (SELECT query_id, vec_id AS doc_id, list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]) + 1 AS c FROM embeddings, qv) SELECT query_id, doc_id, round(0.5 * c + 0.5 * k, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(0.5 * c + 0.5 * k, 6) DESC, doc_id) AS rank FROM s JOIN v USING (doc_id) QUALIFY rank <= 20")
 def hybrid_topk(spark, sf_dir):
-    """Keyword matches ranked by both scores."""
-    vectors = table(spark, sf_dir, "embeddings")
-    q = vectors.where("vec_id = 7").select(F.lit(0).cast("long").alias("query_id"), F.col("embedding").alias("qvec"))
-    k = search.lookup(search_queries.stored_index(spark, sf_dir), QUERY).withColumn("query_id", F.lit(0).cast("long"))
-    found = vectors.join(k.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
-    s = search.semantic(found, q).withColumnRenamed("vec_id", "doc_id")
-    return search.top_k(search.hybrid(k, s, "doc_id"), "doc_id", 20).select("doc_id", "score", "rank")
-
-
-@query("WITH qv AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id < 5), v AS (SELECT query_id, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]) + 1, 6) AS score FROM embeddings, qv) SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM v QUALIFY rank <= 10")
-def semantic_topk(spark, sf_dir):
-    """Nearest vectors of five queries."""
+    """Keyword matches of one text within a window of days, ranked by both scores, for each of the query vectors."""
     vectors = table(spark, sf_dir, "embeddings")
-    q = vectors.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
-    return search.top_k(search.semantic(vectors, q), "vec_id", 10).select("query_id", "vec_id", "score", "rank")
+    k = search.lookup(search_queries.stored_index(spark, sf_dir), QUERY, F.col("day").between("2024-03-01", "2024-08-31")).select("doc_id", F.col("score").alias("k"))
+    found = vectors.withColumnRenamed("vec_id", "doc_id").join(k, "doc_id")
+    return search.nearest(found, search_queries.vector_queries(vectors), 20, "doc_id", plus=0.5 * F.col("k"), alpha=0.5).select("query_id", "doc_id", "score", "rank")
 
 
 @query("WITH qv AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0), v AS (SELECT query_id, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]) + 1, 6) AS score FROM embeddings, qv) SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM v QUALIFY rank <= 10")
 def semantic_topk_all(spark, sf_dir):
     """Nearest vectors of every query, the rows whose vec_id is divisible by 100."""
     vectors = table(spark, sf_dir, "embeddings")
-    return search.nearest(vectors, _vector_queries(vectors), 10).select("query_id", "vec_id", "score", "rank")
+    return search.nearest(vectors, search_queries.vector_queries(vectors), 10).select("query_id", "vec_id", "score", "rank")
 
 
 @query(f"WITH q AS (SELECT unnest(['the', 'of', 'thntre']) AS term), {BM25}, s AS (SELECT doc_id, {SCORE} AS k FROM h JOIN f USING (term), z GROUP BY doc_id), qv AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0), v AS (SELECT query_id, vec_id AS doc_id, list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]) + 1 AS c FROM embeddings, qv) SELECT query_id, doc_id, round(0.5 * c + 0.5 * k, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(0.5 * c + 0.5 * k, 6) DESC, doc_id) AS rank FROM s JOIN v USING (doc_id) QUALIFY rank <= 20")
@@ -93,7 +79,7 @@ def hybrid_topk_all(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     k = search.lookup(search_queries.stored_index(spark, sf_dir), QUERY).select("doc_id", F.col("score").alias("k"))
     found = vectors.withColumnRenamed("vec_id", "doc_id").join(k, "doc_id")
-    return search.nearest(found, _vector_queries(vectors), 20, "doc_id", plus=0.5 * F.col("k"), alpha=0.5).select("query_id", "doc_id", "score", "rank")
+    return search.nearest(found, search_queries.vector_queries(vectors), 20, "doc_id", plus=0.5 * F.col("k"), alpha=0.5).select("query_id", "doc_id", "score", "rank")
 
 
 @query("WITH qv AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 3) SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]), 6) AS relevance FROM embeddings, qv")

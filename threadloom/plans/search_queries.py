@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import analytics, filters, scoring, search, threads
+from ..operators import analytics, filters, scoring, search, threads, vector_index
 from ..sources import records
-from ..sources.staging import staged_path
+from ..sources.staging import staged, staged_path
 from .registry import TOKENS, query, search_docs, table
 
 TOOLS = ["heon", "thntre", "the", "que", "der"]
@@ -36,11 +37,33 @@ def stored_index(spark, sf_dir) -> search.Index:
     return search.open_index(spark, path)
 
 
-def _there(spark, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/stats")
+def _there(spark, path: str, last: str = "stats") -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{last}")
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
+def dated_vectors(spark, sf_dir):
+    """embeddings with the day of the document of the same id."""
+    day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("vec_id") % 400).cast("int")), "yyyy-MM-dd")
+    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding", day.alias("day"))
+
+
+def stored_vectors(spark, sf_dir) -> vector_index.VectorIndex:
+    """The index of embeddings: built once per application and input files."""
+    key = (spark.sparkContext.applicationId, *sorted(table(spark, sf_dir, "embeddings").inputFiles()))
+    path = _BUILT.get(key)
+    if path is None or not _there(spark, path, "lists"):
+        path = staged_path(spark, "vectors")
+        vector_index.build_vector_index(dated_vectors(spark, sf_dir), path, keep=["day"])
+        _BUILT[key] = path
+    return vector_index.open_vector_index(spark, path)
+
+
+def vector_queries(vectors):
+    """The query set of searches by vector: rows whose vec_id is divisible by 100."""
+    return vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+
+
 OPINION = "round(CASE WHEN n > 0 THEN least(m / n, 1.0) ELSE 0 END, 3)"
 VIEW = f"""view AS (SELECT d.doc_id, text, lang, source, strftime(DATE '2024-01-01' + (d.doc_id % 400)::INT, '%Y-%m-%d') AS day,
     CASE WHEN toxic = 1 THEN 'negative' WHEN quality = 1 THEN 'positive' WHEN quality IS NOT NULL THEN 'neutral' ELSE 'unlabeled' END AS label,
@@ -137,6 +160,40 @@ def doc_views(spark, sf_dir):
     return records.doc_view(d, {"doc_id": -1, "text": "", "source": "unknown", "lang": "unknown", "label": "unlabeled", "quality": -1})
 
 
+# Vectors
+
+NEAR = """qv AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0),
+dv AS (SELECT vec_id, embedding, strftime(DATE '2024-01-01' + (vec_id % 400)::INT, '%Y-%m-%d') AS day FROM embeddings),
+near AS (SELECT query_id, vec_id, day, round(list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]) + 1, 6) AS score FROM dv, qv)"""
+
+
+@query(f"WITH {NEAR} SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM near QUALIFY rank <= 10")
+def semantic_topk(spark, sf_dir):
+    """The nearest vectors of every query, exactly, from the stored index: lists that cannot hold one of them are not read."""
+    found = vector_index.search_vectors(stored_vectors(spark, sf_dir), vector_queries(table(spark, sf_dir, "embeddings")), 10)
+    return found.select("query_id", "vec_id", "score", "rank")
+
+
+@query(f"WITH {NEAR} SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM near WHERE day BETWEEN '2024-03-01' AND '2024-08-31' QUALIFY rank <= 10")
+def semantic_by_dates(spark, sf_dir):
+    """The same within a window of days."""
+    found = vector_index.search_vectors(stored_vectors(spark, sf_dir), vector_queries(table(spark, sf_dir, "embeddings")), 10, where=F.col("day").between("2024-03-01", "2024-08-31"))
+    return found.select("query_id", "vec_id", "score", "rank")
+
+
+@query(None)
+def vector_index_recall(spark, sf_dir):
+    """Of every query, how many of its ten nearest vectors a search of the first lists finds, against all pairs in blocks, and the
+    share of all queries together."""
+    vectors = table(spark, sf_dir, "embeddings")
+    queries = vector_queries(vectors)
+    want = search.nearest(vectors, queries, 10).where("score IS NOT NULL").select("query_id", "vec_id")
+    got = vector_index.search_vectors(stored_vectors(spark, sf_dir), queries, 10, exact=False).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    each = want.join(got, ["query_id", "vec_id"], "left").groupBy("query_id").agg(F.count("*").alias("n_nearest"), F.count("hit").alias("n_found"))
+    all_ = each.agg((F.sum("n_found") / F.sum("n_nearest")).alias("recall"))
+    return each.join(F.broadcast(all_))  # one row
+
+
 # Experiments: every benchmark text by every method. The vector of a query is the one of its number.
 
 BENCH = f"q AS (SELECT item_id AS query_id, unnest(list_distinct({TOKENS})) AS term FROM benchmark)"
@@ -170,6 +227,34 @@ def experiment_top20(spark, sf_dir):
 WINDOWS = [(1, "the of", "2024-01-01", "2024-06-30"), (2, "the of", "2024-07-01", "2025-03-31"), (3, "der und", "2024-01-01", "2024-03-31"), (4, "der und", "2024-04-01", "2025-12-31"), (5, "que", "2024-02-01", "2024-02-29")]
 
 
+WINDOW_SQL = "e AS (SELECT * FROM (VALUES " + ", ".join(map(repr, WINDOWS)) + f") AS v(query_id, query, day_from, day_to)), q AS (SELECT query_id, unnest(string_split(query, ' ')) AS term FROM e), {RANKED}"
+
+
+@query(f"""WITH {WINDOW_SQL}, qv AS (SELECT e.*, embedding::DOUBLE[] AS v FROM e JOIN embeddings ON vec_id = query_id),
+dv AS (SELECT vec_id AS doc_id, embedding::DOUBLE[] AS x, strftime(DATE '2024-01-01' + (vec_id % 400)::INT, '%Y-%m-%d') AS day FROM embeddings),
+c AS (SELECT query_id, doc_id, list_cosine_similarity(x, v) + 1 AS c FROM dv, qv WHERE day BETWEEN day_from AND day_to),
+k AS (SELECT query_id, doc_id, k FROM s JOIN view USING (doc_id) JOIN e USING (query_id) WHERE day BETWEEN day_from AND day_to),
+a AS (SELECT query_id, 'keyword' AS method, doc_id, k AS score FROM k UNION ALL SELECT query_id, 'semantic', doc_id, c FROM c UNION ALL SELECT query_id, 'hybrid', doc_id, 0.5 * c + 0.5 * k FROM k JOIN c USING (query_id, doc_id)),
+r AS (SELECT query_id, method, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id, method ORDER BY round(score, 6) DESC, doc_id) AS rank FROM a)
+SELECT * FROM r WHERE rank <= 5""")
+def drilldown_methods(spark, sf_dir):
+    """A table of texts and windows of days, each searched within its window by keyword, by vector (that of its number) and by
+    both: the five best of each."""
+    asked = spark.createDataFrame(WINDOWS, "query_id long, query string, day_from string, day_to string")
+    index, vectors = stored_index(spark, sf_dir), dated_vectors(spark, sf_dir).withColumnRenamed("vec_id", "doc_id")
+    queries = vectors.join(asked, F.col("doc_id") == F.col("query_id")).select("query_id", F.col("embedding").alias("qvec"))
+    scores = search.indexed_scores(index, search.query_terms(asked)).join(index.docs.select("doc_id", "day"), "doc_id")
+    keyword = staged(scores.join(asked, "query_id").where("day BETWEEN day_from AND day_to").select("query_id", "doc_id", "score"), "keyword")
+    best = [search.top_k(keyword, "doc_id", 5).withColumn("method", F.lit("keyword"))]
+    for i, _, day_from, day_to in WINDOWS:  # a handful of windows, each one search
+        own, q = vectors.where(F.col("day").between(day_from, day_to)), queries.where(F.col("query_id") == i)
+        matched = own.join(keyword.where(F.col("query_id") == i).select("doc_id", F.col("score").alias("k")), "doc_id")
+        best.append(search.nearest(own, q, 5, "doc_id").withColumn("method", F.lit("semantic")))
+        best.append(search.nearest(matched, q, 5, "doc_id", plus=0.5 * F.col("k"), alpha=0.5).withColumn("method", F.lit("hybrid")))
+    names = ["query_id", "method", "doc_id", "score", "rank"]
+    return reduce(lambda a, b: a.unionByName(b), (b.select(*names) for b in best)).withColumn("query_id", F.col("query_id").cast("int"))
+
+
 @query("WITH e AS (SELECT * FROM (VALUES " + ", ".join(map(repr, WINDOWS)) + f") AS v(query_id, query, day_from, day_to)), q AS (SELECT query_id, unnest(string_split(query, ' ')) AS term FROM e), {RANKED}, w AS (SELECT query_id, query, day_from, day_to, doc_id, round(k, 6) AS score, count(*) OVER (PARTITION BY query_id) AS total_hits, row_number() OVER (PARTITION BY query_id ORDER BY round(k, 6) DESC, doc_id) AS rank FROM s JOIN view USING (doc_id) JOIN e USING (query_id) WHERE day BETWEEN day_from AND day_to) SELECT * FROM w WHERE rank <= 5")
 def drilldown_dates(spark, sf_dir):
     """A table of texts and windows of days, each searched within its window: the five best and the number of hits."""
