@@ -210,13 +210,23 @@ def plan_records(pages: DataFrame) -> DataFrame:
     """pages(page_id long, url, html) -> page_id, url, payload binary, digest binary, refers_to.
 
     Of records with equal payloads of LEAST_REVISIT bytes or more that of the largest page_id stays a response, the others
-    revisit it. Pages without a page_id are responses. A null html is an empty payload."""
+    revisit it. Where the largest page_id has several such rows, one of them is the response (the first by its number in a staged
+    table of just these rows) and the rest revisit it. Pages without a page_id are responses. A null html is an empty payload."""
     payload = F.coalesce("html", F.lit("")).cast("binary")
     pages = pages.select("page_id", "url", payload.alias("payload")).withColumn("hex", F.sha1("payload"))
-    keys = pages.where(F.length("payload") >= LEAST_REVISIT).select("page_id", "hex").where("page_id IS NOT NULL")
-    groups = keys.groupBy("hex").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("c")).where("c > 1")
-    revisits = keys.join(groups, "hex").where("page_id < refers_to").select("page_id", "hex", "refers_to").distinct()
-    return pages.join(revisits, ["page_id", "hex"], "left").select("page_id", "url", "payload", F.unhex("hex").alias("digest"), "refers_to")
+    keys = pages.where(F.length("payload") >= LEAST_REVISIT).select("page_id", "hex").where("page_id IS NOT NULL").groupBy("hex", "page_id").count()
+    groups = keys.groupBy("hex").agg(F.max(F.struct("page_id", "count")).alias("last"), F.sum("count").alias("c")).where("c > 1")
+    groups = stage(keys.join(groups, "hex").select("page_id", "hex", F.col("last.page_id").alias("refers_to"), F.col("last.count").alias("n_last")), "groups")
+    several = groups.where("page_id = refers_to AND n_last > 1").select("page_id", "hex")
+    rows = pages.join(groups.select("page_id", "hex", "refers_to", (F.col("page_id") == F.col("refers_to")).alias("last"), (F.col("n_last") > 1).alias("several")), ["page_id", "hex"], "left")
+    tied = F.coalesce(F.col("last") & F.col("several"), F.lit(False))
+    one = rows.where(~tied).select("page_id", "url", "payload", F.unhex("hex").alias("digest"), F.when(~F.col("last"), F.col("refers_to")).alias("refers_to"))
+    if several.isEmpty():
+        return one
+    numbered = stage(pages.join(several, ["page_id", "hex"]).withColumn("number", F.monotonically_increasing_id()), "tied")
+    first = numbered.groupBy("hex").agg(F.min("number").alias("first"))
+    rest = numbered.join(first, "hex").select("page_id", "url", "payload", F.unhex("hex").alias("digest"), F.when(F.col("number") != F.col("first"), F.col("page_id")).alias("refers_to"))
+    return one.unionByName(rest)
 
 
 def write_archives(pages: DataFrame, path: str) -> DataFrame:
@@ -291,8 +301,9 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """Write the pages as archives, read these back -> page_id, payload_bytes, payload_digest, record_type, refers_to (page_id).
 
     A revisit's length and digest are those of the response that it refers to, found among the records read; its own headers
-    must agree with them, else refers_to is null. One row per row of pages, repeated rows and rows without a page_id included (these
-    are responses of their own); other columns are left out."""
+    must agree with them, else refers_to is null. One row per row of pages, repeated rows included, of which one is a response and the
+    others revisit it if their payload is that long, and rows without a page_id, which are responses of their own; other columns
+    are left out."""
     spark = pages.sparkSession
     archives = write_archives(pages, shared_path(spark, "warc"))
     records = stage(read_archives(spark, archives).drop("payload", "url"), "records")
