@@ -100,3 +100,26 @@ def test_time_grows_with_length_alone(unit):
     began = time.process_time()
     h.main_text(unit * 60_000)
     assert time.process_time() - began < 10
+
+
+def test_pages_in_wrappers():
+    """Pages that are one form, or hidden until a script runs, keep their text; forms and hidden texts beside an article do not."""
+    text = "A sentence of the article, with some words in it, that goes on for a while."
+    body = "".join(f"<p>{text} {i}</p>" for i in range(6))
+    want = "\n".join(f"{text} {i}" for i in range(6))
+    form = "<form><label>Name</label><p>Fill this in.</p><input><button>Send</button></form>"
+    assert h.main_text(f"<body><form id='aspnetForm'><div class='content'>{body}</div></form></body>") == want
+    assert h.main_text(f"<body><form><main>{body}</main></form></body>") == want
+    assert h.main_text(f"<body><div hidden><div>{body}</div></div><p>Enable scripts.</p></body>").startswith(want)
+    assert h.main_text(f"<body><article>{body}</article><div style='display:none'><p>{text * 20}</p></div>{form}</body>") == want
+    assert h.main_text(f"<body><div>{body}</div>{form}</body>") == want
+    assert h.main_text(f"<body>{form}</body>") == ""
+
+
+def test_marks_with_a_prefix():
+    text = "A sentence of the article, with some words in it, that goes on for a while."
+    body = "".join(f"<p>{text} {i}</p>" for i in range(6))
+    want = "\n".join(f"{text} {i}" for i in range(6))
+    for name in ("user-comments", "reader-comments", "post-footer", "article-share", "entry-related", "post_navigation", "story-sidebar"):
+        assert h.main_text(f"<body><div>{body}<div class='{name}'><p>reader says, something, else</p></div></div></body>") == want, name
+    assert h.main_text(f"<body><div class='post-header'><h1>Title</h1></div><div>{body}</div></body>") == "Title\n" + want

@@ -54,7 +54,12 @@ PLAIN = frozenset(
 )
 OTHERS = frozenset("comment comments disqus reply replies respond related recommended".split())
 ALLOWED = frozenset("article body main html".split())
-HARD, SOFT, OTHER = 3, 2, 1  # left out in any case; by class, id or role; by one that marks other texts (readers', related ones)
+#: Beside words in OTHERS or TAILS these change nothing either ("user-comments", "post-footer"); a "post-header" holds the title.
+WHOSE = frozenset("user users reader readers visitor visitors guest guests post posts article articles entry story blog".split())
+TAILS = frozenset("footer share sharing social sidebar nav navigation newsletter subscribe subscription ad ads advert adverts promo".split())
+#: Left out unless the page's text is in it (forms, hidden wrappers); in any case; by class, id or role; by one that marks other texts
+#: (readers', related ones).
+WRAP, HARD, SOFT, OTHER = 4, 3, 2, 1
 
 
 class Node:
@@ -73,26 +78,27 @@ def marked(value: str) -> int:
     for name in value.split():
         words = WORDS.findall(name)
         found = [w for w in words if w in JUNK]
-        if found and all(w in JUNK or w in PLAIN for w in words):
+        whose = WHOSE if not OTHERS.isdisjoint(found) or not TAILS.isdisjoint(found) else ()
+        if found and all(w in JUNK or w in PLAIN or w in whose for w in words):
             kind = max(kind, SOFT if OTHERS.isdisjoint(found) else OTHER)
     return kind
 
 
 def is_junk(tag: str, attributes: str) -> int:
     if tag in DROPPED:
-        return HARD
+        return WRAP if tag == "form" else HARD
     if not attributes or attributes.isspace():
         return 0
     kind = 0
     for m in ATTRIBUTE.finditer(attributes):
         name = m[1].lower()
         if name == "hidden":
-            return HARD
+            return WRAP
         value = (m[2] or m[3] or m[4] or "").lower()
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return HARD
+            return WRAP
         if name == "aria-hidden" and value == "true":
-            return HARD
+            return WRAP
         if name in ("class", "id", "role") and tag not in ALLOWED:
             kind = max(kind, marked(value))
     return kind
@@ -101,7 +107,8 @@ def is_junk(tag: str, attributes: str) -> int:
 def rescue(root: Node) -> None:
     """Elements left out by class, id or role stay if they hold a main element, most of the page's paragraph text, or an article.
     Where an article or main element stands outside all of them, they do not stay for an article alone, nor readers' comments and
-    related texts for their length. What is within an element that stays is judged in turn."""
+    related texts for their length. Forms and hidden elements stay only if nothing of an article stands outside and they hold a main
+    element or most of the paragraph text: some pages are one form, or shown by a script. What is within an element that stays is judged in turn."""
     size, holds = {}, {}  # by element: paragraph characters within, and which of main, article it is or holds
     order, stack = [], [(root, False, False)]
     while stack:
@@ -127,8 +134,9 @@ def rescue(root: Node) -> None:
                 if not isinstance(x, str) and x.junk != HARD:
                     (outer if x.junk else stack).append(x)
         main = lambda x: "main" in holds[id(x)]
-        most = lambda x: 2 * size[id(x)] > total and not (outside and x.junk == OTHER)
-        found = [x for x in outer if main(x) or ("article" in holds[id(x)] and not outside) or most(x)]
+        most = lambda x: 2 * size[id(x)] > total and not (outside and x.junk in (OTHER, WRAP))
+        article = lambda x: "article" in holds[id(x)] and not outside and x.junk != WRAP
+        found = [x for x in outer if (main(x) and not (outside and x.junk == WRAP)) or article(x) or most(x)]
         for x in found:
             x.junk = 0
 
@@ -207,7 +215,7 @@ def parse(page: str) -> Node:
         if tag in BLOCKS:
             open_.begin(tag)
         node = Node(tag, open_.last, is_junk(tag, m[3]))
-        soft = soft or node.junk in (SOFT, OTHER)
+        soft = soft or node.junk in (SOFT, OTHER, WRAP)
         open_.last.children.append(node)
         if tag not in VOID and not (empty and tag not in BLOCKS and tag not in INLINE):
             open_.push(node)
