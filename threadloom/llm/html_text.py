@@ -60,6 +60,8 @@ TAILS = frozenset("footer share sharing social sidebar nav navigation newsletter
 #: Left out unless the page's text is in it (forms, hidden wrappers); in any case; by class, id or role; by one that marks other texts
 #: (readers', related ones).
 WRAP, HARD, SOFT, OTHER = 4, 3, 2, 1
+#: Characters of paragraphs that a form or hidden element must hold to be the page's text: a form of its own says less.
+LEAST_WRAPPED = 200
 
 
 class Node:
@@ -134,7 +136,8 @@ def rescue(root: Node) -> None:
                 if not isinstance(x, str) and x.junk != HARD:
                     (outer if x.junk else stack).append(x)
         main = lambda x: "main" in holds[id(x)]
-        most = lambda x: 2 * size[id(x)] > total and not (outside and x.junk in (OTHER, WRAP))
+        enough = lambda x: x.junk != WRAP or size[id(x)] >= LEAST_WRAPPED
+        most = lambda x: 2 * size[id(x)] > total and enough(x) and not (outside and x.junk in (OTHER, WRAP))
         article = lambda x: "article" in holds[id(x)] and not outside and x.junk != WRAP
         found = [x for x in outer if (main(x) and not (outside and x.junk == WRAP)) or article(x) or most(x)]
         for x in found:
