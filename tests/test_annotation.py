@@ -17,7 +17,7 @@ SF = "/root/testdata/sf0.001"
 
 def plain_spans(body, phrases, longest=3):
     """All candidates, longest first and then from the left, each kept if it overlaps none that is kept."""
-    words = [(m[0], m.start(), m.end()) for m in re.finditer("[a-z0-9][a-z0-9+#.-]*", body.lower())]
+    words = [(m[0], m.start(), m.end()) for m in re.finditer("[a-z0-9][a-z0-9+#.-]*", body.replace("\u0130", " ").lower())]
     found = [(-n, i, n) for n in range(1, longest + 1) for i in range(len(words) - n + 1) if " ".join(w[0] for w in words[i : i + n]) in phrases]
     kept = []
     for _, i, n in sorted(found):
@@ -43,6 +43,33 @@ def test_gazetteer_marks_and_labels(spark):
     assert entities.gazetteer(docs, "id", "t", phrases, allowed=["ORG"]).count() == 0
 
 
+def test_gazetteer_on_random_texts(spark):
+    """Overlapping phrases of one to three words, marks between words, capitals, long texts, repeated and null ids."""
+    r = random.Random(4)
+    words = ["a", "b", "c", "d", "C++", "x.y"]
+    phrases = {" ".join(r.choices([w.lower() for w in words], k=r.randrange(1, 4))): r.choice("XYZ") for _ in range(40)}
+    made = lambda n: "".join(r.choice(words) + r.choice([" ", "  ", ", ", " (", "\n", " \u0130 ", " é "]) for _ in range(n))
+    texts = [None, "", "...", *(made(r.randrange(1, 40)) for _ in range(150)), made(3000)]
+    docs = spark.createDataFrame([(i % 100 if i else None, t) for i, t in enumerate(texts)], "id int, t string").repartition(5)
+    got = entities.gazetteer(docs, "id", "t", spark.createDataFrame(list(phrases.items()), "phrase string, label string"))
+    want = [(i % 100 if i else None, *x) for i, t in enumerate(texts) for x in plain_spans(t or "", phrases)]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_gazetteer_with_a_large_dictionary(spark):
+    """The dictionary is met in a shuffle join where the engine may not broadcast."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        phrases = spark.range(50_000).select(F.concat(F.lit("name "), F.col("id").cast("string")).alias("phrase"), F.lit("N").alias("label"))
+        docs = spark.createDataFrame([(i, f"see Name {i} and name x") for i in range(500)], "id int, t string")
+        got = entities.gazetteer(docs, "id", "t", phrases)
+        assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+        assert sorted((x["id"], x["entity"], x["start"]) for x in got.collect()) == [(i, f"Name {i}", 4) for i in range(500)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_sentence_places_retry(spark):
     one = spark.createDataFrame([("b a. b c.", ["b c.", "b a.", "b  c.", "missing"])], "t string, s array<string>")
     got = one.select(entities.locate_sentences(F.col("t"), F.col("s")).alias("p")).first()["p"]

@@ -2,51 +2,102 @@
 
 from __future__ import annotations
 
-import re
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE, word_count
+from ..sources.staging import staged
+
+
+#: Words, and marks that are no words: code and named emoticons.
+ELEMENT = r"<code>|\[[a-z0-9_ ]+\]|[a-z0-9][a-z0-9+#.-]*"
+CUT, REST = "\u0002", "\u0003"
+#: Lengths that are summed up together on the way to a word's place.
+STRIDE = 256
+
+
+def _once(value: Column, f) -> Column:
+    """f(value), with value evaluated once for all its uses in f."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _low(text: Column) -> Column:
+    """In lower case, character for character."""
+    return F.lower(F.translate(F.coalesce(text.cast("string"), F.lit("")), "İ" + CUT + REST, "   "))
+
+
+def _is_word(x: Column) -> Column:
+    return ~(x.startswith("<") | x.startswith("["))
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.regexp_extract_all(_low(text), F.lit(f"({ELEMENT})"), F.lit(1)), _is_word)
+
+
+def _grams(words: Column, n: int) -> Column:
+    """All runs of n words, as array<struct<i, gram>>, i from 0."""
+    none = F.array().cast("array<int>")
+    starts = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(none)
+    return F.transform(starts, lambda i: F.struct(i.alias("i"), (F.concat_ws(" ", F.slice(words, i + 1, n)) if n > 1 else F.get(words, i)).alias("gram")))
+
+
+def _word_places(text: Column) -> Column:
+    """Start and length of every word, array<struct<start, size>>, in time that follows the text: a place is the sum of the lengths before
+    it, taken up to a whole stride from sums that are carried along."""
+    parts = F.split(F.regexp_replace(_low(text), f"({ELEMENT})", f"{CUT}$1{REST}"), CUT)
+
+    def of_parts(p: Column) -> Column:
+        sizes = F.transform(p, lambda x, k: F.length(x) - F.when(k > 0, 1).otherwise(0))
+        return _once(sizes, lambda z: _once(_bases(z), lambda base: F.filter(F.transform(p, lambda x, k: place(x, k, z, base)), lambda r: r.isNotNull())))
+
+    def _bases(z: Column) -> Column:
+        strides = F.sequence(F.lit(0), F.floor((F.size(z) - 1) / STRIDE).cast("int"))
+        sums = F.transform(strides, lambda c: F.aggregate(F.slice(z, c * STRIDE + 1, STRIDE), F.lit(0), lambda s, x: s + x))
+        return F.aggregate(sums, F.array(F.lit(0)), lambda done, x: F.concat(done, F.array(F.element_at(done, F.lit(-1)) + x)))
 
+    def place(x: Column, k: Column, z: Column, base: Column) -> Column:
+        stride = F.floor(k / STRIDE).cast("int")
+        before = F.aggregate(F.slice(z, stride * STRIDE + 1, k - stride * STRIDE), F.get(base, stride), lambda s, y: s + y)
+        return F.when((k > 0) & _is_word(x), F.struct(before.alias("start"), (F.position(F.lit(REST), x) - 1).alias("size")))
 
-TOKEN = re.compile("[a-z0-9][a-z0-9+#.-]*")
-#: Marks that are no words: code and named emoticons.
-MARK = re.compile(r"<code>|\[[a-z0-9_ ]+\]")
+    return _once(parts, of_parts)
 
 
 def gazetteer(df: DataFrame, id_: str, text: str, phrases: DataFrame, longest: int = 3, allowed: list[str] | None = None) -> DataFrame:
-    """phrases(phrase lower case, label), a table of bounded size -> id, entity (as in the text), label, start, end (characters from
-    0), n_tokens: longest match first, then from the left, no overlaps. allowed: labels that count. Code marks and [names] are no
-    words. One pass over each text: a text of n words takes n x longest look-ups."""
+    """phrases(phrase lower case, label), of any size -> id, entity (as in the text), label, start, end (characters from 0), n_tokens:
+    longest match first, then from the left, no overlaps. allowed: labels that count. Code marks and [names] are no words.
+
+    Hashes of all runs of up to longest words meet the phrases' in a join, of which the engine decides by size whether it is a
+    shuffle; texts that have none go no further. In the others the phrases found are looked up place by place, and among matches that
+    overlap one another the rule is applied one by one: work in proportion to the text, but for runs of overlapping matches, whose
+    length counts squared. A phrase with several labels has the least. Rows are numbered and staged, so null and repeated ids are
+    texts of their own; null texts have no entities."""
     known = phrases if allowed is None else phrases.where(F.col("label").isin(allowed))
-    table = df.sparkSession.sparkContext.broadcast({r["phrase"]: r["label"] for r in known.select("phrase", "label").collect()})
-
-    def spans(body: str) -> list[tuple]:
-        low = body.lower()
-        if len(low) != len(body):  # a few capitals are longer in lower case: places would not fit
-            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in body)
-        low = MARK.sub(lambda m: " " * len(m[0]), low)
-        words, free, out = list(TOKEN.finditer(low)), {}, []
-        for n in range(longest, 0, -1):
-            for i in range(len(words) - n + 1):
-                label = table.value.get(" ".join(w[0] for w in words[i : i + n]))
-                if label is not None and not any(free.get(j) for j in range(i, i + n)):
-                    free.update(dict.fromkeys(range(i, i + n), True))
-                    start, end = words[i].start(), words[i + n - 1].end()
-                    out.append((body[start:end], label, start, end, n))
-        return sorted(out, key=lambda x: x[2])
-
-    def run(batches):
-        for b in batches:
-            rows = [(i, *s) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for s in spans(t or "")]
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = [b.schema.field(0).type, pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [id_, "entity", "label", "start", "end", "n_tokens"])
-
-    kind = df.schema[id_].dataType.simpleString()
-    return df.select(id_, F.col(text).cast("string")).mapInArrow(run, f"{id_} {kind}, entity string, label string, start int, end int, n_tokens int")
+    known = known.where("phrase IS NOT NULL AND label IS NOT NULL").groupBy("phrase").agg(F.min("label").alias("label"))
+    rows = staged(df.select(F.monotonically_increasing_id().alias("row_"), F.col(id_).alias("id_"), F.col(text).alias("text_")), "texts")
+    hashes = _once(_words(F.col("text_")), lambda w: F.array_distinct(F.flatten(F.array(*(F.transform(_grams(w, n), lambda g: F.xxhash64(g["gram"])) for n in range(1, longest + 1))))))
+    grams = rows.select("row_", F.explode(hashes).alias("hash_"))
+    met = grams.join(known.withColumn("hash_", F.xxhash64("phrase")), "hash_").groupBy("row_").agg(F.map_from_entries(F.collect_list(F.struct("phrase", "label"))).alias("table_"))
+    held = rows.join(met, "row_")
+
+    def matches(w: Column) -> Column:
+        of = lambda n: F.filter(F.transform(_grams(w, n), lambda g: F.struct(g["i"].alias("i"), F.lit(n).alias("n"), F.col("table_")[g["gram"]].alias("label"))), lambda x: x["label"].isNotNull())
+        return F.concat(*(of(n) for n in range(1, longest + 1)))
+
+    each = held.select("row_", F.inline(_once(_words(F.col("text_")), matches)))
+    order = Window.partitionBy("row_").orderBy("i", "n")
+    reached = F.max(F.col("i") + F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    each = each.withColumn("new_", (F.col("i") >= F.coalesce(reached, F.lit(0))).cast("int")).withColumn("run_", F.sum("new_").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    runs = each.groupBy("row_", "run_").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "i", "n", "label"))).alias("r"))
+    overlap = lambda x, y: (y["i"] < x["i"] + x["n"]) & (x["i"] < y["i"] + y["n"])
+    kept = F.aggregate("r", F.slice("r", 1, 0), lambda done, x: F.when(F.exists(done, lambda y: overlap(x, y)), done).otherwise(F.concat(done, F.array(x))))
+    chosen = runs.select("row_", F.inline(kept)).groupBy("row_").agg(F.collect_list(F.struct("i", "n", "label")).alias("chosen_"))
+    placed = rows.join(chosen, "row_").withColumn("places_", _word_places(F.col("text_")))
+    first, last = F.get("places_", F.col("c_.i")), F.get("places_", F.col("c_.i") + F.col("c_.n") - 1)
+    placed = staged(placed, "places").select("id_", "text_", "places_", F.explode("chosen_").alias("c_"))
+    spans = placed.select("id_", "text_", F.col("c_.label").alias("label"), first["start"].alias("start"), (last["start"] + last["size"]).alias("end"), F.col("c_.n").alias("n_tokens"))
+    entity = F.substring("text_", F.col("start") + 1, F.col("end") - F.col("start"))
+    return spans.select(F.col("id_").alias(id_), entity.alias("entity"), "label", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.col("n_tokens").cast("int").alias("n_tokens"))
 
 
 def contextual(text: Column) -> Column:

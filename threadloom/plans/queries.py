@@ -646,7 +646,15 @@ def normalize_text(spark, sf_dir):
     return d.withColumn("sentences", text.split_sentences(F.col("normalized")))
 
 
-@query(None)
+@query(r"""WITH x AS (SELECT doc_id, text, lower(replace(coalesce(text, ''), 'İ', ' ')) AS low FROM documents),
+e AS (SELECT doc_id, text, regexp_extract_all(low, '<code>|\[[a-z0-9_ ]+\]|[a-z0-9][a-z0-9+#.-]*') AS el, regexp_split_to_array(low, '<code>|\[[a-z0-9_ ]+\]|[a-z0-9][a-z0-9+#.-]*') AS gap FROM x),
+u AS (SELECT doc_id, text, generate_subscripts(el, 1) AS k, unnest(el) AS w, unnest(gap[1 : len(el)]) AS g FROM e),
+p AS (SELECT doc_id, text, w, sum(length(g)) OVER o + coalesce(sum(length(w)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
+t AS (SELECT *, s + length(w) AS f, row_number() OVER (PARTITION BY doc_id ORDER BY s) AS i FROM p WHERE w[1] NOT IN ('<', '[')),
+b AS (SELECT a.doc_id, a.text, a.i, a.s, z.f FROM t a JOIN t z ON z.doc_id = a.doc_id AND z.i = a.i + 1 WHERE a.w || ' ' || z.w IN ('of the', 'in the')),
+m AS (SELECT doc_id, text, 'X' AS label, s, f, 2 AS n FROM b UNION ALL
+      SELECT doc_id, text, CASE w WHEN 'the' THEN 'Y' ELSE 'Z' END, s, f, 1 FROM t WHERE w IN ('the', 'que') AND NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = t.doc_id AND b.i + 1 = t.i))
+SELECT doc_id, text[s + 1 : f] AS entity, label, s::INT AS start, f::INT AS "end", n::INT AS n_tokens FROM m""")
 def entity_spans(spark, sf_dir):
     """Dictionary entities, longest first without overlaps, with their places (tests compare it with a plain version)."""
     phrases = spark.createDataFrame([("of the", "X"), ("the", "Y"), ("in the", "X"), ("que", "Z")], "phrase string, label string")
