@@ -81,7 +81,7 @@ def rounded(v):
 @pytest.mark.parametrize("name", sorted(set(plans.oracle_sql()) - {"url_merge"})[::5])  # the order of url_merge's lists is not set by its SQL
 def test_agrees_with_sql(spark, name):
     con = duckdb.connect()
-    for t in "region nation orders lineitem events documents embeddings pages benchmark labels conversations".split():
+    for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     a, b = plans.queries()[name](spark, SF).toPandas(), con.sql(plans.oracle_sql()[name]).df()
     columns = sorted(a.columns)

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ABBREVIATIONS, normalize_text, sentence_rows, tokens, word_count
 from ..sources.staging import staged
 from . import entities
-from .models import Model, route_polarity, route_subjectivity, with_verdicts
+from .models import Model, in_batches, route_polarity, route_subjectivity, with_verdicts
 from .scoring import FIRST_PERSON, HEDGES, INTENSIFIERS, apply_sarcasm, document_polarity, fuse_polarity, lexicon_subjectivity, lookup_mean, polarity_label, route_by_length, sarcasm, subjectivity_band, valence
 
 
@@ -51,20 +52,30 @@ class PipelineConfig:
     plugins: dict[str, Callable[[], Callable]] = field(default_factory=dict)
 
 
-def apply_distinct(df: DataFrame, column: str, make: Callable[[], Callable], only: Column | None = None) -> DataFrame:
-    """A caller's function over the distinct values of a text column, in batches, put back by value; rows outside only keep theirs.
-    make() gives list[str] -> list[str] once per task: spell correction, a tagger."""
-    import pandas as pd
+def tag_distinct(df: DataFrame, column: str, make: Callable[[], Callable], kind: str, name: str, only: Column | None = None, batch: int = 256) -> DataFrame:
+    """Adds name: what a caller's function makes of the distinct values of a text column, of any type (kind, in DDL: an array of structs
+    for tags and lemmas, say). make() gives list[str] -> list of values once per task; every value is given to it once, in batches,
+    and put back by its sha256. Rows outside only (a condition on the source, say) and nulls get null."""
 
     def run(batches):
         f = make()
         for pdf in batches:
-            yield pd.DataFrame({"value_": pdf["value_"], "made_": list(f(pdf["value_"].tolist()))})
+            made = [x for some in in_batches(pdf["value_"].tolist(), batch) for x in f(some)]
+            yield pd.DataFrame({"key_": pdf["key_"], "made_": made})
+
+    wanted = F.col(column).isNotNull() if only is None else F.col(column).isNotNull() & F.coalesce(only, F.lit(False))
+    asked = df.withColumn("asked_", F.when(wanted, F.sha2(F.col(column), 256)))
+    values = asked.where(F.col("asked_").isNotNull()).groupBy(F.col("asked_").alias("key_")).agg(F.any_value(column).alias("value_"))
+    made = staged(values.mapInPandas(run, f"key_ string, made_ {kind}"), "tags")
+    return asked.join(made, F.col("asked_") == F.col("key_"), "left").select(*df.columns, F.col("made_").alias(name))
 
-    wanted = F.col(column).isNotNull() if only is None else F.col(column).isNotNull() & only
-    made = df.where(wanted).select(F.col(column).alias("value_")).distinct().mapInPandas(run, "value_ string, made_ string")
-    both = df.withColumn("asked_", F.when(wanted, F.col(column))).join(made, F.col("asked_") == F.col("value_"), "left")
-    return both.withColumn(column, F.when(F.col("asked_").isNotNull(), F.col("made_")).otherwise(F.col(column))).drop("asked_", "value_", "made_")
+
+def apply_distinct(df: DataFrame, column: str, make: Callable[[], Callable], only: Column | None = None) -> DataFrame:
+    """A caller's function over the distinct values of a text column, in batches, put back by value; rows outside only keep theirs.
+    make() gives list[str] -> list[str] once per task: spell correction."""
+    tagged = tag_distinct(df, column, make, "string", "replaced_", only)
+    wanted = F.col(column).isNotNull() if only is None else F.col(column).isNotNull() & F.coalesce(only, F.lit(False))
+    return tagged.withColumn(column, F.when(wanted, F.col("replaced_")).otherwise(F.col(column))).drop("replaced_")
 
 
 def _scored_sentences(rows: DataFrame, lexicon: DataFrame, c: PipelineConfig) -> DataFrame:

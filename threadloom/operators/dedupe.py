@@ -28,22 +28,25 @@ def greedy_dedupe(df: DataFrame, order: str, keys: list[str]) -> DataFrame:
     """The sequential rule: in order, a row is kept unless one of its keys equals that of a kept row before it.
 
     Rounds over the undecided rows: the first row of all its keys is kept; rows that share a key with it go. Rows whose keys
-    are unique are kept in the first round. Each round is staged."""
-    columns = [order, *keys]
-    left, kept = staged(df.select(*columns)), None
+    are unique are kept in the first round. Each round is staged. Rows are numbered first and tie by number; rows without an order
+    come last; null keys equal each other."""
+    numbered = staged(df.withColumn("row_", F.monotonically_increasing_id()), "numbered")
+    place = F.struct(F.col(order).isNull().alias("none"), F.col(order).alias("order"), F.col("row_").alias("row"))
+    left, kept = staged(numbered.select("row_", place.alias("place_"), *(F.col(k).alias(f"key_{i}") for i, k in enumerate(keys)))), None
+    names = [f"key_{i}" for i in range(len(keys))]
     while not left.isEmpty():
         first = left
-        for i, k in enumerate(keys):
-            least = left.groupBy(F.col(k).alias(f"k{i}")).agg(F.min(order).alias(f"m{i}"))
-            first = first.join(least, F.col(k).eqNullSafe(F.col(f"k{i}")))
-        won = staged(first.where(" AND ".join(f"{order} = m{i}" for i in range(len(keys)))).select(*columns))
+        for k in names:
+            least = left.groupBy(F.col(k).alias(f"same_{k}")).agg(F.min("place_").alias(f"least_{k}"))
+            first = first.join(least, F.col(k).eqNullSafe(F.col(f"same_{k}"))).where(F.col("place_.row") == F.col(f"least_{k}.row")).select(*left.columns)
+        won = staged(first)
         kept = won if kept is None else kept.unionByName(won)
-        left = left.join(won.select(order), order, "left_anti")
-        for k in keys:
+        left = left.join(won.select("row_"), "row_", "left_anti")
+        for k in names:
             taken = won.select(F.col(k).alias("taken_")).distinct()
             left = left.join(taken, F.col(k).eqNullSafe(F.col("taken_")), "left_anti")
         left = staged(left)
-    return df.join(kept.select(order), order, "left_semi") if kept is not None else df
+    return numbered.join(kept.select("row_"), "row_", "left_semi").drop("row_") if kept is not None else df
 
 
 def in_ranges(df: DataFrame, order: str, range_: str = "range_") -> DataFrame:

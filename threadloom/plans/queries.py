@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicons, text, urls
 from ..functions.dates import year_month
 from ..operators import analytics, dedupe, entities, evaluation, filters, joins, sampling, scoring, search, threads
+from ..sources.staging import staged_path
 from . import label_queries, model_queries, record_queries, search_queries  # noqa: F401  register their queries
 from .registry import DOCS, QUERIES, TOKENS, WORDS, query, search_docs, table
 
@@ -180,6 +181,24 @@ def profile(spark, sf_dir):
     return analytics.profile(table(spark, sf_dir, "documents"), ["lang", "source", "text"])
 
 
+@query("SELECT 'lang' AS column_name, lang AS value, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang UNION ALL SELECT 'source', source, count(*) FROM documents WHERE source IS NOT NULL GROUP BY source UNION ALL SELECT 'toxic', toxic::VARCHAR, count(*) FROM documents JOIN labels USING (doc_id) WHERE toxic IS NOT NULL GROUP BY toxic")
+def value_lists(spark, sf_dir):
+    """All values of columns with their counts."""
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id", "left")
+    return analytics.value_counts(d, ["lang", "source", "toxic"])
+
+
+@query("SELECT c AS column_name, count(*) AS rows, count(*) FILTER (v IS NULL) AS n_nulls, true AS close FROM (SELECT 'lang' AS c, lang AS v FROM documents UNION ALL SELECT 'source', source FROM documents UNION ALL SELECT 'text', text FROM documents) GROUP BY c")
+def kept_profile(spark, sf_dir):
+    """A profile kept by source and put together again; whether its numbers of values are within the sketches' error of the exact ones."""
+    d, columns = table(spark, sf_dir, "documents"), ["lang", "source", "text"]
+    path = staged_path(spark)
+    analytics.profile_parts(d, columns, [F.coalesce("source", F.lit("")).alias("part")]).write.parquet(path)
+    both = analytics.merged_profile(spark.read.parquet(path)).join(analytics.profile(d, columns).select("column_name", F.col("n_distinct").alias("exact")), "column_name")
+    close = F.abs(F.col("n_distinct") - F.col("exact")) <= F.greatest(F.lit(1.0), analytics.SKETCH_ERROR * F.col("exact"))
+    return both.select("column_name", "rows", "n_nulls", close.alias("close"))
+
+
 @query("WITH r AS (SELECT CASE WHEN length(trim(text)) < 200 THEN 'short' WHEN lang <> 'en' THEN 'language' ELSE 'kept' END AS reason FROM documents), g AS (SELECT reason, count(*) AS n FROM r GROUP BY reason) SELECT reason, n, round(100.0::DOUBLE * n / sum(n) OVER (), 2) AS pct FROM g")
 def step_report(spark, sf_dir):
     """Rows by reason of removal."""

@@ -178,6 +178,32 @@ def annotate_corpus(spark, sf_dir):
     return annotation.annotate_corpus(table(spark, sf_dir, "documents"), "doc_id", "text", lexicon, phrases)
 
 
+@query(f"WITH w AS (SELECT doc_id, source, {WORDS} AS w FROM documents) SELECT doc_id, CASE WHEN source <> 'src3' THEN len(w) END AS n_tokens, CASE WHEN source <> 'src3' THEN len(list_filter(w, lambda x: regexp_full_match(x, '[0-9]+'))) END AS n_numbers, CASE WHEN source <> 'src3' THEN list_transform(w[1:5], lambda x: lower(x)) END AS lemmas FROM w")
+def tagged_tokens(spark, sf_dir):
+    """A tagger over the distinct texts, for all sources but one: token, tag and lemma of every word."""
+
+    def make():
+        import re
+
+        number = re.compile("[0-9]+")
+        return lambda texts: [[{"token": w, "pos": "NUM" if number.fullmatch(w) else "X", "lemma": w.lower()} for w in re.split(r"[\x20\x09-\x0D]+", t) if w] for t in texts]
+
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
+    t = annotation.tag_distinct(d, "text", make, "array<struct<token:string,pos:string,lemma:string>>", "tags", F.col("source") != "src3")
+    numbers = F.when(F.col("tags").isNotNull(), F.size(F.filter("tags", lambda x: x["pos"] == "NUM")))
+    return t.select("doc_id", F.when(F.col("tags").isNotNull(), F.size("tags")).cast("long").alias("n_tokens"), numbers.cast("long").alias("n_numbers"), F.slice(F.col("tags.lemma"), 1, 5).alias("lemmas"))
+
+
+@query("SELECT doc_id::VARCHAR AS id, coalesce(nullif(source, ''), 'unknown') AS source, 0 AS score, 'neutral' AS label, len(embedding)::INT AS dims FROM documents JOIN embeddings ON vec_id = doc_id")
+def search_store(spark, sf_dir):
+    """The search store by its fixed mapping, in buckets of the id, joined with the vectors' store of the same buckets."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "text", "source", F.lit("n/a").alias("score"))
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("id"), "embedding")
+    docs = records.write_search_store(d, staged_path(spark), 16)
+    vectors = records.write_search_store(v, staged_path(spark), 16, {"id": ("string", "")})
+    return docs.join(vectors, "id").select("id", "source", "score", "label", F.size("embedding").alias("dims"))
+
+
 # Streams
 
 def _events(spark, sf_dir):

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.dates import epoch_to_date, tweet_date
 from ..functions.text import collapse, word_count
@@ -161,6 +165,41 @@ def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
     df.select(*columns).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+#: Fields of the search store with their types and defaults.
+STORE = {
+    "id": ("string", ""), "text": ("string", ""), "source": ("string", "unknown"), "author": ("string", ""), "date": ("string", ""), "score": ("int", 0), "title": ("string", ""),
+    "type": ("string", "post"), "post_id": ("string", ""), "label": ("string", "neutral"), "subjectivity": ("string", "objective"), "subjectivity_score": ("double", 0.0),
+    "aspect_sentiments": ("string", ""), "has_sarcasm": ("boolean", False),
+}
+
+
+def write_search_store(docs: DataFrame, path: str, buckets: int = 64, mapping: dict[str, tuple[str, object]] | None = None, id_: str = "id") -> DataFrame:
+    """The search store below path, by a fixed mapping: absent, null, empty and unreadable fields take their defaults, other columns
+    (lists, vectors) stay as they are. Rows lie in buckets of their id, in order, so that look-ups read one bucket, and joins of
+    stores with as many buckets by id move no rows. Returns the store."""
+    mapping = STORE if mapping is None else mapping
+    whole = docs.withColumns({c: F.lit(None).cast("string") for c in mapping if c not in docs.columns})
+    typed = {c: F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")).try_cast(kind), F.lit(default).cast(kind)) for c, (kind, default) in mapping.items()}
+    rows = whole.select(*(v.alias(c) for c, v in typed.items()), *(c for c in docs.columns if c not in mapping))
+    spark = docs.sparkSession
+    rows.repartition(buckets, id_).sortWithinPartitions(id_).write.mode("overwrite").bucketBy(buckets, id_).sortBy(id_).option("path", f"{path}/rows").saveAsTable(_store_name(path))
+    spark.createDataFrame([(buckets, id_, rows.schema.json())], "buckets int, id string, fields string").coalesce(1).write.mode("overwrite").parquet(f"{path}/layout")
+    return spark.table(_store_name(path))
+
+
+def _store_name(path: str) -> str:
+    return "store_" + hashlib.md5(path.encode()).hexdigest()[:16]
+
+
+def open_search_store(spark: SparkSession, path: str) -> DataFrame:
+    """A store that write_search_store wrote, also in another application."""
+    if not spark.catalog.tableExists(_store_name(path)):
+        r = spark.read.parquet(f"{path}/layout").first()
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in StructType.fromJson(json.loads(r["fields"])))
+        spark.sql(f"CREATE TABLE {_store_name(path)} ({fields}) USING parquet CLUSTERED BY (`{r['id']}`) SORTED BY (`{r['id']}`) INTO {r['buckets']} BUCKETS LOCATION '{path}/rows'")
+    return spark.table(_store_name(path))
+
+
 def save_search_table(docs: DataFrame, path: str, partition: str = "source") -> None:
     """The search store, laid out by source so that source filters prune folders."""
     docs.write.mode("overwrite").partitionBy(partition).parquet(path)
