@@ -491,11 +491,15 @@ def line_aspects(spark, sf_dir):
     return entities.extract_aspects(found, lines, "doc_id")
 
 
-@query("SELECT conv_id, turn, ['Zed' || turn::VARCHAR] AS names, ['AI_TOOL'] AS labels FROM conversations WHERE turn % 3 = 0 UNION ALL SELECT conv_id, turn, ['Grok', 'Nova Two'], ['AI_TOOL', 'EDITOR'] FROM conversations WHERE turn % 3 = 1 UNION ALL SELECT conv_id, turn, [], [] FROM conversations WHERE turn % 3 = 2")
+SAID = "coalesce(text, '') || CASE turn % 3 WHEN 0 THEN ' uses Zed' || turn::VARCHAR || ' plugin' WHEN 1 THEN ' the Grok API and Nova Two editor' ELSE ' a model or editor' END"
+NAMES = "list_transform(regexp_extract_all({}, '((?:[A-Z][A-Za-z0-9]+ )+)(?i:{})\\b', 1), lambda x: trim(x))"
+
+
+@query(f"WITH c AS (SELECT conv_id, turn, {SAID} AS said FROM conversations), n AS (SELECT *, {NAMES.format('said', 'model|api|extension|plugin')} AS a, {NAMES.format('said', 'editor')} AS b FROM c) SELECT conv_id, turn, a || b AS names, list_transform(a, lambda x: 'AI_TOOL') || list_transform(b, lambda x: 'EDITOR') AS labels FROM n")
 def contextual_entities(spark, sf_dir):
-    """Capitalised words before model, api, plugin or editor, with their labels."""
-    said = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("uses Zed"), F.col("turn").cast("string"), F.lit(" plugin"))).when(F.col("turn") % 3 == 1, "the Grok API and Nova Two editor").otherwise("a model or editor")
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", entities.contextual(said).alias("e"))
+    """Capitalised words before model, api, plugin or editor, with their labels, in every turn's whole text and an ending that names some."""
+    more = F.when(F.col("turn") % 3 == 0, F.concat(F.lit(" uses Zed"), F.col("turn").cast("string"), F.lit(" plugin"))).when(F.col("turn") % 3 == 1, " the Grok API and Nova Two editor").otherwise(" a model or editor")
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", entities.contextual(F.concat(F.coalesce("text", F.lit("")), more)).alias("e"))
     return c.select("conv_id", "turn", F.col("e.name").alias("names"), F.col("e.label").alias("labels"))
 
 
@@ -516,11 +520,11 @@ def subjectivity_rules(spark, sf_dir):
     return b.select("l_orderkey", "l_linenumber", scoring.subjectivity_band(F.col("d")).alias("band"), F.round("b", 6).alias("blend"), label.alias("label"))
 
 
-@query(f"WITH {LINE}, v AS (SELECT *, CASE WHEN f = 'N' THEN (d + 1) / 2 ELSE 0.55::DOUBLE * (d + 1) / 2 + 0.45::DOUBLE * (2 * t - 1 + 1) / 2 END AS s FROM x) SELECT l_orderkey, l_linenumber, round(s, 6) AS score, CASE WHEN s >= 0.65 THEN 'positive' WHEN s <= 0.35 THEN 'negative' ELSE 'neutral' END AS label, round(2 * abs(s - 0.5), 6) AS confidence FROM v WHERE abs(s - 0.65) > 1e-9 AND abs(s - 0.35) > 1e-9")
+@query(f"WITH {LINE}, v AS (SELECT *, CASE WHEN f = 'N' THEN (d + 1) / 2 ELSE 0.55::DOUBLE * (d + 1) / 2 + 0.45::DOUBLE * (2 * t - 1 + 1) / 2 END AS s FROM x) SELECT l_orderkey, l_linenumber, round(s, 6) AS score, CASE WHEN s >= 0.65 THEN 'positive' WHEN s <= 0.35 THEN 'negative' ELSE 'neutral' END AS label, round(2 * abs(s - 0.5), 6) AS confidence FROM v")
 def fused_polarity(spark, sf_dir):
-    """Valence and lexicon polarity in one score, its label and confidence (scores within 1e-9 of a bound left out)."""
+    """Valence and lexicon polarity in one score, its label and confidence; many stand on a bound."""
     s = scoring.fuse_polarity(F.col("d"), F.when(F.col("f") != "N", 2 * F.col("t") - 1))
-    v = _lines(spark, sf_dir).withColumn("s", s).where((F.abs(F.col("s") - 0.65) > 1e-9) & (F.abs(F.col("s") - 0.35) > 1e-9))
+    v = _lines(spark, sf_dir).withColumn("s", s)
     return v.select("l_orderkey", "l_linenumber", F.round("s", 6).alias("score"), scoring.polarity_label(F.col("s")).alias("label"), F.round(scoring.polarity_confidence(F.col("s")), 6).alias("confidence"))
 
 
@@ -533,10 +537,10 @@ def model_polarity(spark, sf_dir):
     return r.select("l_orderkey", "l_linenumber", scoring.route_by_length(F.col("q"), 10, 40).alias("route"), (F.round("s", 6) + 0.0).alias("score"), (F.round(final, 6) + 0.0).alias("final"))
 
 
-@query(f"WITH {LINE}, o AS (SELECT l_orderkey, avg(CASE f WHEN 'A' THEN d ELSE -d END) AS m, CASE WHEN l_orderkey % 3 = 0 THEN 'positive' ELSE 'neutral' END AS l FROM x GROUP BY l_orderkey) SELECT l_orderkey, CASE WHEN l <> 'neutral' THEN l WHEN m >= 0.25 THEN 'positive' WHEN m <= -0.25 THEN 'negative' ELSE 'neutral' END AS polarity FROM o WHERE abs(abs(m) - 0.25) > 1e-9")
+@query(f"WITH {LINE}, o AS (SELECT l_orderkey, round(avg(CASE f WHEN 'A' THEN d ELSE -d END), 9) AS m, CASE WHEN l_orderkey % 3 = 0 THEN 'positive' ELSE 'neutral' END AS l FROM x GROUP BY l_orderkey) SELECT l_orderkey, CASE WHEN l <> 'neutral' THEN l WHEN m >= 0.25 THEN 'positive' WHEN m <= -0.25 THEN 'negative' ELSE 'neutral' END AS polarity FROM o")
 def document_polarity(spark, sf_dir):
     """The model's label of the document; a neutral one gives way to a clear mean of its aspects."""
-    o = _lines(spark, sf_dir).groupBy("l_orderkey").agg(F.avg(F.when(F.col("f") == "A", F.col("d")).otherwise(-F.col("d"))).alias("m")).where(F.abs(F.abs("m") - 0.25) > 1e-9)
+    o = _lines(spark, sf_dir).groupBy("l_orderkey").agg(F.round(F.avg(F.when(F.col("f") == "A", F.col("d")).otherwise(-F.col("d"))), 9).alias("m"))
     label = F.when(F.col("l_orderkey") % 3 == 0, "positive").otherwise("neutral")
     return o.select("l_orderkey", scoring.document_polarity(label, F.col("m")).alias("polarity"))
 

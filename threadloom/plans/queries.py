@@ -354,11 +354,11 @@ def is_member(spark, sf_dir):
     return joins.is_member(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id")
 
 
-@query("SELECT coalesce(l.doc_id, u.doc_id) AS doc_id, coalesce(u.quality, l.quality) AS quality, l.toxic FROM labels l FULL JOIN (SELECT doc_id, 1 - doc_id % 2 AS quality FROM documents WHERE doc_id % 10 = 0) u USING (doc_id)")
+@query(f"SELECT coalesce(l.doc_id, u.doc_id) AS doc_id, coalesce(u.quality, l.quality) AS quality, l.toxic FROM labels l FULL JOIN (SELECT doc_id, CASE WHEN len({WORDS}) >= 300 THEN 1 ELSE 0 END AS quality FROM documents WHERE len({WORDS}) >= 100) u USING (doc_id)")
 def apply_labels(spark, sf_dir):
-    """Updates of known keys, and new ones."""
-    updates = table(spark, sf_dir, "documents").where("doc_id % 10 = 0").select("doc_id", (1 - F.col("doc_id") % 2).alias("quality"))
-    return joins.upsert(table(spark, sf_dir, "labels"), updates, "doc_id")
+    """Updates of known keys, and new ones: a label by length for every document of 100 words or more."""
+    d = table(spark, sf_dir, "documents").select("doc_id", text.word_count(F.col("text")).alias("n"))
+    return joins.upsert(table(spark, sf_dir, "labels"), d.where("n >= 100").select("doc_id", F.when(F.col("n") >= 300, 1).otherwise(0).alias("quality")), "doc_id")
 
 
 @query("SELECT d.doc_id, l.v AS verdict, CASE WHEN l.v IS NULL THEN 'pending' WHEN l.v = 'yes' THEN 'relevant' ELSE 'dropped' END AS status FROM documents d LEFT JOIN (SELECT doc_id, CASE quality WHEN 1 THEN 'yes' ELSE 'no' END AS v FROM labels) l USING (doc_id)")
@@ -388,11 +388,11 @@ def merge_distinct_ci(spark, sf_dir):
     return joins.merge_distinct_ci(table(spark, sf_dir, "nation").select(F.col("n_name").alias("name")), table(spark, sf_dir, "region").select(F.lower("r_name").alias("name")), "name").select("name")
 
 
-@query("SELECT DISTINCT source AS key, source IN (SELECT source FROM documents WHERE doc_id % 7 = 0) AS is_new FROM documents WHERE false UNION ALL SELECT k, k NOT IN (SELECT lang FROM documents WHERE doc_id % 2 = 0) FROM (SELECT DISTINCT source AS k FROM documents)")
+@query("SELECT DISTINCT vec_id::VARCHAR AS key, vec_id NOT IN (SELECT doc_id FROM labels) AS is_new FROM embeddings")
 def add_new_keys(spark, sf_dir):
-    """H6: which keys of a batch are new."""
-    d = table(spark, sf_dir, "documents")
-    return joins.add_new_keys(d.where("doc_id % 2 = 0").select(F.col("lang").alias("key")), d.select(F.col("source").alias("key")), "key")
+    """H6: which keys of a batch are new: ids of vectors against those that have labels."""
+    state = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("key"))
+    return joins.add_new_keys(state, table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("key")), "key")
 
 
 @query("SELECT count(*) AS overlap FROM (SELECT doc_id FROM documents INTERSECT SELECT vec_id FROM embeddings)")

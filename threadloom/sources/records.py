@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.dates import epoch_to_date, tweet_date
 from ..functions.text import collapse, word_count
+from .json_arrays import read_json_objects
 
 COMMENT = "comment_id string, parent_id string, Source string, Author string, Text string, Score int, Date string, Word_Count int"
 THREAD = f"ID string, Source string, Type string, Author string, Title string, Text string, Score int, Date string, Word_Count int, Comments array<struct<{COMMENT.replace(' string', ':string').replace(' int', ':int')}>>"
@@ -18,8 +19,8 @@ ROW = "Source string, ID string, Type string, Author string, Text string, Score
 
 
 def read_threads(spark: SparkSession, path: str, schema: str = THREAD, lines: bool = False) -> DataFrame:
-    """A1: files of one array or one object of threads each; lines: of a thread per line, which split at any size."""
-    return spark.read.schema(schema).option("multiLine", not lines).json(path)
+    """A1: files of one array or one object of threads each, both of any size; lines: of a thread per line."""
+    return spark.read.schema(schema).json(path) if lines else read_json_objects(spark, path, schema)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
