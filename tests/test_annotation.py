@@ -133,6 +133,28 @@ def test_index_equals_the_scan(spark):
     assert search.get_docs(index, [0, 3, 10**9]).count() == 2
 
 
+def test_frequent_terms_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(search, "PER_FILE", 20)
+    monkeypatch.setattr(search, "PART", 1)
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("the the x"), F.col("id").cast("string")).alias("text"))
+    path = staged_path(spark)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would go to one task
+    try:
+        index = search.build_index(docs, path, buckets=4)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    r = {x["term"]: (x["df"], x["cf"]) for x in index.terms.collect()}
+    assert r["the"] == (300, 600) and r["x7"] == (1, 1) and len(r) == 301
+    files = spark.read.parquet(f"{path}/postings").where("term = 'the'").select(F.input_file_name().alias("f")).distinct().count()
+    assert files > 1
+    assert search.lookup(index, "x5 the").count() == 300
+
+
+def test_term_counts(spark):
+    df = spark.createDataFrame([(["b", "a", "b", "b"],), ([],), (["a"],)], "t array<string>")
+    assert [[tuple(x) for x in r[0]] for r in df.select(search.term_counts(F.col("t"))).collect()] == [[("a", 1), ("b", 3)], [], [("a", 1)]]
+
+
 def test_embed(spark):
     df = spark.createDataFrame([(1, "a b a"), (2, None), (3, "B c")], "id int, t string")
     got = {r["id"]: np.array(r["embedding"]) for r in search.embed(df, "id", "t", batch=2).collect()}

@@ -56,11 +56,11 @@ def sentiment_trend(df: DataFrame, when: Column, label: str) -> DataFrame:
 
 
 def tool_comparison(df: DataFrame, id_: str, tools: str, label: str, aliases: dict[str, str]) -> DataFrame:
-    """Per tool: documents with any of its aliases, counts and percentages by label. One row per tool with documents."""
-    spark = df.sparkSession
-    names = spark.createDataFrame(sorted(aliases.items()), "alias string, tool string")
-    hits = df.select(id_, label, F.explode(F.array_distinct(tools)).alias("alias")).join(F.broadcast(names), "alias").select(id_, label, "tool").distinct()
-    agg = hits.groupBy("tool").agg(F.count("*").alias("total"), *(F.count_if(F.col(label) == x).alias(x) for x in ("positive", "negative", "neutral")))
+    """Per tool: documents (rows, each id one row) with any of its aliases, counts and percentages by label. One row per tool with
+    documents. Aliases are constants that are looked up within the row, so one shuffle of counts is left."""
+    tool = F.create_map(*(F.lit(x) for kv in sorted(aliases.items()) for x in kv))
+    named = F.array_distinct(F.transform(F.array_intersect(F.col(tools), F.array(*map(F.lit, sorted(aliases)))), lambda a: tool[a]))
+    agg = df.select(label, F.explode(named).alias("tool")).groupBy("tool").agg(F.count("*").alias("total"), *(F.count_if(F.col(label) == x).alias(x) for x in ("positive", "negative", "neutral")))
     return agg.select("*", *(percent(F.col(x), F.col("total")).alias(f"{x}_pct") for x in ("positive", "negative", "neutral")))
 
 

@@ -67,18 +67,42 @@ def _bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def build_index(docs: DataFrame, path: str, id_: str = "doc_id", text: str = "text", keep: Iterable[str] = (), buckets: int | None = None, spread: int = 4) -> Index:
+#: Postings of a frequent term in one file, and the part of the documents that frequent terms are found in.
+PER_FILE, PART = 200_000, 64
+
+
+def term_counts(words: Column) -> Column:
+    """The distinct words of an array with how often each occurs, array<struct<term, tf>>, by sorting the array: no shuffle."""
+
+    def of(s: Column) -> Column:
+        starts = F.filter(F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(F.array().cast("array<int>")), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return F.transform(F.array(starts), lambda at: F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).cast("long").alias("tf"))))[0]
+
+    return F.transform(F.array(F.sort_array(words)), of)[0]
+
+
+def build_index(docs: DataFrame, path: str, id_: str = "doc_id", text: str = "text", keep: Iterable[str] = (), buckets: int | None = None) -> Index:
     """Write an index of docs below path; keep names columns that searches may filter by, stored with every posting.
 
-    A bucket of terms is a folder of spread files in order of term, so a lookup reads the row groups of its terms only, and no
-    frequent term is written by one task. buckets: by default one for each 20,000 documents, 8 to 2,048."""
+    A bucket of terms is a folder of files in order of term, so a lookup reads the row groups of its terms only. Words are counted
+    within their row and moved once, to their bucket; the postings of a term that has more than PER_FILE of them (judged by one
+    document in PART) are dealt out to several files by id, so no task writes all of a frequent term. buckets: by default one for
+    each 20,000 documents, 8 to 2,048."""
     keep, buckets = list(keep), buckets or max(8, min(2048, docs.count() // 20_000))
     rows = docs.select(F.col(id_), F.col(text).alias("text"), *keep).withColumn("dl", F.size(tokens(F.col("text"))))
     rows.repartitionByRange(F.col(id_)).sortWithinPartitions(id_).write.parquet(f"{path}/docs")
     spark, stored = docs.sparkSession, docs.sparkSession.read.parquet(f"{path}/docs")
-    each = stored.select(id_, "dl", *keep, F.explode(tokens(F.col("text"))).alias("term"))
-    posts = each.groupBy(id_, "term").agg(F.count("*").alias("tf"), *(F.first(c).alias(c) for c in ("dl", *keep))).withColumn("bucket", _bucket(F.col("term"), buckets))
-    posts.repartition("bucket", F.pmod(F.xxhash64(id_), F.lit(spread))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+    some = stored.where(F.pmod(F.xxhash64(id_), F.lit(PART)) == 0).select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term_"))
+    often = some.groupBy("term_").agg((F.count("*") * PART).alias("n_")).where(F.col("n_") > PER_FILE).select("term_", F.ceil(F.col("n_") / PER_FILE).alias("files_"))
+    posts = stored.select(id_, "dl", *keep, F.inline(term_counts(tokens(F.col("text"))))).withColumn("bucket", _bucket(F.col("term"), buckets))
+    often = staged(often, "often")
+    if known := often.count():  # sent to all tasks where it is small; beyond that the engine decides
+        often = F.broadcast(often) if known <= 100_000 else often
+        posts = posts.join(often, F.col("term") == F.col("term_"), "left").withColumn("file_", F.pmod(F.xxhash64(id_), F.coalesce("files_", F.lit(1))))
+    else:
+        posts = posts.withColumn("file_", F.lit(0))
+    posts = posts.select(id_, "term", "tf", "dl", *keep, "bucket", "file_").repartition("bucket", "file_")
+    posts.sortWithinPartitions("bucket", "term").drop("file_").write.partitionBy("bucket").parquet(f"{path}/postings")
     posts = spark.read.parquet(f"{path}/postings")
     posts.groupBy("bucket", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).repartition("bucket").sortWithinPartitions("term").write.partitionBy("bucket").parquet(f"{path}/terms")
     stored.agg(F.count("*").cast("double").alias("n_docs"), F.avg("dl").alias("avgdl")).withColumn("buckets", F.lit(buckets)).coalesce(1).write.parquet(f"{path}/stats")
