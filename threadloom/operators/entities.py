@@ -13,7 +13,7 @@ from ..sources.staging import staged
 ELEMENT = r"<code>|\[[a-z0-9_ ]+\]|[a-z0-9][a-z0-9+#.-]*"
 CUT, REST = "\u0002", "\u0003"
 #: Lengths that are summed up together on the way to a word's place.
-STRIDE = 256
+STRIDE = 16
 
 
 def _once(value: Column, f) -> Column:

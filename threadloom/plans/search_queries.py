@@ -168,12 +168,19 @@ near AS (SELECT query_id, vec_id, day, round(list_cosine_similarity(embedding::D
 
 
 @query(f"WITH {NEAR} SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM near QUALIFY rank <= 10")
-def semantic_topk(spark, sf_dir):
+def semantic_indexed(spark, sf_dir):
     """The nearest vectors of every query, exactly, from the stored index: lists that cannot hold one of them are not read."""
     found = vector_index.search_vectors(stored_vectors(spark, sf_dir), vector_queries(table(spark, sf_dir, "embeddings")), 10)
     return found.select("query_id", "vec_id", "score", "rank")
 
 
+@query(f"WITH {NEAR} SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM near QUALIFY rank <= 10")
+def semantic_topk(spark, sf_dir):
+    """The nearest vectors of every query, by all pairs of blocks."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return search.nearest(vectors, vector_queries(vectors), 10).select("query_id", "vec_id", "score", "rank")
+
+
 @query(f"WITH {NEAR} SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM near WHERE day BETWEEN '2024-03-01' AND '2024-08-31' QUALIFY rank <= 10")
 def semantic_by_dates(spark, sf_dir):
     """The same within a window of days."""
