@@ -2,6 +2,7 @@
 
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from threadloom.llm import chat, html_text, line_dedup, mixing, ngram_join, pieces, quality, spot_signatures, toxicity, warc
@@ -109,6 +110,34 @@ def test_chat(spark):
     assert got[1]["turns_sha256"] == hashlib.sha256(f"user\n{LONG}\nassistant\n\nassistant\n\n".encode()).hexdigest()
 
 
+def test_long_conversation(spark):
+    """A conversation with most of all rows lies in several ranges, and comes out as from one pass in plain Python."""
+    head = "x" * chat.HEAD
+    rows = [(7, i // 3, ("user", "assistant")[i % 2], f"turn {i} <|im_end|>") for i in range(300)] + [(7, 500, "assistant", "same")] * 20
+    rows += [(7, 600, head + r, t) for r, t in (("b", "1"), ("a", "2"), ("", "3"))] + [(c, 0, "user", f"only {c}") for c in range(20)] + [(None, i, "assistant", f"n{i}") for i in range(40)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(8)
+    assert chat.ranged(turns).where("conv_id = 7").select("range_").distinct().count() > 1
+    formatted = chat.format_chat(turns).collect()
+    got = {r["conv_id"]: r for r in chat.read_back(chat.format_chat(turns)).collect()}
+    for conv in {r[0] for r in rows}:
+        own = sorted((r[1:] for r in rows if r[0] == conv), key=lambda r: (r[0], r[1], r[2]))
+        placed = sorted((r["turn"], r["start"], len(r["ids"])) for r in formatted if r["conv_id"] == conv)
+        assert [r[0] for r in placed] == list(range(len(own)))
+        assert [r[1] for r in placed] == [sum(r[2] for r in placed[:i]) for i in range(len(placed))]
+        loss = "".join(t for _, r, t in own if r == "assistant")
+        assert got[conv]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for _, r, t in own).encode()).hexdigest()
+        assert (got[conv]["n_turns"], got[conv]["loss_chars"], got[conv]["loss_sha256"]) == (len(own), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
+def test_turns_that_are_not_whole(spark):
+    turns = spark.createDataFrame([(1, i, "user", "a b c") for i in range(3)], "conv_id long, turn long, role string, text string")
+    formatted = chat.format_chat(turns)
+    with pytest.raises(Exception, match="turns are missing"):
+        chat.read_back(formatted.where("turn <> 1")).collect()
+    with pytest.raises(Exception, match="malformed turn"):
+        chat.read_back(formatted.withColumn("ids", F.slice("ids", 1, 3))).collect()
+
+
 def test_empty_tables(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
