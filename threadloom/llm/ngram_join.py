@@ -264,9 +264,8 @@ def jaccard_links(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, co
 
     parts = shuffle_partitions(spark)
     entries = arrow_map(known, _entries(k, num, den, boundary, tokens, counts), "key long, doc_id long, n long, pos long").where("key IS NOT NULL").repartition(parts, "key")
-    shared = entries.groupBy("key").agg(F.count("*").alias("c"), F.min("doc_id").alias("x"), F.min("n").alias("y"), F.min("pos").alias("z")).where("c > 1 OR x + y + z IS NULL")
-    shared = shared.select(F.col("key").alias("shared_key"), (F.col("c") >= LONG_LIST).alias("long"))
-    entries = entries.join(shared, F.col("key") == F.col("shared_key"))
+    # Counted beside the entries, so that they are moved once: a count by key and a join would move them once more.
+    entries = entries.withColumn("c", F.count("*").over(Window.partitionBy("key"))).where("c > 1").withColumn("long", F.col("c") >= LONG_LIST)
     lead = sigs.join(classes.withColumnRenamed("cls", "doc_id").select("doc_id", "n", "d1", "d2"), ["doc_id", "n", "d1", "d2"]).groupBy("doc_id", "n").agg(F.min_by("sketch", "d1").alias("sketch"))
     own = Window.partitionBy("doc_id", "n")
     listed_at = F.row_number().over(own.orderBy("pos", "key"))
