@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import ABBREVIATIONS, normalize_text, sentence_rows, tokens, word_count
 from ..sources.staging import staged
 from . import entities
-from .models import Model, in_batches, route_polarity, route_subjectivity, with_verdicts
+from .models import Model, route_polarity, route_subjectivity, with_verdicts
 from .scoring import FIRST_PERSON, HEDGES, INTENSIFIERS, apply_sarcasm, document_polarity, fuse_polarity, lexicon_subjectivity, lookup_mean, polarity_label, route_by_length, sarcasm, subjectivity_band, valence
 
 
@@ -52,16 +52,34 @@ class PipelineConfig:
     plugins: dict[str, Callable[[], Callable]] = field(default_factory=dict)
 
 
+#: Characters that a tagger gets at once: its results, an object for every word, are many times as large.
+TAGGED = 1 << 18
+
+
+def bounded(texts: list[str], size: int, characters: int) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of at most so many texts and characters; a longer text is a range of its own."""
+    at, n = 0, 0
+    for i, t in enumerate(texts):
+        if i > at and (i - at >= size or n + len(t) > characters):
+            yield at, i
+            at, n = i, 0
+        n += len(t)
+    if at < len(texts):
+        yield at, len(texts)
+
+
 def tag_distinct(df: DataFrame, column: str, make: Callable[[], Callable], kind: str, name: str, only: Column | None = None, batch: int = 256) -> DataFrame:
     """Adds name: what a caller's function makes of the distinct values of a text column, of any type (kind, in DDL: an array of structs
     for tags and lemmas, say). make() gives list[str] -> list of values once per task; every value is given to it once, in batches,
-    and put back by its sha256. Rows outside only (a condition on the source, say) and nulls get null."""
+    and put back by its sha256. A task holds what is made of one batch (at most TAGGED characters, or one text) and no more. Rows
+    outside only (a condition on the source, say) and nulls get null."""
 
     def run(batches):
         f = make()
         for pdf in batches:
-            made = [x for some in in_batches(pdf["value_"].tolist(), batch) for x in f(some)]
-            yield pd.DataFrame({"key_": pdf["key_"], "made_": made})
+            keys, values = pdf["key_"].tolist(), pdf["value_"].tolist()
+            for at, to in bounded(values, batch, TAGGED):
+                yield pd.DataFrame({"key_": keys[at:to], "made_": list(f(values[at:to]))})
 
     wanted = F.col(column).isNotNull() if only is None else F.col(column).isNotNull() & F.coalesce(only, F.lit(False))
     asked = df.withColumn("asked_", F.when(wanted, F.sha2(F.col(column), 256)))
