@@ -1,6 +1,19 @@
 """What a task holds or moves, on inputs that are large for it."""
 
 from threadloom.operators import annotation
+from threadloom.plans import queries as plans
+
+
+def test_page_titles_equal_their_sql(spark, tmp_path):
+    """On references that the small tables do not have in titles, and on pages without a title or html."""
+    import duckdb
+
+    titles = ["<title>a &quot;b&quot; &#39;c&#39;</title>", "<TITLE x>&amp;lt; &lt;b&gt; &nbsp;\n c </TITLE>", "<p>none</p>", "", None]
+    spark.createDataFrame(list(enumerate(titles)), "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(map(tuple, plans.queries()["page_titles"](spark, str(tmp_path)).collect()))
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+        assert got == sorted(c.execute(plans.oracle_sql()["page_titles"]).fetchall())
 
 
 def test_a_tagger_gets_bounded_batches(spark):

@@ -15,9 +15,14 @@ def _meta(html: Column, names: str) -> Column:
     return F.nullif(F.trim(unescape_all(got)), F.lit(""))
 
 
+def raw_title(html: Column) -> Column:
+    """What the title element holds, as it is in the page; empty without one, null for a null page."""
+    return F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
+
+
 def title(html: Column) -> Column:
     """Text of the title element; empty without one."""
-    return collapse(unescape(F.regexp_extract(F.coalesce(html, F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1)))
+    return collapse(unescape(raw_title(F.coalesce(html, F.lit("")))))
 
 
 def with_blocks(pages: DataFrame, html: str = "html") -> DataFrame:
