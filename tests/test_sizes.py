@@ -1,6 +1,9 @@
 """What a task holds or moves, on inputs that are large for it."""
 
-from threadloom.operators import annotation
+from pyspark.sql import functions as F
+
+from threadloom.functions import text
+from threadloom.operators import annotation, scoring
 from threadloom.plans import queries as plans
 
 
@@ -27,3 +30,32 @@ def test_a_tagger_gets_bounded_batches(spark):
     rows = spark.createDataFrame([(i, chr(97 + i) * 100_000) for i in range(8)], "id int, t string").coalesce(1)
     got = annotation.tag_distinct(rows, "t", make, "array<string>", "n").selectExpr("id", "size(n) AS size", "n[0] AS n").collect()
     assert all(r["size"] == 100_000 and int(r["n"].split(":")[1]) <= annotation.TAGGED for r in got)
+
+
+def _times(df, column, part):
+    return df.select(column.alias("x"))._jdf.queryExecution().analyzed().toString().count(part)
+
+
+def test_each_stage_of_a_text_is_evaluated_once(spark):
+    """Within lambdas nothing that occurs twice is shared: the words of a text were split again for each of its chunks, and the stages
+    before the character references ran twice."""
+    df = spark.createDataFrame([("a b",)], "t string")
+    assert _times(df, text.chunk_words(F.col("t")), "split(") == 1
+    assert _times(df, text.normalize_text(F.col("t"), {"imo": "in my opinion"}, {":)": "smile"}), "~~~") == 2  # both in one pattern
+
+
+def test_tables_of_words_in_odd_texts(spark):
+    """Texts that hold words of the table, with marks and in capitals, and those that only seem to."""
+    table, some = {"imo": "in my opinion", "c++": "cpp"}, ["imo", "IMO!?", "ximo", "imo-x", "C++.", "(c++", " a\n b ", "", None, "...", "XPROTXimo imo"]
+    rows = spark.createDataFrame(list(enumerate(some)), "i int, t string")
+    got = [r["x"] for r in rows.select("i", text.replace_tokens(F.col("t"), table).alias("x")).orderBy("i").collect()]
+    assert got == ["in my opinion", "in my opinion!?", "ximo", "imo-x", "cpp.", "(c++", "a b", "", "", "...", "XPROTXimo in my opinion"]
+    faces = [r["x"] for r in rows.select("i", text.replace_emoticons(F.col("t"), {"...": "dots"}).alias("x")).orderBy("i").collect()]
+    assert faces[6:10] == ["a b", "", "", "[dots]"]
+
+
+def test_valence_with_and_without_negations(spark):
+    lexicon = spark.createDataFrame([("good", 1.0)], "word string, polarity double")
+    rows = spark.createDataFrame([(1, "good"), (2, "not good"), (3, None), (4, "not a b c good")], "id int, t string")
+    got = {r["id"]: r["valence"] for r in scoring.valence(rows, "id", "t", lexicon, ["not"]).collect()}
+    assert got[1] == got[4] == 0.25 and got[2] < 0 and got[3] == 0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +14,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 URL = r"https?://[^\x20\x09-\x0D]+"
 
 
+def _once(value: Column, f) -> Column:
+    """f(value), with value evaluated once for all its uses in f."""
+    return F.transform(F.array(value), f)[0]
+
+
 def words(text: Column) -> Column:
     """Whitespace-separated words; none for null and blank."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
@@ -83,9 +89,11 @@ def unescape_all(text: Column) -> Column:
         plain = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
         return F.when(none, F.lit("�")).when(n.between(128, 159), old[n.cast("string")]).when(control, F.lit("")).otherwise(plain)
 
-    pieces = F.split(F.regexp_replace(F.translate(text, mark, " "), f"({refs})", f"{mark}$1{mark}"), mark)
-    made = F.transform(pieces, lambda p: F.when(p.rlike("^&#"), F.when(p.rlike(f"^(?:{refs})$"), char(p)).otherwise(p)).when(p.rlike("^&[A-Za-z][A-Za-z0-9]*;$"), F.coalesce(names[F.substring(p, 2, 100)], p)).otherwise(p))
-    return F.when(F.contains(text, F.lit("&")), F.array_join(made, "")).otherwise(text)
+    def made(t: Column) -> Column:
+        pieces = F.split(F.regexp_replace(F.translate(t, mark, " "), f"({refs})", f"{mark}$1{mark}"), mark)
+        return F.transform(pieces, lambda p: F.when(p.rlike("^&#"), F.when(p.rlike(f"^(?:{refs})$"), char(p)).otherwise(p)).when(p.rlike("^&[A-Za-z][A-Za-z0-9]*;$"), F.coalesce(names[F.substring(p, 2, 100)], p)).otherwise(p))
+
+    return _once(text, lambda t: F.when(F.contains(t, F.lit("&")), F.array_join(made(t), "")).otherwise(t))
 
 
 def clean_html_text(text: Column) -> Column:
@@ -118,20 +126,25 @@ def squeeze_elongated(text: Column) -> Column:
 
 def replace_tokens(text: Column, table: dict[str, str], keep: tuple[str, ...] = ()) -> Column:
     """Whitespace tokens found in table, apart from trailing punctuation and case, are replaced; those in keep are not."""
-    pairs = F.create_map(*(F.lit(x) for kv in table.items() for x in kv)) if table else F.lit(None).cast("map<string,string>")
+    if not table:
+        return collapse(text)
+    pairs = F.create_map(*(F.lit(x) for kv in table.items() for x in kv))
 
     def one(w: Column) -> Column:
         stem, tail = F.regexp_extract(w, r"^(.*?)([.,!?;:]*)$", 1), F.regexp_extract(w, r"^(.*?)([.,!?;:]*)$", 2)
         known = F.when(~F.lower(stem).isin(*keep) if keep else F.lit(True), pairs[F.lower(stem)])
         return F.when(w.startswith("XPROTX"), w).otherwise(F.coalesce(F.concat(known, tail), w))
 
-    return F.array_join(F.transform(words(text), one), " ")
+    # Most texts hold none of the table: one pattern tells, and their words are not looked at one by one.
+    some = rf"(?:^|[\x20\x09-\x0D])(?:{'|'.join(re.escape(k) for k in sorted(table, key=len, reverse=True))})[.,!?;:]*(?:[\x20\x09-\x0D]|\z)"
+    return _once(text, lambda t: F.when(F.lower(t).rlike(some), F.array_join(F.transform(words(t), one), " ")).otherwise(collapse(t)))
 
 
 def replace_emoticons(text: Column, table: dict[str, str]) -> Column:
     """Whitespace-bounded emoticons become [description]."""
     pairs = F.create_map(*(F.lit(x) for k, v in table.items() for x in (k, f"[{v}]")))
-    return F.array_join(F.transform(words(text), lambda w: F.coalesce(pairs[w], w)), " ")
+    held = lambda t: reduce(lambda a, b: a | b, (F.contains(t, F.lit(k)) for k in table))
+    return _once(text, lambda t: F.when(held(t), F.array_join(F.transform(words(t), lambda w: F.coalesce(pairs[w], w)), " ")).otherwise(collapse(t)))
 
 
 def normalize_text(text: Column, slang: dict[str, str] | None = None, emoticons: dict[str, str] | None = None, keep: tuple[str, ...] = ()) -> Column:
@@ -262,9 +275,12 @@ def text_hash(text: Column) -> Column:
 
 def chunk_words(text: Column, size: int = 300, overlap: int = 50) -> Column:
     """Overlapping chunks of words; the last is the first that reaches the end."""
-    w = words(text)
-    n = F.greatest(F.ceil((F.size(w) - size) / F.lit(size - overlap)), F.lit(0)).cast("int")
-    return F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), n), lambda i: F.array_join(F.slice(w, i * (size - overlap) + 1, size), " ")))
+
+    def chunks(w: Column) -> Column:
+        n = F.greatest(F.ceil((F.size(w) - size) / F.lit(size - overlap)), F.lit(0)).cast("int")
+        return F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), n), lambda i: F.array_join(F.slice(w, i * (size - overlap) + 1, size), " ")))
+
+    return _once(words(text), chunks)
 
 
 def stop_word_language(text: Column, profiles: dict[str, list[str]]) -> Column:
