@@ -79,7 +79,11 @@ def valence(df: DataFrame, id_: str, text: str, lexicon: DataFrame, negations: l
         before = F.slice(F.col("t"), F.greatest(at - window + 1, F.lit(1)), F.least(at, F.lit(window)))
         return F.struct(w.alias("word"), F.arrays_overlap(before, negation).alias("negated"))
 
-    t = df.select(id_, tokens(F.col(text)).alias("t")).select(id_, F.inline(F.transform("t", placed))).join(lexicon, "word")
+    # Most texts have no negation, and their words need no look at those before them.
+    plain = lambda w: F.struct(w.alias("word"), F.lit(False).alias("negated"))
+    t = df.select(id_, tokens(F.col(text)).alias("t"))
+    each = F.when(F.arrays_overlap("t", negation), F.transform("t", placed)).otherwise(F.transform("t", plain))
+    t = t.select(id_, F.inline(each)).join(lexicon, "word")
     turned = F.when(F.col("negated"), -0.74 * F.col("polarity")).otherwise(F.col("polarity"))
     s = t.groupBy(id_).agg(F.sum(turned).alias("s"))
     return df.select(id_).join(s, id_, "left").select(id_, F.coalesce(F.col("s") / F.sqrt(F.col("s") * F.col("s") + 15), F.lit(0.0)).alias("valence"))
