@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from threadloom.functions import text
-from threadloom.operators import annotation, scoring
+from threadloom.operators import annotation, entities, scoring
 from threadloom.plans import queries as plans
 
 
@@ -59,3 +59,14 @@ def test_valence_with_and_without_negations(spark):
     rows = spark.createDataFrame([(1, "good"), (2, "not good"), (3, None), (4, "not a b c good")], "id int, t string")
     got = {r["id"]: r["valence"] for r in scoring.valence(rows, "id", "t", lexicon, ["not"]).collect()}
     assert got[1] == got[4] == 0.25 and got[2] < 0 and got[3] == 0
+
+
+def test_a_small_dictionary_is_sent_to_the_words(spark, monkeypatch):
+    """The runs of words of all texts were shuffled, as a dictionary made from local rows has no size that the engine knows. Spans come
+    in bounded batches."""
+    monkeypatch.setattr(entities, "FOUND", 3)
+    docs = spark.createDataFrame([(i, "The cat <code> THE cat [the cat] a") for i in range(9)], "id int, t string").coalesce(2)
+    got = entities.gazetteer(docs, "id", "t", spark.createDataFrame([("the", "Y"), ("cat the", "X")], "phrase string, label string"))
+    assert got._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") >= 1
+    want = [("cat <code> THE", "X", 4, 18, 2), ("The", "Y", 0, 3, 1)]
+    assert sorted(map(tuple, got.collect())) == sorted((i, *x) for i in range(9) for x in want)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..functions.text import SPACE, word_count
 from ..sources.staging import staged
@@ -11,9 +15,8 @@ from ..sources.staging import staged
 
 #: Words, and marks that are no words: code and named emoticons.
 ELEMENT = r"<code>|\[[a-z0-9_ ]+\]|[a-z0-9][a-z0-9+#.-]*"
+_ELEMENT = re.compile(ELEMENT)
 CUT, REST = "\u0002", "\u0003"
-#: Lengths that are summed up together on the way to a word's place.
-STRIDE = 16
 
 
 def _once(value: Column, f) -> Column:
@@ -35,69 +38,70 @@ def _words(text: Column) -> Column:
 
 
 def _grams(words: Column, n: int) -> Column:
-    """All runs of n words, as array<struct<i, gram>>, i from 0."""
-    none = F.array().cast("array<int>")
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(none)
-    return F.transform(starts, lambda i: F.struct(i.alias("i"), (F.concat_ws(" ", F.slice(words, i + 1, n)) if n > 1 else F.get(words, i)).alias("gram")))
-
-
-def _word_places(text: Column) -> Column:
-    """Start and length of every word, array<struct<start, size>>, in time that follows the text: a place is the sum of the lengths before
-    it, taken up to a whole stride from sums that are carried along."""
-    parts = F.split(F.regexp_replace(_low(text), f"({ELEMENT})", f"{CUT}$1{REST}"), CUT)
+    """All runs of n words, joined by a space."""
+    runs = words
+    for k in range(1, n):
+        size = F.greatest(F.size(words) - k, F.lit(0))
+        runs = F.zip_with(F.slice(runs, 1, size), F.slice(words, k + 1, size), lambda a, b: F.concat_ws(" ", a, b))
+    return runs
 
-    def of_parts(p: Column) -> Column:
-        sizes = F.transform(p, lambda x, k: F.length(x) - F.when(k > 0, 1).otherwise(0))
-        return _once(sizes, lambda z: _once(_bases(z), lambda base: F.filter(F.transform(p, lambda x, k: place(x, k, z, base)), lambda r: r.isNotNull())))
 
-    def _bases(z: Column) -> Column:
-        strides = F.sequence(F.lit(0), F.floor((F.size(z) - 1) / STRIDE).cast("int"))
-        sums = F.transform(strides, lambda c: F.aggregate(F.slice(z, c * STRIDE + 1, STRIDE), F.lit(0), lambda s, x: s + x))
-        return F.aggregate(sums, F.array(F.lit(0)), lambda done, x: F.concat(done, F.array(F.element_at(done, F.lit(-1)) + x)))
+def _spans(low: str, table: dict[str, str], lengths: list[int]) -> list[tuple[int, int, int, str]]:
+    """start, end, number of words and label of the phrases of table in a text of lower case: the longest first, then from the left."""
+    words = [m for m in _ELEMENT.finditer(low) if m[0][0] not in "<["]
+    names, taken, kept = [m[0] for m in words], bytearray(len(words)), []
+    for n in lengths:
+        for i in range(len(names) - n + 1):
+            label = table.get(names[i] if n == 1 else " ".join(names[i : i + n]))
+            if label is not None and not any(taken[i : i + n]):
+                taken[i : i + n] = b"\1" * n
+                kept.append((words[i].start(), words[i + n - 1].end(), n, label))
+    return kept
 
-    def place(x: Column, k: Column, z: Column, base: Column) -> Column:
-        stride = F.floor(k / STRIDE).cast("int")
-        before = F.aggregate(F.slice(z, stride * STRIDE + 1, k - stride * STRIDE), F.get(base, stride), lambda s, y: s + y)
-        return F.when((k > 0) & _is_word(x), F.struct(before.alias("start"), (F.position(F.lit(REST), x) - 1).alias("size")))
 
-    return _once(parts, of_parts)
+#: Entities that a task hands on at once.
+FOUND = 1 << 16
+#: A dictionary of up to so many phrases is sent to all tasks; beyond that the engine decides.
+SENT = 10_000
 
 
 def gazetteer(df: DataFrame, id_: str, text: str, phrases: DataFrame, longest: int = 3, allowed: list[str] | None = None) -> DataFrame:
     """phrases(phrase lower case, label), of any size -> id, entity (as in the text), label, start, end (characters from 0), n_tokens:
     longest match first, then from the left, no overlaps. allowed: labels that count. Code marks and [names] are no words.
 
-    Hashes of all runs of up to longest words meet the phrases' in a join, of which the engine decides by size whether it is a
-    shuffle; texts that have none go no further. In the others the phrases found are looked up place by place, and among matches that
-    overlap one another the rule is applied one by one: work in proportion to the text, but for runs of overlapping matches, whose
-    length counts squared. A phrase with several labels has the least. Rows are numbered and staged, so null and repeated ids are
-    texts of their own; null texts have no entities."""
+    Hashes of all runs of words that are as long as some phrase meet the phrases' in a join, map-side for a dictionary of up to SENT
+    phrases; texts that have none go no further. Each of the others is read once with the phrases that it has: work in proportion
+    to the text. A phrase with several labels has the least. Rows are numbered and staged, so null and repeated ids are texts of
+    their own; null texts have no entities."""
     known = phrases if allowed is None else phrases.where(F.col("label").isin(allowed))
     known = known.where("phrase IS NOT NULL AND label IS NOT NULL").groupBy("phrase").agg(F.min("label").alias("label"))
-    rows = staged(df.select(F.monotonically_increasing_id().alias("row_"), F.col(id_).alias("id_"), F.col(text).alias("text_")), "texts")
-    hashes = _once(_words(F.col("text_")), lambda w: F.array_distinct(F.flatten(F.array(*(F.transform(_grams(w, n), lambda g: F.xxhash64(g["gram"])) for n in range(1, longest + 1))))))
-    grams = rows.select("row_", F.explode(hashes).alias("hash_"))
-    met = grams.join(known.withColumn("hash_", F.xxhash64("phrase")), "hash_").groupBy("row_").agg(F.map_from_entries(F.collect_list(F.struct("phrase", "label"))).alias("table_"))
-    held = rows.join(met, "row_")
-
-    def matches(w: Column) -> Column:
-        of = lambda n: F.filter(F.transform(_grams(w, n), lambda g: F.struct(g["i"].alias("i"), F.lit(n).alias("n"), F.col("table_")[g["gram"]].alias("label"))), lambda x: x["label"].isNotNull())
-        return F.concat(*(of(n) for n in range(1, longest + 1)))
-
-    each = held.select("row_", F.inline(_once(_words(F.col("text_")), matches)))
-    order = Window.partitionBy("row_").orderBy("i", "n")
-    reached = F.max(F.col("i") + F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    each = each.withColumn("new_", (F.col("i") >= F.coalesce(reached, F.lit(0))).cast("int")).withColumn("run_", F.sum("new_").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    runs = each.groupBy("row_", "run_").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "i", "n", "label"))).alias("r"))
-    overlap = lambda x, y: (y["i"] < x["i"] + x["n"]) & (x["i"] < y["i"] + y["n"])
-    kept = F.aggregate("r", F.slice("r", 1, 0), lambda done, x: F.when(F.exists(done, lambda y: overlap(x, y)), done).otherwise(F.concat(done, F.array(x))))
-    chosen = runs.select("row_", F.inline(kept)).groupBy("row_").agg(F.collect_list(F.struct("i", "n", "label")).alias("chosen_"))
-    placed = rows.join(chosen, "row_").withColumn("places_", _word_places(F.col("text_")))
-    first, last = F.get("places_", F.col("c_.i")), F.get("places_", F.col("c_.i") + F.col("c_.n") - 1)
-    placed = staged(placed, "places").select("id_", "text_", "places_", F.explode("chosen_").alias("c_"))
-    spans = placed.select("id_", "text_", F.col("c_.label").alias("label"), first["start"].alias("start"), (last["start"] + last["size"]).alias("end"), F.col("c_.n").alias("n_tokens"))
-    entity = F.substring("text_", F.col("start") + 1, F.col("end") - F.col("start"))
-    return spans.select(F.col("id_").alias(id_), entity.alias("entity"), "label", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.col("n_tokens").cast("int").alias("n_tokens"))
+    known = staged(known.withColumn("n_", F.length("phrase") - F.length(F.replace("phrase", F.lit(" "), F.lit(""))) + 1), "phrases")
+    sizes = known.where(F.col("n_") <= longest).groupBy("n_").agg(F.count("*").alias("c")).orderBy(F.desc("n_")).collect()  # at most longest rows
+    lengths, small = [r["n_"] for r in sizes], sum(r["c"] for r in sizes) <= SENT
+    rows = staged(df.select(F.monotonically_increasing_id().alias("row_"), F.col(id_).alias("id_"), F.col(text).cast("string").alias("text_")), "texts")
+    none = F.array().cast("array<string>")
+    grams = _once(_words(F.col("text_")), lambda w: F.array_distinct(F.concat(none, *(_grams(w, n) for n in lengths))))
+    grams = rows.select("row_", F.explode(grams).alias("gram_")).select("row_", F.xxhash64("gram_").alias("hash_"))
+    known = known.where(F.col("n_") <= longest).select("phrase", "label", F.xxhash64("phrase").alias("hash_"))
+    met = grams.join(F.broadcast(known) if small else known, "hash_").groupBy("row_").agg(F.map_from_entries(F.collect_set(F.struct("phrase", "label"))).alias("table_"))
+    held = rows.join(met, "row_").select("id_", "text_", _low(F.col("text_")).alias("low_"), F.map_keys("table_").alias("phrases_"), F.map_values("table_").alias("labels_"))
+
+    def found(batches):
+        for batch in batches:
+            at, got = [], []
+            for i in range(batch.num_rows):
+                body, low, names, labels = (batch.column(c)[i].as_py() for c in (1, 2, 3, 4))
+                new = _spans(low, dict(zip(names, labels, strict=True)), lengths)
+                at += [i] * len(new)
+                got += [(body[start:end], label, start, end, n) for start, end, n, label in new]
+                if len(got) >= FOUND or i == batch.num_rows - 1:
+                    values = list(zip(*got, strict=True)) or [[]] * 5
+                    kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32())
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(v, k) for v, k in zip(values, kinds, strict=True))], [id_, "entity", "label", "start", "end", "n_tokens"])
+                    at, got = [], []
+
+    kinds = (("entity", StringType()), ("label", StringType()), ("start", IntegerType()), ("end", IntegerType()), ("n_tokens", IntegerType()))
+    return held.mapInArrow(found, StructType([StructField(id_, rows.schema["id_"].dataType), *(StructField(n, k) for n, k in kinds)]))
 
 
 def contextual(text: Column) -> Column:
