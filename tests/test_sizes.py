@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from threadloom.functions import text
-from threadloom.operators import annotation, entities, scoring
+from threadloom.operators import annotation, entities, scoring, search, vector_index
 from threadloom.plans import queries as plans
 
 
@@ -70,3 +70,25 @@ def test_a_small_dictionary_is_sent_to_the_words(spark, monkeypatch):
     assert got._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") >= 1
     want = [("cat <code> THE", "X", 4, 18, 2), ("The", "Y", 0, 3, 1)]
     assert sorted(map(tuple, got.collect())) == sorted((i, *x) for i in range(9) for x in want)
+
+
+def test_postings_move_once_to_their_documents(spark, tmp_path):
+    """Scores of all pairs of query and document were shuffled; now postings of the queries' terms are, by document, and only once."""
+    docs = spark.createDataFrame([(i, f"a b{i % 3} c{i % 5} a") for i in range(60)], "doc_id long, text string")
+    index = search.build_index(docs, f"{tmp_path}/index")
+    terms = search.query_terms(spark.createDataFrame([(q, f"a b{q % 3} c{q % 5}") for q in range(20)], "query_id int, query string"))
+    got = search.indexed_scores(index, terms)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(doc_id") == 1 and "Exchange hashpartitioning(query_id" not in plan
+    want = {(r["query_id"], r["doc_id"]): round(r["score"], 9) for r in search.bm25(docs, terms).collect()}
+    assert {(r["query_id"], r["doc_id"]): round(r["score"], 9) for r in got.collect()} == want
+
+
+def test_queries_by_vector_are_not_sent_to_all_tasks(spark, tmp_path):
+    """A query's vector goes with it to every list that it reads: many times the table of queries, whose size the engine went by."""
+    rows = spark.createDataFrame([(i, [float(i % 7), float(i % 11), 1.0]) for i in range(200)], "vec_id long, embedding array<double>")
+    index = vector_index.build_vector_index(rows, f"{tmp_path}/vectors")
+    queries = rows.where("vec_id % 10 = 0").selectExpr("vec_id AS query_id", "embedding AS qvec")
+    found = vector_index.search_vectors(index, queries, 5)
+    assert "SortMergeJoin [list" in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 100

@@ -184,7 +184,8 @@ def _meet(index: VectorIndex, asked: DataFrame, k: int, where: Column | None, ro
                 ids = pa.array(r["ids"], pa.int64()).take(pa.array(best.ravel()))
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(r["q_ids"], np.int64), best.shape[1])), ids, pa.array(np.take_along_axis(steps, best, 1).ravel() / 1e6)], ["query_id", id_, "score"])
 
-    return left.join(right, "list").select("ids", "data", "q_ids", "q_data").mapInArrow(f, f"query_id long, {id_} long, score double")
+    # Queries with their vectors are many times the table that they come from, by which the engine would send them to all tasks.
+    return left.join(right.hint("merge"), "list").select("ids", "data", "q_ids", "q_data").mapInArrow(f, f"query_id long, {id_} long, score double")
 
 
 def search_vectors(index: VectorIndex, queries: DataFrame, k: int, probes: int | None = None, exact: bool = True, where: Column | None = None) -> DataFrame:
