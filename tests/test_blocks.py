@@ -7,7 +7,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from threadloom.operators import search
+from threadloom.functions import text as text_functions
+from threadloom.operators import scoring, search
 from threadloom.plans import search_queries
 
 TEXTS = ["The the-cat x_1 naïve", None, "", "  ", "İstanbul 10% end", "a", "b a", "Kelvin \U0001f600z", "end", "x" * 300]
@@ -70,3 +71,43 @@ def test_experiment_in_blocks(spark, monkeypatch, cells, queries):
     for k, rows in want.items():
         first = sorted(((i, None if x is None else round(x, 6)) for i, x in rows), key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))[:5]
         assert [i for i, _ in got[k]] == [i for i, _ in first] and [x for _, x in got[k]] == pytest.approx([x for _, x in first], abs=1e-6), k
+
+
+ODD = ["I'm not good, really good!", None, "", "shouldn't shouldnt i_m I've must", "not a b good", "bad\U0001f600bad twice", "É good é", "Not not bad good"]
+
+
+def test_lexicon_scores_move_no_word(spark, monkeypatch):
+    """Every word of every text was shuffled to a lexicon of a few words, twice; the scores are those of valence and lookup_mean."""
+    rows = spark.createDataFrame(list(enumerate(ODD)), "id int, t string")
+    lexicon = spark.createDataFrame([("good", 1.0), ("good", 0.5), ("bad", -2.0), ("twice", None), ("must", 0.25)], "word string, polarity double")
+    got = scoring.with_lexicon(rows, "id", "t", lexicon, ["not"], neutral=("must",))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    want = rows.join(scoring.valence(rows, "id", "t", lexicon, ["not"], neutral=("must",)), "id").join(scoring.lookup_mean(rows, "id", "t", lexicon), "id")
+    plain = lambda df: [(r["id"], r["t"], round(r["valence"], 12), None if r["polarity"] is None else round(r["polarity"], 12)) for r in df.orderBy("id").collect()]
+    assert plain(got) == plain(want)
+    monkeypatch.setattr(scoring, "SENT", 2)
+    assert plain(scoring.with_lexicon(rows, "id", "t", lexicon, ["not"], neutral=("must",))) == plain(want)
+
+
+def test_opinion_by_an_automaton(spark):
+    rows = spark.createDataFrame(list(enumerate(ODD)), "id int, t string")
+    for patterns in (scoring.lexicons.OPINION_PATTERNS, [r"go+d"]):
+        want = rows.select("id", "t", scoring.opinion_score(F.col("t"), patterns).alias("opinion"))
+        assert sorted(map(tuple, scoring.with_opinion(rows, "t", patterns=patterns).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_places_within_the_row(spark, monkeypatch):
+    """Pieces were shuffled and sorted by row for their places."""
+    monkeypatch.setattr(text_functions, "PIECES", 2)
+    texts = ["a  b c", None, "", " x", "y ", "é \U0001f600 z\u0002w"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "row int, t string").coalesce(1)
+    got = text_functions.piece_rows(rows, "row", F.col("t"), " +")
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString() and "Window" not in got._jdf.queryExecution().executedPlan().toString()
+    want = []
+    for i, t in enumerate(texts):
+        t, at, n = re.sub("[\u0002\u0003]", " ", t or ""), 0, 0
+        for m in [*re.finditer(" +", t), None]:
+            end = m.start() if m else len(t)
+            want.append((i, n, t[at:end], at, end))
+            at, n = m.end() if m else at, n + 1
+    assert sorted(map(tuple, got.collect())) == want

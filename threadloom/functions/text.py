@@ -6,7 +6,8 @@ import json
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -181,19 +182,38 @@ def split_sentences(text: Column, abbreviations: tuple[str, ...] = ABBREVIATIONS
     return F.transform(pieces, lambda s: F.replace(s, F.lit(GUARD), F.lit(".")))
 
 
+#: Pieces that a task hands on at once.
+PIECES = 1 << 15
+
+
 def piece_rows(df: DataFrame, row: str, text: Column, gap: str) -> DataFrame:
     """The text of each row cut at all matches of gap: row, n (0, 1, ...), piece, start, end (characters from 0; the gaps are between
-    pieces). row must be unique and not null. Places are running sums of lengths, so a text takes time in proportion to its
-    length. U+0001 to U+0003 in a text count as spaces; a null text is empty: one empty piece."""
+    pieces). Places are running sums of lengths within the row: no shuffle, and time in proportion to the text. U+0001 to U+0003 in a text count as spaces; a null text is empty: one empty piece."""
     clean = F.translate(F.coalesce(text, F.lit("")), CUT + REST, "  ")
     cut = F.split(F.regexp_replace(clean, f"({gap})", f"{CUT}$1{REST}"), CUT)
-    rows = df.select(row, F.posexplode(cut).alias("n", "piece"))
-    before = F.when(F.col("n") > 0, F.position(F.lit(REST), F.col("piece")) - 1).otherwise(0)
-    rows = rows.select(row, "n", before.alias("gap_"), F.when(F.col("n") > 0, F.substring_index("piece", REST, -1)).otherwise(F.col("piece")).alias("piece"))
-    ahead = Window.partitionBy(row).orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    size = F.length("piece")
-    end = F.sum(F.col("gap_") + size).over(ahead)
-    return rows.select(row, "n", "piece", (end - size).cast("int").alias("start"), end.cast("int").alias("end"))
+
+    def placed(batches):
+        for batch in batches:
+            owner, n, pieces, starts, ends = [], [], [], [], []
+            for i, parts in enumerate(batch.column(1).to_pylist()):
+                at = 0
+                for k, part in enumerate(parts):
+                    before, mark, piece = part.partition(REST) if k else ("", "", part)
+                    at += len(before)
+                    owner.append(i), n.append(k), pieces.append(piece), starts.append(at)
+                    at += len(piece)
+                    ends.append(at)
+                    if len(pieces) >= PIECES:
+                        yield made(batch, owner, n, pieces, starts, ends)
+                        owner, n, pieces, starts, ends = [], [], [], [], []
+            yield made(batch, owner, n, pieces, starts, ends)
+
+    def made(batch, owner, n, pieces, starts, ends):
+        columns = [pa.array(n, pa.int32()), pa.array(pieces, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())]
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), *columns], [row, "n", "piece", "start", "end"])
+
+    kind = df.schema[row].dataType.simpleString()
+    return df.select(row, cut.alias("cut_")).mapInArrow(placed, f"`{row}` {kind}, n int, piece string, start int, end int")
 
 
 def sentence_rows(df: DataFrame, row: str, text: Column, abbreviations: tuple[str, ...] = ABBREVIATIONS) -> DataFrame:

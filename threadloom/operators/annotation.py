@@ -13,7 +13,7 @@ from ..functions.text import ABBREVIATIONS, normalize_text, sentence_rows, token
 from ..sources.staging import staged
 from . import entities
 from .models import Model, route_polarity, route_subjectivity, with_verdicts
-from .scoring import FIRST_PERSON, HEDGES, INTENSIFIERS, apply_sarcasm, document_polarity, fuse_polarity, lexicon_subjectivity, lookup_mean, polarity_label, route_by_length, sarcasm, subjectivity_band, valence
+from .scoring import FIRST_PERSON, HEDGES, INTENSIFIERS, apply_sarcasm, document_polarity, fuse_polarity, lexicon_subjectivity, polarity_label, route_by_length, sarcasm, subjectivity_band, with_lexicon
 
 
 def annotate(df: DataFrame, id_: str, text: str, lexicon: DataFrame, negations: list[str], strong: list[str] = (), weak: list[str] = ()) -> DataFrame:
@@ -24,7 +24,7 @@ def annotate(df: DataFrame, id_: str, text: str, lexicon: DataFrame, negations:
     t = tokens(F.col("normalized"))
     flag = lambda ws: F.arrays_overlap(t, F.array(*map(F.lit, ws)))
     count = lambda ws: F.size(F.filter(t, lambda w: w.isin(list(ws)))) if ws else F.lit(0)
-    d = d.join(valence(d, "row_", "normalized", lexicon, negations), "row_").join(lookup_mean(d, "row_", "normalized", lexicon), "row_")
+    d = with_lexicon(d, "row_", "normalized", lexicon, negations)
     score = lexicon_subjectivity(F.col("valence"), flag(FIRST_PERSON), F.exists(t, lambda w: w.endswith("ly")), flag(HEDGES), flag(INTENSIFIERS), count(strong), count(weak), F.contains(F.col("normalized"), F.lit("!")))
     d = d.withColumn("subjectivity_score", score)
     return d.select(id_, "normalized", "valence", "subjectivity_score", subjectivity_band(F.col("subjectivity_score")).alias("subjectivity"), fuse_polarity(F.col("valence"), F.col("polarity")).alias("polarity_score"), polarity_label(fuse_polarity(F.col("valence"), F.col("polarity"))).alias("polarity"), route_by_length(word_count(F.col("normalized"))).alias("route"))
@@ -99,11 +99,12 @@ def apply_distinct(df: DataFrame, column: str, make: Callable[[], Callable], onl
 def _scored_sentences(rows: DataFrame, lexicon: DataFrame, c: PipelineConfig) -> DataFrame:
     """rows(key_, sentence, ...) with lexicon_score, p (polarity, 0 to 1) and n_words."""
     t = tokens(F.col("sentence"))
-    flag = lambda ws: F.arrays_overlap(t, F.array(*map(F.lit, ws))) if ws else F.lit(False)
-    count = lambda ws: F.size(F.filter(t, lambda w: w.isin(list(ws)))) if ws else F.lit(0)
-    scored = rows.join(valence(rows, "key_", "sentence", lexicon, list(c.negations), neutral=c.neutral), "key_").join(lookup_mean(rows, "key_", "sentence", lexicon), "key_")
-    tech = flag(c.tech_words) & flag(FIRST_PERSON)
-    cues = lexicon_subjectivity(F.col("valence"), flag(FIRST_PERSON), F.exists(t, lambda w: w.endswith("ly")), flag(HEDGES), flag(INTENSIFIERS), count(c.strong), count(c.weak), F.contains(F.col("sentence"), F.lit("!")), tech, F.col("sentence").rlike(r"\[[a-z_ ]+\]"))
+    flag = lambda t, ws: F.arrays_overlap(t, F.array(*map(F.lit, ws))) if ws else F.lit(False)
+    count = lambda t, ws: F.size(F.filter(t, lambda w: w.isin(list(ws)))) if ws else F.lit(0)
+    scored = with_lexicon(rows, "key_", "sentence", lexicon, list(c.negations), neutral=c.neutral)
+    adverb = F.lower(F.coalesce("sentence", F.lit(""))).rlike("ly(?![a-z0-9])")
+    # The words are made once for all cues that look at them.
+    cues = F.transform(F.array(t), lambda t: lexicon_subjectivity(F.col("valence"), flag(t, FIRST_PERSON), adverb, flag(t, HEDGES), flag(t, INTENSIFIERS), count(t, c.strong), count(t, c.weak), F.contains(F.col("sentence"), F.lit("!")), flag(t, c.tech_words) & flag(t, FIRST_PERSON), F.col("sentence").rlike(r"\[[a-z_ ]+\]")))[0]
     return scored.select(*rows.columns, cues.alias("lexicon_score"), fuse_polarity(F.col("valence"), F.col("polarity")).alias("p"), word_count(F.col("sentence")).alias("n_words"))
 
 

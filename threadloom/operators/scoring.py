@@ -4,13 +4,19 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..functions import lexicons
 from ..functions.text import WORD, tokens
 
 
+_TOKEN = re.compile("[a-z0-9]+")
+
+
 def _one_of(words: set[str]) -> str:
     """A pattern for any of the words, by common beginnings, so that a place in a text is tried against one branch only."""
     tails: dict[str, set[str]] = {}
@@ -21,24 +27,51 @@ def _one_of(words: set[str]) -> str:
     return f"(?:{'|'.join(branches)}){'?' if '' in words else ''}"
 
 
-def _matches(low: Column, patterns: list[str]) -> Column:
-    """Matches of all patterns in a text of lower case. Patterns that are lists of whole words are looked for in one pass by one pattern;
-    a listed word with an apostrophe counts by its part that is listed, or else by itself."""
+def _listed(patterns: list[str]) -> str | None:
+    """One pattern for all words of patterns that are lists of whole words, None if some are not; a listed word with an apostrophe
+    counts by its part that is listed, or else by itself."""
     lists = [re.fullmatch(r"\\b\(([a-z'|]+)\)\\b", p) for p in patterns]
     if not all(lists):
-        return sum(F.regexp_count(low, F.lit(p)) for p in patterns)
+        return None
     words = {w for m in lists for w in m[1].split("|")}
     plain = {w for w in words if "'" not in w}
-    alone = {w for w in words - plain if plain.isdisjoint(w.split("'"))}
-    return F.regexp_count(low, F.lit(rf"(?<![a-z0-9_]){_one_of(plain | alone)}(?![a-z0-9_])"))
+    return _one_of(plain | {w for w in words - plain if plain.isdisjoint(w.split("'"))})
+
+
+def _matches(low: Column, patterns: list[str]) -> Column:
+    """Matches of all patterns in a text of lower case. Patterns that are lists of whole words are looked for in one pass by one pattern."""
+    pattern = _listed(patterns)
+    if pattern is None:
+        return sum(F.regexp_count(low, F.lit(p)) for p in patterns)
+    return F.regexp_count(low, F.lit(rf"(?<![a-z0-9_]){pattern}(?![a-z0-9_])"))
+
+
+def _opinion(total: Column, n: Column) -> Column:
+    return F.round(F.when(n > 0, F.least(total / n * 100 / 100, F.lit(1.0))).otherwise(0.0), 3)
 
 
 def opinion_score(text: Column, patterns: list[str] = lexicons.OPINION_PATTERNS) -> Column:
     """Matches of the patterns per 100 words, at most 1; 0 without words."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    total = _matches(low, patterns)
-    n = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0))
-    return F.round(F.when(n > 0, F.least(total / n * 100 / 100, F.lit(1.0))).otherwise(0.0), 3)
+    return _opinion(_matches(low, patterns), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)))
+
+
+def with_opinion(df: DataFrame, text: str, name: str = "opinion", patterns: list[str] = lexicons.OPINION_PATTERNS) -> DataFrame:
+    """Adds opinion_score of a text column. Lists of whole words are counted in Arrow batches, by an automaton in one pass over the text;
+    other patterns as opinion_score does."""
+    pattern = _listed(patterns)
+    if pattern is None:
+        return df.withColumn(name, opinion_score(F.col(text), patterns))
+
+    def f(batches):
+        for batch in batches:
+            low, whole = batch.column(batch.num_columns - 1), batch.column(batch.schema.get_field_index(text))
+            counts = [pc.count_substring_regex(x, p).cast(pa.int64()) for x, p in ((low, rf"\b{pattern}\b"), (whole, WORD))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pc.fill_null(c, 0) for c in counts)], [*batch.schema.names[:-1], "hits_", "words_"])
+
+    schema = StructType([*df.schema.fields, StructField("hits_", LongType()), StructField("words_", LongType())])
+    counted = df.withColumn("low_", F.lower(F.coalesce(text, F.lit("")))).mapInArrow(f, schema)
+    return counted.select(*df.columns, _opinion(F.col("hits_"), F.col("words_")).alias(name))
 
 
 def relevance_score(text: Column, terms: dict[str, list[str]] = lexicons.RELEVANCE_TERMS) -> Column:
@@ -89,6 +122,43 @@ def valence(df: DataFrame, id_: str, text: str, lexicon: DataFrame, negations: l
     return df.select(id_).join(s, id_, "left").select(id_, F.coalesce(F.col("s") / F.sqrt(F.col("s") * F.col("s") + 15), F.lit(0.0)).alias("valence"))
 
 
+#: A lexicon of up to so many entries is sent to all tasks.
+SENT = 100_000
+
+
+def with_lexicon(df: DataFrame, id_: str, text: str, lexicon: DataFrame, negations: list[str], window: int = 3, neutral: tuple[str, ...] = ()) -> DataFrame:
+    """Adds valence and polarity (lookup_mean) of a text to each row. A lexicon of up to SENT entries is sent to the rows, which are
+    read once and not moved; for a larger one words meet it in joins, by id_, which must be unique then."""
+    some = lexicon.select("word", F.col("polarity").cast("double").alias("polarity")).where("word IS NOT NULL AND polarity IS NOT NULL")
+    known = some.limit(SENT + 1).toArrow()
+    if known.num_rows > SENT:
+        return df.join(valence(df, id_, text, lexicon, negations, window, neutral), id_).join(lookup_mean(df, id_, text, lexicon), id_)
+    table: dict[str, list[float]] = {}
+    for w, x in zip(known.column(0).to_pylist(), known.column(1).to_pylist(), strict=True):
+        table.setdefault(w, []).append(x)
+    sent, turns, skipped = df.sparkSession.sparkContext.broadcast(table), set(negations), set(neutral)
+
+    def scores(low: str, known: dict[str, list[float]]) -> tuple[float | None, float | None]:
+        words = _TOKEN.findall(low)
+        found = [(i, w) for i, w in enumerate(words) if w in known]
+        if not found:
+            return None, None
+        means = [x for _, w in found for x in known[w]]
+        turned = [-0.74 * x if not turns.isdisjoint(words[max(0, i - window) : i]) else x for i, w in found if w not in skipped for x in known[w]]
+        return (sum(turned) if turned else None), sum(means) / len(means)
+
+    def f(batches):
+        known = sent.value
+        for batch in batches:
+            got = [scores(t, known) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            made = [pa.array([g[i] for g in got], pa.float64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], [*batch.schema.names[:-1], "s_", "polarity"])
+
+    schema = StructType([*df.schema.fields, StructField("s_", DoubleType()), StructField("polarity", DoubleType())])
+    scored = df.withColumn("low_", F.lower(F.coalesce(text, F.lit("")))).mapInArrow(f, schema)
+    return scored.select(*df.columns, F.coalesce(F.col("s_") / F.sqrt(F.col("s_") * F.col("s_") + 15), F.lit(0.0)).alias("valence"), "polarity")
+
+
 def lexicon_subjectivity(valence_: Column, first_person: Column, adverb: Column, hedge: Column, intensifier: Column, strong: Column, weak: Column, exclaims: Column, tech: Column | None = None, emoticon: Column | None = None) -> Column:
     """Clamped sum of cues; the flags are boolean, strong and weak counts. tech: an opinion on technology; emoticon: one in brackets."""
     flag = lambda c, w: F.when(c, F.lit(w)).otherwise(0.0)
