@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
@@ -20,6 +21,12 @@ def _once(value: Column, f) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
+def _replaced(text: Column, needs: tuple[str, ...], *steps: tuple[str, str]) -> Column:
+    """The texts that contain one of needs with all steps (pattern, replacement) applied; others, in which no step finds anything, as they are."""
+    held = lambda t: reduce(lambda a, b: a | b, (F.contains(t, F.lit(k)) for k in needs))
+    return _once(text, lambda t: F.when(held(t), reduce(lambda x, step: F.regexp_replace(x, *step), steps, t)).otherwise(t))
+
+
 def words(text: Column) -> Column:
     """Whitespace-separated words; none for null and blank."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
@@ -35,7 +42,7 @@ def tokens(text: Column) -> Column:
 
 
 def collapse(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " "))
+    return F.trim(_replaced(F.coalesce(text, F.lit("")), ("  ", *"\t\n\v\f\r"), (SPACE, " ")))
 
 
 def any_of(terms: list[str]) -> str:
@@ -45,16 +52,16 @@ def any_of(terms: list[str]) -> str:
 
 def protect_code(text: Column) -> Column:
     """Fenced blocks and inline code become one placeholder."""
-    return F.regexp_replace(F.regexp_replace(text, r"(?s)```.*?```|~~~.*?~~~", " XCODEX "), r"`[^`\n]+`", " XCODEX ")
+    return _replaced(text, ("`", "~~"), (r"(?s)```.*?```|~~~.*?~~~", " XCODEX "), (r"`[^`\n]+`", " XCODEX "))
 
 
 def restore_code(text: Column) -> Column:
-    return F.regexp_replace(text, r"XCODEX(?:\s+XCODEX)*", "<CODE>")
+    return _replaced(text, ("XCODEX",), (r"XCODEX(?:\s+XCODEX)*", "<CODE>"))
 
 
 def strip_markdown(text: Column) -> Column:
-    for pattern, to in ((r"(\*\*|__)(.+?)\1", "$2"), (r"\*([^*\n]+)\*", "$1"), (r"~~(.+?)~~", "$1"), (r"(?m)^#{1,6}[ \t]+", ""), (r"(?m)^>[ \t]?", ""), (r"(?m)^[ \t]*[-*+][ \t]+", ""), (r"(?m)^[ \t]*\d+\.[ \t]+", ""), (r"(?m)^(?:[-*_][ \t]*){3,}$", "")):
-        text = F.regexp_replace(text, pattern, to)
+    for needs, pattern, to in ((("**", "__"), r"(\*\*|__)(.+?)\1", "$2"), ("*", r"\*([^*\n]+)\*", "$1"), (("~~",), r"~~(.+?)~~", "$1"), ("#", r"(?m)^#{1,6}[ \t]+", ""), (">", r"(?m)^>[ \t]?", ""), ("-*+", r"(?m)^[ \t]*[-*+][ \t]+", ""), ((". ", ".\t"), r"(?m)^[ \t]*\d+\.[ \t]+", ""), ("-*_", r"(?m)^(?:[-*_][ \t]*){3,}$", "")):
+        text = _replaced(text, tuple(needs), (pattern, to))
     return text
 
 
@@ -94,7 +101,7 @@ def unescape_all(text: Column) -> Column:
         pieces = F.split(F.regexp_replace(F.translate(t, mark, " "), f"({refs})", f"{mark}$1{mark}"), mark)
         return F.transform(pieces, lambda p: F.when(p.rlike("^&#"), F.when(p.rlike(f"^(?:{refs})$"), char(p)).otherwise(p)).when(p.rlike("^&[A-Za-z][A-Za-z0-9]*;$"), F.coalesce(names[F.substring(p, 2, 100)], p)).otherwise(p))
 
-    return _once(text, lambda t: F.when(F.contains(t, F.lit("&")), F.array_join(made(t), "")).otherwise(t))
+    return _once(text, lambda t: F.when(F.contains(t, F.lit("&")), F.when(t.rlike(refs), F.array_join(made(t), "")).otherwise(F.translate(t, mark, " "))).otherwise(t))
 
 
 def clean_html_text(text: Column) -> Column:
@@ -104,8 +111,8 @@ def clean_html_text(text: Column) -> Column:
 
 def structural_clean(text: Column) -> Column:
     """Drop URLs, decode character references, strip tags, keep paragraph breaks."""
-    text = F.regexp_replace(unescape_all(F.regexp_replace(text, URL, " ")), r"<[^>]+>", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
+    text = _replaced(unescape_all(_replaced(text, ("http",), (URL, " "))), ("<",), (r"<[^>]+>", " "))
+    return F.trim(_replaced(_replaced(text, ("  ", "\t"), (r"[ \t]+", " ")), ("\n\n\n",), (r"\n{3,}", "\n\n")))
 
 
 def mentions(text: Column) -> Column:
@@ -151,8 +158,8 @@ def replace_emoticons(text: Column, table: dict[str, str]) -> Column:
 def normalize_text(text: Column, slang: dict[str, str] | None = None, emoticons: dict[str, str] | None = None, keep: tuple[str, ...] = ()) -> Column:
     """The normalisation stages in order: code, markdown, structure, mentions, hashtags, emoticons, elongation, slang, code back."""
     text = structural_clean(strip_markdown(protect_code(F.coalesce(text, F.lit("")))))
-    text = F.regexp_replace(text, "@[A-Za-z0-9_]+", " ")
-    text = split_camel(F.regexp_replace(text, "#([A-Za-z0-9_]+)", "$1"))
+    text = _replaced(text, ("@",), ("@[A-Za-z0-9_]+", " "))
+    text = split_camel(_replaced(text, ("#",), ("#([A-Za-z0-9_]+)", "$1")))
     if emoticons:
         text = replace_emoticons(text, emoticons)
     text = replace_tokens(squeeze_elongated(text), slang or {}, keep)
@@ -169,10 +176,20 @@ _BEGINS = r"""[\p{Lu}\d<\["']"""
 SENTENCE_GAP = rf"(?<=[.!?])\s+(?={_BEGINS})(?!\S+(?:\s*\z|(?<=[.!?])\s+{_BEGINS}))"
 
 
+def _abbreviated(abbreviations: tuple[str, ...]) -> tuple[str, str]:
+    """Pattern and replacement for the dots after abbreviations: looked for from the dot, unless an abbreviation may end within another,
+    as then the match of the first hides the other."""
+    words = "|".join(re.escape(a) for a in abbreviations)
+    inner = {p for a in abbreviations for p in re.split(r"\W+", a.lower())[:-1]}
+    if inner & {re.split(r"\W+", a.lower())[-1] for a in abbreviations}:
+        return rf"(?i)\b({words})\.", f"$1{GUARD}"
+    return rf"(?i)\.(?<=\b(?:{words})\.)", GUARD
+
+
 def _guarded(text: Column, abbreviations: tuple[str, ...]) -> Column:
-    """Dots that end no sentence as GUARD, one for one: after abbreviations, in ellipses, versions and domains."""
-    text = F.regexp_replace(text, r"(?i)\b(" + "|".join(re.escape(a) for a in abbreviations) + r")\.", f"$1{GUARD}")
-    return F.regexp_replace(F.regexp_replace(text, r"\.{3}", GUARD * 3), r"(\w)\.(\w)", f"$1{GUARD}$2")
+    """Dots that end no sentence as GUARD, one for one: after abbreviations and in ellipses. Those within versions and domains have no
+    white space after them, so no sentence ends there anyway."""
+    return _replaced(F.regexp_replace(text, *_abbreviated(abbreviations)), ("...",), (r"\.{3}", GUARD * 3))
 
 
 def split_sentences(text: Column, abbreviations: tuple[str, ...] = ABBREVIATIONS) -> Column:
@@ -186,23 +203,49 @@ def split_sentences(text: Column, abbreviations: tuple[str, ...] = ABBREVIATIONS
 PIECES = 1 << 15
 
 
+def _cut(text: Column, gap: str) -> Column:
+    """The text cut before each match of gap, which REST ends: an array that placed reads."""
+    clean = F.translate(F.coalesce(text, F.lit("")), CUT + REST, "  ")
+    return F.split(F.regexp_replace(clean, f"({gap})", f"{CUT}$1{REST}"), CUT)
+
+
+def placed(parts: list[str]) -> Iterator[tuple[str, int, int]]:
+    """piece, start and end of each part of a text that _cut has cut."""
+    at = 0
+    for k, part in enumerate(parts):
+        before, _, piece = part.partition(REST) if k else ("", "", part)
+        at += len(before)
+        yield piece, at, at + len(piece)
+        at += len(piece)
+
+
+_BLANKS = "\t\n\v\f\r "
+
+
+def sentence_cut(text: Column, abbreviations: tuple[str, ...] = ABBREVIATIONS) -> Column:
+    """The text cut into sentences: an array that placed_sentences reads."""
+    return _cut(_guarded(F.translate(F.coalesce(text, F.lit("")), GUARD, " "), abbreviations), SENTENCE_GAP)
+
+
+def placed_sentences(parts: list[str]) -> Iterator[tuple[str, int, int]]:
+    """sentence, start and end: sentence_rows of one text that sentence_cut has cut."""
+    for piece, start, end in placed(parts):
+        body = piece.strip(_BLANKS)
+        if body:
+            start += len(piece) - len(piece.lstrip(_BLANKS))
+            yield re.sub(SPACE, " ", body).replace(GUARD, "."), start, start + len(body)
+
+
 def piece_rows(df: DataFrame, row: str, text: Column, gap: str) -> DataFrame:
     """The text of each row cut at all matches of gap: row, n (0, 1, ...), piece, start, end (characters from 0; the gaps are between
     pieces). Places are running sums of lengths within the row: no shuffle, and time in proportion to the text. U+0001 to U+0003 in a text count as spaces; a null text is empty: one empty piece."""
-    clean = F.translate(F.coalesce(text, F.lit("")), CUT + REST, "  ")
-    cut = F.split(F.regexp_replace(clean, f"({gap})", f"{CUT}$1{REST}"), CUT)
 
-    def placed(batches):
+    def run(batches):
         for batch in batches:
             owner, n, pieces, starts, ends = [], [], [], [], []
             for i, parts in enumerate(batch.column(1).to_pylist()):
-                at = 0
-                for k, part in enumerate(parts):
-                    before, mark, piece = part.partition(REST) if k else ("", "", part)
-                    at += len(before)
-                    owner.append(i), n.append(k), pieces.append(piece), starts.append(at)
-                    at += len(piece)
-                    ends.append(at)
+                for k, (piece, start, end) in enumerate(placed(parts)):
+                    owner.append(i), n.append(k), pieces.append(piece), starts.append(start), ends.append(end)
                     if len(pieces) >= PIECES:
                         yield made(batch, owner, n, pieces, starts, ends)
                         owner, n, pieces, starts, ends = [], [], [], [], []
@@ -213,7 +256,7 @@ def piece_rows(df: DataFrame, row: str, text: Column, gap: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), *columns], [row, "n", "piece", "start", "end"])
 
     kind = df.schema[row].dataType.simpleString()
-    return df.select(row, cut.alias("cut_")).mapInArrow(placed, f"`{row}` {kind}, n int, piece string, start int, end int")
+    return df.select(row, _cut(text, gap).alias("cut_")).mapInArrow(run, f"`{row}` {kind}, n int, piece string, start int, end int")
 
 
 def sentence_rows(df: DataFrame, row: str, text: Column, abbreviations: tuple[str, ...] = ABBREVIATIONS) -> DataFrame:

@@ -17,6 +17,7 @@ from ..sources.staging import staged
 ELEMENT = r"<code>|\[[a-z0-9_ ]+\]|[a-z0-9][a-z0-9+#.-]*"
 _ELEMENT = re.compile(ELEMENT)
 CUT, REST = "\u0002", "\u0003"
+_BLANK = dict.fromkeys(map(ord, "\u0130" + CUT + REST), " ")
 
 
 def _once(value: Column, f) -> Column:
@@ -46,19 +47,44 @@ def _grams(words: Column, n: int) -> Column:
     return runs
 
 
-def _spans(low: str, table: dict[str, str], lengths: list[int]) -> list[tuple[int, int, int, str]]:
-    """start, end, number of words and label of the phrases of table in a text of lower case: the longest first, then from the left."""
+def first_words(table: dict[str, str]) -> set[str]:
+    """The words with which the phrases of table begin."""
+    return {p.partition(" ")[0] for p in table}
+
+
+def low_text(body: str) -> str:
+    """_low of one text."""
+    return body.translate(_BLANK).lower()
+
+
+def spans(low: str, table: dict[str, str], lengths: list[int], first: set[str]) -> list[tuple[int, int, int, str]]:
+    """start, end, number of words and label of the phrases of table in a text of lower case: the longest first, then from the left.
+    first: first_words(table)."""
     words = [m for m in _ELEMENT.finditer(low) if m[0][0] not in "<["]
     names, taken, kept = [m[0] for m in words], bytearray(len(words)), []
+    begins = [i for i, w in enumerate(names) if w in first]
     for n in lengths:
-        for i in range(len(names) - n + 1):
-            label = table.get(names[i] if n == 1 else " ".join(names[i : i + n]))
+        for i in begins:
+            label = table.get(names[i] if n == 1 else " ".join(names[i : i + n])) if i + n <= len(names) else None
             if label is not None and not any(taken[i : i + n]):
                 taken[i : i + n] = b"\1" * n
                 kept.append((words[i].start(), words[i + n - 1].end(), n, label))
     return kept
 
 
+def _known(phrases: DataFrame, allowed: list[str] | None) -> DataFrame:
+    """The phrases with the least of their labels and n_, their number of words."""
+    known = phrases if allowed is None else phrases.where(F.col("label").isin(allowed))
+    known = known.where("phrase IS NOT NULL AND label IS NOT NULL").groupBy("phrase").agg(F.min("label").alias("label"))
+    return known.withColumn("n_", F.length("phrase") - F.length(F.replace("phrase", F.lit(" "), F.lit(""))) + 1)
+
+
+def sent_phrases(phrases: DataFrame, longest: int = 3) -> dict[str, str] | None:
+    """phrase -> label of a dictionary of up to SENT phrases, for spans; None for a larger one."""
+    known = _known(phrases, None).where(F.col("n_") <= longest).select("phrase", "label").limit(SENT + 1).toArrow()
+    return None if known.num_rows > SENT else dict(zip(*(known.column(i).to_pylist() for i in (0, 1)), strict=True))
+
+
 #: Entities that a task hands on at once.
 FOUND = 1 << 16
 #: A dictionary of up to so many phrases is sent to all tasks; beyond that the engine decides.
@@ -73,9 +99,7 @@ def gazetteer(df: DataFrame, id_: str, text: str, phrases: DataFrame, longest: i
     phrases; texts that have none go no further. Each of the others is read once with the phrases that it has: work in proportion
     to the text. A phrase with several labels has the least. Rows are numbered and staged, so null and repeated ids are texts of
     their own; null texts have no entities."""
-    known = phrases if allowed is None else phrases.where(F.col("label").isin(allowed))
-    known = known.where("phrase IS NOT NULL AND label IS NOT NULL").groupBy("phrase").agg(F.min("label").alias("label"))
-    known = staged(known.withColumn("n_", F.length("phrase") - F.length(F.replace("phrase", F.lit(" "), F.lit(""))) + 1), "phrases")
+    known = staged(_known(phrases, allowed), "phrases")
     sizes = known.where(F.col("n_") <= longest).groupBy("n_").agg(F.count("*").alias("c")).orderBy(F.desc("n_")).collect()  # at most longest rows
     lengths, small = [r["n_"] for r in sizes], sum(r["c"] for r in sizes) <= SENT
     rows = staged(df.select(F.monotonically_increasing_id().alias("row_"), F.col(id_).alias("id_"), F.col(text).cast("string").alias("text_")), "texts")
@@ -91,7 +115,8 @@ def gazetteer(df: DataFrame, id_: str, text: str, phrases: DataFrame, longest: i
             at, got = [], []
             for i in range(batch.num_rows):
                 body, low, names, labels = (batch.column(c)[i].as_py() for c in (1, 2, 3, 4))
-                new = _spans(low, dict(zip(names, labels, strict=True)), lengths)
+                table = dict(zip(names, labels, strict=True))
+                new = spans(low, table, lengths, first_words(table))
                 at += [i] * len(new)
                 got += [(body[start:end], label, start, end, n) for start, end, n, label in new]
                 if len(got) >= FOUND or i == batch.num_rows - 1:

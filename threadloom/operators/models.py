@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from ..functions.text import chunk_words, word_count
+from ..functions.text import WORD, word_count
 from ..sources.staging import staged
 from .scoring import blend_model_score, confidence_floor, polarity_confidence, polarity_label, subjectivity_band
 
@@ -31,8 +34,12 @@ def in_batches(values: list, size: int) -> Iterator[list]:
         yield values[at : at + size]
 
 
+def _key(seen: Column) -> Column:
+    return F.unhex(F.sha2(seen, 256))
+
+
 def classify(inputs: DataFrame, model: Model, column: str = "input") -> DataFrame:
-    """The distinct non-null values of a column, classified once and staged: key (sha256 of the input as the model sees it), label,
+    """The distinct non-null values of a column, classified once and staged: key (the bytes of its sha256, as the model sees it), label,
     confidence, failed. Later steps join it; a lost executor does not call the model again for what is staged."""
 
     def run(batches):
@@ -50,20 +57,21 @@ def classify(inputs: DataFrame, model: Model, column: str = "input") -> DataFram
             yield pd.DataFrame({"key": pdf["key"]} | {c: [x[i] for x in out] for i, c in enumerate(("label", "confidence", "failed"))})
 
     seen = F.substring(F.col(column), 1, model.cap)
-    asked = inputs.where(F.col(column).isNotNull()).select(F.sha2(seen, 256).alias("key"), seen.alias("input")).groupBy("key").agg(F.any_value("input").alias("input"))
-    return staged(asked.mapInPandas(run, "key string, label string, confidence double, failed boolean"), "verdicts")
+    asked = inputs.where(F.col(column).isNotNull()).select(_key(seen).alias("key"), seen.alias("input")).groupBy("key").agg(F.any_value("input").alias("input"))
+    return staged(asked.mapInPandas(run, "key binary, label string, confidence double, failed boolean"), "verdicts")
 
 
 def with_verdicts(rows: DataFrame, model: Model, column: str = "input", name: str = "verdict") -> DataFrame:
     """Adds name, a struct of label, confidence and failed: what the model says of the column; null where the input is null."""
     verdicts = classify(rows, model, column).select(F.col("key").alias("verdict_key_"), F.struct("label", "confidence", "failed").alias(name))
-    keyed = rows.withColumn("asked_key_", F.sha2(F.substring(F.col(column), 1, model.cap), 256))
+    keyed = rows.withColumn("asked_key_", _key(F.substring(F.col(column), 1, model.cap)))
     return keyed.join(verdicts, F.col("asked_key_") == F.col("verdict_key_"), "left").drop("asked_key_", "verdict_key_")
 
 
 def without_marks(text: Column) -> Column:
     """A text as classifiers get it: no code marks and [names]."""
-    return F.trim(F.regexp_replace(text, r"<CODE>|\[[^\]]+\]", ""))
+    held = F.contains(text, F.lit("[")) | F.contains(text, F.lit("<CODE>"))
+    return F.trim(F.when(held, F.regexp_replace(text, r"<CODE>|\[[^\]]+\]", "")).otherwise(text))
 
 
 def route_subjectivity(rows: DataFrame, sentence: str, lexicon: str, model: Model | None, context: str | None = None, lower: float = 0.20, upper: float = 0.75) -> DataFrame:
@@ -82,11 +90,49 @@ def route_subjectivity(rows: DataFrame, sentence: str, lexicon: str, model: Mode
     if context is not None:
         ahead = F.coalesce(F.substring(F.col(context), 1, 200), F.lit(""))
         plain = F.when((ahead != "") & (word_count(plain) <= 10), F.concat(ahead, F.lit(" | "), plain)).otherwise(plain)
-    asked = with_verdicts(rows.withColumn("input_", F.when(F.col("band") == "model", plain)), model, "input_", "verdict_")
+    # What follows from the sentence is made before the verdicts are met, so that the sentence need not move to them.
+    asked = with_verdicts(rows.withColumns({"input_": F.when(F.col("band") == "model", plain), "own_": score}), model, "input_", "verdict_")
     v = F.col("verdict_")
     p = F.when(v["label"] == "subjective", v["confidence"]).otherwise(1 - v["confidence"])
     by_model = F.col("band") == "model"
-    return asked.select(*rows.columns, F.when(by_model, "model").otherwise("lexicon").alias("method"), F.when(by_model, blend_model_score(F.col(lexicon), p)).otherwise(score).alias("score"), F.coalesce(v["failed"], F.lit(False)).alias("failed"))
+    return asked.select(*rows.columns, F.when(by_model, "model").otherwise("lexicon").alias("method"), F.when(by_model, blend_model_score(F.col(lexicon), p)).otherwise(F.col("own_")).alias("score"), F.coalesce(v["failed"], F.lit(False)).alias("failed"))
+
+
+#: Inputs that a task hands on at once.
+INPUTS = 1 << 12
+_WORD = re.compile(WORD)
+
+
+def _inputs(given: DataFrame, size: int, overlap: int, cap: int) -> DataFrame:
+    """given(asked_row_, floor_, cut_, clean_) -> asked_row_, floor_, input_, weight_: the text or, with cut_, its chunk_words, each cut
+    to cap characters, and their number of words before."""
+
+    def pieces(clean: str, cut: bool) -> Iterator[tuple[str, int]]:
+        words = _WORD.findall(clean)
+        if not cut:
+            yield from [(clean, len(words))] if clean else []
+        elif words:
+            for i in range(max(0, -((size - len(words)) // (size - overlap))) + 1):
+                some = words[i * (size - overlap) : i * (size - overlap) + size]
+                yield " ".join(some), len(some)
+
+    def run(batches):
+        for batch in batches:
+            owner, got, weights = [], [], []
+            for i, (cut, clean) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                for x, n in pieces(clean, cut):
+                    owner.append(i), got.append(x[:cap]), weights.append(n)
+                    if len(got) >= INPUTS:
+                        yield made(batch, owner, got, weights)
+                        owner, got, weights = [], [], []
+            yield made(batch, owner, got, weights)
+
+    def made(batch, owner, got, weights):
+        at = pa.array(owner, pa.int64())
+        return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(got, pa.string()), pa.array(weights, pa.int32())], ["asked_row_", "floor_", "input_", "weight_"])
+
+    kinds = [StructField("input_", StringType()), StructField("weight_", IntegerType())]
+    return given.mapInArrow(run, StructType([*given.schema.fields[:2], *kinds]))
 
 
 def route_polarity(rows: DataFrame, row: str, text: str, words: str, lexicon: str, model: Model, floor: Column | float = 0.5, short: Column | int = 60, long: int = 400, size: int = 300, overlap: int = 50, clear: float = 0.20) -> DataFrame:
@@ -102,9 +148,8 @@ def route_polarity(rows: DataFrame, row: str, text: str, words: str, lexicon: st
     floor = F.lit(float(floor)) if isinstance(floor, (int, float)) else floor
     rows = rows.withColumn("route", F.when(n < short, "lexicon").when(n > long, "chunks").otherwise("model"))
     clean = without_marks(F.coalesce(F.col(text), F.lit("")))
-    given = F.when(F.col("route") == "lexicon", F.array().cast("array<string>")).when(F.col("route") == "chunks", chunk_words(clean, size, overlap)).otherwise(F.when(clean != "", F.array(clean)).otherwise(F.array().cast("array<string>")))
-    asked = rows.select(F.col(row).alias("asked_row_"), floor.alias("floor_"), F.explode(given).alias("input_")).withColumn("weight_", word_count(F.col("input_")))
-    asked = with_verdicts(asked, model, "input_", "v_")
+    given = rows.where("route <> 'lexicon'").select(F.col(row).alias("asked_row_"), floor.cast("double").alias("floor_"), (F.col("route") == "chunks").alias("cut_"), clean.alias("clean_"))
+    asked = with_verdicts(_inputs(given, size, overlap, model.cap), model, "input_", "v_")
     v = F.col("v_")
     signed = asked.select("asked_row_", "weight_", confidence_floor(v["label"], v["confidence"], F.col("floor_")).alias("signed_"), v["failed"].cast("long").alias("failed_"))
     met = signed.groupBy("asked_row_").agg((F.sum(F.col("signed_") * F.col("weight_")) / F.sum("weight_")).alias("asked_mean_"), F.count("*").alias("asked_inputs_"), F.sum("failed_").alias("asked_fails_"))

@@ -14,7 +14,7 @@ from ..functions import lexicons
 from ..functions.text import WORD, tokens
 
 
-_TOKEN = re.compile("[a-z0-9]+")
+TOKEN = re.compile("[a-z0-9]+")
 
 
 def _one_of(words: set[str]) -> str:
@@ -126,37 +126,51 @@ def valence(df: DataFrame, id_: str, text: str, lexicon: DataFrame, negations: l
 SENT = 100_000
 
 
-def with_lexicon(df: DataFrame, id_: str, text: str, lexicon: DataFrame, negations: list[str], window: int = 3, neutral: tuple[str, ...] = ()) -> DataFrame:
-    """Adds valence and polarity (lookup_mean) of a text to each row. A lexicon of up to SENT entries is sent to the rows, which are
-    read once and not moved; for a larger one words meet it in joins, by id_, which must be unique then."""
+def sent_lexicon(lexicon: DataFrame) -> dict[str, list[float]] | None:
+    """The polarities of each word of a lexicon of up to SENT entries; None for a larger one."""
     some = lexicon.select("word", F.col("polarity").cast("double").alias("polarity")).where("word IS NOT NULL AND polarity IS NOT NULL")
     known = some.limit(SENT + 1).toArrow()
     if known.num_rows > SENT:
-        return df.join(valence(df, id_, text, lexicon, negations, window, neutral), id_).join(lookup_mean(df, id_, text, lexicon), id_)
+        return None
     table: dict[str, list[float]] = {}
     for w, x in zip(known.column(0).to_pylist(), known.column(1).to_pylist(), strict=True):
         table.setdefault(w, []).append(x)
-    sent, turns, skipped = df.sparkSession.sparkContext.broadcast(table), set(negations), set(neutral)
+    return table
+
+
+def word_scores(words: list[str], known: dict[str, list[float]], turns: set[str], skipped: set[str], window: int = 3) -> tuple[float | None, float | None]:
+    """Sum of turned valences (of words that are not skipped) and mean polarity of a text's words; None where it has none."""
+    found = [(i, w) for i, w in enumerate(words) if w in known]
+    if not found:
+        return None, None
+    means = [x for _, w in found for x in known[w]]
+    turned = [-0.74 * x if not turns.isdisjoint(words[max(0, i - window) : i]) else x for i, w in found if w not in skipped for x in known[w]]
+    return (sum(turned) if turned else None), sum(means) / len(means)
 
-    def scores(low: str, known: dict[str, list[float]]) -> tuple[float | None, float | None]:
-        words = _TOKEN.findall(low)
-        found = [(i, w) for i, w in enumerate(words) if w in known]
-        if not found:
-            return None, None
-        means = [x for _, w in found for x in known[w]]
-        turned = [-0.74 * x if not turns.isdisjoint(words[max(0, i - window) : i]) else x for i, w in found if w not in skipped for x in known[w]]
-        return (sum(turned) if turned else None), sum(means) / len(means)
+
+def squashed(s: Column) -> Column:
+    """A sum of valences as s / sqrt(s^2 + 15); 0 if there is none."""
+    return F.coalesce(s / F.sqrt(s * s + 15), F.lit(0.0))
+
+
+def with_lexicon(df: DataFrame, id_: str, text: str, lexicon: DataFrame, negations: list[str], window: int = 3, neutral: tuple[str, ...] = ()) -> DataFrame:
+    """Adds valence and polarity (lookup_mean) of a text to each row. A lexicon of up to SENT entries is sent to the rows, which are
+    read once and not moved; for a larger one words meet it in joins, by id_, which must be unique then."""
+    table = sent_lexicon(lexicon)
+    if table is None:
+        return df.join(valence(df, id_, text, lexicon, negations, window, neutral), id_).join(lookup_mean(df, id_, text, lexicon), id_)
+    sent, turns, skipped = df.sparkSession.sparkContext.broadcast(table), set(negations), set(neutral)
 
     def f(batches):
         known = sent.value
         for batch in batches:
-            got = [scores(t, known) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            got = [word_scores(TOKEN.findall(t), known, turns, skipped, window) for t in batch.column(batch.num_columns - 1).to_pylist()]
             made = [pa.array([g[i] for g in got], pa.float64()) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], [*batch.schema.names[:-1], "s_", "polarity"])
 
     schema = StructType([*df.schema.fields, StructField("s_", DoubleType()), StructField("polarity", DoubleType())])
     scored = df.withColumn("low_", F.lower(F.coalesce(text, F.lit("")))).mapInArrow(f, schema)
-    return scored.select(*df.columns, F.coalesce(F.col("s_") / F.sqrt(F.col("s_") * F.col("s_") + 15), F.lit(0.0)).alias("valence"), "polarity")
+    return scored.select(*df.columns, squashed(F.col("s_")).alias("valence"), "polarity")
 
 
 def lexicon_subjectivity(valence_: Column, first_person: Column, adverb: Column, hedge: Column, intensifier: Column, strong: Column, weak: Column, exclaims: Column, tech: Column | None = None, emoticon: Column | None = None) -> Column:

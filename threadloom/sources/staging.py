@@ -37,7 +37,7 @@ def staged_path(spark: SparkSession, name: str = "table") -> str:
 def staged(df: DataFrame, name: str = "table") -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: cuts lineage and survives lost executors."""
     path = staged_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
