@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import pyarrow as pa
@@ -21,10 +21,17 @@ def _once(value: Column, f) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
+def _holds(text: Column, some: Iterable[str]) -> Column:
+    return reduce(lambda a, b: a | b, (F.contains(text, F.lit(k)) for k in some))
+
+
+#: What a text with more white space than single spaces contains.
+WIDE = ("  ", *"\t\n\v\f\r")
+
+
 def _replaced(text: Column, needs: tuple[str, ...], *steps: tuple[str, str]) -> Column:
     """The texts that contain one of needs with all steps (pattern, replacement) applied; others, in which no step finds anything, as they are."""
-    held = lambda t: reduce(lambda a, b: a | b, (F.contains(t, F.lit(k)) for k in needs))
-    return _once(text, lambda t: F.when(held(t), reduce(lambda x, step: F.regexp_replace(x, *step), steps, t)).otherwise(t))
+    return _once(text, lambda t: F.when(_holds(t, needs), reduce(lambda x, step: F.regexp_replace(x, *step), steps, t)).otherwise(t))
 
 
 def words(text: Column) -> Column:
@@ -33,7 +40,9 @@ def words(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.size(words(text))
+    """The number of words; from that of spaces where there are single ones only."""
+    plain = lambda t: F.when(t == "", 0).otherwise(F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1)
+    return _once(F.trim(F.coalesce(text, F.lit(""))), lambda t: F.when(_holds(t, WIDE), F.size(words(t))).otherwise(plain(t)))
 
 
 def tokens(text: Column) -> Column:
@@ -42,7 +51,7 @@ def tokens(text: Column) -> Column:
 
 
 def collapse(text: Column) -> Column:
-    return F.trim(_replaced(F.coalesce(text, F.lit("")), ("  ", *"\t\n\v\f\r"), (SPACE, " ")))
+    return F.trim(_replaced(F.coalesce(text, F.lit("")), WIDE, (SPACE, " ")))
 
 
 def any_of(terms: list[str]) -> str:
@@ -124,7 +133,7 @@ def hashtags(text: Column) -> Column:
 
 
 def split_camel(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")
+    return F.regexp_replace(F.regexp_replace(text, "[A-Z](?<=[a-z0-9][A-Z])", " $0"), "([A-Z]+)([A-Z][a-z])", "$1 $2")
 
 
 def squeeze_elongated(text: Column) -> Column:
@@ -233,7 +242,8 @@ def placed_sentences(parts: list[str]) -> Iterator[tuple[str, int, int]]:
         body = piece.strip(_BLANKS)
         if body:
             start += len(piece) - len(piece.lstrip(_BLANKS))
-            yield re.sub(SPACE, " ", body).replace(GUARD, "."), start, start + len(body)
+            wide = "  " in body or not body.isprintable()
+            yield (re.sub(SPACE, " ", body) if wide else body).replace(GUARD, "."), start, start + len(body)
 
 
 def piece_rows(df: DataFrame, row: str, text: Column, gap: str) -> DataFrame:

@@ -127,15 +127,17 @@ def _read_once(docs: DataFrame, lexicon: dict[str, list[float]], phrases: dict[s
     sent = docs.sparkSession.sparkContext.broadcast((lexicon, phrases))
     turns, skipped, tech_words, strong, weak = set(c.negations), set(c.neutral), set(c.tech_words), set(c.strong), set(c.weak)
     first_person, hedges, intensifiers = set(FIRST_PERSON), set(HEDGES), set(INTENSIFIERS)
+    every = first_person | hedges | intensifiers | tech_words | strong | weak
 
     def sentence_row(sentence: str, start: int, found: list[str], known: dict[str, list[float]]) -> tuple:
         low = sentence.lower()
         words = TOKEN.findall(low)
-        distinct = set(words)
-        some = lambda ws: not ws.isdisjoint(distinct)
-        count = lambda ws: sum(w in ws for w in words) if ws and some(ws) else 0
+        hits = every.intersection(words)
+        some = lambda ws: bool(hits) and not ws.isdisjoint(hits)
+        count = lambda ws: sum(w in ws for w in words) if some(ws) else 0
         first = some(first_person)
-        cues = (first, _ADVERB.search(low) is not None, some(hedges), some(intensifiers), count(strong), count(weak), "!" in sentence, first and some(tech_words), _EMOTICON.search(sentence) is not None)
+        adverb, emoticon = "ly" in low and _ADVERB.search(low) is not None, "[" in sentence and _EMOTICON.search(sentence) is not None
+        cues = (first, adverb, some(hedges), some(intensifiers), count(strong), count(weak), "!" in sentence, first and some(tech_words), emoticon)
         return (start, sentence, sentence.count(" ") + 1, *word_scores(words, known, turns, skipped), *cues, found)
 
     def rows(parts: list[str], body: str, known: dict, table: dict, lengths: list[int], first: set[str]) -> Iterator[tuple]:
@@ -212,9 +214,9 @@ def annotate_corpus(df: DataFrame, id_: str, text: str, lexicon: DataFrame, phra
     c = config or PipelineConfig()
     ahead = F.col(context) if context is not None else F.lit(None).cast("string")
     docs = df.select(F.monotonically_increasing_id().alias("row_"), id_, normalize_text(F.col(text), c.slang, c.emoticons, c.keep).alias("normalized"), F.substring(ahead, 1, 200).alias("context_"))
-    docs = staged(docs, "normalized")
     if "normalize" in c.plugins:
-        docs = staged(apply_distinct(docs, "normalized", c.plugins["normalize"]), "normalized")
+        docs = apply_distinct(staged(docs, "normalized"), "normalized", c.plugins["normalize"])
+    docs = staged(docs.withColumn("words_", word_count(F.col("normalized"))), "normalized")
     known, table = sent_lexicon(lexicon), entities.sent_phrases(phrases)
     read = _read_apart(docs, lexicon, phrases, c) if known is None or table is None else _read_once(docs, known, table, c)
     asked = (subjectivity_band(F.col("lexicon_score"), c.lower, c.upper) == "model") if "subjectivity" in c.models else F.lit(False)
@@ -231,7 +233,7 @@ def annotate_corpus(df: DataFrame, id_: str, text: str, lexicon: DataFrame, phra
     )
     by_doc = staged(by_doc.withColumn("subjective_", F.coalesce(F.col("blend") >= 0.42, F.lit(False))), "subjectivity")
     names = scored.select("row_", F.explode("found").alias("entity")).groupBy("row_").agg(F.array_sort(F.collect_set(F.lower("entity"))).alias("entities"))
-    out = docs.join(names, "row_", "left").join(by_doc, "row_", "left").withColumn("subjective_", F.coalesce("subjective_", F.lit(False)))
+    out = docs.drop("context_", "words_").join(names, "row_", "left").join(by_doc, "row_", "left").withColumn("subjective_", F.coalesce("subjective_", F.lit(False)))
     aspects = None
     if c.aspects:
         held = sentences.where(F.size("found") > 0).select("row_", "context_", "s_start", "sentence", "p", "n_words", "found")
@@ -285,7 +287,7 @@ def _aspect_sentiments(docs: DataFrame, aspects: DataFrame | None, c: PipelineCo
         items = staged(asked.select(*items.columns), "items")
     by_lexicon = lambda df: df.select("*", F.lit("lexicon").alias("route"), polarity_label(F.col("p")).alias("label"), F.lit(0).cast("long").alias("n_failed"))
     if "polarity" in c.models:
-        whole = docs.where("normalized <> ''").select(F.col("row_").cast("string").alias("item_"), "row_", F.col("normalized").alias("text_"), word_count(F.col("normalized")).alias("words_"))
+        whole = docs.where("normalized <> ''").select(F.col("row_").cast("string").alias("item_"), "row_", F.col("normalized").alias("text_"), "words_")
         both = items.where(F.col("words_") >= SHORT).unionByName(whole, allowMissingColumns=True).withColumn("whole", F.col("words_").isNotNull() & F.col("aspect").isNull())
         floor, short = F.when(F.col("whole"), 0.25).otherwise(0.50), F.when(F.col("whole"), 0).otherwise(SHORT)
         got = route_polarity(both, "item_", "text_", "words_", "p", c.models["polarity"], floor, short)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -15,9 +16,8 @@ from ..sources.staging import staged
 
 #: Words, and marks that are no words: code and named emoticons.
 ELEMENT = r"<code>|\[[a-z0-9_ ]+\]|[a-z0-9][a-z0-9+#.-]*"
-_ELEMENT = re.compile(ELEMENT)
+_ELEMENT = re.compile(f"({ELEMENT})")
 CUT, REST = "\u0002", "\u0003"
-_BLANK = dict.fromkeys(map(ord, "\u0130" + CUT + REST), " ")
 
 
 def _once(value: Column, f) -> Column:
@@ -54,21 +54,24 @@ def first_words(table: dict[str, str]) -> set[str]:
 
 def low_text(body: str) -> str:
     """_low of one text."""
-    return body.translate(_BLANK).lower()
+    return body.replace("\u0130", " ").replace(CUT, " ").replace(REST, " ").lower()
 
 
 def spans(low: str, table: dict[str, str], lengths: list[int], first: set[str]) -> list[tuple[int, int, int, str]]:
     """start, end, number of words and label of the phrases of table in a text of lower case: the longest first, then from the left.
     first: first_words(table)."""
-    words = [m for m in _ELEMENT.finditer(low) if m[0][0] not in "<["]
-    names, taken, kept = [m[0] for m in words], bytearray(len(words)), []
-    begins = [i for i, w in enumerate(names) if w in first]
+    parts = _ELEMENT.split(low)  # gaps and elements in turn
+    names, words = parts[1::2], list(accumulate(map(len, parts)))[::2]
+    if "<" in low or "[" in low:
+        plain = [k for k, w in enumerate(names) if w[0] not in "<["]
+        names, words = [names[k] for k in plain], [words[k] for k in plain]
+    begins, taken, kept = [i for i, w in enumerate(names) if w in first], bytearray(len(names)), []
     for n in lengths:
         for i in begins:
             label = table.get(names[i] if n == 1 else " ".join(names[i : i + n])) if i + n <= len(names) else None
             if label is not None and not any(taken[i : i + n]):
                 taken[i : i + n] = b"\1" * n
-                kept.append((words[i].start(), words[i + n - 1].end(), n, label))
+                kept.append((words[i], words[i + n - 1] + len(names[i + n - 1]), n, label))
     return kept
 
 

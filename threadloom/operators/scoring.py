@@ -143,8 +143,8 @@ def word_scores(words: list[str], known: dict[str, list[float]], turns: set[str]
     found = [(i, w) for i, w in enumerate(words) if w in known]
     if not found:
         return None, None
-    means = [x for _, w in found for x in known[w]]
-    turned = [-0.74 * x if not turns.isdisjoint(words[max(0, i - window) : i]) else x for i, w in found if w not in skipped for x in known[w]]
+    means, plain = [x for _, w in found for x in known[w]], turns.isdisjoint(words)
+    turned = [x if plain or turns.isdisjoint(words[max(0, i - window) : i]) else -0.74 * x for i, w in found if w not in skipped for x in known[w]]
     return (sum(turned) if turned else None), sum(means) / len(means)
 
 
