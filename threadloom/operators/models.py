@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..functions.text import WORD, word_count
-from ..sources.staging import staged
+from ..sources.staging import packed
 from .scoring import blend_model_score, confidence_floor, polarity_confidence, polarity_label, subjectivity_band
 
 
@@ -58,7 +58,7 @@ def classify(inputs: DataFrame, model: Model, column: str = "input") -> DataFram
 
     seen = F.substring(F.col(column), 1, model.cap)
     asked = inputs.where(F.col(column).isNotNull()).select(_key(seen).alias("key"), seen.alias("input")).groupBy("key").agg(F.any_value("input").alias("input"))
-    return staged(asked.mapInPandas(run, "key binary, label string, confidence double, failed boolean"), "verdicts")
+    return packed(asked.mapInPandas(run, "key binary, label string, confidence double, failed boolean"), "verdicts")
 
 
 def with_verdicts(rows: DataFrame, model: Model, column: str = "input", name: str = "verdict") -> DataFrame:

@@ -34,13 +34,18 @@ def staged_path(spark: SparkSession, name: str = "table") -> str:
     return f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str = "table") -> DataFrame:
+def staged(df: DataFrame, name: str = "table", codec: str | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: cuts lineage and survives lost executors."""
     path = staged_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def packed(df: DataFrame, name: str = "table") -> DataFrame:
+    """staged with zstd: tables of texts are smaller by a third."""
+    return staged(df, name, "zstd")
+
+
 def remove_staged(spark: SparkSession) -> None:
     """Delete all tables that this application has staged; call it when their results are written."""
     path = spark._jvm.org.apache.hadoop.fs.Path(_own(spark))
